@@ -5,14 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, secret_scan
+from . import exact_dedup, mixing, near_dedup, secret_scan
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=2)
+    return found.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), "component_id", "kept")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "rate")
 
@@ -25,6 +31,32 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.find_secrets(_table(spark, sf_dir, "documents")))
 
 
+OP1_SQL = r"""
+WITH RECURSIVE
+words AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\x20\x09-\x0D]+'), w -> w <> '') AS w
+    FROM documents),
+sets AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]]
+        ELSE list_distinct(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])) END AS s
+    FROM words),
+rows AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+common AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS n
+    FROM rows a JOIN rows b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM common WHERE 100 * n >= 80 * (na + nb - n)),
+edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (
+    SELECT doc_id, doc_id AS other FROM documents
+    UNION
+    SELECT r.doc_id, e.b FROM reach r JOIN edges e ON r.other = e.a),
+least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY 1)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM sets JOIN least USING (doc_id)
+"""
+
 OP6_SQL = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
 SELECT doc_id,
@@ -37,8 +69,8 @@ FROM d WINDOW g AS (PARTITION BY text)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_mixing, op6_exact_dedup, op7_secret_scan)}
+    return {f.__name__: f for f in (op1_near_dedup, op3_mixing, op6_exact_dedup, op7_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6_SQL}
+    return {"op1_near_dedup": OP1_SQL, "op6_exact_dedup": OP6_SQL}
