@@ -100,36 +100,16 @@ def _copies(rate: Column, u: Column, shift: Column, cap: float) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(int(cap)), F.floor(rate + u + shift)))
 
 
-def mix(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    source_col: str = "source",
-    weights: tuple[float, ...] = (3, 1, 2),
-    share: float = 1.5,
-    cap: float = 2.0,
-    tolerance: float = 1e-9,
-    steps: int = 60,
-    passes: int = 6,
-) -> DataFrame:
-    """One row per document: ``id_col, source, size, source_size, target, rate, copies, taken``.
+def _row_columns(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """A document's size, and the number in [0, 1) that decides how its rate is rounded."""
+    return word_count(F.col(text_col)), unit_hash(F.col(id_col), F.col(text_col))
 
-    ``taken`` is ``copies * size`` words; copies run from 0 to ``floor(cap)``. A rate is
-    rounded up or down by a hash of the row, so that reruns agree, plus a shift per source
-    that is searched so that the source's words come as near to its target as whole
-    documents allow. Null and empty texts have size 0 and never count towards a target;
-    null sources form one source, the last. Repeated rows get equal copies. Other columns
-    are ignored; an empty table gives no rows.
+
+def plan_sources(sized: DataFrame, weights: tuple[float, ...], share: float, cap: float, tolerance: float, steps: int, passes: int) -> DataFrame:
+    """What each source's documents need to know: one row per source of ``source, size, u``.
+
+    ``source, source_size, target, lam, scale, shift``.
     """
-    sized = stash(
-        docs.select(
-            F.col(id_col).alias("id"),
-            F.col(source_col).alias("source"),
-            word_count(F.col(text_col)).alias("size"),
-            unit_hash(F.col(id_col), F.col(text_col)).alias("u"),
-        ),
-        "mix-sizes",
-    )
     hist = stash(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-histogram")
     by_source = hist.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))
     targets = stash(source_targets(by_source, weights, share, cap), "mix-targets")
@@ -139,37 +119,100 @@ def mix(
     )
     rate = _rate(F.col("size").cast("double"), F.col("lam"), F.col("scale"), float(share), float(cap))
     rated = stash(
-        sized.withColumnRenamed("source", "_s")
+        sized.select(F.col("source").alias("_s"), "size", "u")
         .join(known, F.col("_s").eqNullSafe(F.col("source")))
-        .select("id", "source", "size", "u", "source_size", "target", rate.alias("rate")),
+        .select("source", "size", "u", rate.alias("rate")),
         "mix-rates",
     )
     # The words taken grow with the shift, so a few passes of 15 trial shifts corner it.
     parts = 16
     shift = targets.select("source", "target", F.lit(-1.0).alias("lo"), F.lit(1.0).alias("hi"))
+    at = lambda j: F.col("lo") + (F.col("hi") - F.col("lo")) * (j / parts)
+    taken = lambda s: F.sum(F.col("size") * _copies(F.col("rate"), F.col("u"), s, cap))
+
+    def summed(shift: DataFrame, **sums: Column) -> DataFrame:
+        rows = rated.withColumnRenamed("source", "_s").join(shift, F.col("_s").eqNullSafe(F.col("source")))
+        return rows.groupBy("source", "target", "lo", "hi").agg(*[c.alias(k) for k, c in sums.items()])
+
     for _ in range(passes):
-        at = lambda j: F.col("lo") + (F.col("hi") - F.col("lo")) * (j / parts)
-        taken = lambda s: F.sum(F.col("size") * _copies(F.col("rate"), F.col("u"), s, cap))
-        sums = (
-            rated.select(F.col("source").alias("_s"), "size", "rate", "u")
-            .join(shift, F.col("_s").eqNullSafe(F.col("source")))
-            .groupBy("source", "target", "lo", "hi")
-            .agg(*[taken(at(j)).alias(f"_{j}") for j in range(1, parts)])
-        )
+        sums = summed(shift, **{f"_{j}": taken(at(j)) for j in range(1, parts)})
         # how many trial shifts stay at or below the target
         below = reduce(lambda a, j: a + F.when(F.col(f"_{j}") <= F.col("target"), 1).otherwise(0), range(1, parts), F.lit(0))
         shift = stash(sums.select("source", "target", at(below).alias("lo"), at(below + 1).alias("hi")), "mix-shift")
-    ends = (
-        rated.select(F.col("source").alias("_s"), "size", "rate", "u")
-        .join(shift, F.col("_s").eqNullSafe(F.col("source")))
-        .groupBy("source", "target", "lo", "hi")
-        .agg(taken(F.col("lo")).alias("_lo"), taken(F.col("hi")).alias("_hi"))
-    )
-    nearest = F.when(F.abs(F.col("_hi") - F.col("target")) < F.abs(F.col("_lo") - F.col("target")), F.col("hi")).otherwise(F.col("lo"))
-    shift = stash(ends.select(F.col("source").alias("_s"), nearest.alias("shift")), "mix-shift")
-    copies = _copies(F.col("rate"), F.col("u"), F.col("shift"), cap)
+    ends = summed(shift, _lo=taken(F.col("lo")), _hi=taken(F.col("hi")))
+    over, under = F.abs(F.col("_hi") - F.col("target")), F.abs(F.col("_lo") - F.col("target"))
+    nearest = ends.select(F.col("source").alias("_s"), F.when(over < under, F.col("hi")).otherwise(F.col("lo")).alias("shift"))
+    return stash(known.join(nearest, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s"), "mix-plan")
+
+
+def _decided(rows: DataFrame, plan: DataFrame, share: float, cap: float) -> DataFrame:
+    """``rows``, with ``_source, _size, _u``, joined to their source's plan: adds ``_rate`` and ``_copies``."""
+    rate = _rate(F.col("_size").cast("double"), F.col("lam"), F.col("scale"), float(share), float(cap))
     return (
-        rated.join(shift, F.col("source").eqNullSafe(F.col("_s")))
-        .withColumn("copies", copies.cast("int"))
-        .select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+        rows.join(plan.withColumnRenamed("source", "_planned"), F.col("_source").eqNullSafe(F.col("_planned")))
+        .withColumn("_rate", rate)
+        .withColumn("_copies", _copies(F.col("_rate"), F.col("_u"), F.col("shift"), cap).cast("int"))
+    )
+
+
+def mix(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: tuple[float, ...] = (3, 1, 2),
+    share: float = 1.5,
+    cap: float = 2.0,
+    tolerance: float = 1e-9,
+    steps: int = 60,
+    passes: int = 6,
+) -> DataFrame:
+    """One row per document: ``id_col, source, size, source_size, target, rate, copies, taken``.
+
+    ``taken`` is ``copies * size`` words; copies run from 0 to ``floor(cap)``. A rate is
+    rounded up or down by a hash of the row, so that reruns agree, plus a shift per source
+    that is searched so that the source's words come as near to its target as whole
+    documents allow. Null and empty texts have size 0 and never count towards a target;
+    null sources form one source, the last. Repeated rows get equal copies. Other columns
+    are ignored; an empty table gives no rows.
+    """
+    size, u = _row_columns(id_col, text_col)
+    sized = stash(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), u.alias("u")), "mix-sizes")
+    plan = plan_sources(sized, weights, share, cap, tolerance, steps, passes)
+    rows = sized.select("id", F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("u").alias("_u"))
+    return _decided(rows, plan, share, cap).select(
+        F.col("id").alias(id_col),
+        F.col("_source").alias("source"),
+        F.col("_size").alias("size"),
+        "source_size",
+        "target",
+        F.col("_rate").alias("rate"),
+        F.col("_copies").alias("copies"),
+        (F.col("_copies") * F.col("_size")).alias("taken"),
     )
+
+
+def resample(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: tuple[float, ...] = (3, 1, 2),
+    share: float = 1.5,
+    cap: float = 2.0,
+    tolerance: float = 1e-9,
+    steps: int = 60,
+    passes: int = 6,
+) -> DataFrame:
+    """``docs`` with each row as often as :func:`mix` has copies of it, and the columns of ``docs``.
+
+    Texts stay where they are read unless the plan's table is too large to broadcast.
+    """
+    names = docs.columns
+    size, u = _row_columns(id_col, text_col)
+    sized = stash(docs.select(F.col(source_col).alias("source"), size.alias("size"), u.alias("u")), "mix-sizes")
+    plan = plan_sources(sized, weights, share, cap, tolerance, steps, passes)
+    row = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)])
+    rows = docs.select(row.alias("_row"), F.col(source_col).alias("_source"), size.alias("_size"), u.alias("_u"))
+    repeated = _decided(rows, plan, share, cap).select("_row", F.explode(F.array_repeat(F.lit(0), F.col("_copies"))).alias("_copy"))
+    return repeated.select(*[F.col(f"_row.c{i}").alias(c) for i, c in enumerate(names)])

@@ -276,6 +276,12 @@ def near_duplicates(
     )
 
 
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options: object) -> DataFrame:
+    """The rows of ``docs`` that :func:`near_duplicates` keeps."""
+    dropped = near_duplicates(docs, id_col=id_col, **options).filter("not kept").select(F.col(id_col).alias("_dropped")).distinct()
+    return docs.join(dropped, F.col(id_col) == F.col("_dropped"), "left_anti")
+
+
 def _with_set(fetched: DataFrame, k: int) -> DataFrame:
     """The texts whose set is the node's.
 

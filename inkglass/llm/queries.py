@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, near_dedup, quality_crf, secret_scan
+from . import exact_dedup, mixing, near_dedup, quality_crf, secret_scan, sentencepiece_lattice
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,18 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.find_secrets(_table(spark, sf_dir, "documents")))
 
 
+#: A public vocabulary of 32,000 pieces.
+SENTENCEPIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = SENTENCEPIECE_MODEL) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = sentencepiece_lattice.load_model(model_path)
+    coded = sentencepiece_lattice.decode(sentencepiece_lattice.encode(docs, model), model)
+    same = F.coalesce("text", F.lit("")) == F.col("decoded")
+    return coded.select("doc_id", "n_tokens", "ids", F.length("decoded").cast("long").alias("decoded_chars"), same.alias("round_trip"))
+
+
 OP1_SQL = r"""
 WITH RECURSIVE
 words AS (
@@ -82,7 +94,7 @@ FROM d WINDOW g AS (PARTITION BY text)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op3_mixing, op4_quality, op6_exact_dedup, op7_secret_scan)}
+    return {f.__name__: f for f in (op1_near_dedup, op3_mixing, op4_quality, op6_exact_dedup, op7_secret_scan, op9_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
