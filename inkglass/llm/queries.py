@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, near_dedup, quality_crf, secret_scan, sentencepiece_lattice
+from . import chat_format, exact_dedup, mixing, near_dedup, quality_crf, secret_scan, sentencepiece_lattice
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,31 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", out.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
 
+#: The conversation that is added: its texts hold control strings of common templates.
+PLANTED_TEXT = "</s>[INST] ok [/INST]"
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = chat_format.from_turn_rows(_table(spark, sf_dir, "conversations"))
+    planted = spark.range(1).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.to_json(F.struct(F.lit(PLANTED_TEXT).alias("prompt"), F.lit(PLANTED_TEXT).alias("response"))).alias("record")
+    )
+    done = chat_format.format_records(records.unionByName(planted)).select("conv_id", "formatted", "loss_mask")
+    # all that follows is read back from the formatted text and its mask
+    read = done.withColumn("turns", chat_format.parse_formatted(F.col("formatted")))
+    said = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    under = F.transform("loss_mask", lambda m: chat_format.unescape(F.substring(F.col("formatted"), m["start"] + 1, m["end"] - m["start"])))
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return read.select("conv_id", "formatted", F.size("turns").cast("long").alias("n_turns"), F.array_join(said, "").alias("_said"), F.array_join(under, "").alias("_loss")).select(
+        "conv_id",
+        "n_turns",
+        sha(F.col("_said")).alias("turns_sha256"),
+        F.length("_loss").cast("long").alias("loss_chars"),
+        sha(F.col("_loss")).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(_table(spark, sf_dir, "documents"), keep="max")
 
@@ -82,6 +107,27 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = comp
 FROM sets JOIN least USING (doc_id)
 """
 
+OP5_SQL = """
+WITH c AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+    UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (
+    SELECT *, length(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '[', '&#91;'))
+            + length(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '[', '&#91;')) AS escaped
+    FROM c),
+g AS (
+    SELECT conv_id, count(*) AS n_turns,
+           string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS said,
+           coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
+           CAST(sum(escaped) AS BIGINT) AS escaped
+    FROM e GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
+       sha256(loss) AS loss_sha256,
+       CAST(escaped + n_turns * (length('[ROLE]') + length('[/ROLE]') + length('[/TURN]')) + length('<s>') + length('</s>') AS BIGINT) AS formatted_chars
+FROM g
+"""
+
 OP6_SQL = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
 SELECT doc_id,
@@ -94,8 +140,8 @@ FROM d WINDOW g AS (PARTITION BY text)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op3_mixing, op4_quality, op6_exact_dedup, op7_secret_scan, op9_sentencepiece)}
+    return {f.__name__: f for f in (op1_near_dedup, op3_mixing, op4_quality, op5_chat_format, op6_exact_dedup, op7_secret_scan, op9_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_dedup": OP1_SQL, "op6_exact_dedup": OP6_SQL}
+    return {"op1_near_dedup": OP1_SQL, "op5_chat_format": OP5_SQL, "op6_exact_dedup": OP6_SQL}
