@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, mixing, near_dedup, quality_crf, secret_scan, sentencepiece_lattice
+from . import chat_format, exact_dedup, mixing, near_dedup, quality_crf, secret_scan, sentencepiece_lattice, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +81,19 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = SENTEN
     return coded.select("doc_id", "n_tokens", "ids", F.length("decoded").cast("long").alias("decoded_chars"), same.alias("round_trip"))
 
 
+URL_RULES = (
+    url_filter.Rule("org", "/", "allow"),
+    url_filter.Rule("example.org", "/es/", "block"),
+    url_filter.Rule("example.org", "/en/1", "block"),
+    url_filter.Rule("com", "/fr/", "allow"),
+    url_filter.Rule("com", "/de/", "block"),
+)
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 OP1_SQL = r"""
 WITH RECURSIVE
 words AS (
@@ -140,7 +153,7 @@ FROM d WINDOW g AS (PARTITION BY text)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op3_mixing, op4_quality, op5_chat_format, op6_exact_dedup, op7_secret_scan, op9_sentencepiece)}
+    return {f.__name__: f for f in (op1_near_dedup, op3_mixing, op4_quality, op5_chat_format, op6_exact_dedup, op7_secret_scan, op9_sentencepiece, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
