@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, mixing, near_dedup, quality_crf, secret_scan, sentencepiece_lattice, url_filter
+from . import chat_format, exact_dedup, mixing, near_dedup, quality_crf, secret_scan, sentencepiece_lattice, url_filter, warc
+from .common import drop_path, shared_path, stash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +70,32 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.find_secrets(_table(spark, sf_dir, "documents")))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "warc-archives")
+    warc.write_archives(warc.plan_records(_table(spark, sf_dir, "pages")), path)
+    records = warc.read_records(spark, path)
+    kind, page = warc.header("WARC-Type"), lambda name: F.regexp_extract(warc.header(name), r"^<urn:page:(-?[0-9]+)>$", 1)
+    response = F.col("record_type") == "response"
+    read = records.select(
+        kind.alias("record_type"),
+        page("WARC-Record-ID").try_cast("long").alias("page_id"),
+        page("WARC-Refers-To").try_cast("long").alias("refers_to"),
+        F.octet_length("content").cast("long").alias("_bytes"),
+        F.sha2("content", 256).alias("_digest"),
+        warc.header("WARC-Payload-Length").cast("long").alias("_told_bytes"),
+        F.regexp_replace(warc.header("WARC-Payload-Digest"), "^sha256:", "").alias("_told_digest"),
+    ).select(
+        "page_id",
+        F.when(response, F.col("_bytes")).otherwise(F.col("_told_bytes")).alias("payload_bytes"),
+        F.when(response, F.col("_digest")).otherwise(F.col("_told_digest")).alias("payload_digest"),
+        "record_type",
+        "refers_to",
+    )
+    done = stash(read, "warc-read")
+    drop_path(spark, path)
+    return done
+
+
 #: A public vocabulary of 32,000 pieces.
 SENTENCEPIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -152,9 +179,22 @@ FROM d WINDOW g AS (PARTITION BY text)
 """
 
 
+OP8_SQL = """
+WITH p AS (
+    SELECT page_id, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS payload_digest,
+           CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes
+    FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op3_mixing, op4_quality, op5_chat_format, op6_exact_dedup, op7_secret_scan, op9_sentencepiece, op10_url_filter)}
+    return {f.__name__: f for f in (op1_near_dedup, op3_mixing, op4_quality, op5_chat_format, op6_exact_dedup, op7_secret_scan, op8_warc, op9_sentencepiece, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_dedup": OP1_SQL, "op5_chat_format": OP5_SQL, "op6_exact_dedup": OP6_SQL}
+    return {"op1_near_dedup": OP1_SQL, "op5_chat_format": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op8_warc": OP8_SQL}
