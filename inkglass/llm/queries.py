@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, mixing, near_dedup, quality_crf, secret_scan, sentencepiece_lattice, url_filter, warc
+from . import ann_forest, chat_format, exact_dedup, mixing, near_dedup, quality_crf, secret_scan, sentencepiece_lattice, url_filter, warc
 from .common import drop_path, shared_path, stash
 
 
@@ -20,6 +20,10 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), "component_id", "kept")
 
 
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_forest.nearest(_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "rate")
 
@@ -193,7 +197,7 @@ FROM f
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op3_mixing, op4_quality, op5_chat_format, op6_exact_dedup, op7_secret_scan, op8_warc, op9_sentencepiece, op10_url_filter)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_nearest, op3_mixing, op4_quality, op5_chat_format, op6_exact_dedup, op7_secret_scan, op8_warc, op9_sentencepiece, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
