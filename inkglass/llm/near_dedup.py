@@ -1,14 +1,15 @@
 """Near-duplicate documents by circulant MinHash, banding and exact Jaccard verification.
 
+Links are always verified on the full sets, hashed again from the whole texts.
+
 1.  Each document's shingle set gives a signature of bands * rows coordinates, all from two
     permutations (:func:`.shingles.circulant_minhash`). Equal sets become one node, so
     copies cost nothing from here on.
 2.  Nodes that share a band's key meet in a bucket. First every node of a bucket is compared
     with the bucket's least node only, and components are formed from the links found.
 3.  What these leave open are pairs of a bucket from different components. They are compared
-    by their signatures in blocks of bounded size, and the pairs that might be links are
-    kept. No other pair can add a link between components.
-4.  All pairs kept are verified on the full sets, hashed again from the whole texts.
+    in blocks of bounded size, first by their signatures and, where these allow a link, by
+    their full sets; only links leave a block. No other pair can join two components.
 
 A pair of similarity s shares a bucket with probability 1 - (1 - s^rows)^bands, which is
 over 0.99999 at 0.8 with 6 rows and 40 bands. A comparison of signatures passes over a pair
@@ -35,7 +36,7 @@ SLACK = 5.0
 #: Texts that are shingled together, at most, in characters (a longer one goes alone).
 CHUNK_CHARS = 2_000_000
 #: Members of a bucket that one block holds.
-BLOCK = 512
+BLOCK = 1024
 #: Members that are verified against one copy of a bucket's least node.
 FAN = 256
 
@@ -101,12 +102,13 @@ def _may_link(pairs: DataFrame, share: float, width: int) -> DataFrame:
     return pairs.filter(sizes).select("a", "b", "sa", "sb").mapInPandas(run, "a binary, b binary")
 
 
-def _across(members: DataFrame, share: float, width: int) -> DataFrame:
-    """Pairs of a block's nodes that are from different components and may be links.
+def _across(members: DataFrame, share: float, width: int, k: int, percent: int) -> DataFrame:
+    """Links of a block's nodes that are from different components.
 
-    ``members``: ``bucket, part, side, sid, n, label, sketch``, with the rows of a block
-    together. A block of one part compares its members with each other, a block of two
-    parts those of one with those of the other.
+    ``members``: ``bucket, part, side, sid, n, label, sketch, text``, with the rows of a
+    block together. A block of one part compares its members with each other, a block of two
+    parts those of one with those of the other. Pairs whose sketches allow a link are
+    verified on their full sets here, so only links leave the block.
     """
     least = _least_matches(width, share)
 
@@ -116,20 +118,26 @@ def _across(members: DataFrame, share: float, width: int) -> DataFrame:
         n, labels, sides = n[order], labels[order], sides[order]
         sketch = np.frombuffer(b"".join(p["sketch"]), np.uint8).reshape(len(p), width)[order]
         two = sides.min() != sides.max()
-        found = []
+        pairs = []
         # the larger of two sets is at most 1 / share times the smaller
         ends = np.searchsorted(n, n / share * (1 + 1e-9), "right")
         for i in range(len(n) - 1):
             j = np.arange(i + 1, ends[i])
             j = j[(labels[j] != labels[i]) & ((sides[j] != sides[i]) | (not two))]
             if len(j):
-                j = j[(sketch[j] == sketch[i]).sum(1) >= least]
-                found += [(order[i], order[x]) for x in j]
-        if not found:
+                pairs += [(i, x) for x in j[(sketch[j] == sketch[i]).sum(1) >= least].tolist()]
+        if not pairs:
             return None
-        sid = p["sid"].to_numpy()
-        pairs = [(min(sid[i], sid[j]), max(sid[i], sid[j])) for i, j in found]
-        return pd.DataFrame(pairs, columns=["a", "b"])
+        sid, texts, sets = p["sid"].to_numpy()[order], p["text"].to_numpy()[order], {}
+        wanted = pd.Series(texts[sorted({x for pair in pairs for x in pair})], index=sorted({x for pair in pairs for x in pair}))
+        for start, chunk in _chunks(wanted):
+            sets |= zip(wanted.index[start : start + len(chunk)], shingle_sets(chunk, k))
+        links = []
+        for i, j in pairs:
+            both, either = jaccard_parts(sets[i], sets[j])
+            if 100 * both >= percent * either:
+                links.append((min(sid[i], sid[j]), max(sid[i], sid[j])))
+        return pd.DataFrame(links, columns=["a", "b"]) if links else None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: pd.DataFrame | None = None
@@ -235,7 +243,7 @@ def near_duplicates(
         buckets.join(labels, F.col("sid") == F.col("id"), "left").select("bucket", "members", "sid", F.coalesce("label", "sid").alias("label")), "near-labelled"
     )
     mixed = stash(labelled.groupBy("bucket").agg(F.min("label").alias("_l"), F.max("label").alias("_h")).filter("_l != _h").select("bucket"), "near-mixed")
-    open_ = labelled.join(mixed, "bucket").join(known.select("sid", "n", "sketch"), "sid")
+    open_ = stash(labelled.join(mixed, "bucket"), "near-open").join(known.select("sid", "n", "sketch"), "sid").join(texts, "sid")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("sid"), blocks).cast("int")
     other = F.explode(F.sequence(F.lit(0), blocks - 1))
@@ -250,10 +258,10 @@ def near_duplicates(
             "n",
             "label",
             "sketch",
+            "text",
         )
     )
-    across = stash(_across(members, share, width), "near-across")
-    second = _verify(across, texts, shingle_words, percent)
+    second = _across(members, share, width, shingle_words, percent)
     components = connected_components(first.union(second))
 
     least = full.join(components.withColumnRenamed("id", "_c"), F.col("sid") == F.col("_c"), "left").select("sid", "id", F.coalesce("label", "sid").alias("label"))
