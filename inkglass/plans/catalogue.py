@@ -1,15 +1,489 @@
-"""Named queries of the audit engine, each over a folder of Parquet tables, with their SQL."""
+"""Named queries of the audit engine, each over a folder of Parquet tables, with their SQL.
+
+All but the last few run over :func:`.salted.salted`, whole tables and whole texts.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import characters as ch
+from ..operators import carriers, cleaning, look_alikes, markdown, metrics, profiles, reports, signals, source_code
+from ..sources import text_files
+from .salted import SALTED_SQL, salted
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def long_(name: str):
+    return F.col(name).cast("long").alias(name)
+
+
+# ---- SQL that several queries share ---------------------------------------------------
+
+_CHARS = """chars AS (
+    SELECT doc_id, i - 1 AS off, c, unicode(c) AS cp FROM (
+        SELECT doc_id, generate_subscripts(cs, 1) AS i, unnest(cs) AS c FROM (
+            SELECT doc_id, string_split(text, '') AS cs FROM salted)))"""
+_HITS = "hits AS (" + " UNION ALL ".join(
+    f"SELECT doc_id, '{category}' AS category, '{signal}' AS signal, off FROM chars WHERE {ch.condition('cp', ranges)}"
+    + (" AND off <> 0" if signal == "noninitial_bom" else "")
+    for category, signal, ranges in ch.SIGNALS
+) + ")"
+_PLACES = """places AS (
+    SELECT doc_id, off,
+           1 + coalesce(sum(CAST(c = chr(10) AS INTEGER)) OVER w, 0) AS line,
+           off - coalesce(max(CASE WHEN c = chr(10) THEN off END) OVER w, -1) AS col
+    FROM chars WINDOW w AS (PARTITION BY doc_id ORDER BY off ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+
+
+def _with(*parts: str) -> str:
+    return "WITH " + ",\n".join([SALTED_SQL, *parts]) + "\n"
+
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _count_sql(ranges: ch.Ranges) -> str:
+    return f"CAST(length(text) - length(regexp_replace(text, {_quoted(ch.pattern(ranges))}, '', 'g')) AS BIGINT)"
+
+
+def _counter_sql(ranges: dict[str, ch.Ranges]) -> str:
+    return ", ".join(f'{_count_sql(r)} AS "{n}"' for n, r in ranges.items())
+
+
+# ---- findings -------------------------------------------------------------------------
+
+
+@query(_with(_CHARS, _HITS) + "SELECT doc_id, category, signal, count(*) AS n FROM hits GROUP BY ALL")
+def scan_signal_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signals.locations(salted(spark, sf_dir)).groupBy("doc_id", "category", "signal").agg(F.count(F.lit(1)).alias("n"))
+
+
+_LOCATIONS = _with(_CHARS, _HITS, _PLACES) + """SELECT doc_id, category, signal, CAST(line AS BIGINT) AS line, CAST(col AS BIGINT) AS "column", CAST(off AS BIGINT) AS "offset"
+FROM hits JOIN places USING (doc_id, off)"""
+
+
+@query(_LOCATIONS)
+def scan_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signals.locations(salted(spark, sf_dir)).select("doc_id", "category", "signal", long_("line"), long_("column"), long_("offset"))
+
+
+@query(
+    _with(_CHARS, _HITS)
+    + """, ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, category, signal ORDER BY off) AS r, count(*) OVER (PARTITION BY doc_id, category, signal) AS n FROM hits)
+SELECT doc_id, category, signal, any_value(n) AS n, count(*) AS kept, CAST(max(off) AS BIGINT) AS last_offset,
+       CASE WHEN signal = 'variation_selector' THEN 'report' ELSE 'remove' END AS planned_action
+FROM ranked WHERE r <= 100 GROUP BY doc_id, category, signal"""
+)
+def scan_locations_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = signals.findings(salted(spark, sf_dir))
+    return found.select(
+        "doc_id",
+        "category",
+        "signal",
+        F.col("count").alias("n"),
+        F.size("locations").cast("long").alias("kept"),
+        F.array_max(F.transform("locations", lambda x: x["offset"])).cast("long").alias("last_offset"),
+        "planned_action",
+    )
+
+
+@query(_with() + f"SELECT doc_id, {_counter_sql(signals.GHOSTS)} FROM salted")
+def ghost_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = signals.ghost_counters(F.col("text"))
+    return salted(spark, sf_dir).select("doc_id", *[counts[n].cast("long").alias(n) for n in signals.GHOSTS])
+
+
+@query(_with() + f"SELECT doc_id, {_counter_sql(signals.typographic_ranges())} FROM salted")
+def typographic_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return salted(spark, sf_dir).select("doc_id", *[c.cast("long").alias(n) for n, c in signals.typographic_counters(F.col("text")).items()])
+
+
+_TRAILING = r"len(list_filter(regexp_split_to_array(text, '\r\n|\n|\r'), lambda l: l LIKE '% ' OR l LIKE '%' || chr(9)))"
+_INDENTED = f"len(list_filter(regexp_split_to_array(text, {_quoted(signals.LINE_END)}), lambda l: regexp_full_match(l, {_quoted(signals.BLANK + '+')})))"
+
+
+@query(
+    _with()
+    + f"""SELECT doc_id, CAST({_TRAILING} AS BIGINT) AS trailing_lines, CAST({_INDENTED} AS BIGINT) AS blank_with_indent,
+       right(text, 1) IN (chr(10), chr(13)) AS final_newline FROM salted"""
+)
+def whitespace_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = signals.whitespace_counters(F.col("text"))
+    return salted(spark, sf_dir).select(
+        "doc_id", c["trailing_lines"].cast("long").alias("trailing_lines"), c["blank_with_indent"].cast("long").alias("blank_with_indent"), c["final_newline"].alias("final_newline")
+    )
+
+
+_TOTAL = " + ".join(
+    [_count_sql(r) for n, r in signals.GHOSTS.items() if n != "NBSP_family"]
+    + [_count_sql(ch.unassigned())]
+    + [_count_sql(r) for n, r in signals.typographic_ranges().items() if n not in ("smart_quotes_basic", "ascii_quote_like")]
+    + [_TRAILING, _INDENTED, "CASE WHEN right(text, 1) IN (chr(10), chr(13)) THEN 0 ELSE 1 END"]
+)
+
+
+@query(_with() + f"SELECT doc_id, CAST({_TOTAL} AS BIGINT) AS total FROM salted")
+def scan_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return salted(spark, sf_dir).select("doc_id", signals.total(F.col("text")).cast("long").alias("total"))
+
+
+_FOUND = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(letters, '\\p{{{s}}}') THEN '{s}' END" for s in ch.SCRIPTS) + "], lambda s: s IS NOT NULL)"
+
+
+@query(
+    _with()
+    + f""", l AS (SELECT doc_id, regexp_replace(text, '[^\\pL]+', '', 'g') AS letters FROM salted),
+s AS (SELECT doc_id, {_FOUND} AS found FROM l)
+SELECT doc_id, len(found) AS n, array_to_string(found, ',') AS scripts FROM s WHERE len(found) > 1"""
+)
+def mixed_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signals.mixed_scripts(salted(spark, sf_dir)).select("doc_id", F.col("count").cast("long").alias("n"), F.array_join("scripts", ",").alias("scripts"))
+
+
+@query(_with() + "SELECT doc_id FROM salted WHERE nfc_normalize(text) <> text")
+def normalization_nfc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return look_alikes.normalization(salted(spark, sf_dir)).filter("nfc_changes").select("doc_id")
+
+
+@query()
+def normalization_nfkc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return look_alikes.normalization(salted(spark, sf_dir))
+
+
+_LOOK = f"regexp_matches(token, '[{look_alikes.LOOK_ALIKES[0]}]')"
+
+
+@query(
+    _with()
+    + f""", t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\\pL_][\\pL\\pN_]*')) AS token FROM salted),
+c AS (SELECT doc_id, token, token AS letters, count(*) AS n FROM t WHERE {_LOOK} GROUP BY ALL),
+s AS (SELECT *, {_FOUND} AS found FROM c)
+SELECT doc_id, token, translate(token, '{look_alikes.LOOK_ALIKES[0]}', '{look_alikes.LOOK_ALIKES[1]}') AS skeleton, array_to_string(found, ',') AS scripts, n FROM s WHERE len(found) > 1"""
+)
+def confusable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = look_alikes.confusable_tokens(salted(spark, sf_dir))
+    return out.select("doc_id", "token", "skeleton", F.array_join("scripts", ",").alias("scripts"), F.col("count").alias("n"))
+
+
+# ---- metrics --------------------------------------------------------------------------
+
+_ENDS = f"len(regexp_extract_all(text, {_quoted(signals.LINE_END)}))"
+
+
+@query(
+    _with()
+    + f"""SELECT doc_id, CAST(strlen(text) AS BIGINT) AS bytes_utf8, CAST(length(text) AS BIGINT) AS characters,
+       CAST({_ENDS} + CASE WHEN text <> '' AND NOT regexp_matches(text, {_quoted("(?:" + signals.LINE_END + ")" + chr(92) + "z")}) THEN 1 ELSE 0 END AS BIGINT) AS lines,
+       CAST(len(regexp_extract_all(text, '[\\pL\\pN_]+')) AS BIGINT) AS words,
+       CAST(length(regexp_replace(text, '[^\\x00-\\x7F]+', '', 'g')) AS BIGINT) AS ascii_characters,
+       CAST(length(text) - length(regexp_replace(text, '[^\\x00-\\x7F]+', '', 'g')) AS BIGINT) AS non_ascii_characters
+FROM salted"""
+)
+def doc_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = metrics.document_metrics(salted(spark, sf_dir)).drop("newline_style")
+    return out.select("doc_id", *[long_(c) for c in out.columns[1:]])
+
+
+@query(
+    _with()
+    + """, k AS (SELECT doc_id, contains(text, chr(13) || chr(10)) AS crlf, contains(replace(text, chr(13) || chr(10), ''), chr(10)) AS lf,
+       contains(replace(text, chr(13) || chr(10), ''), chr(13)) AS cr FROM salted)
+SELECT doc_id, CASE CAST(crlf AS INT) + CAST(lf AS INT) + CAST(cr AS INT) WHEN 0 THEN 'none'
+       WHEN 1 THEN CASE WHEN crlf THEN 'crlf' WHEN lf THEN 'lf' ELSE 'cr' END ELSE 'mixed' END AS newline_style FROM k"""
+)
+def newline_style(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return salted(spark, sf_dir).select("doc_id", metrics.newline_style(F.col("text")).alias("newline_style"))
+
+
+@query(_with(_CHARS) + "SELECT doc_id, 'U+' || CASE WHEN cp < 4096 THEN lpad(hex(cp), 4, '0') ELSE hex(cp) END AS code_point, count(*) AS n FROM chars WHERE cp > 127 GROUP BY ALL")
+def codepoint_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.inventory(salted(spark, sf_dir)).withColumnRenamed("count", "n")
+
+
+@query()
+def codepoint_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = metrics.inventory(salted(spark, sf_dir)).groupBy("code_point").agg(F.sum("count").alias("n"))
+    return metrics.described(counts)
+
+
+# ---- cleaning -------------------------------------------------------------------------
+
+
+def _clean_sql(o: cleaning.CleanOptions) -> str:
+    r = lambda x, p, to: f"regexp_replace({x}, {_quoted(p)}, {_quoted(to)}, 'g')"
+    t = lambda x, a, b: f"translate({x}, {_quoted(a)}, {_quoted(b)})"
+    x = r("text", r"\x1B\[[0-9;?]*[A-Za-z]", "")
+    for mark, letters in cleaning.LIGATURES:
+        x = f"replace({x}, '{mark}', '{letters}')"
+    x = r(x, r"\r\n|\r|[\x{85}\x{2028}\x{2029}]", "\n")
+    wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F) if c not in (0xFF02, 0xFF07))
+    x = t(x, wide, "".join(chr(ord(c) - 0xFEE0) for c in wide))
+    x = r(x, r"[\x00-\x08\x0B\x0E-\x1F\x7F]", "")
+    if not o.keep_replacement:
+        x = f"replace({x}, '�', '')"
+    if not o.keep_quotes:
+        x = t(x, *cleaning.quote_map())
+        for mark, dots in cleaning.ELLIPSES:
+            x = f"replace({x}, '{mark}', '{dots}')"
+    if not o.keep_dashes:
+        x = t(r(x, "[ \t]*[—―][ \t]*", " - "), "‐‑‒–", "----")
+    if not o.keep_brackets:
+        x = t(x, "【】", "[]")
+    x = r(x, ch.pattern(ch.SPACE_SEPARATOR), " ")
+    kept: ch.Ranges = ch.DEFAULT_IGNORABLE if o.keep_invisible or o.keep_default_ignorables else ()
+    if not kept:
+        x = r(x, ch.pattern(ch.DEFAULT_IGNORABLE), "")
+    x = r(x, ch.pattern(cleaning._without(ch.unnamed() + ch.PRIVATE_USE, kept)), "")
+    return r(r(x, "[ \t]+(\r?\n)", r"\1"), r"[ \t]+\z", "")
+
+
+def _add_clean(name: str, options: cleaning.CleanOptions) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return salted(spark, sf_dir).select("doc_id", cleaning.clean(F.col("text"), options).alias("cleaned"))
+
+    run.__name__ = name
+    query(_with() + f"SELECT doc_id, {_clean_sql(options)} AS cleaned FROM salted")(run)
+
+
+for _name, _options in {
+    "clean_default": cleaning.CleanOptions(),
+    "clean_keep_quotes": cleaning.CleanOptions(keep_quotes=True),
+    "clean_keep_dashes": cleaning.CleanOptions(keep_dashes=True),
+    "clean_keep_invisible": cleaning.CleanOptions(keep_invisible=True),
+    "clean_keep_brackets": cleaning.CleanOptions(keep_brackets=True),
+    "clean_keep_replacement": cleaning.CleanOptions(keep_replacement=True),
+}.items():
+    _add_clean(_name, _options)
+
+
+@query(_with() + "SELECT doc_id, CASE WHEN right(text, 1) = chr(10) THEN text ELSE text || chr(10) END AS ended FROM salted")
+def handle_newlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return salted(spark, sf_dir).select("doc_id", cleaning.final_newline(F.col("text")).alias("ended"))
+
+
+@query(_with() + "SELECT doc_id, translate(text, '【】', '[]') AS folded FROM salted")
+def terminal_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return salted(spark, sf_dir).select("doc_id", cleaning.fold_brackets(F.col("text")).alias("folded"))
+
+
+@query(_with() + "SELECT doc_id, CASE WHEN contains(text, chr(13) || chr(10)) THEN 'crlf' WHEN contains(text, chr(13)) THEN 'cr' ELSE 'lf' END AS eol FROM salted")
+def detect_eol(spark: SparkSession, sf_dir: str) -> DataFrame:
+    eol = text_files.eol_of(F.col("text"))
+    return salted(spark, sf_dir).select("doc_id", F.when(eol == "\r\n", "crlf").when(eol == "\r", "cr").otherwise("lf").alias("eol"))
+
+
+# ---- provenance -----------------------------------------------------------------------
+
+_ONE = r"(?m)^[ \t]*(?:#|//|--|;|%|/\*|<!--|!)[^\r\n]*?-----BEGIN C2PA MANIFEST-----[ \t]+(.+?)[ \t]+-----END C2PA MANIFEST-----[^\r\n]*(?:\r?\n|$)"
+_BLOCK = r"(?m)^[ \t]*-----BEGIN C2PA MANIFEST-----[ \t]*\r?\n([^\r\n]+)\r?\n[ \t]*-----END C2PA MANIFEST-----[ \t]*(?:\r?\n|$)"
+_HREF = r"(?i)<link\b[^>]*\brel\s*=\s*""" + '"' + r"""[^'""" + '"' + r"""]*\bc2pa-manifest\b[^>]*>"""
+
+
+@query(
+    _with()
+    + f""", f AS (SELECT doc_id, unnest(regexp_extract_all(text, {_quoted(_ONE)}, 1)) AS ref FROM salted
+UNION ALL SELECT doc_id, unnest(regexp_extract_all(text, {_quoted(_BLOCK)}, 1)) FROM salted)
+SELECT doc_id, CASE WHEN ref LIKE 'data:%' THEN 'structured_embedded' ELSE 'structured_external_reference' END AS kind, true AS valid, count(*) AS n FROM f GROUP BY ALL"""
+)
+def carriers_structured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = carriers.carrier_rows(salted(spark, sf_dir)).filter(F.col("kind").startswith("structured"))
+    return rows.groupBy("doc_id", "kind", "valid").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_with() + f"SELECT doc_id, 'html_external_reference' AS kind, true AS valid, CAST(len(regexp_extract_all(text, {_quoted(_HREF)})) AS BIGINT) AS n FROM salted WHERE regexp_matches(text, {_quoted(_HREF)})")
+def carriers_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = carriers.carrier_rows(salted(spark, sf_dir)).filter(F.col("kind").startswith("html"))
+    return rows.groupBy("doc_id", "kind", "valid").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def carriers_vs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth document gets a wrapper, and every tenth one a damaged one."""
+    good = "﻿" + carriers.encode_selectors(carriers.build_wrapper(b"manifest"))
+    bad = "﻿" + carriers.encode_selectors(carriers.build_wrapper(b"manifest", 2))
+    n = F.col("doc_id") % 10
+    text = F.concat(F.substring("text", 1, 9), F.when(n == 0, bad).when(n == 5, good).otherwise(""), F.substring("text", 10, 2**31 - 1))
+    return carriers.carrier_rows(salted(spark, sf_dir).withColumn("text", text)).filter("kind = 'variation_selector'")
+
+
+@query(
+    _with()
+    + f"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, {_quoted(_ONE)}, '', 'g'), {_quoted(_BLOCK)}, '', 'g'), {_quoted(_HREF)}, '', 'g') AS stripped FROM salted"
+)
+def strip_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return salted(spark, sf_dir).select("doc_id", carriers.strip_carriers(F.col("text")).alias("stripped"))
+
+
+@query()
+def c2pa_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return carriers.carrier_findings(salted(spark, sf_dir))
+
+
+# ---- Markdown and source code ---------------------------------------------------------
+
+
+@query()
+def markdown_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markdown.audit(salted(spark, sf_dir))
+
+
+@query()
+def markdown_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markdown.widths(salted(spark, sf_dir))
+
+
+@query()
+def markdown_unwrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return salted(spark, sf_dir).select("doc_id", markdown.unwrap("text").alias("unwrapped"))
+
+
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat(F.lit("file"), F.when(F.col("doc_id") % 2 == 0, ".c").otherwise(".txt"))
+    return salted(spark, sf_dir).withColumn("language", source_code.language_of(path))
+
+
+@query()
+def source_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_code.regions(source_code.scan(_sources(spark, sf_dir)))
+
+
+@query()
+def source_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_code.hidden(source_code.scan(_sources(spark, sf_dir)))
+
+
+@query()
+def source_clean_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sources(spark, sf_dir).select("doc_id", source_code.clean_comments("text", "language").alias("cleaned"))
+
+
+# ---- detectors ------------------------------------------------------------------------
+
+_PROFILES = [
+    {"profile": "local", "scheme": "literal_fixture", "marker": "LOCAL-MARK", "minimum_tokens": 3},
+    {"profile": "other", "scheme": "unknown", "api_key": "x"},
+    {"profile": "green", "scheme": "kgw"},
+]
+_ENOUGH = r"len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> ''))"
+
+
+@query(
+    _with()
+    + f"""SELECT doc_id, 'local' AS profile, CASE WHEN {_ENOUGH} < 3 THEN 'insufficient_text' WHEN contains(text, 'LOCAL-MARK') THEN 'detected' ELSE 'not_detected' END AS status,
+       CASE WHEN {_ENOUGH} < 3 THEN NULL WHEN contains(text, 'LOCAL-MARK') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM salted
+UNION ALL SELECT doc_id, 'other', 'unsupported', NULL FROM salted UNION ALL SELECT doc_id, 'green', 'configuration_error', NULL FROM salted"""
+)
+def watermark_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profiles.detect(salted(spark, sf_dir), _PROFILES).select("doc_id", "profile", "status", "score")
+
+
+@query(_with() + "SELECT doc_id, CASE WHEN length(text) < 50 THEN 'insufficient_text' WHEN contains(text, 'MARK') THEN 'detected' ELSE 'not_detected' END AS status, CAST((length(text) - length(replace(text, 'MARK', ''))) // 4 AS BIGINT) AS hits FROM salted")
+def harness_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profiles.fixture_contains(salted(spark, sf_dir), "MARK", 50).select("doc_id", "status", long_("hits"))
+
+
+@query(
+    "SELECT CAST(i AS BIGINT) AS profile_no, left(sha256(j), 16) AS fingerprint FROM (VALUES "
+    """(0, '{"marker":"LOCAL-MARK","minimum_tokens":"<configured-secret>","profile":"local","scheme":"literal_fixture"}'), """
+    """(1, '{"api_key":"<configured-secret>","profile":"other","scheme":"unknown"}'), (2, '{"profile":"green","scheme":"kgw"}')) t(i, j)"""
+)
+def profile_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profiles.fingerprints(spark, _PROFILES).select(long_("profile_no"), "fingerprint")
+
+
+@query()
+def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profiles.paragraphs(salted(spark, sf_dir))
+
+
+@query("SELECT l_orderkey, l_linenumber, round(1 / (1 + exp(-(-0.2::DOUBLE * CAST(l_quantity AS DOUBLE) + 5))), 9) AS probability, CAST(l_quantity AS DOUBLE) <= 10 AS flagged FROM lineitem")
+def logistic_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    score = F.col("l_quantity").cast("double")
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return rows.select("l_orderkey", "l_linenumber", F.round(profiles.calibrated(score, -0.2, 5.0), 9).alias("probability"), profiles.crosses(score, 10.0, "lte").alias("flagged"))
+
+
+_AUTHOR = {"method": "paragraph_likelihood", "metric": "mean_nll", "threshold": 2.5, "comparison": "lte", "minimum_tokens": 3, "calibration_slope": -2.0, "calibration_intercept": 5.0}
+
+
+@query(
+    """WITH s AS (SELECT event_id % 200 AS doc_id, event_id % 1000 AS seg, count(*) AS token_count, avg(value) AS mean_nll FROM events GROUP BY ALL)
+SELECT doc_id, CASE WHEN sum(CAST(token_count >= 3 AS INT)) = 0 THEN 'insufficient_text' WHEN sum(CAST(token_count >= 3 AND mean_nll <= 2.5 AS INT)) > 0 THEN 'potentially_ai_generated' ELSE 'not_flagged' END AS status,
+CAST(sum(CAST(token_count >= 3 AND mean_nll <= 2.5 AS INT)) AS BIGINT) AS flagged, CAST(sum(CAST(token_count >= 3 AS INT)) AS BIGINT) AS segments FROM s GROUP BY doc_id"""
+)
+def authorship_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table stands for tokens with negative log-likelihoods."""
+    tokens = spark.read.parquet(f"{sf_dir}/events.parquet").select((F.col("event_id") % 200).alias("doc_id"), (F.col("event_id") % 1000).alias("seg"), (-F.col("value")).alias("logprob"), F.lit(1).alias("rank"))
+    return profiles.authorship(profiles.likelihoods(tokens, ["doc_id", "seg"]), _AUTHOR).drop("probability")
+
+
+# ---- reports --------------------------------------------------------------------------
+
+
+@query(_with(_CHARS, _HITS) + "SELECT doc_id, count(*) AS total, count(*) >= 3 AS failed FROM hits WHERE category IN ('unicode_security', 'formatting') GROUP BY doc_id")
+def threshold_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = signals.locations(salted(spark, sf_dir)).groupBy("doc_id", "category", "signal").agg(F.count(F.lit(1)).alias("count"))
+    return reports.gate(found, 3, ("unicode_security", "formatting"))
+
+
+@query(
+    _with(_CHARS, _HITS)
+    + "SELECT doc_id, " + ", ".join(f"count(*) FILTER (WHERE category = '{c}') AS {c}" for c in ch.CATEGORIES) + " FROM hits GROUP BY doc_id"
+)
+def category_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = signals.locations(salted(spark, sf_dir)).groupBy("doc_id", "category", "signal").agg(F.count(F.lit(1)).alias("count"))
+    return reports.category_totals(found)
+
+
+@query(
+    _with()
+    + f""", p AS (SELECT doc_id, text AS before, {_clean_sql(cleaning.CleanOptions())} AS after FROM salted)
+SELECT doc_id, before <> after AS changed, CAST(length(before) AS BIGINT) AS before_characters, CAST(length(after) AS BIGINT) AS after_characters,
+       CAST(greatest(0, length(before) - length(after)) AS BIGINT) AS removed_characters, CAST(greatest(0, length(after) - length(before)) AS BIGINT) AS added_characters FROM p"""
+)
+def planned_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = reports.planned(salted(spark, sf_dir), cleaning.clean(F.col("text")))
+    return out.select("doc_id", "changed", *[long_(c) for c in ("before_characters", "after_characters", "removed_characters", "added_characters")])
+
+
+@query()
+def signal_set_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = salted(spark, sf_dir)
+    return reports.signal_changes(signals.locations(docs), signals.locations(docs.withColumn("text", cleaning.clean(F.col("text")))))
+
+
+@query()
+def unified_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = salted(spark, sf_dir)
+    return docs.select("doc_id", reports.unified_diff(F.col("text"), cleaning.clean(F.col("text")), F.col("doc_id").cast("string")).alias("diff"))
+
+
+@query("SELECT DISTINCT source AS path FROM documents")
+def dedupe_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("source").alias("path")).dropDuplicates(["path"])
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
