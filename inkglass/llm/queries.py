@@ -77,15 +77,15 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "warc-archives")
     warc.write_archives(warc.plan_records(_table(spark, sf_dir, "pages")), path)
-    records = warc.read_records(spark, path)
+    records = warc.read_records(spark, path, contents=False)
     kind, page = warc.header("WARC-Type"), lambda name: F.regexp_extract(warc.header(name), r"^<urn:page:(-?[0-9]+)>$", 1)
     response = F.col("record_type") == "response"
     read = records.select(
         kind.alias("record_type"),
         page("WARC-Record-ID").try_cast("long").alias("page_id"),
         page("WARC-Refers-To").try_cast("long").alias("refers_to"),
-        F.octet_length("content").cast("long").alias("_bytes"),
-        F.sha2("content", 256).alias("_digest"),
+        F.col("content_bytes").alias("_bytes"),
+        F.col("content_sha256").alias("_digest"),
         warc.header("WARC-Payload-Length").cast("long").alias("_told_bytes"),
         F.regexp_replace(warc.header("WARC-Payload-Digest"), "^sha256:", "").alias("_told_digest"),
     ).select(

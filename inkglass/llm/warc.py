@@ -10,6 +10,7 @@ each archive keeps the candidates that the chain of lengths reaches.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -83,15 +84,22 @@ def write_archives(records: DataFrame, path: str, per_file: int = 20_000) -> Non
     lines.write.option("lineSep", CLOSE).option("maxRecordsPerFile", per_file).text(path)
 
 
-def _chunks(spark: SparkSession, path: str, with_raw: bool) -> DataFrame:
-    """``file, block, local, size, ahead, raw``: what lies between two magic lines.
+SUMMARY = "headers string, content_bytes long, content_sha256 string"
+
+
+def _chunks(spark: SparkSession, path: str, give: str = "offsets") -> DataFrame:
+    """``file, block, local, size, ahead``: what lies between two magic lines.
 
     ``local`` is the chunk's offset from the first one of its split, which is the part of
     ``file`` that starts at ``block``; ``size`` counts its bytes, and ``ahead`` how far its
-    record's successor is from the chunk's start, null where it begins with no header.
+    record's successor is from the chunk's start, null where it begins with no header. Where
+    ``give`` is ``summary``, also :data:`SUMMARY` of what a record in the chunk would be, and
+    where it is ``raw``, the chunk itself.
     """
     read = spark.read.option("lineSep", MAGIC).text(path)
     cut = read.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("value"))
+    more = {"offsets": "", "summary": f", {SUMMARY}", "raw": ", raw binary"}[give]
+    names = {"offsets": [], "summary": ["headers", "content_bytes", "content_sha256"], "raw": ["raw"]}[give]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # a split's rows come one after another, in the order of the file
@@ -101,15 +109,25 @@ def _chunks(spark: SparkSession, path: str, with_raw: bool) -> DataFrame:
             for file, block, value in zip(batch["file"], batch["block"], batch["value"]):
                 if split != (file, block):
                     split, at = (file, block), 0
-                content = _content_start(value)
-                length = _content_length(value[:content]) if content else None
-                ahead = None if length is None else content + length + len(CLOSE) + len(MAGIC)
-                rows.append((file, block, at, len(value), ahead, value if with_raw else None))
+                start = _content_start(value)
+                length = _content_length(value[:start]) if start else None
+                ahead = None if length is None else start + length + len(CLOSE) + len(MAGIC)
+                extra = _summary(value) if give == "summary" else (value,) if give == "raw" else ()
+                rows.append((file, block, at, len(value), ahead, *extra))
                 at += len(value) + len(MAGIC)
-            frame = pd.DataFrame(rows, columns=["file", "block", "local", "size", "ahead", "raw"])
-            yield frame.astype({"ahead": "Int64"})
+            yield pd.DataFrame(rows, columns=["file", "block", "local", "size", "ahead", *names]).astype({"ahead": "Int64"})
+
+    return cut.mapInPandas(run, f"file string, block long, local long, size long, ahead long{more}")
+
 
-    return cut.mapInPandas(run, "file string, block long, local long, size long, ahead long, raw binary")
+def _content(value: bytes) -> tuple[bytes, bytes]:
+    start = _content_start(value)
+    return value[:start], value[start : start + (_content_length(value[:start]) or 0)]
+
+
+def _summary(value: bytes) -> tuple[str, int, str]:
+    headers, content = _content(value)
+    return headers.decode("utf-8", "replace"), len(content), hashlib.sha256(content).hexdigest()
 
 
 def _content_start(value: bytes) -> int:
@@ -153,15 +171,16 @@ def reachable(pointers: DataFrame) -> DataFrame:
         )
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """``file, at, headers, content``: the records of all archives under ``path``.
+def read_records(spark: SparkSession, path: str, contents: bool = True) -> DataFrame:
+    """``file, at, headers, content_bytes, content_sha256, content``: the records of all archives under ``path``.
 
     ``at`` is a record's byte offset, ``headers`` its header lines as one string without the
-    magic line, ``content`` its content as binary. A chain that meets something that is no
+    magic line, ``content`` its content as binary; without ``contents`` that is left out, and
+    no content leaves the task that reads it but of records that are cut. A chain that meets something that is no
     record ends there, and what follows in that file is not read. Files without any record,
     and empty folders of archives, give no rows.
     """
-    sizes = stash(_chunks(spark, path, False).drop("raw"), "warc-offsets")
+    sizes = stash(_chunks(spark, path), "warc-offsets")
     totals = sizes.groupBy("file", "block").agg(F.sum(F.col("size") + len(MAGIC)).alias("bytes"))
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     bases = stash(totals.select("file", "block", F.coalesce(F.sum("bytes").over(earlier), F.lit(0)).alias("base")), "warc-bases")
@@ -173,8 +192,12 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     kept = stash(placed.join(chain, ["file", "at"]).select("file", "at", "size", "ahead"), "warc-kept")
     # a record that its own chunk does not hold goes on in the chunks of rejected candidates
     whole = F.col("ahead") <= F.col("size") + len(MAGIC)
-    chunks = _placed(_chunks(spark, path, True), bases)
-    parts = chunks.join(kept.filter(whole).select("file", "at"), ["file", "at"]).select("file", "at", "raw")
+    chunks = _placed(_chunks(spark, path, "raw"), bases)
+    if contents:
+        parts = _parsed(chunks.join(kept.filter(whole).select("file", "at"), ["file", "at"]))
+    else:
+        briefs = _placed(_chunks(spark, path, "summary"), bases).join(kept.filter(whole).select("file", "at"), ["file", "at"])
+        parts = briefs.select("file", (F.col("at") - len(MAGIC)).alias("at"), "headers", "content_bytes", "content_sha256")
     cut = kept.filter(~whole)
     if cut.limit(1).count():
         over = cut.select("file", F.col("at").alias("_start"), (F.col("at") + F.col("ahead")).alias("_end"))
@@ -186,18 +209,21 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         )
         pieces = chunks.join(owned.filter("at < _end"), ["file", "at"]).groupBy("file", "_owner").agg(F.sort_array(F.collect_list(F.struct("at", F.hex("raw").alias("raw")))).alias("p"))
         joined = F.unhex(F.array_join(F.transform("p", lambda x: x["raw"]), MAGIC.encode().hex()))
-        parts = parts.union(pieces.select("file", F.col("_owner").alias("at"), joined.alias("raw")))
-    return parts.mapInPandas(_parse, "file string, at long, headers string, content binary")
+        whole_again = _parsed(pieces.select("file", F.col("_owner").alias("at"), joined.alias("raw")))
+        parts = parts.unionByName(whole_again if contents else whole_again.drop("content"))
+    return parts
+
+
+def _parsed(chunks: DataFrame) -> DataFrame:
+    return chunks.select("file", "at", "raw").mapInPandas(_parse, f"file string, at long, {SUMMARY}, content binary")
 
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for file, at, raw in zip(batch["file"], batch["at"], batch["raw"]):
-            start = _content_start(raw)
-            content = raw[start : start + (_content_length(raw[:start]) or 0)]
-            rows.append((file, at - len(MAGIC), raw[:start].decode("utf-8", "replace"), content))
-        yield pd.DataFrame(rows, columns=["file", "at", "headers", "content"])
+            rows.append((file, at - len(MAGIC), *_summary(raw), _content(raw)[1]))
+        yield pd.DataFrame(rows, columns=["file", "at", "headers", "content_bytes", "content_sha256", "content"])
 
 
 def header(name: str) -> Column:
