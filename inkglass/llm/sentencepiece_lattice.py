@@ -150,7 +150,7 @@ def _chunker(model: Model):
     return chunks
 
 
-def _count_chunks(texts: DataFrame, model: Model, most: int = 300_000) -> DataFrame:
+def _count_chunks(texts: DataFrame, model: Model, most: int = 100_000) -> DataFrame:
     """``chunk, n`` with partial counts; a task holds ``most`` different chunks at a time."""
     make = _chunker(model)
 
@@ -281,9 +281,11 @@ def encode_chunks(chunks: DataFrame, model: Model) -> DataFrame:
     size, chunk = F.length("chunk"), F.col("chunk")
     start, length = F.col("start"), F.col("length")
     lengths = F.sequence(F.lit(shortest), F.greatest(F.lit(shortest), F.least(F.col("size") - start, F.lit(model.longest))))
+    # dealt out by chunk before they are exploded, a chunk's edges meet without another exchange
+    dealt = chunks.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk", "n")
     # the vocabulary is a model's, of bounded size whatever the corpus
     lattice = (
-        chunks.select("chunk", "n", size.alias("size"))
+        dealt.select("chunk", "n", size.alias("size"))
         .select("chunk", "n", "size", F.explode(F.sequence(F.lit(0), "size")).alias("start"))
         .select("chunk", "n", "size", "start", F.explode(lengths).alias("length"))
         .filter((start + length <= F.col("size")) | ((start == F.col("size")) & (length == shortest)))
@@ -344,7 +346,7 @@ def encode(
     model: Model,
     id_col: str = "doc_id",
     text_col: str = "text",
-    dictionary: int = 1 << 18,
+    dictionary: int = 1 << 16,
 ) -> DataFrame:
     """``docs`` with the columns ``ids`` (``array<int>``) and ``n_tokens``.
 
@@ -359,8 +361,19 @@ def encode(
     counted = _count_chunks(docs.select(F.col(text_col).alias("text")), model)
     distinct = stash(counted.groupBy("chunk").agg(F.sum("n").alias("n")), "sp-chunks")
     encoded = stash(encode_chunks(distinct, model), "sp-encoded")
-    common = encoded.filter("n > 1").orderBy(F.desc("n"), "chunk").limit(dictionary).select("chunk", "ids").toPandas()
-    known = spark.sparkContext.broadcast({c: np.asarray(i, np.int32).tobytes() for c, i in zip(common["chunk"], common["ids"])})
+    # classes of frequency, an eighth of an octave each: from the top as many as fit together,
+    # so that no more than the dictionary reaches the driver
+    grade = F.floor(F.log2("n") * 8)
+    held, least = 0, None
+    for row in encoded.groupBy(grade.alias("grade")).count().orderBy(F.desc("grade")).collect():
+        held += row["count"]
+        if held > dictionary:
+            break
+        least = row["grade"]
+    frequent = encoded.filter(F.lit(False) if least is None else grade >= least)
+    common = frequent.select("chunk", F.array_join("ids", " ").alias("ids")).toPandas()
+    known = spark.sparkContext.broadcast({c: np.array(i.split(), np.int32).tobytes() for c, i in zip(common["chunk"], common["ids"])})
+    del common
     make = _chunker(model)
 
     # the rest: each text's chunks outside the dictionary, by their number in the text
