@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import lower_ascii, stash
+from .components import connected_components
 
 
 @dataclass(frozen=True)
@@ -66,6 +67,8 @@ def segments(path: Column, depth: int = DEPTH) -> Column:
 # Shapes that always vary, and the wildcard that stands for them.
 SHAPES = ((r"^[0-9]+$", "{n}"), (r"^[0-9]+(\.[A-Za-z]{1,5})$", "{n}$1"), (r"^[0-9a-fA-F-]{16,}$", "{h}"), (r"^[0-9]{4}-[0-9]{2}(-[0-9]{2})?$", "{d}"))
 ANY = "*"
+#: How far sums of shares may be off.
+ROUNDING = 1e-9
 
 
 def shape(segment: Column) -> Column:
@@ -81,36 +84,88 @@ def _labelled(addresses: DataFrame, depth: int) -> DataFrame:
     return addresses.select("host", segs.alias("segs"), "verdict").groupBy("host", "segs").agg(F.count(F.lit(1)).alias("n"), known.alias("known"), bad.alias("bad"))
 
 
+def _overlapping(pairs: DataFrame, dist: DataFrame, alike: float) -> DataFrame:
+    """Those of the pairs ``a, b`` of nodes whose distributions overlap by ``alike`` at least."""
+    one = dist.select(F.col("id").alias("a"), F.col("next").alias("_n"), F.col("share").alias("_s"))
+    both = pairs.join(one, "a").join(dist.select(F.col("id").alias("b"), F.col("next").alias("_m"), "share"), "b").filter("_n = _m")
+    return both.groupBy("a", "b").agg(F.sum(F.least("_s", "share")).alias("overlap")).filter(F.col("overlap") >= alike - ROUNDING).select("a", "b")
+
+
+def _like_branches(shares: DataFrame, branches: DataFrame, alike: float) -> DataFrame:
+    """``id, label``: nodes with the least node of their group, where a link joins any.
+
+    A node stands for all branches under a parent with equal distributions. Links are all
+    pairs of a parent's nodes that overlap by ``alike``, and the nodes that are like the
+    pool. Such a pair shares a segment among the rarest of each that hold more than
+    1 - ``alike``, so only those are met. Each meeting is compared with its least node
+    first, and what then is in one group already is not compared again.
+    """
+    key = ["host", "template"]
+    nodes = branches.groupBy(*key, "id").agg(F.min("seg").alias("seg"), F.max("pool_like").alias("pool_like"))
+    parents = branches.groupBy(*key).agg(F.min("id").alias("_lo"), F.max("id").alias("_hi")).filter("_lo < _hi").select(*key)
+    nodes = stash(nodes.join(parents, key), "url-nodes")
+    if not nodes.limit(1).count():
+        return nodes.select("id", F.col("id").alias("label"))
+    dist = stash(shares.join(nodes, [*key, "seg"]).select(*key, "id", "next", "share"), "url-dist")
+    rarity = dist.groupBy(*key, "next").agg(F.count(F.lit(1)).alias("nodes"))
+    before = Window.partitionBy("id").orderBy("nodes", "next").rowsBetween(Window.unboundedPreceding, -1)
+    met = dist.join(rarity, [*key, "next"]).withColumn("_before", F.coalesce(F.sum("share").over(before), F.lit(0.0)))
+    met = stash(met.filter(F.col("_before") <= 1 - alike + ROUNDING).select(*key, "next", "id"), "url-met")
+    least = met.groupBy(*key, "next").agg(F.min("id").alias("a"))
+    star = met.join(least, [*key, "next"]).filter("a < id").select("a", F.col("id").alias("b")).distinct()
+    pool = nodes.filter("pool_like")
+    pool = pool.join(pool.groupBy(*key).agg(F.min("id").alias("a")), key).filter("a < id").select("a", F.col("id").alias("b"))
+    links = stash(_overlapping(star, dist, alike).union(pool), "url-links")
+    labels = connected_components(links) if links.limit(1).count() else links.select(F.col("a").alias("id"), F.col("b").alias("label"))
+    grouped = met.join(labels, "id", "left").select(*key, "next", "id", F.coalesce("label", "id").alias("label"))
+    other = grouped.select(*key, "next", F.col("id").alias("b"), F.col("label").alias("_l"))
+    rest = grouped.join(other, [*key, "next"]).filter("id < b and label != _l").select(F.col("id").alias("a"), "b").distinct()
+    more = stash(_overlapping(rest, dist, alike), "url-links")
+    return connected_components(links.union(more)) if more.limit(1).count() else labels
+
+
 def _generalised(paths: DataFrame, depth: int, many: int, thin: float, alike: float) -> DataFrame:
     """``host, segs, template, n, known, bad``: each path with the template that it takes.
 
     Level by level: under one parent template, if there are more than ``many`` different
     segments and they hold fewer than ``thin`` addresses each, the level varies freely and
-    its segments become ``*``. Otherwise segments become ``*`` whose next segments are
-    distributed like those of all their siblings together: the overlap of the two
-    distributions is at least ``alike``.
+    its segments become ``*``. Otherwise branches are like each other where the overlap of
+    the distributions of their next segments (the end counts as one) is at least ``alike``,
+    or where each overlaps so with that of all siblings together. Like branches and the
+    like of those form groups, from two branches on. The segments of a parent's group with
+    the most addresses become ``*``, those of its other groups ``*`` and the group's least
+    segment.
     """
     rows = paths.withColumn("template", F.expr("cast(array() as array<string>)"))
-    for level in range(depth):
+    key = ["host", "template"]
+    deepest = rows.agg(F.max(F.size("segs")).alias("levels")).first()["levels"] or 0
+    for level in range(min(depth, deepest)):
         seg, after = F.get("segs", F.lit(level)), F.coalesce(F.get("segs", F.lit(level + 1)), F.lit(""))
         there = rows.filter(seg.isNotNull()).select("host", "template", seg.alias("seg"), after.alias("next"), "n")
         edges = stash(there.groupBy("host", "template", "seg", "next").agg(F.sum("n").alias("n")), "url-edges")
         branch = edges.groupBy("host", "template", "seg").agg(F.sum("n").alias("bn"))
         parent = branch.groupBy("host", "template").agg(F.sum("bn").alias("pn"), F.count(F.lit(1)).alias("branches"))
         pooled = edges.groupBy("host", "template", "next").agg(F.sum("n").alias("nn"))
-        key = ["host", "template"]
         joined = (
             edges.join(stash(branch, "url-branch"), [*key, "seg"]).join(stash(parent, "url-parent"), key).join(stash(pooled, "url-pooled"), [*key, "next"])
         )
-        overlap = F.sum(F.least(F.col("n") / F.col("bn"), F.col("nn") / F.col("pn")))
         free = (F.col("branches") > many) & (F.col("pn") / F.col("branches") < thin)
-        similar = (F.col("branches") > many) & (F.col("overlap") >= alike)
-        choice = (
-            joined.groupBy("host", "template", "seg", "bn", "pn", "branches")
-            .agg(overlap.alias("overlap"))
-            .select(F.col("host").alias("_h"), F.col("template").alias("_t"), F.col("seg").alias("_s"), F.when(free | similar, F.lit(ANY)).otherwise(F.col("seg")).alias("to"))
-        )
-        choice = stash(choice, "url-choice")
+        shares = joined.select(*key, "seg", "next", "bn", free.alias("free"), (F.col("n") / F.col("bn")).alias("share"), (F.col("nn") / F.col("pn")).alias("pool"))
+        shares = stash(shares, "url-shares")
+        # equal distributions have equal sums of hashes: 128 bits tell them apart
+        one, two = F.bit_xor(F.xxhash64("next", "share")), F.bit_xor(F.xxhash64("share", "next"))
+        branches = shares.groupBy(*key, "seg", "bn", "free").agg(F.sum(F.least("share", "pool")).alias("overlap"), one.alias("_1"), two.alias("_2"))
+        node = F.md5(F.to_json(F.struct(*key, "_1", "_2")).cast("binary"))
+        branches = stash(branches.select(*key, "seg", "bn", "free", (F.col("overlap") >= alike - ROUNDING).alias("pool_like"), node.alias("id")), "url-branches")
+        labels = _like_branches(shares, branches.filter("not free"), alike)
+        grouped = branches.join(labels, "id", "left").select(*key, "seg", "bn", "free", F.coalesce("label", "id").alias("label"))
+        groups = grouped.groupBy(*key, "label").agg(F.sum("bn").alias("gn"), F.min("seg").alias("least"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+        groups = stash(groups, "url-groups")
+        first = groups.groupBy(*key).agg(F.min(F.struct(-F.col("gn"), "least")).getField("least").alias("first"))
+        named = groups.join(first, key).select(*key, "label", F.when(F.col("least") == F.col("first"), ANY).otherwise(F.concat(F.lit(ANY), "least")).alias("any"))
+        to = F.when(F.col("free"), ANY).otherwise(F.coalesce("any", "seg"))
+        choice = grouped.join(named, [*key, "label"], "left")
+        choice = stash(choice.select(F.col("host").alias("_h"), F.col("template").alias("_t"), F.col("seg").alias("_s"), to.alias("to")), "url-choice")
         met = (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t")) & (seg == F.col("_s"))
         rows = stash(
             rows.join(choice, met, "left").select(

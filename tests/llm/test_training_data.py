@@ -398,6 +398,15 @@ def test_templates_learn_from_labels(spark):
     assert by["h", ("spam", "{n}")].purity > 0.8 and ("g", ("tag", "*", "view")) in by
 
 
+def test_like_branches_merge_at_any_fan_out(spark):
+    grow = lambda h, tree: [(h, f"/{b}/{x}", None) for b, xs in tree.items() for x in xs.split()]
+    rows = grow("two", {"a": "x y", "b": "x y"}) + grow("unlike", {"a": "x y", "b": "z w"}) + grow("one", {"a": "x y"})
+    rows += grow("five", {"a": "p q r s t", "b": "q r s t u", "c": "r s t u v", "d": "i j", "e": "i j"}) + grow("part", {"a": "x x y y y", "b": "x y y y y", "c": "z"})
+    got = {(r.host, r.segs[0]): r.template[0] for r in url_filter.learn(spark.createDataFrame(rows, "host string, path string, verdict string")).collect()}
+    assert [got["two", b] for b in "ab"] == ["*", "*"] and [got["unlike", b] for b in "ab"] == ["a", "b"] and got["one", "a"] == "a"
+    assert [got["five", b] for b in "abcde"] == ["*", "*", "*", "*d", "*d"] and [got["part", b] for b in "abc"] == ["*", "*", "c"]
+
+
 # ---- the pipeline ---------------------------------------------------------------------
 
 
