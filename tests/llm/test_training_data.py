@@ -245,6 +245,16 @@ def test_conversations_with_ties_and_nulls(spark):
     assert got == {1: [("user", ""), ("user", ""), ("assistant", "b")], 2: [("", "x"), ("user", "y")]}
 
 
+def test_texts_too_long_for_json_parsers(spark):
+    d = spark.range(1).select(F.lit(1).alias("conv_id"), F.lit(0).alias("turn"), F.lit("gpt").alias("role"), F.expr("repeat('x', 21000000 + cast(id as int))").alias("text"))
+    done = chat_format.format_records(chat_format.from_turn_rows(d).drop("record").withColumn("record", F.lit(None).cast("string")))
+    got = done.select("layout", F.size("turns").alias("n"), F.col("turns")[0]["role"].alias("role"), F.length("formatted").alias("length"), F.size("loss_mask").alias("spans")).first()
+    assert (got.layout, got.n, got.role, got.spans) == ("messages/role/content", 1, "assistant", 1) and got.length > 21_000_000
+    record = d.select(F.to_json(F.struct(F.col("text").alias("prompt"), F.lit("b").alias("response"))).alias("record"))
+    with pytest.raises(Exception, match="too long"):
+        chat_format.canonical_turns(record).select(F.size("turns")).collect()
+
+
 # ---- 6: exact duplicates --------------------------------------------------------------
 
 
