@@ -28,6 +28,8 @@ WINDOW = 20
 CLASSES = (
     ("hex", r"^[0-9a-fA-F]+$", r"[0-9].*[a-fA-F]|[a-fA-F].*[0-9]", 2.95),
     ("alnum", r"^[A-Za-z0-9]+$", r"(?=.*[0-9])(?=.*[A-Za-z])", 3.65),
+    # letters of one case, with a part between marks that mixes them with digits: words and numbers alone do not
+    ("one_case", r"^(?:[a-z0-9+/_=-]+|[A-Z0-9+/_=-]+)$", r"[0-9][A-Za-z]+[0-9]|[A-Za-z][0-9]+[A-Za-z]", 3.85),
     ("base64", r"^[A-Za-z0-9+/_=-]+$", r"(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])", 3.85),
 )
 #: Candidates that are no secrets: UUIDs, words joined by marks, numbers and dates, example keys.
