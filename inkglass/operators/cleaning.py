@@ -10,11 +10,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import characters as ch
+from .carriers import BEGIN, carriers, strip_carriers
 
 
 @dataclass(frozen=True)
 class CleanOptions:
-    """What cleaning keeps. ``keep_invisible`` and ``keep_default_ignorables`` each keep all invisibles."""
+    """What cleaning keeps. ``keep_invisible`` and ``keep_default_ignorables`` each keep all invisibles.
+
+    Provenance carriers, malformed ones too, stay as they are; ``strip_provenance`` takes the
+    valid ones out and cleans the rest of the text.
+    """
 
     keep_invisible: bool = False
     keep_quotes: bool = False
@@ -22,6 +27,7 @@ class CleanOptions:
     keep_brackets: bool = False
     keep_replacement: bool = False
     keep_default_ignorables: bool = False
+    strip_provenance: bool = False
 
 
 # Quotes whose names alone do not decide.
@@ -63,7 +69,39 @@ def repair(text: Column) -> Column:
 
 
 def clean(text: Column, options: CleanOptions = CleanOptions()) -> Column:
-    """The cleaned text; null stays null. The order of the steps matters."""
+    """The cleaned text; null stays null. Only what lies between carriers is cleaned."""
+    if options.strip_provenance:
+        return _clean(strip_carriers(text), options)
+    marked = F.contains(text, F.lit(BEGIN)) | F.contains(text, F.lit("\ufeff")) | text.rlike("(?i)application/c2pa|c2pa-manifest")
+    return F.when(marked, _clean_between(text, carriers(text), options)).otherwise(_clean(text, options))
+
+
+def _clean_between(text: Column, spans: Column, options: CleanOptions) -> Column:
+    """The text with its spans as they are and the gaps cleaned.
+
+    A gap before a span is cleaned with a letter after it, so that it does not count as the
+    text's end, where blanks are dropped.
+    """
+    gap = lambda a, b: F.substring(text, a + 1, F.greatest(b - a, F.lit(0)))
+    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<gap:string,span:string>>)").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        # of spans that overlap, what is not out yet
+        part = F.struct(gap(acc["at"], s["start"]).alias("gap"), gap(F.greatest(acc["at"], s["start"]), s["end"]).alias("span"))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.array(part)).alias("out"))
+
+    last = lambda a: F.concat(a["out"], F.array(F.struct(gap(a["at"], F.length(text)).alias("gap"), F.lit(None).cast("string").alias("span"))))
+    parts = F.aggregate(spans, zero, step, last)
+
+    def cleaned(p: Column) -> Column:
+        out = _clean(F.concat(p["gap"], F.when(p["span"].isNull(), "").otherwise("x")), options)
+        return F.when(p["span"].isNull(), out).otherwise(F.concat(F.substring(out, F.lit(1), F.length(out) - 1), p["span"]))
+
+    return F.array_join(F.transform(parts, cleaned), "")
+
+
+def _clean(text: Column, options: CleanOptions) -> Column:
+    """The steps of cleaning; their order matters."""
     plain = text.rlike(r"\A[\t\n\x20-\x7E]*\z")
     out = repair(text)
     if not options.keep_replacement:

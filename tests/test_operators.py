@@ -34,6 +34,16 @@ def test_clean(spark, text, cleaned):
     assert one(spark, text, cleaning.clean) == cleaned
 
 
+def test_clean_leaves_carriers(spark):
+    good = "\ufeff" + carriers.encode_selectors(carriers.build_wrapper(b"m"))
+    bad = "\ufeff" + carriers.encode_selectors(carriers.build_wrapper(b"m", 2))
+    link = "<link rel=\"c2pa-manifest\" title=\"“q” – r\" href=\"https://e.org/m\">"
+    text = f"“a” {good} b\u200b\n“c” {bad}{link} – d  "
+    assert one(spark, text, cleaning.clean) == f"\"a\" {good} b\n\"c\" {bad}{link} - d"
+    strip = lambda c: cleaning.clean(c, cleaning.CleanOptions(strip_provenance=True))
+    assert one(spark, f"“a” {good}b{link}", strip) == "\"a\" b" and one(spark, None, strip) is None
+
+
 def test_clean_options(spark):
     keep = lambda **o: lambda c: cleaning.clean(c, cleaning.CleanOptions(**o))
     assert one(spark, "“q”", keep(keep_quotes=True)) == "“q”"
