@@ -10,13 +10,19 @@ from pyspark.sql import functions as F
 #: Words are maximal runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Used where the session names no shared folder, as in tests.
+#: Used where a session of one machine names no shared folder, as in tests.
 LOCAL_SHARED_DIR = "/tmp/checkpoints/inkglass"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, named by ``spark.checkpoint.dir``."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED_DIR).rstrip("/")
+    """The folder that driver and executors share, named by ``spark.checkpoint.dir``.
+
+    A session of one machine may leave it unset; on a cluster there is no such folder to guess.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (named or LOCAL_SHARED_DIR).rstrip("/")
 
 
 def shared_path(spark: SparkSession, tag: str) -> str:
@@ -45,6 +51,18 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stash_buckets(df: DataFrame, tag: str, buckets: int, key: str) -> DataFrame:
+    """As :func:`stash`, as a table of ``buckets`` buckets by ``key``, which later groupings need not exchange.
+
+    Its name stays in the session's catalog; its files go when the driver ends.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, tag)
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(name)
+    return spark.table(name)
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

@@ -10,23 +10,29 @@ table, and grouped by chunk again into the lattice of pieces, over which a highe
   are merge ranks and do not add up. There the fold visits the lattice's edges in order of
   rank and applies each that joins exactly two current symbols.
 
-Encoded chunks go back to the texts by two ways that together cover all: the most frequent
-ones, a bounded number, as a broadcast dictionary; all others by a join on the chunk.
+A chunk that does not fit into the bits of a long would make as many rows, each with the
+whole chunk, as it has characters; such chunks are folded by the same rule in place.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
 import re
+import zlib
 from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import stash
+from .common import stash_buckets
 
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
@@ -67,11 +73,9 @@ class Model:
     unknown: int
     dummy_prefix: bool
     longest: int = field(init=False)
-    singles: dict[str, int] = field(init=False)
 
     def __post_init__(self) -> None:
         self.longest = max((len(p) for p, _, _ in self.pieces), default=1)
-        self.singles = {p: i for p, i, _ in self.pieces if len(p) == 1}
         self.cut = _cut_pattern([p for p, _, _ in self.pieces])
 
 
@@ -150,7 +154,13 @@ def _chunker(model: Model):
     return chunks
 
 
-def _count_chunks(texts: DataFrame, model: Model, most: int = 100_000) -> DataFrame:
+#: Chunks of at most so many characters are folded as the bits of a long.
+SHORT = 61
+#: Stands in a text's codes for a chunk that the dictionary does not hold.
+RARE = 65_535
+
+
+def _count_chunks(texts: DataFrame, model: Model, most: int = 200_000) -> DataFrame:
     """``chunk, n`` with partial counts; a task holds ``most`` different chunks at a time."""
     make = _chunker(model)
 
@@ -170,259 +180,368 @@ def _count_chunks(texts: DataFrame, model: Model, most: int = 100_000) -> DataFr
     return texts.mapInPandas(run, "chunk string, n long")
 
 
-def _array(values: list[int], name: str = "int") -> Column:
-    """A literal array, parsed from one string, as a list of columns would be slow to build."""
-    return F.from_json(F.lit("[" + ",".join(map(str, values)) + "]"), f"array<{name}>")
+def _power(n: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), n)
 
 
-def _bpe_fold(chunk: Column, edges: Column) -> Column:
-    """Marks of a chunk's symbols after all merges: 1 where two symbols meet, else 0.
+def _pack(rank: Column, start: Column, length: Column) -> Column:
+    """Rank, place and length in one long; a sort orders by rank, then place."""
+    return F.shiftleft(rank.cast("long"), 43) + F.shiftleft(start.cast("long"), 8) + length.cast("long")
 
-    ``edges`` are packed by :func:`_pack`, so their order is by rank, then by place. An edge
-    applies if its ends are marked and exactly one mark lies between them, which it clears.
-    Short chunks keep the marks in the bits of a long, others in a string.
-    """
-    short = F.length(chunk) < 62
-    ordered = F.array_sort(edges)
 
-    def bits(state: Column, edge: Column) -> Column:
-        inside = state.bitwiseAND(_inner_bits(edge))
-        alone = (inside != 0) & (inside.bitwiseAND(inside - 1) == 0)
-        ends = _end_bits(edge)
-        return F.when(alone & (state.bitwiseAND(ends) == ends), state - inside).otherwise(state)
+def _start(edge: Column) -> Column:
+    return F.shiftright(edge, 8).bitwiseAND(F.lit((1 << 35) - 1)).cast("int")
 
-    def text(state: Column, edge: Column) -> Column:
-        s, n = _start(edge), _length(edge)
-        inside = state.substr(s + 2, n - 1)
-        met = (state.substr(s + 1, F.lit(1)) == "1") & (state.substr(s + n + 1, F.lit(1)) == "1")
-        one = F.length(F.replace(inside, F.lit("0"), F.lit(""))) == 1
-        merged = F.concat(state.substr(F.lit(1), s + 1), F.repeat(F.lit("0"), n - 1), state.substr(s + n + 1, F.length(state)))
-        return F.when(met & one, merged).otherwise(state)
 
-    all_bits = F.call_function("shiftleft", F.lit(1).cast("long"), F.length(chunk) + 1) - 1
-    by_bits = F.aggregate(ordered, all_bits, bits)
-    spelled = F.reverse(F.lpad(F.bin(by_bits), F.length(chunk) + 1, F.lit("0")))
-    by_text = F.aggregate(ordered, F.repeat(F.lit("1"), F.length(chunk) + 1), text)
-    return F.when(short, spelled).otherwise(by_text)
+def _length(edge: Column) -> Column:
+    return edge.bitwiseAND(F.lit(255)).cast("int")
 
 
-def _inner_bits(edge: Column) -> Column:
-    """Bits of the places strictly inside an edge: length - 1 ones from start + 1 on."""
-    one = F.lit(1).cast("long")
-    return F.call_function("shiftleft", F.call_function("shiftleft", one, _length(edge) - 1) - 1, _start(edge) + 1)
+def _merge_fold(size: Column, edges: Column) -> Column:
+    """Marks of a chunk's symbols after all merges of a BPE model: bit i is set where a symbol starts or ends.
 
+    ``edges`` are packed by :func:`_pack`, so their order is by rank, then by place. An edge
+    applies if its ends are marked and exactly one mark lies between them, which it clears.
+    """
 
-def _end_bits(edge: Column) -> Column:
-    one = F.lit(1).cast("long")
-    return F.call_function("shiftleft", F.call_function("shiftleft", one, _length(edge)) + 1, _start(edge))
+    def step(marks: Column, edge: Column) -> Column:
+        s, n = _start(edge), _length(edge)
+        inside = marks.bitwiseAND(F.call_function("shiftleft", _power(n - 1) - 1, s + 1))
+        ends = F.call_function("shiftleft", _power(n) + 1, s)
+        alone = (inside != 0) & (inside.bitwiseAND(inside - 1) == 0)
+        return F.when(alone & (marks.bitwiseAND(ends) == ends), marks - inside).otherwise(marks)
 
+    return F.aggregate(F.sort_array(edges), _power(size + 1) - 1, step)
 
-def _pack(rank: Column, start: Column, length: Column) -> Column:
-    """Rank, place and length in one long; a sort orders by rank, then place."""
-    return F.shiftleft(rank.cast("long"), 43) + F.shiftleft(start.cast("long"), 8) + length.cast("long")
 
+def _viterbi_fold(size: Column, edges: Column, unknown_score: float) -> Column:
+    """Marks of the best path of a unigram lattice, as in :func:`_merge_fold`.
+
+    ``edges`` are ``struct<end, length, score>``. The state holds, for every place so far,
+    the best score up to there and the marks of its path. A character that no piece covers
+    costs ``unknown_score``. Of equal scores the path with the later marks wins.
+    """
+    kind = "array<struct<score:double,marks:long>>"
+    start = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(1).cast("long").alias("marks"))).cast(kind)
 
-def _rank(edge: Column) -> Column:
-    return F.shiftright(edge, 43).cast("int")
+    def step(state: Column, end: Column) -> Column:
+        def reach(length: Column, score: Column) -> Column:
+            before = F.element_at(state, end - length + 1)
+            return F.struct((before["score"] + score).alias("score"), before["marks"].bitwiseOR(_power(end)).alias("marks"))
 
+        ending = F.filter(edges, lambda e: e["end"] == end)
+        known = F.transform(ending, lambda e: reach(e["length"], e["score"]))
+        alone = F.exists(ending, lambda e: e["length"] == 1)
+        fallback = F.when(alone, F.array().cast(kind)).otherwise(F.array(reach(F.lit(1), F.lit(unknown_score))))
+        return F.concat(state, F.array(F.array_max(F.concat(known, fallback))))
 
-def _start(edge: Column) -> Column:
-    return (F.shiftright(edge, 8) % (1 << 35)).cast("int")
+    return F.aggregate(F.sequence(F.lit(1), size), start, step, lambda s: F.element_at(s, -1)["marks"])
 
 
-def _length(edge: Column) -> Column:
-    return (edge % 256).cast("int")
+def _unknown_score(model: Model) -> float:
+    """As in the library, a character outside the vocabulary costs 10 below the worst piece."""
+    return min((s for _, _, s in model.pieces), default=0.0) - 10.0
 
 
-def _viterbi_fold(chunk: Column, edges: Column, scores: Column, unknown_score: float, longest: int) -> Column:
-    """Marks of the best path of a unigram lattice, as in :func:`_bpe_fold`.
+def fold_chunks(chunks: DataFrame, model: Model) -> DataFrame:
+    """``g, chunk, marks`` from distinct ``g, chunk``: the lattice, relationally.
 
-    The state holds, for the last ``longest`` places and the current one, the best score up
-    to there and the marks of its path; earlier places cannot matter to later edges. A
-    character that no piece covers costs ``unknown_score``.
+    Substrings of bounded length are exploded and joined to the piece table, the edges are
+    grouped by chunk, and a fold over them marks where the chunk's symbols start and end.
+    Rows of one ``g`` must be in one partition, so that nothing is exchanged here. Chunks
+    are of at most :data:`SHORT` characters; those without any edge are left out.
     """
-    kind = "array<struct<score:double,marks:string>>"
-    start = F.array(F.struct(F.lit(0.0).alias("score"), F.lit("1").alias("marks"))).cast(kind)
-
-    def step(state: Column, end: Column) -> Column:
-        size = F.size(state)
-
-        def reach(s_back: Column, length: Column, score: Column) -> Column:
-            before = F.element_at(state, size - length + 1)
-            return F.struct(
-                (before["score"] + score).alias("score"),
-                F.concat(before["marks"], F.repeat(F.lit("0"), length - 1), F.lit("1")).alias("marks"),
-            )
-
-        ending = F.filter(edges, lambda e: _start(e) + _length(e) == end)
-        known = F.transform(ending, lambda e: reach(e, _length(e), F.element_at(scores, _rank(e) + 1)))
-        fallback = F.when(~F.exists(ending, lambda e: _length(e) == 1), F.array(reach(end, F.lit(1), F.lit(unknown_score)))).otherwise(
-            F.array().cast(kind)
-        )
-        # the best score, and of equal ones the path whose last piece is longest
-        best = F.array_max(F.transform(F.concat(known, fallback), lambda c: F.struct(c["score"], c["marks"])))
-        return F.slice(F.concat(state, F.array(best.cast("struct<score:double,marks:string>"))), F.greatest(F.lit(1), size + 1 - longest), F.lit(longest + 1))
-
-    path = F.aggregate(F.sequence(F.lit(1), F.length(chunk)), start, step)
-    return F.element_at(path, -1)["marks"]
-
-
-def encode_chunks(chunks: DataFrame, model: Model) -> DataFrame:
-    """``chunk, n, ids`` from distinct ``chunk, n``: the lattice, relationally."""
     spark = chunks.sparkSession
-    by_rank = sorted(model.pieces, key=lambda p: (-p[2], p[1]))
-    table = pd.DataFrame(
-        [(p, rank, i, len(p)) for rank, (p, i, _) in enumerate(by_rank) if len(p) > 1 or model.kind == UNIGRAM], columns=["piece", "rank", "id", "length"]
-    )
-    # an empty piece of length 0 matches once in each chunk, so that none is lost
-    table = pd.concat([table, pd.DataFrame([("", 0, 0, 0)], columns=table.columns)])
-    pieces = spark.createDataFrame(table, "piece string, rank int, id int, length int")
     shortest = 1 if model.kind == UNIGRAM else 2
-    size, chunk = F.length("chunk"), F.col("chunk")
-    start, length = F.col("start"), F.col("length")
-    lengths = F.sequence(F.lit(shortest), F.greatest(F.lit(shortest), F.least(F.col("size") - start, F.lit(model.longest))))
-    # dealt out by chunk before they are exploded, a chunk's edges meet without another exchange
-    dealt = chunks.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk", "n")
+    by_rank = sorted(model.pieces, key=lambda p: (-p[2], p[1]))
+    table = [(p, rank, score) for rank, (p, _, score) in enumerate(by_rank) if len(p) >= shortest]
     # the vocabulary is a model's, of bounded size whatever the corpus
-    lattice = (
-        dealt.select("chunk", "n", size.alias("size"))
-        .select("chunk", "n", "size", F.explode(F.sequence(F.lit(0), "size")).alias("start"))
-        .select("chunk", "n", "size", "start", F.explode(lengths).alias("length"))
-        .filter((start + length <= F.col("size")) | ((start == F.col("size")) & (length == shortest)))
-        .select("chunk", "n", "start", F.when(start < F.col("size"), chunk.substr(start + 1, length)).otherwise("").alias("piece"))
-        .join(F.broadcast(pieces), "piece")
-        .groupBy("chunk", "n")
-        .agg(F.collect_list(_pack(F.col("rank"), start, length)).alias("edges"))
-        .withColumn("edges", F.filter("edges", lambda e: _length(e) > 0))
+    pieces = F.broadcast(spark.createDataFrame(pd.DataFrame(table, columns=["piece", "rank", "score"]), "piece string, rank int, score double"))
+    size, start, length = F.length("chunk"), F.col("start"), F.col("length")
+    edges = (
+        chunks.filter(size >= shortest)
+        .select("g", "chunk", F.explode(F.sequence(F.lit(0), size - shortest)).alias("start"))
+        .select("g", "chunk", "start", F.explode(F.sequence(F.lit(shortest), F.least(size - start, F.lit(model.longest)))).alias("length"))
+        .withColumn("piece", F.col("chunk").substr(start + 1, length))
+        .join(pieces, "piece")
     )
     if model.kind == BPE:
-        marks = _bpe_fold(chunk, F.col("edges"))
+        edge = _pack(F.col("rank"), start, length)
+        marks = _merge_fold(size, F.col("edges"))
     else:
-        # as the library does, a character outside the vocabulary costs 10 below the worst piece
-        worst = min(s for _, _, s in model.pieces)
-        marks = _viterbi_fold(chunk, F.col("edges"), _array([s for _, _, s in by_rank], "double"), worst - 10.0, model.longest)
-    ids = _array([i for _, i, _ in by_rank])
-    top = max(map(ord, model.singles), default=0)
-    single = [-1] * (top + 1)
-    for p, i in model.singles.items():
-        single[ord(p)] = i
-    singles, byte_ids, bytes_known = _array(single), _array(model.byte_ids), min(model.byte_ids) >= 0
-
-    def symbol(run: Column) -> Column:
-        """Ids of one symbol: a piece, or the bytes of a character outside the vocabulary."""
-        s, e = run["s"], run["e"]
-        char = chunk.substr(s + 1, F.lit(1))
-        point = F.ascii(char)
-        alone = F.when(point <= top, F.element_at(singles, point + 1)).otherwise(-1)
-        code = F.hex(F.encode(char, "UTF-8"))
-        spelled = (
-            F.transform(F.sequence(F.lit(1), F.length(code), F.lit(2)), lambda i: F.element_at(byte_ids, F.conv(code.substr(i, F.lit(2)), 16, 10).cast("int") + 1))
-            if bytes_known
-            else F.array(F.lit(model.unknown))
-        )
-        edge = F.filter(F.col("edges"), lambda x: (_start(x) == s) & (_length(x) == e - s))
-        return F.when(e - s > 1, F.array(F.element_at(ids, _rank(F.element_at(edge, 1)) + 1))).when(alone >= 0, F.array(alone)).otherwise(spelled)
-
-    # symbols lie between marks; a mark is followed by as many zeros as its symbol is longer than 1
-    widths = F.transform(F.slice(F.split("marks", "1"), 2, 1 << 30), lambda z: F.length(z) + 1)
-    none_run = F.expr("cast(array() as array<struct<s:int,e:int>>)")
-    start = F.struct(F.lit(0).alias("at"), none_run.alias("out"))
-    runs = F.aggregate(
-        F.slice("widths", F.lit(1), F.size("widths") - 1),
-        start,
-        lambda a, w: F.struct((a["at"] + w).alias("at"), F.concat(a["out"], F.array(F.struct(a["at"].alias("s"), (a["at"] + w).alias("e")))).alias("out")),
-        lambda a: a["out"],
-    )
-    return (
-        lattice.withColumn("marks", marks)
-        .select("chunk", "n", "edges", widths.alias("widths"))
-        .select("chunk", "n", "edges", runs.alias("runs"))
-        .select("chunk", "n", F.flatten(F.transform("runs", symbol)).alias("ids"))
-    )
+        edge = F.struct((start + length).alias("end"), "length", "score")
+        marks = _viterbi_fold(size, F.col("edges"), _unknown_score(model))
+    return edges.groupBy("g", "chunk").agg(F.collect_list(edge).alias("edges")).select("g", "chunk", marks.alias("marks"))
+
+
+def _merged(chunk: str, ranks: dict[str, int]) -> list[str]:
+    """What :func:`_merge_fold` finds, for a chunk of any length: a queue of merges over a linked list."""
+    symbols, before, after = list(chunk), list(range(-1, len(chunk) - 1)), list(range(1, len(chunk) + 1))
+    queue = [(ranks[a + b], i, a + b) for i, (a, b) in enumerate(zip(chunk, chunk[1:])) if a + b in ranks]
+    heapq.heapify(queue)
+    while queue:
+        _, i, piece = heapq.heappop(queue)
+        j = after[i]
+        if symbols[i] is None or j >= len(symbols) or symbols[i] + symbols[j] != piece:
+            continue
+        symbols[i], symbols[j], after[i] = piece, None, after[j]
+        if after[i] < len(symbols):
+            before[after[i]] = i
+        for k in (before[i], i):
+            if k >= 0 and after[k] < len(symbols) and (rank := ranks.get(both := symbols[k] + symbols[after[k]])) is not None:
+                heapq.heappush(queue, (rank, k, both))
+    return [s for s in symbols if s is not None]
+
+
+def _best_path(chunk: str, scores: dict[str, float], longest: int, unknown_score: float) -> list[str]:
+    """What :func:`_viterbi_fold` finds, for a chunk of any length."""
+    best, back = [0.0], [0]
+    for end in range(1, len(chunk) + 1):
+        top, at = -math.inf, end - 1
+        for start in range(max(0, end - longest), end):
+            score = scores.get(chunk[start:end], unknown_score if start == end - 1 else None)
+            if score is not None and best[start] + score >= top:
+                top, at = best[start] + score, start
+        best.append(top)
+        back.append(at)
+    out, end = [], len(chunk)
+    while end:
+        out.append(chunk[back[end] : end])
+        end = back[end]
+    return out[::-1]
+
+
+class _Speller:
+    """Ids of chunks, from the marks that the lattice's fold has set."""
+
+    def __init__(self, model: Model) -> None:
+        self.model, self.known = model, {p: (i,) for p, i, _ in model.pieces}
+        by_rank = sorted(model.pieces, key=lambda p: (-p[2], p[1]))
+        self.ranks = {p: rank for rank, (p, _, _) in enumerate(by_rank)}
+        self.scores = {p: s for p, _, s in model.pieces}
+
+    def symbol(self, s: str) -> tuple[int, ...]:
+        """A piece's id, or those of the bytes of a character outside the vocabulary."""
+        ids = self.known.get(s)
+        if ids is None:
+            spelled = min(self.model.byte_ids) >= 0
+            ids = tuple(self.model.byte_ids[b] for b in s.encode()) if spelled else (self.model.unknown,)
+        return ids
+
+    def ids(self, chunk: str, marks: int | None) -> tuple[int, ...]:
+        """``marks`` is None for a chunk without edges and for one of more than SHORT characters."""
+        if marks is None:
+            if len(chunk) <= SHORT:
+                symbols: list[str] = list(chunk)
+            elif self.model.kind == BPE:
+                symbols = _merged(chunk, self.ranks)
+            else:
+                symbols = _best_path(chunk, self.scores, self.model.longest, _unknown_score(self.model))
+        else:
+            symbols, at, rest = [], 0, marks >> 1
+            while rest:
+                width = (rest & -rest).bit_length()
+                symbols.append(chunk[at : at + width])
+                at, rest = at + width, rest >> width
+        return tuple(i for s in symbols for i in self.symbol(s))
+
+
+def _gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """``values[start : start + size]`` of all pairs, one after the other."""
+    if not len(sizes):
+        return values[:0]
+    ends = np.cumsum(sizes)
+    return values[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1])]
+
+
+@dataclass
+class _Dictionary:
+    codes: dict[str, int]
+    sizes: np.ndarray
+    ids: np.ndarray
+
+
+def _dictionary(texts: DataFrame, model: Model, most: int, parts: int) -> _Dictionary:
+    """The most frequent chunks of ``texts`` with their ids; at most ``most``, which bounds what is broadcast."""
+    spark = texts.sparkSession
+    counted = _count_chunks(texts, model).filter(F.length("chunk") <= SHORT).groupBy("chunk").agg(F.sum("n").alias("n"))
+    chunks = [r["chunk"] for r in counted.orderBy(F.desc("n"), "chunk").limit(min(most, RARE)).collect()]
+    marks: dict[str, int] = {}
+    if chunks:
+        top = spark.createDataFrame(pd.DataFrame({"chunk": chunks}), "chunk string")
+        dealt = top.select(F.pmod(F.xxhash64("chunk"), F.lit(parts)).cast("int").alias("g"), "chunk").repartition(parts, "g")
+        marks = {r["chunk"]: r["marks"] for r in fold_chunks(dealt, model).collect()}
+    speller = _Speller(model)
+    spelled = [speller.ids(c, marks.get(c)) for c in chunks]
+    flat = np.fromiter((i for ids in spelled for i in ids), np.int32)
+    return _Dictionary({c: k for k, c in enumerate(chunks)}, np.fromiter(map(len, spelled), np.int64), flat)
+
+
+def _blocks(texts: list[str | None], most: int) -> Iterator[tuple[int, int]]:
+    """Slices of at most ``most`` characters; a longer text is one alone."""
+    start, chars = 0, 0
+    for i, t in enumerate(texts):
+        n = len(t) if t else 0
+        if i > start and chars + n > most:
+            yield start, i
+            start, chars = i, 0
+        chars += n
+    if start < len(texts):
+        yield start, len(texts)
+
+
+def _coded(texts: list[str | None], make: Callable, codes: dict[str, int], groups: int) -> tuple[list[bytes], list[bytes], list[dict]]:
+    """Of one block's texts the codes of their chunks, the references to rare ones, and these by group.
+
+    A reference counts the block's rare chunks by group, then in order.
+    """
+    rare: dict[str, int] = {}
+    coded, firsts = [], []
+    for text in texts:
+        chunks = make(text)
+        code = np.fromiter((codes.get(c, RARE) for c in chunks), np.uint16, len(chunks))
+        firsts.append(np.fromiter((rare.setdefault(chunks[i], len(rare)) for i in np.flatnonzero(code == RARE).tolist()), np.int64))
+        coded.append(code.astype("<u2").tobytes())
+    order = sorted((zlib.crc32(c.encode("utf-8", "surrogatepass")) % groups, c, at) for c, at in rare.items())
+    place = np.empty(len(order), "<u4")
+    place[[at for _, _, at in order]] = np.arange(len(order))
+    parts: list[dict] = []
+    for g, chunk, _ in order:
+        if not parts or parts[-1]["g"] != g:
+            parts.append({"g": g, "words": []})
+        parts[-1]["words"].append(chunk)
+    return coded, [place[f].tobytes() for f in firsts], parts
 
 
 def encode(
     docs: DataFrame,
     model: Model,
-    id_col: str = "doc_id",
     text_col: str = "text",
-    dictionary: int = 1 << 16,
+    carry: list[str] | None = None,
+    dictionary: int = RARE,
+    sample_chars: int = 8_000_000,
+    block_chars: int = 16_000_000,
 ) -> DataFrame:
-    """``docs`` with the columns ``ids`` (``array<int>``) and ``n_tokens``.
+    """The columns ``carry`` of ``docs`` (default: all) with ``ids`` (``array<int>``) and ``n_tokens``.
 
     The ids are those that the SentencePiece library gives for the whole text, without
-    control symbols, which are ordinary text here. Null and empty texts have no ids. Rows
-    that repeat an id are encoded each by its own text. Other columns pass through, and ones
-    called ``ids`` or ``n_tokens`` are replaced. ``dictionary`` bounds the chunks that are
-    broadcast (the most frequent); it changes no result.
+    control symbols, which are ordinary text here. Null and empty texts have no ids, equal
+    texts and repeated rows equal ones; long texts and long chunks cost in proportion to
+    their length. An empty table gives no rows. Carried columns called ``ids`` or
+    ``n_tokens`` are replaced, and other names cannot clash.
+
+    The dictionary, at most ``dictionary`` chunks, is taken from about ``sample_chars``
+    characters of texts; it decides which chunks travel, and changes no result. All other
+    chunks of the corpus go through the lattice once each: texts are coded in blocks of
+    ``block_chars`` characters, a block's distinct rare chunks are dealt out by group, folded
+    there, and their ids come back to the block, which is kept as a bucketed table so that
+    it does not travel itself.
     """
     spark: SparkSession = docs.sparkSession
-    keep = [c for c in docs.columns if c not in ("ids", "n_tokens")]
-    counted = _count_chunks(docs.select(F.col(text_col).alias("text")), model)
-    distinct = stash(counted.groupBy("chunk").agg(F.sum("n").alias("n")), "sp-chunks")
-    encoded = stash(encode_chunks(distinct, model), "sp-encoded")
-    # classes of frequency, an eighth of an octave each: from the top as many as fit together,
-    # so that no more than the dictionary reaches the driver
-    grade = F.floor(F.log2("n") * 8)
-    held, least = 0, None
-    for row in encoded.groupBy(grade.alias("grade")).count().orderBy(F.desc("grade")).collect():
-        held += row["count"]
-        if held > dictionary:
-            break
-        least = row["grade"]
-    frequent = encoded.filter(F.lit(False) if least is None else grade >= least)
-    common = frequent.select("chunk", F.array_join("ids", " ").alias("ids")).toPandas()
-    known = spark.sparkContext.broadcast({c: np.array(i.split(), np.int32).tobytes() for c, i in zip(common["chunk"], common["ids"])})
-    del common
-    make = _chunker(model)
-
-    # the rest: each text's chunks outside the dictionary, by their number in the text
-    def rare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [c for c in (docs.columns if carry is None else carry) if c not in ("ids", "n_tokens")]
+    base = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.col(text_col).alias("text"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chars = base.agg(F.sum(F.length("text"))).first()[0] or 0
+    sampled = base.select("text").filter(F.rand(7) < min(1.0, sample_chars / max(chars, 1)))
+    table = _dictionary(sampled, model, dictionary, n)
+    known = spark.sparkContext.broadcast(table)
+    groups, make = max(4 * n, chars // 4_000_000), _chunker(model)
+    rows = [f for f in base.schema.fields if f.name != "text"]
+    part = "array<struct<g:int,words:array<string>>>"
+    stored = StructType([*rows, *StructType.fromDDL(f"block long, codes binary, refs binary, parts {part}").fields])
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
         for batch in batches:
-            keys, chunks = [], []
-            for key, text in zip(batch["key"], batch["text"]):
-                other = dict.fromkeys(c for c in make(text) if c not in known.value)
-                keys += [key] * len(other)
-                chunks += other
-            yield pd.DataFrame({"key": pd.Series(keys, dtype=object), "chunk": pd.Series(chunks, dtype=object)})
-
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    key = F.unhex(F.md5(text.cast("binary")))
-    keyed = docs.select(key.alias("key"), text.alias("text"))
-    asked = keyed.mapInPandas(rare, "key binary, chunk string").distinct()
-    found = asked.join(encoded.select("chunk", "ids"), "chunk")
-    by_text = stash(found.groupBy("key").agg(F.collect_list(F.struct("chunk", "ids")).alias("_rare")).withColumnRenamed("key", "_key"), "sp-rare")
-    joined = docs.select(*keep).withColumn("_text_key", key).join(by_text, F.col("_text_key") == F.col("_key"), "left")
-
-    @F.pandas_udf("array<int>")
-    def assemble(texts: pd.Series, rares: pd.Series) -> pd.Series:
-        out = []
-        for text, more in zip(texts, rares):
-            table = known.value
-            extra = {m["chunk"]: np.asarray(m["ids"], np.int32).tobytes() for m in more} if more is not None else {}
-            out.append(np.frombuffer(b"".join([table[c] if c in table else extra[c] for c in make(text)]), np.int32))
-        return pd.Series(out)
-
-    return joined.withColumn("ids", assemble(F.col(text_col), F.col("_rare"))).select(*keep, "ids", F.size("ids").cast("long").alias("n_tokens"))
+            texts = batch.column("text").to_pylist()
+            for start, end in _blocks(texts, block_chars):
+                coded, refs, parts = _coded(texts[start:end], make, known.value.codes, groups)
+                size, kept = end - start, batch.slice(start, end - start)
+                columns = {f.name: kept.column(f.name) for f in rows} | {
+                    "block": pa.array([block] * size, pa.int64()),
+                    "codes": pa.array(coded, pa.binary()),
+                    "refs": pa.array(refs, pa.binary()),
+                    "parts": pa.array([parts] + [None] * (size - 1), pa.list_(pa.struct([("g", pa.int32()), ("words", pa.list_(pa.string()))]))),
+                }
+                yield pa.RecordBatch.from_pydict(columns)
+                block += 1
+
+    blocks = stash_buckets(base.mapInArrow(code, stored), "sp-blocks", n, "block")
+    # a table's columns may all be null, and so may what they hold
+    read = [f for f in blocks.schema.fields if f.name in base.columns]
+    words = blocks.filter("parts is not null").select("block", F.explode("parts").alias("p")).select("block", "p.g", "p.words").repartition(n, "g")
+    distinct = words.select("g", F.explode("words").alias("chunk")).filter(F.length("chunk") <= SHORT).distinct()
+    width = "<u2" if len(model.texts) <= 1 << 16 else "<u4"
+
+    def spell(folded: pa.Table, wanted: pa.Table) -> pa.Table:
+        speller = _Speller(model)
+        marks = dict(zip(folded["chunk"].to_pylist(), folded["marks"].to_pylist()))
+        done: dict[str, tuple[int, ...]] = {}
+        sizes, ids = [], []
+        for chunks in wanted["words"].to_pylist():
+            found = []
+            for c in chunks:
+                if (one := done.get(c)) is None:
+                    one = done[c] = speller.ids(c, marks.get(c))
+                found.append(one)
+            sizes.append(np.fromiter(map(len, found), "<u4").tobytes())
+            ids.append(np.fromiter((i for one in found for i in one), width).tobytes())
+        return pa.table({"block": wanted["block"], "g": wanted["g"], "sizes": pa.array(sizes, pa.binary()), "ids": pa.array(ids, pa.binary())})
+
+    answers = fold_chunks(distinct, model).withColumnRenamed("g", "own").groupBy("own").cogroup(words.groupBy("g")).applyInArrow(spell, "block long, g int, sizes binary, ids binary")
+
+    def assemble(coded: pa.Table, found: pa.Table) -> pa.Table:
+        frequent = known.value
+        found = found.sort_by("g")
+        of = lambda t, c, kind: np.frombuffer(b"".join(t[c].to_pylist()), kind)
+        sizes = np.concatenate((frequent.sizes, of(found, "sizes", "<u4").astype(np.int64)))
+        ids = np.concatenate((frequent.ids, of(found, "ids", width).astype(np.int32)))
+        codes, lengths = of(coded, "codes", "<u2").astype(np.int64), [len(c) // 2 for c in coded["codes"].to_pylist()]
+        codes[codes == RARE] = of(coded, "refs", "<u4").astype(np.int64) + len(frequent.sizes)
+        starts = np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes)))[:-1]
+        taken = sizes[codes]
+        total = np.concatenate((np.zeros(1, np.int64), np.cumsum(taken)))
+        bounds = total[np.concatenate((np.zeros(1, np.int64), np.cumsum(lengths)))]
+        lists = pa.LargeListArray.from_arrays(bounds, pa.array(_gather(ids, starts[codes], taken), pa.int32())).cast(pa.list_(pa.int32()))
+        columns = {f.name: coded[f.name] for f in read} | {"ids": lists, "n_tokens": pa.array(np.diff(bounds), pa.int64())}
+        return pa.table(columns)
+
+    result = StructType([*read, *StructType.fromDDL("ids array<int>, n_tokens long").fields])
+    out = blocks.drop("parts").groupBy("block").cogroup(answers.repartition(n, "block").groupBy("block")).applyInArrow(assemble, result)
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], "ids", "n_tokens")
 
 
 def decode(rows: DataFrame, model: Model, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
-    """``rows`` with the text that ``ids_col`` stands for; null ids give null.
+    """``rows`` with the text that ``ids_col`` stands for; null ids give null, no ids an empty text.
 
     Control ids stand for nothing, ids outside the vocabulary for nothing too, and bytes
-    that form no character for U+FFFD.
+    that form no character for U+FFFD. Other columns pass through; one called ``out`` is
+    replaced.
     """
-    texts, prefix = model.texts, SPACE.encode() if model.dummy_prefix else b""
+    prefix = SPACE.encode() if model.dummy_prefix else b""
+    # one more entry, of no bytes, for ids outside the vocabulary
+    sizes = np.fromiter((len(t) for t in [*model.texts, b""]), np.int64)
+    data, starts = np.frombuffer(b"".join(model.texts), np.uint8), np.cumsum(sizes) - sizes
+    last = len(model.texts)
 
     @F.pandas_udf("string")
     def run(lists: pd.Series) -> pd.Series:
-        out = []
+        told = []
         for ids in lists:
             if ids is None:
-                out.append(None)
+                told.append(None)
                 continue
-            data = b"".join([texts[i] for i in ids if 0 <= i < len(texts)])
-            out.append(data.removeprefix(prefix).decode("utf-8", "replace").replace(SPACE, " "))
-        return pd.Series(out, dtype=object)
+            at = np.asarray(ids, np.int64)
+            at = np.where((at < 0) | (at > last), last, at)
+            text = _gather(data, starts[at], sizes[at]).tobytes().removeprefix(prefix)
+            told.append(text.decode("utf-8", "replace").replace(SPACE, " "))
+        return pd.Series(told, dtype=object)
 
     return rows.withColumn(out, run(F.col(ids_col)))
+
+
+def as_unigram(model: Model) -> Model:
+    """The same pieces as a unigram model: by Zipf's law the k-th best piece has a probability like 1 / k."""
+    by_rank = sorted(model.pieces, key=lambda p: (-p[2], p[1]))
+    norm = math.log(sum(1 / (k + 1) for k in range(len(by_rank))))
+    return replace(model, kind=UNIGRAM, pieces=[(p, i, -math.log(k + 1) - norm) for k, (p, i, _) in enumerate(by_rank)])

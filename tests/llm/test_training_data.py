@@ -3,6 +3,7 @@
 import hashlib
 import heapq
 import math
+import random
 import re
 import zlib
 from itertools import combinations
@@ -386,10 +387,50 @@ def test_viterbi_fold_equals_enumeration(spark):
         return max(((b + score.get(p, -12.9), [p, *path]) for (b, path), p in ways), key=lambda x: x[0])
 
     words = ["a", "ab", "abab", "babab", "aabba", "abcab"]
-    d = spark.createDataFrame([(w, 1) for w in words], "chunk string, n long")
-    ids = {p: i for p, i, _ in pieces}
-    for r in sentencepiece_lattice.encode_chunks(d, model).collect():
-        assert list(r.ids) == [ids.get(p, 9) for p in best(r.chunk)[1]], r.chunk
+    d = spark.createDataFrame([(w, 0) for w in words], "chunk string, g int").repartition(2, "g")
+    ids, speller = {p: i for p, i, _ in pieces}, sentencepiece_lattice._Speller(model)
+    folded = sentencepiece_lattice.fold_chunks(d, model).collect()
+    assert {r.chunk for r in folded} == set(words)
+    for r in folded:
+        assert list(speller.ids(r.chunk, r.marks)) == [ids.get(p, 9) for p in best(r.chunk)[1]], r.chunk
+    for w in ("abcab" * 30, "b" * 100):
+        assert len(w) > sentencepiece_lattice.SHORT
+        path = sentencepiece_lattice._best_path(w, score, model.longest, -12.9)
+        assert "".join(path) == w and len(speller.ids(w, None)) == len(path)
+
+
+def test_unbroken_texts_equal_the_library(spark):
+    import sentencepiece
+
+    lib, model = sentencepiece.SentencePieceProcessor(model_file=MODEL), sentencepiece_lattice.load_model(MODEL)
+    rng = random.Random(5)
+    long = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000)), "a" * 5000, "".join(rng.choice("漢字かなab") for _ in range(20_000))]
+    long += ["the" * 21, "z" * 61, "z" * 62, "thetherethem" * 9]
+    d = docs(spark, *[(i, t, None) for i, t in enumerate(long)])
+    for r in sentencepiece_lattice.encode(d, model).collect():
+        assert list(r.ids) == lib.encode(r.text), r.doc_id
+
+
+def test_viterbi_over_whole_texts_equals_a_plain_program(spark):
+    model = sentencepiece_lattice.as_unigram(sentencepiece_lattice.load_model(MODEL))
+    score, make, speller = {p: s for p, _, s in model.pieces}, sentencepiece_lattice._chunker(model), sentencepiece_lattice._Speller(model)
+    d, known = table(spark, "documents").filter("doc_id < 60"), {}
+
+    def ids(c):
+        if c not in known:
+            path = sentencepiece_lattice._best_path(c, score, model.longest, sentencepiece_lattice._unknown_score(model))
+            known[c] = [i for s in path for i in speller.symbol(s)]
+        return known[c]
+
+    for r in sentencepiece_lattice.decode(sentencepiece_lattice.encode(d, model, dictionary=50, block_chars=50_000), model).collect():
+        assert list(r.ids) == [i for c in make(r.text) for i in ids(c)] and r.decoded == (r.text or "")
+
+
+def test_encoding_carries_any_columns(spark):
+    model = sentencepiece_lattice.load_model(MODEL)
+    d = spark.sql("select 1 as block, 'a b' as text, array(1) as ids, named_struct('x', 1) as codes, null as g, timestamp'2020-01-01' as c0 union all select null, null, null, null, null, null")
+    got = sentencepiece_lattice.encode(d.withColumn("g", F.col("g").cast("int")), model).orderBy("block").collect()
+    assert got[1].asDict() | {"ids": 0} == d.filter("block = 1").first().asDict() | {"ids": 0, "n_tokens": 2} and got[0].n_tokens == 0
 
 
 # ---- 10: URL filters ------------------------------------------------------------------
