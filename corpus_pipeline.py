@@ -41,7 +41,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document of the mix."""
     model = sentencepiece_lattice.load_model(SENTENCEPIECE_MODEL)
-    return sentencepiece_lattice.encode(docs, model).select("doc_id", "lang", "source", "n_tokens", "ids")
+    return sentencepiece_lattice.encode(docs, model, carry=["doc_id", "lang", "source"]).select("doc_id", "lang", "source", "n_tokens", "ids")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
