@@ -2,28 +2,64 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPANS = "array<struct<start:int,end:int,text:string>>"
+#: Items that one inner fold of :func:`scan` gathers.
+BLOCK = 256
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def scan(items: Column, first: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """``array<kind>`` of what ``step(state, item)``, which gives the next state and an array, gives for all items.
+
+    An array that grows item by item is copied each time, so items are gathered in blocks,
+    and these in one array in the end.
+    """
+    none, nested = F.expr(f"cast(array() as array<{kind}>)"), F.expr(f"cast(array() as array<array<{kind}>>)")
+
+    def one(acc: Column, item: Column) -> Column:
+        state, out = step(acc["at"], item)
+        return F.struct(state.alias("at"), F.concat(acc["out"], out).alias("out"))
+
+    def whole(all_items: Column) -> Column:
+        def block(acc: Column, b: Column) -> Column:
+            start = F.struct(acc["at"].alias("at"), none.alias("out"))
+            done = F.aggregate(F.slice(all_items, b * BLOCK + 1, F.lit(BLOCK)), start, one)
+            return let(done, lambda d: F.struct(d["at"].alias("at"), F.concat(acc["out"], F.array(d["out"])).alias("out")))
+
+        blocks = F.sequence(F.lit(0), F.floor(F.size(all_items) / BLOCK).cast("int"))
+        return F.flatten(F.aggregate(blocks, F.struct(first.alias("at"), nested.alias("out")), block, lambda a: a["out"]))
+
+    return let(items, whole)
 
 
 def match_spans(text: Column, pattern: str) -> Column:
     """``array<struct<start, end, text>>`` of all matches, in code points, end exclusive.
 
     The gaps that ``split`` leaves are as long as the way from one match to the next.
-    Patterns must not match the empty string.
+    Patterns must not match the empty string. Null texts and texts without a match have none.
     """
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches)).alias("gap"), matches.alias("hit"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
 
-    def step(acc: Column, p: Column) -> Column:
-        start = acc["at"] + F.length(p["gap"])
-        end = start + F.length(p["hit"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), p["hit"].alias("text")))).alias("out"))
+    def spans(matches: Column) -> Column:
+        pairs = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches)).alias("gap"), matches.alias("hit"))
+
+        def step(at: Column, p: Column) -> tuple[Column, Column]:
+            start = at + F.length(p["gap"])
+            end = start + F.length(p["hit"])
+            return end, F.array(F.struct(start.alias("start"), end.alias("end"), p["hit"].alias("text")))
+
+        found = scan(pairs, F.lit(0), "struct<start:int,end:int,text:string>", step)
+        return F.when(F.size(matches) > 0, found).otherwise(F.array().cast(SPANS))
 
-    return F.when(F.size(matches) > 0, F.aggregate(pairs, zero, step, lambda a: a["out"])).otherwise(F.array().cast(SPANS))
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), spans)
 
 
 def without_spans(text: Column, spans: Column) -> Column:
