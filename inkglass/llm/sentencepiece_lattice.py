@@ -27,6 +27,7 @@ from dataclasses import dataclass, field, replace
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -160,7 +161,7 @@ SHORT = 61
 RARE = 65_535
 
 
-def _count_chunks(texts: DataFrame, model: Model, most: int = 200_000) -> DataFrame:
+def _count_chunks(texts: DataFrame, model: Model, most: int = 100_000) -> DataFrame:
     """``chunk, n`` with partial counts; a task holds ``most`` different chunks at a time."""
     make = _chunker(model)
 
@@ -377,17 +378,16 @@ def _dictionary(texts: DataFrame, model: Model, most: int, parts: int) -> _Dicti
     return _Dictionary({c: k for k, c in enumerate(chunks)}, np.fromiter(map(len, spelled), np.int64), flat)
 
 
-def _blocks(texts: list[str | None], most: int) -> Iterator[tuple[int, int]]:
-    """Slices of at most ``most`` characters; a longer text is one alone."""
+def _blocks(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Slices of at most ``most`` characters of texts of these sizes; a longer text is one alone."""
     start, chars = 0, 0
-    for i, t in enumerate(texts):
-        n = len(t) if t else 0
+    for i, n in enumerate(sizes):
         if i > start and chars + n > most:
             yield start, i
             start, chars = i, 0
         chars += n
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def _coded(texts: list[str | None], make: Callable, codes: dict[str, int], groups: int) -> tuple[list[bytes], list[bytes], list[dict]]:
@@ -420,7 +420,7 @@ def encode(
     carry: list[str] | None = None,
     dictionary: int = RARE,
     sample_chars: int = 8_000_000,
-    block_chars: int = 16_000_000,
+    block_chars: int = 8_000_000,
 ) -> DataFrame:
     """The columns ``carry`` of ``docs`` (default: all) with ``ids`` (``array<int>``) and ``n_tokens``.
 
@@ -453,10 +453,9 @@ def encode(
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for start, end in _blocks(texts, block_chars):
-                coded, refs, parts = _coded(texts[start:end], make, known.value.codes, groups)
+            for start, end in _blocks(pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_pylist(), block_chars):
                 size, kept = end - start, batch.slice(start, end - start)
+                coded, refs, parts = _coded(kept.column("text").to_pylist(), make, known.value.codes, groups)
                 columns = {f.name: kept.column(f.name) for f in rows} | {
                     "block": pa.array([block] * size, pa.int64()),
                     "codes": pa.array(coded, pa.binary()),
@@ -470,11 +469,15 @@ def encode(
     # a table's columns may all be null, and so may what they hold
     read = [f for f in blocks.schema.fields if f.name in base.columns]
     words = blocks.filter("parts is not null").select("block", F.explode("parts").alias("p")).select("block", "p.g", "p.words").repartition(n, "g")
-    distinct = words.select("g", F.explode("words").alias("chunk")).filter(F.length("chunk") <= SHORT).distinct()
+    # with all columns in use and no filter to push down, this branch reads the same exchange as the next
+    first = words.select("g", "block", F.explode_outer("words").alias("chunk")).filter(F.length("chunk") <= SHORT).groupBy("g", "chunk").agg(F.min("block").alias("first"))
+    distinct = first.filter("first is not null").select("g", "chunk")
     width = "<u2" if len(model.texts) <= 1 << 16 else "<u4"
 
+    spellers = spark.sparkContext.broadcast(_Speller(model))
+
     def spell(folded: pa.Table, wanted: pa.Table) -> pa.Table:
-        speller = _Speller(model)
+        speller = spellers.value
         marks = dict(zip(folded["chunk"].to_pylist(), folded["marks"].to_pylist()))
         done: dict[str, tuple[int, ...]] = {}
         sizes, ids = [], []
@@ -494,15 +497,17 @@ def encode(
         frequent = known.value
         found = found.sort_by("g")
         of = lambda t, c, kind: np.frombuffer(b"".join(t[c].to_pylist()), kind)
-        sizes = np.concatenate((frequent.sizes, of(found, "sizes", "<u4").astype(np.int64)))
-        ids = np.concatenate((frequent.ids, of(found, "ids", width).astype(np.int32)))
-        codes, lengths = of(coded, "codes", "<u2").astype(np.int64), [len(c) // 2 for c in coded["codes"].to_pylist()]
-        codes[codes == RARE] = of(coded, "refs", "<u4").astype(np.int64) + len(frequent.sizes)
-        starts = np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes)))[:-1]
-        taken = sizes[codes]
-        total = np.concatenate((np.zeros(1, np.int64), np.cumsum(taken)))
-        bounds = total[np.concatenate((np.zeros(1, np.int64), np.cumsum(lengths)))]
-        lists = pa.LargeListArray.from_arrays(bounds, pa.array(_gather(ids, starts[codes], taken), pa.int32())).cast(pa.list_(pa.int32()))
+        sizes = np.concatenate((frequent.sizes, of(found, "sizes", "<u4")), dtype=np.int32)
+        ids = np.concatenate((frequent.ids, of(found, "ids", width)), dtype=np.int32)
+        starts = np.cumsum(sizes, dtype=np.int64) - sizes
+        out, counts = [], []
+        for codes, refs in zip(coded["codes"].to_pylist(), coded["refs"].to_pylist()):
+            at = np.frombuffer(codes, "<u2").astype(np.int64)
+            at[at == RARE] = np.frombuffer(refs, "<u4").astype(np.int64) + len(frequent.sizes)
+            out.append(_gather(ids, starts[at], sizes[at]))
+            counts.append(len(out[-1]))
+        bounds = np.concatenate(([0], np.cumsum(counts)))
+        lists = pa.LargeListArray.from_arrays(bounds, np.concatenate([ids[:0], *out])).cast(pa.list_(pa.int32()))
         columns = {f.name: coded[f.name] for f in read} | {"ids": lists, "n_tokens": pa.array(np.diff(bounds), pa.int64())}
         return pa.table(columns)
 
@@ -518,26 +523,13 @@ def decode(rows: DataFrame, model: Model, ids_col: str = "ids", out: str = "deco
     that form no character for U+FFFD. Other columns pass through; one called ``out`` is
     replaced.
     """
-    prefix = SPACE.encode() if model.dummy_prefix else b""
-    # one more entry, of no bytes, for ids outside the vocabulary
-    sizes = np.fromiter((len(t) for t in [*model.texts, b""]), np.int64)
-    data, starts = np.frombuffer(b"".join(model.texts), np.uint8), np.cumsum(sizes) - sizes
-    last = len(model.texts)
-
-    @F.pandas_udf("string")
-    def run(lists: pd.Series) -> pd.Series:
-        told = []
-        for ids in lists:
-            if ids is None:
-                told.append(None)
-                continue
-            at = np.asarray(ids, np.int64)
-            at = np.where((at < 0) | (at > last), last, at)
-            text = _gather(data, starts[at], sizes[at]).tobytes().removeprefix(prefix)
-            told.append(text.decode("utf-8", "replace").replace(SPACE, " "))
-        return pd.Series(told, dtype=object)
-
-    return rows.withColumn(out, run(F.col(ids_col)))
+    # pieces as the hex of their bytes, a literal of the vocabulary's size
+    spelled = F.split(F.lit(",".join(t.hex() for t in model.texts)), ",")
+    told = F.unhex(F.array_join(F.transform(ids_col, lambda i: F.get(spelled, i)), ""))
+    text = F.make_valid_utf8(told.cast("string"))
+    if model.dummy_prefix:
+        text = F.regexp_replace(text, rf"\A{SPACE}", "")
+    return rows.withColumn(out, F.replace(text, F.lit(SPACE), F.lit(" ")))
 
 
 def as_unigram(model: Model) -> Model:
