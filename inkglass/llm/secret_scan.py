@@ -6,11 +6,14 @@ points, start inclusive and end exclusive.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.spans import let, match_spans, scan
+
 # The patterns of the base rules, with the length that a match must reach.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ASSIGN_VALUE_LENGTH = 6
@@ -35,74 +38,74 @@ CLASSES = (
 #: Candidates that are no secrets: UUIDs, words joined by marks, numbers and dates, example keys.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
-    r"^[A-Za-z]+([+/_=-]+[A-Za-z]*)*$",
+    r"^[A-Za-z][A-Za-z+/_=-]*$",
     r"^[0-9+/_=-]+$",
     r"(?i)example|placeholder|changeme|xxxx",
 )
 
 
 def _match_spans(text: Column, pattern: str, keep: Callable[[Column], Column] | None = None) -> Column:
-    """``array<struct<start, end, text>>`` of the leftmost non-overlapping matches.
-
-    ``split`` cuts at the same matches, so the gaps' lengths give the positions.
-    """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    none = F.lit(None).cast("array<struct<start:int,end:int,text:string>>")
-    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,text:string>>)").alias("out"))
-
-    def step(state: Column, pair: Column) -> Column:
-        start = state["at"] + F.length(pair["gap"])
-        end = start + F.length(pair["match"])
-        span = F.struct(start.alias("start"), end.alias("end"), pair["match"].alias("text"))
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
+    """``array<struct<start, end, text>>`` of the leftmost non-overlapping matches that ``keep`` wants."""
+    return F.filter(match_spans(text, pattern), keep) if keep else match_spans(text, pattern)
 
-    pairs = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)).alias("gap"), found.alias("match"))
-    spans = F.when(F.size(found) > 0, F.aggregate(pairs, zero, step, lambda s: s["out"])).otherwise(none)
-    spans = F.coalesce(spans, F.expr("cast(array() as array<struct<start:int,end:int,text:string>>)"))
-    return F.filter(spans, keep) if keep else spans
 
+#: c log2 c is counted in units of 2**-32, so that sums are exact however long a candidate is.
+UNIT = 2.0**32
 
-def _weigh(count: Column) -> Column:
-    """c log2 c, 0 for 0."""
-    return F.when(count > 0, count * F.log2(count.cast("double"))).otherwise(0.0)
 
-
-def _occurrences(window: Column, char: Column) -> Column:
-    return F.length(window) - F.length(F.replace(window, char, F.lit("")))
+def _weights(window: int) -> list[int]:
+    return [0, *(round(c * math.log2(c) * UNIT) for c in range(1, window + 1))]
 
 
 def _hot_range(s: Column, window: int, bits: Column) -> Column:
-    """First and last position where a window's entropy reaches ``bits``, else null.
+    """First start and last end of windows whose entropy reaches ``bits``, both null if there is none.
 
-    With S = sum of c log2 c over the window's characters, its entropy is log2(w) - S/w.
-    Sliding by one changes two counts only, and S by their two terms.
+    With S = sum of c log2 c over the window's characters, its entropy is log2(w) - S/w. The
+    fold enters the first w characters and from then on takes one out and one in. Its state
+    holds every ASCII character's count, as a string of 128 characters, and S, of which a
+    change of one count moves one term.
     """
-    w = F.lit(window)
-    first = F.substring(s, 1, window)
-    start = F.aggregate(
-        F.array_distinct(F.split(first, "")), F.lit(0.0), lambda a, ch: a + F.when(ch == "", 0.0).otherwise(_weigh(_occurrences(first, ch)))
-    )
-    entropy = lambda total: F.log2(w.cast("double")) - total / w
-    none = F.lit(None).cast("int")
-    hot = entropy(start) >= bits
-    zero = F.struct(start.alias("sum"), F.when(hot, 0).otherwise(none).alias("lo"), F.when(hot, w).otherwise(none).alias("hi"))
-
-    def slide(state: Column, i: Column) -> Column:
-        # the window [i, i + w) follows [i - 1, i - 1 + w): s[i - 1] leaves, s[i - 1 + w] enters
-        before = s.substr(i, w)
-        middle = s.substr(i + 1, w - 1)
-        leaves, enters = before.substr(F.lit(1), F.lit(1)), s.substr(i + w, F.lit(1))
-        gone, come = _occurrences(before, leaves), _occurrences(middle, enters)
-        total = state["sum"] - _weigh(gone) + _weigh(gone - 1) - _weigh(come) + _weigh(come + 1)
-        is_hot = entropy(total) >= bits
-        return F.struct(
-            total.alias("sum"),
-            F.when(is_hot & state["lo"].isNull(), i).otherwise(state["lo"]).alias("lo"),
-            F.when(is_hot, i + w).otherwise(state["hi"]).alias("hi"),
+    w, zero_count = window, ord("@")
+    weights = F.array(*map(F.lit, _weights(w)))
+
+    def fold(chars: Column) -> Column:
+        n = F.size(chars)
+        none = F.lit(None).cast("int")
+        zero = F.struct(
+            F.repeat(F.lit(chr(zero_count)), 128).alias("counts"), F.lit(0).cast("long").alias("sum"), none.alias("lo"), none.alias("hi")
         )
 
-    steps = F.when(F.length(s) > w, F.sequence(F.lit(1), F.length(s) - w)).otherwise(F.expr("cast(array() as array<int>)"))
-    return F.aggregate(steps, zero, slide)
+        def step(state: Column, e: Column) -> Column:
+            pair = F.shiftright(e - w, 1)
+            enters = (e < w) | ((e - w) % 2 == 1)
+            at = F.when(e < w, e).when(enters, pair + w).otherwise(pair)
+            place = F.ascii(F.element_at(chars, at + 1)) + 1
+
+            def change(p: Column) -> Column:
+                def apply(c: Column) -> Column:
+                    now = F.when(enters, c + 1).otherwise(c - 1)
+                    total = state["sum"] - F.element_at(weights, c + 1) + F.element_at(weights, now + 1)
+                    full = (e >= w - 1) & ((e - w) % 2 != 0)
+                    start = F.shiftright(e - w + 1, 1)
+
+                    def moved(sum_: Column) -> Column:
+                        hot = full & (F.lit(math.log2(w)) - sum_ / F.lit(UNIT * w) >= bits)
+                        return F.struct(
+                            F.overlay(state["counts"], F.char(now + zero_count), p, F.lit(1)).alias("counts"),
+                            sum_.alias("sum"),
+                            F.when(hot & state["lo"].isNull(), start).otherwise(state["lo"]).alias("lo"),
+                            F.when(hot, start + w).otherwise(state["hi"]).alias("hi"),
+                        )
+
+                    return let(total, moved)
+
+                return let(F.ascii(F.substring(state["counts"], p, F.lit(1))) - zero_count, apply)
+
+            return let(place, change)
+
+        return F.aggregate(F.sequence(F.lit(0), n * 2 - w - 1), zero, step, lambda a: F.struct(a["lo"].alias("lo"), a["hi"].alias("hi")))
+
+    return F.when(F.length(s) >= w, let(F.split(s, ""), fold))
 
 
 def _class_bits(s: Column) -> Column:
@@ -123,8 +126,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``entropy`` adds the part of a candidate string from its first to its last window whose
     Shannon entropy reaches its class's threshold, unless the allow-list names it or a base
     span covers it. Null and empty texts have no spans. Other columns are ignored, repeated
-    rows are scanned alike, an empty table gives no rows. Long texts cost in proportion to
-    their length; a text with k matches of a kind holds k spans.
+    rows are scanned alike, an empty table gives no rows. Long texts and long candidates cost
+    in proportion to their length; a text with k matches of a kind holds k spans.
     """
     text = F.col("text")
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -151,17 +154,23 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.filter("scored", lambda m: m["bits"].isNotNull()),
         lambda m: F.struct(m["at"].alias("at"), _hot_range(m["text"], window, m["bits"]).alias("range")),
     )
-    added = F.filter(
-        F.transform(
-            F.filter("hot", lambda m: m["range"]["lo"].isNotNull()),
-            lambda m: kind("entropy", m["at"] + m["range"]["lo"], m["at"] + m["range"]["hi"]),
-        ),
-        lambda e: ~F.exists("known", lambda k: (k["start"] <= e["start"]) & (k["end"] >= e["end"])),
+    added = F.transform(
+        F.filter("hot", lambda m: m["range"]["lo"].isNotNull()),
+        lambda m: kind("entropy", m["at"] + m["range"]["lo"], m["at"] + m["range"]["hi"]),
     )
+    shape = "struct<start:int,rank:int,end:int,kind:string>"
+
+    def uncovered(reach: Column, m: Column) -> tuple[Column, Column]:
+        # by start, base kinds first: what base spans reach so far
+        is_base = m["kind"] != "entropy"
+        stays = is_base | (m["end"] > reach)
+        return F.when(is_base, F.greatest(reach, m["end"])).otherwise(reach), F.when(stays, F.array(m)).otherwise(F.array().cast(f"array<{shape}>"))
+
     return (
         spans.select("id", "text", known.alias("known"), scored.alias("scored"))
         .select("id", "text", "known", hot.alias("hot"))
-        .select("id", "text", F.array_sort(F.concat("known", added)).alias("_spans"))
+        .select("id", "text", F.when((F.size("known") > 0) | (F.size(added) > 0), scan(F.array_sort(F.concat("known", added)), F.lit(-1), shape, uncovered)).alias("_spans"))
+        .withColumn("_spans", F.coalesce("_spans", F.array().cast(f"array<{shape}>")))
         .select(
             F.col("id").alias(id_col),
             F.col("text"),
