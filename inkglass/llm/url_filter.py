@@ -2,8 +2,9 @@
 
 The tree is learned from addresses whose verdict is known. Per host, a path's segments are
 generalised: segments that vary freely become wildcards, and branches under one parent that
-lead on in statistically similar ways become one. A template is rejected where the share of
-blocked addresses under it, smoothed towards its parent's, is high.
+lead on in statistically similar ways become one, unless their labels differ. A template is
+rejected where the share of blocked addresses under it is high, smoothed towards its
+parent's and towards that of the same paths on all hosts.
 """
 
 from __future__ import annotations
@@ -77,11 +78,26 @@ def shape(segment: Column) -> Column:
     return segment
 
 
-def _labelled(addresses: DataFrame, depth: int) -> DataFrame:
-    """Distinct ``host, segs`` with counts of all and of blocked, known addresses."""
+def _labelled(addresses: DataFrame, depth: int, weight: float) -> tuple[DataFrame, float]:
+    """Distinct ``host, segs`` with counts of all and of blocked, known addresses; and the share of blocked ones.
+
+    ``shared`` holds, for each of ``segs``, the purity of the path so far over all hosts,
+    (blocked + weight * the share) / (known + weight), or null where nothing is known.
+    """
     known, bad = F.count("verdict"), F.sum(F.when(F.col("verdict") == "block", 1).otherwise(0))
     segs = F.transform(segments(F.col("path"), depth), shape)
-    return addresses.select("host", segs.alias("segs"), "verdict").groupBy("host", "segs").agg(F.count(F.lit(1)).alias("n"), known.alias("known"), bad.alias("bad"))
+    rows = addresses.select("host", segs.alias("segs"), "verdict").groupBy("host", "segs").agg(F.count(F.lit(1)).alias("n"), known.alias("known"), bad.alias("bad"))
+    rows = stash(rows.withColumn("id", F.md5(F.to_json(F.struct("host", "segs")).cast("binary"))), "url-paths")
+    all_known, all_bad = rows.agg(F.sum("known"), F.sum("bad")).first()
+    share = all_bad / all_known if all_known else 0.0
+    level = F.explode(F.sequence(F.lit(1), F.size("segs"))).alias("level")
+    prefix = F.array_join(F.slice("segs", F.lit(1), F.col("level")), "/").alias("prefix")
+    steps = rows.select("id", "segs", "known", "bad", level).select("id", "level", prefix, "known", "bad")
+    pooled = steps.filter("known > 0").groupBy("prefix").agg(((F.sum("bad") + weight * share) / (F.sum("known") + weight)).alias("purity"))
+    met = steps.select("id", "level", F.col("prefix").alias("_p")).join(pooled, F.col("_p") == F.col("prefix"), "left")
+    listed = met.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("level", "purity"))).alias("_l"))
+    listed = listed.select(F.col("id").alias("_id"), F.transform("_l", lambda x: x["purity"]).alias("shared"))
+    return stash(rows.join(listed, F.col("id") == F.col("_id")).drop("_id", "id"), "url-rows"), share
 
 
 def _overlapping(pairs: DataFrame, dist: DataFrame, alike: float) -> DataFrame:
@@ -91,21 +107,40 @@ def _overlapping(pairs: DataFrame, dist: DataFrame, alike: float) -> DataFrame:
     return both.groupBy("a", "b").agg(F.sum(F.least("_s", "share")).alias("overlap")).filter(F.col("overlap") >= alike - ROUNDING).select("a", "b")
 
 
-def _like_branches(shares: DataFrame, branches: DataFrame, alike: float) -> DataFrame:
+def _labels(links: DataFrame, few: int = 50_000) -> DataFrame:
+    """``id, label`` of the nodes that have a link; a few links are followed on the driver, more in rounds over tables."""
+    held = links.limit(few + 1).collect()
+    if len(held) > few:
+        return connected_components(links)
+    up: dict[str, str] = {}
+
+    def least(x: str) -> str:
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for a, b in held:
+        a, b = least(a), least(b)
+        up[max(a, b)] = min(a, b)
+    return links.sparkSession.createDataFrame([(x, least(x)) for x in list(up)], "id string, label string")
+
+
+def _like_branches(shares: DataFrame, branches: DataFrame, alike: float) -> DataFrame | None:
     """``id, label``: nodes with the least node of their group, where a link joins any.
 
-    A node stands for all branches under a parent with equal distributions. Links are all
-    pairs of a parent's nodes that overlap by ``alike``, and the nodes that are like the
-    pool. Such a pair shares a segment among the rarest of each that hold more than
-    1 - ``alike``, so only those are met. Each meeting is compared with its least node
-    first, and what then is in one group already is not compared again.
+    A node stands for all branches under a parent with equal distributions and labels. Links
+    are all pairs of a parent's nodes of one side that overlap by ``alike``, and the nodes
+    that are like the pool. Such a pair shares a segment among the rarest of each that hold
+    more than 1 - ``alike``, so only those are met. Each meeting is compared with its least
+    node first, and what then is in one group already is not compared again.
     """
-    key = ["host", "template"]
+    key = ["host", "template", "side"]
     nodes = branches.groupBy(*key, "id").agg(F.min("seg").alias("seg"), F.max("pool_like").alias("pool_like"))
     parents = branches.groupBy(*key).agg(F.min("id").alias("_lo"), F.max("id").alias("_hi")).filter("_lo < _hi").select(*key)
     nodes = stash(nodes.join(parents, key), "url-nodes")
     if not nodes.limit(1).count():
-        return nodes.select("id", F.col("id").alias("label"))
+        return None
     dist = stash(shares.join(nodes, [*key, "seg"]).select(*key, "id", "next", "share"), "url-dist")
     rarity = dist.groupBy(*key, "next").agg(F.count(F.lit(1)).alias("nodes"))
     before = Window.partitionBy("id").orderBy("nodes", "next").rowsBetween(Window.unboundedPreceding, -1)
@@ -116,63 +151,62 @@ def _like_branches(shares: DataFrame, branches: DataFrame, alike: float) -> Data
     pool = nodes.filter("pool_like")
     pool = pool.join(pool.groupBy(*key).agg(F.min("id").alias("a")), key).filter("a < id").select("a", F.col("id").alias("b"))
     links = stash(_overlapping(star, dist, alike).union(pool), "url-links")
-    labels = connected_components(links) if links.limit(1).count() else links.select(F.col("a").alias("id"), F.col("b").alias("label"))
+    labels = _labels(links)
     grouped = met.join(labels, "id", "left").select(*key, "next", "id", F.coalesce("label", "id").alias("label"))
     other = grouped.select(*key, "next", F.col("id").alias("b"), F.col("label").alias("_l"))
     rest = grouped.join(other, [*key, "next"]).filter("id < b and label != _l").select(F.col("id").alias("a"), "b").distinct()
     more = stash(_overlapping(rest, dist, alike), "url-links")
-    return connected_components(links.union(more)) if more.limit(1).count() else labels
+    return _labels(links.union(more)) if more.limit(1).count() else labels
 
 
-def _generalised(paths: DataFrame, depth: int, many: int, thin: float, alike: float) -> DataFrame:
-    """``host, segs, template, n, known, bad``: each path with the template that it takes.
+def _generalised(rows: DataFrame, depth: int, many: int, thin: float, alike: float, reject: float) -> DataFrame:
+    """The rows with ``template``, the template that each path takes.
 
     Level by level: under one parent template, if there are more than ``many`` different
     segments and they hold fewer than ``thin`` addresses each, the level varies freely and
     its segments become ``*``. Otherwise branches are like each other where the overlap of
     the distributions of their next segments (the end counts as one) is at least ``alike``,
-    or where each overlaps so with that of all siblings together. Like branches and the
-    like of those form groups, from two branches on. The segments of a parent's group with
-    the most addresses become ``*``, those of its other groups ``*`` and the group's least
-    segment.
+    or where each overlaps so with that of all siblings together, unless their labels speak
+    against it: a branch is on the side of blocked or of allowed ones by the share of its
+    blocked addresses, or by that of its path over all hosts where it has no known one, and
+    branches of two sides, or of a side and none, stay apart. Like branches and the like of
+    those form groups, from two branches on. The segments of a parent's group with the most
+    addresses become ``*``, those of its other groups ``*`` and the group's least segment.
     """
-    rows = paths.withColumn("template", F.expr("cast(array() as array<string>)"))
+    rows = rows.withColumn("template", F.expr("cast(array() as array<string>)"))
     key = ["host", "template"]
     deepest = rows.agg(F.max(F.size("segs")).alias("levels")).first()["levels"] or 0
     for level in range(min(depth, deepest)):
         seg, after = F.get("segs", F.lit(level)), F.coalesce(F.get("segs", F.lit(level + 1)), F.lit(""))
-        there = rows.filter(seg.isNotNull()).select("host", "template", seg.alias("seg"), after.alias("next"), "n")
-        edges = stash(there.groupBy("host", "template", "seg", "next").agg(F.sum("n").alias("n")), "url-edges")
-        branch = edges.groupBy("host", "template", "seg").agg(F.sum("n").alias("bn"))
-        parent = branch.groupBy("host", "template").agg(F.sum("bn").alias("pn"), F.count(F.lit(1)).alias("branches"))
-        pooled = edges.groupBy("host", "template", "next").agg(F.sum("n").alias("nn"))
-        joined = (
-            edges.join(stash(branch, "url-branch"), [*key, "seg"]).join(stash(parent, "url-parent"), key).join(stash(pooled, "url-pooled"), [*key, "next"])
-        )
+        there = rows.filter(seg.isNotNull()).select(*key, seg.alias("seg"), after.alias("next"), "n", "known", "bad", F.get("shared", F.lit(level)).alias("shared"))
+        sums = [F.sum(c).alias(c) for c in ("n", "known", "bad")]
+        edges = stash(there.groupBy(*key, "seg", "next").agg(*sums, F.sum(F.col("shared") * F.col("n")).alias("shared"), F.sum(F.when(F.col("shared").isNotNull(), F.col("n"))).alias("told")), "url-edges")
+        branch = edges.groupBy(*key, "seg").agg(F.sum("n").alias("bn"), *[F.sum(c).alias(c) for c in ("known", "bad", "shared", "told")])
+        purity = F.when(F.col("known") > 0, F.col("bad") / F.col("known")).otherwise(F.col("shared") / F.col("told"))
+        side = F.when(purity.isNull(), "").when(purity >= reject, "block").otherwise("allow")
+        branch = branch.select(*key, "seg", "bn", side.alias("side"))
+        parent = branch.groupBy(*key).agg(F.sum("bn").alias("pn"), F.count(F.lit(1)).alias("branches"))
+        pooled = edges.groupBy(*key, "next").agg(F.sum("n").alias("nn"))
+        joined = edges.select(*key, "seg", "next", "n").join(branch, [*key, "seg"]).join(parent, key).join(pooled, [*key, "next"])
         free = (F.col("branches") > many) & (F.col("pn") / F.col("branches") < thin)
-        shares = joined.select(*key, "seg", "next", "bn", free.alias("free"), (F.col("n") / F.col("bn")).alias("share"), (F.col("nn") / F.col("pn")).alias("pool"))
+        shares = joined.select(*key, "side", "seg", "next", "bn", free.alias("free"), (F.col("n") / F.col("bn")).alias("share"), (F.col("nn") / F.col("pn")).alias("pool"))
         shares = stash(shares, "url-shares")
         # equal distributions have equal sums of hashes: 128 bits tell them apart
         one, two = F.bit_xor(F.xxhash64("next", "share")), F.bit_xor(F.xxhash64("share", "next"))
-        branches = shares.groupBy(*key, "seg", "bn", "free").agg(F.sum(F.least("share", "pool")).alias("overlap"), one.alias("_1"), two.alias("_2"))
-        node = F.md5(F.to_json(F.struct(*key, "_1", "_2")).cast("binary"))
-        branches = stash(branches.select(*key, "seg", "bn", "free", (F.col("overlap") >= alike - ROUNDING).alias("pool_like"), node.alias("id")), "url-branches")
+        branches = shares.groupBy(*key, "side", "seg", "bn", "free").agg(F.sum(F.least("share", "pool")).alias("overlap"), one.alias("_1"), two.alias("_2"))
+        node = F.md5(F.to_json(F.struct(*key, "side", "_1", "_2")).cast("binary"))
+        branches = stash(branches.select(*key, "side", "seg", "bn", "free", (F.col("overlap") >= alike - ROUNDING).alias("pool_like"), node.alias("id")), "url-branches")
         labels = _like_branches(shares, branches.filter("not free"), alike)
-        grouped = branches.join(labels, "id", "left").select(*key, "seg", "bn", "free", F.coalesce("label", "id").alias("label"))
+        label = F.col("id") if labels is None else F.coalesce("label", "id")
+        grouped = (branches if labels is None else branches.join(labels, "id", "left")).select(*key, "seg", "bn", "free", label.alias("label"))
         groups = grouped.groupBy(*key, "label").agg(F.sum("bn").alias("gn"), F.min("seg").alias("least"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-        groups = stash(groups, "url-groups")
         first = groups.groupBy(*key).agg(F.min(F.struct(-F.col("gn"), "least")).getField("least").alias("first"))
         named = groups.join(first, key).select(*key, "label", F.when(F.col("least") == F.col("first"), ANY).otherwise(F.concat(F.lit(ANY), "least")).alias("any"))
         to = F.when(F.col("free"), ANY).otherwise(F.coalesce("any", "seg"))
-        choice = grouped.join(named, [*key, "label"], "left")
-        choice = stash(choice.select(F.col("host").alias("_h"), F.col("template").alias("_t"), F.col("seg").alias("_s"), to.alias("to")), "url-choice")
+        choice = grouped.join(named, [*key, "label"], "left").select(F.col("host").alias("_h"), F.col("template").alias("_t"), F.col("seg").alias("_s"), to.alias("to"))
         met = (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t")) & (seg == F.col("_s"))
-        rows = stash(
-            rows.join(choice, met, "left").select(
-                "host", "segs", F.when(F.col("to").isNull(), F.col("template")).otherwise(F.concat("template", F.array("to"))).alias("template"), "n", "known", "bad"
-            ),
-            "url-rows",
-        )
+        template = F.when(F.col("to").isNull(), F.col("template")).otherwise(F.concat("template", F.array("to")))
+        rows = stash(rows.join(choice, met, "left").select("host", "segs", "shared", template.alias("template"), "n", "known", "bad"), "url-rows")
     return rows
 
 
@@ -181,27 +215,33 @@ def learn(
 ) -> DataFrame:
     """``host, segs, template, purity, verdict`` from ``host, path, verdict`` (null: not known).
 
-    The purity of a template is (blocked + weight * its parent's purity) / (known + weight),
-    from the root, whose parent is the share of blocked ones among all that are known, or 0.
+    The purity of a template is (blocked + weight * prior) / (known + weight). A host's own
+    prior is the share of blocked ones among all that are known, or 0. Below it, a
+    template's prior is its parent's purity, or the mean of that and the purity of its
+    paths over all hosts, where anything is known of those: so labels of other hosts' like
+    paths reach hosts that have none.
     """
-    rows = _generalised(_labelled(addresses, depth), depth, many, thin, alike)
-    total = rows.agg(F.sum("bad").alias("bad"), F.sum("known").alias("known"))
-    root = stash(total.select(F.coalesce(F.col("bad") / F.when(F.col("known") > 0, F.col("known")), F.lit(0.0)).alias("share")), "url-share").first()["share"]
+    paths, share = _labelled(addresses, depth, weight)
+    rows = _generalised(paths, depth, many, thin, alike, reject)
     level = F.explode(F.sequence(F.lit(0), F.size("template"))).alias("level")
-    prefixes = rows.select("host", "template", "known", "bad", level).select("host", F.slice("template", F.lit(1), F.col("level")).alias("prefix"), "known", "bad")
-    sums = stash(prefixes.groupBy("host", "prefix").agg(F.sum("known").alias("known"), F.sum("bad").alias("bad")), "url-sums")
-    purity = stash(
-        sums.filter(F.size("prefix") == 0).select("host", "prefix", ((F.col("bad") + weight * root) / (F.col("known") + weight)).alias("purity")), "url-purity"
+    shared = F.when(F.col("level") > 0, F.get("shared", F.col("level") - 1))
+    prefixes = rows.select("host", "template", "shared", "n", "known", "bad", level).select(
+        "host", F.slice("template", F.lit(1), F.col("level")).alias("prefix"), "n", "known", "bad", shared.alias("shared")
+    )
+    sums = prefixes.groupBy("host", "prefix").agg(
+        F.sum("known").alias("known"), F.sum("bad").alias("bad"), (F.sum(F.col("shared") * F.col("n")) / F.sum(F.when(F.col("shared").isNotNull(), F.col("n")))).alias("shared")
     )
-    done = purity
-    for size in range(1, depth + 1):
-        above = purity.select(F.col("host").alias("_h"), F.col("prefix").alias("_p"), F.col("purity").alias("_up"))
-        here = sums.filter(F.size("prefix") == size).withColumn("_cut", F.slice("prefix", 1, size - 1))
-        met = (F.col("host") == F.col("_h")) & (F.col("_cut") == F.col("_p"))
-        purity = stash(here.join(above, met).select("host", "prefix", ((F.col("bad") + weight * F.col("_up")) / (F.col("known") + weight)).alias("purity")), "url-purity")
-        done = done.union(purity)
-    done = done.select(F.col("host").alias("_h"), F.col("prefix").alias("_p"), "purity")
-    found = rows.join(done, (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_p")))
+    sums = stash(sums.select(F.col("host").alias("_h"), F.col("prefix").alias("_p"), F.struct(F.size("prefix").alias("level"), "known", "bad", "shared").alias("node")), "url-sums")
+    leaves = rows.select("host", "template").distinct()
+    above = leaves.select("host", "template", F.explode(F.transform(F.sequence(F.lit(0), F.size("template")), lambda i: F.slice("template", F.lit(1), i))).alias("prefix"))
+    chains = above.join(sums, (F.col("host") == F.col("_h")) & (F.col("prefix") == F.col("_p"))).groupBy("host", "template").agg(F.array_sort(F.collect_list("node")).alias("nodes"))
+
+    def step(purity: Column, node: Column) -> Column:
+        prior = F.coalesce((purity + node["shared"]) / 2, purity)
+        return (node["bad"] + weight * prior) / (node["known"] + weight)
+
+    judged = chains.select(F.col("host").alias("_h"), F.col("template").alias("_t"), F.aggregate("nodes", F.lit(float(share)), step).alias("purity"))
+    found = rows.join(judged, (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t")))
     return found.select("host", "segs", "template", "purity", F.when(F.col("purity") >= reject, "block").otherwise("allow").alias("verdict"))
 
 
