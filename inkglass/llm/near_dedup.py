@@ -88,7 +88,7 @@ def _least_matches(width: int, share: float) -> int:
 
 
 def _may_link(pairs: DataFrame, share: float, width: int) -> DataFrame:
-    """Pairs whose sizes and sketches allow a link, from ``a, b, na, nb, sa, sb``."""
+    """Pairs whose sizes and sketches allow a link, from ``a, b, members, na, nb, sa, sb``."""
     least = _least_matches(width, share)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -96,10 +96,10 @@ def _may_link(pairs: DataFrame, share: float, width: int) -> DataFrame:
             if len(p):
                 sa, sb = (np.frombuffer(b"".join(p[c]), np.uint8).reshape(len(p), width) for c in ("sa", "sb"))
                 p = p[(sa == sb).sum(1) >= least]
-            yield p[["a", "b"]]
+            yield p[["a", "b", "members"]]
 
     sizes = F.least("na", "nb") >= F.lit(share) * F.greatest("na", "nb")
-    return pairs.filter(sizes).select("a", "b", "sa", "sb").mapInPandas(run, "a binary, b binary")
+    return pairs.filter(sizes).select("a", "b", "members", "sa", "sb").mapInPandas(run, "a binary, b binary, members long")
 
 
 def _across(members: DataFrame, share: float, width: int, k: int, percent: int) -> DataFrame:
@@ -113,6 +113,8 @@ def _across(members: DataFrame, share: float, width: int, k: int, percent: int)
     least = _least_matches(width, share)
 
     def block(p: pd.DataFrame) -> pd.DataFrame | None:
+        if not len(p):
+            return None
         n, labels, sides = p["n"].to_numpy(), pd.factorize(p["label"])[0], p["side"].to_numpy()
         order = np.argsort(n, kind="stable")
         n, labels, sides = n[order], labels[order], sides[order]
@@ -140,17 +142,20 @@ def _across(members: DataFrame, share: float, width: int, k: int, percent: int)
         return pd.DataFrame(links, columns=["a", "b"]) if links else None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest: pd.DataFrame | None = None
+        held: list[pd.DataFrame] = []
+        last = None
         for batch in batches:
-            rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            key = rest[["bucket", "part"]].to_numpy()
+            key = batch[["bucket", "part"]].to_numpy()
             cuts = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
-            for start, end in zip([0, *cuts[:-1]], cuts):
-                if (out := block(rest.iloc[start:end])) is not None:
-                    yield out
-            if len(cuts):
-                rest = rest.iloc[cuts[-1] :].reset_index(drop=True)
-        if rest is not None and len(rest) and (out := block(rest)) is not None:
+            for start, end in zip([0, *cuts], [*cuts, len(batch)]):
+                now = tuple(key[start]) if len(key) else last
+                if held and now != last:
+                    if (out := block(pd.concat(held, ignore_index=True))) is not None:
+                        yield out
+                    held = []
+                held.append(batch.iloc[start:end])
+                last = now
+        if held and (out := block(pd.concat(held, ignore_index=True))) is not None:
             yield out
 
     sorted_members = members.repartition("bucket", "part").sortWithinPartitions("bucket", "part")
@@ -160,11 +165,11 @@ def _across(members: DataFrame, share: float, width: int, k: int, percent: int)
 def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """``a, b`` of the pairs that are links on their full sets.
 
-    ``texts``: ``sid, text``. The text of ``a`` goes once to every ``FAN`` of its partners,
-    so that a node with very many is spread out; partners stream past it one by one.
+    ``texts``: ``sid, text``; ``pairs``: ``a, b, members``, of which ``members`` bounds the
+    partners of ``a``. Its text goes once to about every ``FAN`` of them, so that a node
+    with very many is spread out; partners stream past it one by one.
     """
-    fans = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / FAN).cast("int").alias("fans"))
-    placed = stash(pairs.join(fans, "a").withColumn("fan", F.pmod(F.xxhash64("b"), F.col("fans")).cast("int")), "near-fans")
+    placed = pairs.withColumn("fan", F.pmod(F.xxhash64("b"), F.ceil(F.col("members") / FAN)).cast("int"))
     members = placed.select("a", "fan", F.lit(1).alias("role"), F.col("b").alias("_sid"))
     heads = placed.select("a", "fan").distinct().select("a", "fan", F.lit(0).alias("role"), F.col("a").alias("_sid"))
     wanted = stash(heads.union(members), "near-wanted")
@@ -206,7 +211,11 @@ def near_duplicates(
     space have no shingles, are linked with nothing and are kept. A row with a null id is
     kept; it can be linked only with texts of the same set, and has a null component where
     no row of its component has an id. Rows that repeat an id are documents of their own
-    that share its fate. Other columns are ignored; an empty table gives no rows.
+    that share its fate. Other columns are ignored; an empty table gives no rows. Texts of any
+    length are read whole, in segments; the longest word is held at once.
+
+    Sets are sets of 64-bit hashes that mix every bit of every word: two texts of n and m
+    shingles, compared once, are misjudged with a probability of about n * m / 2**64.
     """
     share, width = percent / 100, rows * bands
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -234,7 +243,8 @@ def near_duplicates(
         side = lambda x: known.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
         return stash(pairs.join(side("a"), "a"), "near-sketched").join(side("b"), "b")
 
-    stars = stash(buckets.filter("sid != head").select(F.col("head").alias("a"), F.col("sid").alias("b")).distinct(), "near-stars")
+    stars = buckets.filter("sid != head").groupBy(F.col("head").alias("a"), F.col("sid").alias("b")).agg(F.max("members").alias("members"))
+    stars = stash(stars, "near-stars")
     first = stash(_verify(stash(_may_link(sketched(stars), share, width), "near-pairs"), texts, shingle_words, percent), "near-links")
     labels = connected_components(first)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -14,30 +15,23 @@ def _mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-# Each byte value has a random weight, and position j multiplies it by _BASE**j; as _BASE is
-# odd, its powers have inverses, so a word's hash does not depend on where the word stands.
-_WEIGHTS = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
-_BASE = 0xD6E8FEB86659FD93
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _SEGMENT = 1 << 20
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+#: Words of more bytes are hashed one by one.
+_LONG = 64
 
 
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Hash and first byte of every word of ``data``, A-Z counted as a-z.
 
-    Words are cut at ASCII white space only. Long data are read in segments that end at
-    white space, so memory does not grow with them.
+    A word's hash takes in eight bytes at a time and mixes all bits after each, so that
+    words alike in any part or pattern have hashes as unlike as any. Words are cut at ASCII
+    white space only. Long data are read in segments that end at white space, so memory
+    does not grow with them.
     """
     data = data.lower()
     hashes, starts, at = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
-    powers = inverses = np.empty(0, np.uint64)
     while at < len(data):
         end = min(at + _SEGMENT, len(data))
         while end < len(data) and not _SPACE[data[end]]:
@@ -45,10 +39,22 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         buf = np.frombuffer(data, np.uint8, end - at, at)
         edge = np.diff(np.concatenate(([False], ~_SPACE[buf], [False])).view(np.int8))
         first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        if len(powers) < len(buf):
-            powers, inverses = _powers(_BASE, len(buf)), _powers(pow(_BASE, -1, 1 << 64), len(buf))
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_WEIGHTS[buf] * powers[: len(buf)], dtype=np.uint64)))
-        hashes.append(_mix64((sums[last] - sums[first]) * inverses[first] + (last - first).astype(np.uint64)))
+        sizes = last - first
+        # the eight bytes from every place on, as one number
+        padded = np.concatenate((buf, np.zeros(8, np.uint8)))
+        eight = np.ndarray(len(buf), "<u8", padded, strides=(1,))
+        h = _mix64(sizes.astype(np.uint64) * _M)
+        todo = np.flatnonzero(sizes <= _LONG)
+        for done in range(0, _LONG, 8):
+            todo = todo[sizes[todo] > done]
+            if not len(todo):
+                break
+            unused = np.maximum(done + 8 - sizes[todo], 0).astype(np.uint64) * np.uint64(8)
+            lane = (eight[first[todo] + done] << unused) >> unused
+            h[todo] = _mix64(h[todo] * _M ^ lane)
+        for i in np.flatnonzero(sizes > _LONG).tolist():
+            h[i] = xxhash.xxh3_64_intdigest(data[at + first[i] : at + last[i]])
+        hashes.append(h)
         starts.append(first + at)
         at = end
     return np.concatenate(hashes), np.concatenate(starts)

@@ -100,6 +100,20 @@ def test_shingle_hashes_tell_words_apart():
     assert (a == b).all() and len(c) == 1 and not set(a) & set(c)
     long_text = " ".join(f"word{i}" for i in range(300_000))
     assert len(shingles.shingle_sets([long_text], 1)[0]) == 300_000
+    # words of strong structure, of all lengths around the steps of the hash
+    words = {("ab" * n)[:m] for n in range(1, 60) for m in range(2 * n - 1, 2 * n + 1)} | {"a" * n for n in range(1, 200)} | {"a" * n + "b" for n in range(1, 200)}
+    for size in (64, 1024, 4096):
+        morse = [bin(i).count("1") % 2 for i in range(size)]
+        words |= {"".join("ab"[m] for m in morse), "".join("ba"[m] for m in morse)}
+    assert len(shingles.shingle_sets([" ".join(words)], 1)[0]) == len(words)
+    where = shingles.shingle_sets(["x " * i + w for i, w in enumerate(sorted(words))], 1)
+    assert len(set().union(*map(set, where))) == len(words) + 1
+
+
+def test_words_of_one_polynomial_hash_are_no_near_copies(spark):
+    morse = [bin(i).count("1") % 2 for i in range(1024)]
+    d = docs(spark, (1, "".join("ab"[m] for m in morse), None), (2, "".join("ba"[m] for m in morse), None))
+    assert all(r.kept and r.component_id == r.doc_id for r in near_dedup.near_duplicates(d).collect())
 
 
 def test_components(spark):
