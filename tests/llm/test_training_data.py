@@ -531,6 +531,101 @@ def test_templates_learn_from_labels(spark):
     assert by["h", ("spam", "{n}")].purity > 0.8 and ("g", ("tag", "*", "view")) in by
 
 
+def brute_templates(rows, many=20, thin=5.0, alike=0.8, weight=4.0, reject=0.5):
+    def shaped(segment):
+        for pattern, wildcard in url_filter.SHAPES:
+            segment = re.sub(pattern, wildcard.replace("$1", r"\1"), segment)
+        return segment
+
+    paths = {}
+    for host, path, verdict in rows:
+        segs = tuple(map(shaped, re.sub("^/", "", path).split("/", url_filter.DEPTH - 1)))
+        p = paths.setdefault((host, segs), [0, 0, 0])
+        p[0], p[1], p[2] = p[0] + 1, p[1] + (verdict is not None), p[2] + (verdict == "block")
+    known = sum(p[1] for p in paths.values())
+    share = sum(p[2] for p in paths.values()) / known if known else 0.0
+    pooled = {}
+    for (_, segs), (_, k, b) in paths.items():
+        for i in range(1, len(segs) + 1):
+            q = pooled.setdefault("/".join(segs[:i]), [0, 0])
+            q[0], q[1] = q[0] + k, q[1] + b
+
+    def shared(segs):
+        k, b = pooled["/".join(segs)]
+        return (b + weight * share) / (k + weight) if k else None
+
+    template = dict.fromkeys(paths, ())
+    for level in range(max((len(s) for _, s in paths), default=0)):
+        parents = {}
+        for (host, segs), p in paths.items():
+            if len(segs) > level:
+                parents.setdefault((host, template[host, segs]), {}).setdefault(segs[level], []).append((segs, p))
+        choice = {}
+        for parent, branches in parents.items():
+            size = {s: sum(p[0] for _, p in g) for s, g in branches.items()}
+            after = {s: {} for s in branches}
+            pool, side, total = {}, {}, sum(size.values())
+            for s, g in branches.items():
+                for segs, p in g:
+                    x = segs[level + 1] if len(segs) > level + 1 else ""
+                    after[s][x] = after[s].get(x, 0) + p[0] / size[s]
+                    pool[x] = pool.get(x, 0) + p[0] / total
+                k, b = sum(p[1] for _, p in g), sum(p[2] for _, p in g)
+                told = [(shared(segs[: level + 1]), p[0]) for segs, p in g if shared(segs[: level + 1]) is not None]
+                purity = b / k if k else sum(x * n for x, n in told) / sum(n for _, n in told) if told else None
+                side[s] = "" if purity is None else "block" if purity >= reject else "allow"
+            if len(branches) > many and total / len(branches) < thin:
+                choice |= {(parent, s): "*" for s in branches}
+                continue
+            overlap = lambda a, b: sum(min(v, b.get(x, 0)) for x, v in a.items()) >= alike - 1e-9
+            group = {s: {s} for s in branches}
+            for a, b in combinations(branches, 2):
+                if side[a] == side[b] and (overlap(after[a], after[b]) or (overlap(after[a], pool) and overlap(after[b], pool))) and group[a] is not group[b]:
+                    group[a] |= group[b]
+                    for s in group[b]:
+                        group[s] = group[a]
+            merged = {min(g): g for g in group.values() if len(g) > 1}
+            first = min(((-sum(size[s] for s in g), least) for least, g in merged.items()), default=(0, None))[1]
+            for s in branches:
+                least = min(group[s])
+                choice[parent, s] = s if least not in merged else "*" if least == first else "*" + least
+        for host, segs in paths:
+            if len(segs) > level:
+                old = template[host, segs]
+                template[host, segs] = old + (choice[(host, old), segs[level]],)
+    sums = {}
+    for (host, segs), (n, k, b) in paths.items():
+        t = template[host, segs]
+        for i in range(len(t) + 1):
+            q = sums.setdefault((host, t[:i]), [0, 0, 0.0, 0])
+            g = shared(segs[:i]) if i else None
+            q[0], q[1], q[2], q[3] = q[0] + k, q[1] + b, q[2] + (g or 0) * n, q[3] + (n if g is not None else 0)
+    out = {}
+    for (host, segs), t in template.items():
+        purity = share
+        for i in range(len(t) + 1):
+            k, b, g, told = sums[host, t[:i]]
+            purity = (b + weight * ((purity + g / told) / 2 if told else purity)) / (k + weight)
+        out[host, segs] = (t, purity)
+    return out
+
+
+def test_templates_equal_brute_force(spark):
+    rng = random.Random(11)
+    made = [(rng.choice("ghk"), "/" + "/".join(rng.choice(["a", "b", "c", str(rng.randrange(9)), f"x{rng.randrange(40)}"]) for _ in range(rng.randrange(5))), rng.choice(["block", "allow", None, None])) for _ in range(600)]
+    made += [("free", f"/u{i}/view", rng.choice(["block", None])) for i in range(40)] + [("empty", "", None)]
+    ruled = table(spark, "pages").select(url_filter.host_of(F.col("url")).alias("host"), url_filter.path_of(F.col("url")).alias("path"))
+    ruled = ruled.withColumn("verdict", url_filter.matching_rule(F.col("host"), F.col("path"), queries.URL_RULES)["verdict"])
+    for rows in (made, [tuple(r) for r in ruled.collect()]):
+        want = brute_templates(rows)
+        got = url_filter.learn(spark.createDataFrame(rows, "host string, path string, verdict string")).collect()
+        assert len(got) == len(want)
+        for r in got:
+            t, purity = want[r.host, tuple(r.segs)]
+            assert tuple(r.template) == t and abs(r.purity - purity) < 1e-9 and r.verdict == ("block" if r.purity >= 0.5 else "allow"), (r, t, purity)
+    assert {r.verdict for r in got} == {"allow", "block"}
+
+
 def test_like_branches_merge_at_any_fan_out(spark):
     grow = lambda h, tree: [(h, f"/{b}/{x}", None) for b, xs in tree.items() for x in xs.split()]
     rows = grow("two", {"a": "x y", "b": "x y"}) + grow("unlike", {"a": "x y", "b": "z w"}) + grow("one", {"a": "x y"})
