@@ -144,7 +144,7 @@ def nearest(
     reach: float = 6.0,
     power: float = 0.75,
     sample: int = 50_000,
-    floor_sample: int = 4_096,
+    floor_sample: int = 50_000,
     cell: int = 32,
     chunk: int = 8_192,
     seed: int = 7,
