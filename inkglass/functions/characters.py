@@ -92,13 +92,18 @@ def condition(point: str, ranges: Ranges) -> str:
     return "(" + " OR ".join(f"{point} = {a}" if a == b else f"{point} BETWEEN {a} AND {b}" for a, b in ranges) + ")"
 
 
+def non_ascii(text: Column) -> Column:
+    """A text's characters beyond ASCII, in order: so short that many classes can be tried on it."""
+    return F.regexp_replace(text, r"[\x00-\x7F]+", "")
+
+
 def count_of(text: Column, ranges: Ranges) -> Column:
-    """Characters of a class in a text. ASCII texts, the most, skip all classes beyond ASCII."""
-    found = F.regexp_count(text, F.lit(fast_pattern(ranges)))
-    return found if ranges[0][0] < 0x80 else F.when(text.rlike(r"[^\x00-\x7F]"), found).otherwise(0)
+    """Characters of a class in a text."""
+    return F.regexp_count(text, F.lit(fast_pattern(ranges)))
 
 
-#: (category, signal, ranges) of the signals that one character gives by itself.
+#: (category, signal, ranges) of the signals that one character gives by itself. Texts of
+#: valid UTF-8 hold no surrogates, so there is no signal of these.
 SIGNALS: tuple[tuple[str, str, Ranges], ...] = (
     ("unicode_security", "default_ignorable", DEFAULT_IGNORABLE),
     ("unicode_security", "soft_hyphen", ((0xAD, 0xAD),)),
@@ -108,6 +113,7 @@ SIGNALS: tuple[tuple[str, str, Ranges], ...] = (
     ("unicode_security", "tag_character", TAG),
     ("unicode_security", "private_use", PRIVATE_USE),
     ("unicode_security", "noncharacter", NONCHARACTER),
+    ("unicode_security", "unassigned", unassigned()),
     ("unicode_security", "replacement_character", ((0xFFFD, 0xFFFD),)),
     ("unicode_security", "noninitial_bom", ((0xFEFF, 0xFEFF),)),  # not at the text's start
     ("typography", "smart_quote", SMART_QUOTE),
@@ -115,4 +121,5 @@ SIGNALS: tuple[tuple[str, str, Ranges], ...] = (
     ("typography", "unicode_ellipsis", ELLIPSIS),
     ("formatting", "unusual_space_separator", SPACE_SEPARATOR),
 )
-CATEGORIES = ("unicode_security", "typography", "formatting", "provenance", "watermark", "authorship")
+# The categories of findings.
+CATEGORIES = ("provenance", "unicode_security", "known_watermark", "authorship_signal", "typography", "formatting")

@@ -17,6 +17,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def settled(name: str) -> Column:
+    """A column for a UDF's argument, named twice, so that it is computed before the UDF.
+
+    Spark would write its expression into the UDF's arguments if it occurred once, where
+    it cannot evaluate lambdas.
+    """
+    return F.when(F.col(name).isNotNull(), F.col(name))
+
+
 def scan(items: Column, first: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
     """``array<kind>`` of what ``step(state, item)``, which gives the next state and an array, gives for all items.
 
@@ -29,16 +38,16 @@ def scan(items: Column, first: Column, kind: str, step: Callable[[Column, Column
         state, out = step(acc["at"], item)
         return F.struct(state.alias("at"), F.concat(acc["out"], out).alias("out"))
 
-    def whole(all_items: Column) -> Column:
+    def blocks_of(all_items: Column) -> Column:
         def block(acc: Column, b: Column) -> Column:
             start = F.struct(acc["at"].alias("at"), none.alias("out"))
-            done = F.aggregate(F.slice(all_items, b * BLOCK + 1, F.lit(BLOCK)), start, one)
-            return let(done, lambda d: F.struct(d["at"].alias("at"), F.concat(acc["out"], F.array(d["out"])).alias("out")))
+            whole = lambda d: F.struct(d["at"].alias("at"), F.concat(acc["out"], F.array(d["out"])).alias("out"))
+            return F.aggregate(F.slice(all_items, b * BLOCK + 1, F.lit(BLOCK)), start, one, whole)
 
         blocks = F.sequence(F.lit(0), F.floor(F.size(all_items) / BLOCK).cast("int"))
         return F.flatten(F.aggregate(blocks, F.struct(first.alias("at"), nested.alias("out")), block, lambda a: a["out"]))
 
-    return let(items, whole)
+    return let(items, blocks_of)
 
 
 def match_spans(text: Column, pattern: str) -> Column:
@@ -48,18 +57,16 @@ def match_spans(text: Column, pattern: str) -> Column:
     Patterns must not match the empty string. Null texts and texts without a match have none.
     """
 
-    def spans(matches: Column) -> Column:
-        pairs = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches)).alias("gap"), matches.alias("hit"))
-
-        def step(at: Column, p: Column) -> tuple[Column, Column]:
-            start = at + F.length(p["gap"])
-            end = start + F.length(p["hit"])
-            return end, F.array(F.struct(start.alias("start"), end.alias("end"), p["hit"].alias("text")))
+    # there is one gap more than matches, so the last pair has no match
+    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
 
-        found = scan(pairs, F.lit(0), "struct<start:int,end:int,text:string>", step)
-        return F.when(F.size(matches) > 0, found).otherwise(F.array().cast(SPANS))
+    def step(at: Column, p: Column) -> tuple[Column, Column]:
+        start = at + F.length(p["gap"])
+        end = start + F.length(p["hit"])
+        span = F.struct(start.alias("start"), end.alias("end"), p["hit"].alias("text"))
+        return end, F.when(p["hit"].isNotNull(), F.array(span)).otherwise(F.array().cast(SPANS))
 
-    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), spans)
+    return F.coalesce(scan(pairs, F.lit(0), "struct<start:int,end:int,text:string>", step), F.array().cast(SPANS))
 
 
 def without_spans(text: Column, spans: Column) -> Column:

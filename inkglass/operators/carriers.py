@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.spans import column_of, line_of, match_spans, without_spans
+from .signals import FINDING, finding, place
 
 # What marks a carrier.
 BEGIN, END = "-----BEGIN C2PA MANIFEST-----", "-----END C2PA MANIFEST-----"
@@ -56,10 +57,10 @@ def wrapper_problem(code: Column) -> Column:
     told, held = F.conv(F.substring(code, 19, 8), 16, 10).cast("long"), F.length(code) / 2 - 13
     version = F.conv(F.substring(code, 17, 2), 16, 10)
     return (
-        F.when(~F.startswith(code, F.lit(MAGIC_HEX)), "not a C2PA text wrapper")
-        .when(F.length(code) < 26, "truncated C2PA text-wrapper header")
-        .when(version != "1", F.concat(F.lit("unsupported C2PA text-wrapper version "), version))
-        .when(told != held, F.format_string("C2PA text-wrapper manifest length mismatch (declared %d, found %d)", told, held.cast("long")))
+        F.when(~F.startswith(code, F.lit(MAGIC_HEX)), "the bytes are no text wrapper")
+        .when(F.length(code) < 26, "the wrapper ends within its header")
+        .when(version != "1", F.concat(F.lit("unknown wrapper version "), version))
+        .when(told != held, F.format_string("the header tells of %d manifest bytes, %d follow", told, held.cast("long")))
         .otherwise("")
     )
 
@@ -73,12 +74,17 @@ def _strict_base64(text: Column) -> Column:
     return (text != "") & text.rlike(BASE64)
 
 
+def may_carry(text: Column) -> Column:
+    """False for texts without any mark of a carrier."""
+    return F.contains(text, F.lit(BEGIN)) | F.contains(text, F.lit("\ufeff")) | text.rlike("(?i)application/c2pa|c2pa-manifest")
+
+
 def carriers(text: Column) -> Column:
     """All carriers of a text by start: ``array<struct<kind, start, end, valid, message>>``."""
 
     def wrapper(s: Column) -> Column:
         problem = wrapper_problem(selector_bytes(s["text"]))
-        return _carrier("variation_selector", s, problem == "", F.when(problem == "", "complete C2PA text wrapper").otherwise(problem))
+        return _carrier("variation_selector", s, problem == "", F.when(problem == "", "whole text wrapper").otherwise(problem))
 
     def structured(s: Column) -> Column:
         ref = F.trim(F.concat(F.regexp_extract(s["text"], SINGLE_LINE, 1), F.regexp_extract(s["text"], BLOCK, 1)))
@@ -87,21 +93,21 @@ def carriers(text: Column) -> Column:
         embedded = data & _strict_base64(body)
         kind = F.when(embedded, "structured_embedded").when(~data & uri, "structured_external_reference").otherwise("structured_block")
         message = (
-            F.when(embedded, "complete embedded C2PA reference")
-            .when(data & (body == ""), "empty C2PA data URI")
-            .when(data, "invalid C2PA data URI")
-            .when(uri, "complete external C2PA reference; URL was not retrieved")
-            .otherwise("invalid or empty C2PA manifest reference")
+            F.when(embedded, "whole manifest in a data URI")
+            .when(data & (body == ""), "data URI without a manifest")
+            .when(data, "data URI that is no strict Base64")
+            .when(uri, "reference to a manifest elsewhere, not fetched")
+            .otherwise("no usable manifest reference")
         )
         return _carrier(kind, s, embedded | (~data & uri), message)
 
     def inline(s: Column) -> Column:
         ok = _strict_base64(F.regexp_replace(F.regexp_extract(s["text"], INLINE, 2), r"\s", ""))
-        return _carrier("html_inline", s, ok, F.when(ok, "complete inline C2PA manifest").otherwise("invalid or empty inline C2PA manifest"))
+        return _carrier("html_inline", s, ok, F.when(ok, "whole inline manifest").otherwise("inline manifest that is empty or no Base64"))
 
     def link(s: Column) -> Column:
         ok = F.regexp_extract(s["text"], HREF, 2).rlike(URI)
-        return _carrier("html_external_reference", s, ok, F.when(ok, "complete external C2PA reference; URL was not retrieved").otherwise("invalid external C2PA reference"))
+        return _carrier("html_external_reference", s, ok, F.when(ok, "reference to a manifest elsewhere, not fetched").otherwise("link without a usable reference"))
 
     marked = F.contains(text, F.lit(BEGIN))
     none = F.array().cast(CARRIERS)
@@ -110,7 +116,7 @@ def carriers(text: Column) -> Column:
     lone = F.filter(match_spans(text, DANGLING), lambda d: ~F.exists(blocks, lambda b: (b["start"] <= d["start"]) & (d["start"] < b["end"])))
     found = F.concat(
         F.when(F.contains(text, F.lit("﻿")), F.transform(wrappers, wrapper)).otherwise(none),
-        F.when(marked, F.concat(F.transform(blocks, structured), F.transform(lone, lambda d: _carrier("structured_block", d, F.lit(False), "dangling C2PA begin marker")))).otherwise(none),
+        F.when(marked, F.concat(F.transform(blocks, structured), F.transform(lone, lambda d: _carrier("structured_block", d, F.lit(False), "begin mark without an end")))).otherwise(none),
         F.when(text.rlike(r"(?i)application/c2pa"), F.transform(match_spans(text, INLINE), inline)).otherwise(none),
         F.when(text.rlike(r"(?i)c2pa-manifest"), F.transform(match_spans(text, LINK), link)).otherwise(none),
     )
@@ -124,21 +130,22 @@ def carrier_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.select(id_col, "_c.*", line_of(F.col("_t"), F.col("_c.start")).alias("line"), column_of(F.col("_t"), F.col("_c.start")).alias("column"))
 
 
+def carrier_findings_of(text: Column) -> Column:
+    """``array<FINDING>``: one for each carrier."""
+
+    def one(c: Column) -> Column:
+        valid = c["valid"]
+        at = lambda o: (line_of(text, o), column_of(text, o), o)
+        signal = F.concat(F.lit("c2pa_"), c["kind"], F.when(valid, "_valid").otherwise("_malformed"))
+        action = F.when(valid, "strip_provenance").otherwise("report")
+        return finding("provenance", signal, F.lit(1).cast("long"), F.array(place(*at(c["start"]), *at(c["end"]))), F.when(valid, "high").otherwise("medium"), valid, action, c["message"], "C2PA")
+
+    return F.when(may_carry(text), F.transform(carriers(text), one)).otherwise(F.array().cast(f"array<{FINDING}>"))
+
+
 def carrier_findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One finding for each carrier, in the shape of :func:`.signals.findings` without places."""
-    valid = F.col("valid")
-    return carrier_rows(docs, id_col, text_col).select(
-        id_col,
-        F.lit("provenance").alias("category"),
-        F.concat(F.lit("c2pa_"), F.col("kind"), F.when(valid, "_valid").otherwise("_malformed")).alias("signal"),
-        F.lit(1).cast("long").alias("count"),
-        "line",
-        "column",
-        F.when(valid, "high").otherwise("medium").alias("confidence"),
-        valid.alias("removable"),
-        F.when(valid, "strip_provenance").otherwise("report").alias("planned_action"),
-        "message",
-    )
+    """One row for each carrier: ``id_col`` and the fields of a finding."""
+    return docs.select(F.col(id_col), F.explode(carrier_findings_of(F.col(text_col))).alias("_f")).select(id_col, "_f.*")
 
 
 def strip_carriers(text: Column) -> Column:

@@ -10,7 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import characters as ch
-from .carriers import BEGIN, carriers, strip_carriers
+from ..functions.spans import let
+from .carriers import carriers, may_carry, strip_carriers
 
 
 @dataclass(frozen=True)
@@ -71,9 +72,8 @@ def repair(text: Column) -> Column:
 def clean(text: Column, options: CleanOptions = CleanOptions()) -> Column:
     """The cleaned text; null stays null. Only what lies between carriers is cleaned."""
     if options.strip_provenance:
-        return _clean(strip_carriers(text), options)
-    marked = F.contains(text, F.lit(BEGIN)) | F.contains(text, F.lit("\ufeff")) | text.rlike("(?i)application/c2pa|c2pa-manifest")
-    return F.when(marked, _clean_between(text, carriers(text), options)).otherwise(_clean(text, options))
+        return let(strip_carriers(text), lambda t: _clean(t, options))
+    return F.when(may_carry(text), _clean_between(text, carriers(text), options)).otherwise(_clean(text, options))
 
 
 def _clean_between(text: Column, spans: Column, options: CleanOptions) -> Column:

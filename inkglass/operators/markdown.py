@@ -3,71 +3,94 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.spans import let
 from .signals import LINE_END
 
 # Patterns of lines that Markdown reads by themselves.
 FENCE = r"^\s{0,3}(?:`{3,}|~{3,})"
 ATX = r"^\s{0,3}#{1,6}(?:\s|$)"
 SETEXT = r"^\s{0,3}(?:={3,}|-{3,})\s*$"
-THEMATIC = r"^\s{0,3}(?:[-*_]\s*){3,}$"
+# Java follows a repeated group of no fixed length by recursion, so these repeat none, or possessively.
+THEMATIC = r"^\s{0,3}[-*_](?:\s*[-*_]){2}[-*_\s]*$"
 LIST = r"^\s*(?:[-+*]|[0-9]+[.)])\s+(?:\[[ xX]\]\s+)?"
 QUOTE = r"^\s{0,3}> ?"
 REFERENCE = r"^\s{0,3}\[[^\]]+\]:\s*\S+"
 HTML = r"^\s*</?[A-Za-z][^>]*>\s*$|^\s*<!--"
-TABLE = r"^\s*\|.*\|\s*$|^\s*\|?\s*:?-{3,}:?\s*(?:\|\s*:?-{3,}:?\s*)+\|?\s*$"
+TABLE = r"^\s*\|.*\|\s*$|^\s*\|?\s*:?-{3,}:?\s*(?:\|\s*:?-{3,}:?\s*)++\|?\s*$"
 PROTECTED = (ATX, SETEXT, THEMATIC, REFERENCE, HTML, TABLE)
 WIDTHS = (72, 78, 79, 80)
 
 
-def _protected(line: Column) -> Column:
-    met = line.rlike(r"^\s*$") | line.rlike(r"^(?: {4}|\t)")
-    for p in PROTECTED:
-        met = met | line.rlike(p)
-    return met
+#: What any line that is more than plain text begins with.
+_MARKED = r"^(?:\s*$| {4}|\t|\s*[#=*_\[<|:>+`~0-9-])"
+AUDIT = ("lines", "soft_break_candidates", "list_continuations", "hard_breaks")
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id_col, n, line``: a terminator at the end of the text adds no line."""
-    body = F.regexp_replace(F.col(text_col), rf"(?:{LINE_END})\z", "")
-    rows = docs.filter(F.length(text_col) > 0)
-    return rows.select(id_col, F.posexplode(F.split(body, LINE_END, -1)).alias("n", "line"))
+def _kind(line: Column) -> Column:
+    """``struct<fence, alone, list, quote, hard, width>`` of a line; most lines are plain and cost one test."""
+    flags = {
+        "fence": line.rlike(FENCE),
+        "alone": reduce(lambda a, b: a | b, [line.rlike(r"^\s*$") | line.rlike(r"^(?: {4}|\t)"), *[line.rlike(p) for p in PROTECTED]]),
+        "list": line.rlike(LIST),
+        "quote": line.rlike(QUOTE),
+    }
+    marked = F.struct(*[c.alias(n) for n, c in flags.items()])
+    plain = F.struct(*[F.lit(False).alias(n) for n in flags])
+    ends = {"hard": F.endswith(line, F.lit("\\")) | F.endswith(line, F.lit("  ")), "width": F.length(F.regexp_replace(line, r"\s+$", ""))}
+    return F.struct(F.when(line.rlike(_MARKED), marked).otherwise(plain).alias("is"), *[c.alias(n) for n, c in ends.items()])
 
 
-def line_facts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per line: ``id_col, n, soft, continuation, hard, width``.
+def audit_of(text: Column) -> Column:
+    """``struct<lines, soft_break_candidates, list_continuations, hard_breaks, widths>`` of a text.
 
-    A document's lines meet in one window, so no line is looked at before its fence is known.
+    ``widths`` lists the widths of the lines that are just as wide as editors wrap. A
+    terminator at the end of the text adds no line; an empty text has none. Null for null.
     """
-    order = Window.partitionBy(id_col).orderBy("n")
-    fence = F.col("line").rlike(FENCE)
-    rows = _lines(docs, id_col, text_col).withColumn("fence", fence)
-    opened = F.coalesce(F.sum(F.col("fence").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) % 2 == 1
-    rows = rows.withColumn("inside", opened).withColumn("next", F.lead("line").over(order))
-    plain = ~F.col("fence") & ~F.col("inside") & F.col("next").isNotNull()
-    hard = plain & (F.endswith("line", F.lit("\\")) | F.endswith("line", F.lit("  ")))
-    soft = plain & ~hard & ~_protected(F.col("line")) & ~_protected(F.col("next")) & ~F.col("next").rlike(LIST) & ~F.col("next").rlike(QUOTE) & ~F.col("next").rlike(FENCE)
-    inner = F.col("line").rlike(LIST) | F.col("line").rlike(QUOTE)
-    width = F.length(F.regexp_replace("line", r"\s+$", ""))
-    measured = F.when((plain & ~hard) | F.col("next").isNull(), width)
-    return rows.select(id_col, "n", soft.alias("soft"), (soft & inner).alias("continuation"), hard.alias("hard"), F.when(measured.isin(*WIDTHS), measured).alias("width"))
+    zero = F.expr("named_struct('inside', false, 'soft', 0, 'continuation', 0, 'hard', 0, 'widths', cast(array() as array<int>))")
+
+    def fold(kinds: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            k, after = F.element_at(kinds, i), F.get(kinds, i)
+            plain = ~k["is"]["fence"] & ~acc["inside"] & after.isNotNull()
+            hard = plain & k["hard"]
+            stops = after["is"]["alone"] | after["is"]["list"] | after["is"]["quote"] | after["is"]["fence"]
+            soft = plain & ~k["hard"] & ~k["is"]["alone"] & ~F.coalesce(stops, F.lit(True))
+            measured = k["width"].isin(*WIDTHS) & ((plain & ~hard) | after.isNull())
+            return F.struct(
+                (acc["inside"] != k["is"]["fence"]).alias("inside"),
+                (acc["soft"] + soft.cast("int")).alias("soft"),
+                (acc["continuation"] + (soft & (k["is"]["list"] | k["is"]["quote"])).cast("int")).alias("continuation"),
+                (acc["hard"] + hard.cast("int")).alias("hard"),
+                F.when(measured, F.concat(acc["widths"], F.array(k["width"]))).otherwise(acc["widths"]).alias("widths"),
+            )
+
+        counts = lambda a: F.struct(F.size(kinds).alias("lines"), a["soft"].alias(AUDIT[1]), a["continuation"].alias(AUDIT[2]), a["hard"].alias(AUDIT[3]), a["widths"].alias("widths"))
+        return F.aggregate(F.when(F.size(kinds) > 0, F.sequence(F.lit(1), F.size(kinds))).otherwise(F.array().cast("array<int>")), zero, step, counts)
+
+    body = F.regexp_replace(text, rf"(?:{LINE_END})\z", "")
+    lines = F.when(F.length(text) > 0, F.split(body, LINE_END, -1)).when(text.isNotNull(), F.array().cast("array<string>"))
+    return F.when(text.isNotNull(), let(F.transform(lines, _kind), fold))
 
 
 def audit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, lines, soft_break_candidates, list_continuations, hard_breaks`` of non-empty documents."""
-    yes = lambda c: F.sum(F.col(c).cast("int")).alias(c)
-    out = line_facts(docs, id_col, text_col).groupBy(id_col).agg(F.count(F.lit(1)).alias("lines"), yes("soft"), yes("continuation"), yes("hard"))
-    return out.select(id_col, "lines", F.col("soft").alias("soft_break_candidates"), F.col("continuation").alias("list_continuations"), F.col("hard").alias("hard_breaks"))
+    """``id_col, lines, soft_break_candidates, list_continuations, hard_breaks``; nulls for a null text."""
+    rows = docs.select(id_col, audit_of(F.col(text_col)).alias("_a"))
+    return rows.select(id_col, *[F.col(f"_a.{n}").cast("long").alias(n) for n in AUDIT])
 
 
 def widths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, width, count`` of lines that are just as wide as editors wrap."""
-    return line_facts(docs, id_col, text_col).filter("width is not null").groupBy(id_col, "width").agg(F.count(F.lit(1)).alias("count"))
+    rows = docs.select(id_col, audit_of(F.col(text_col))["widths"].alias("_w"))
+    count = lambda w: F.size(F.filter("_w", lambda x: x == w)).cast("long")
+    each = F.array(*[F.struct(F.lit(w).alias("width"), count(w).alias("count")) for w in WIDTHS])
+    return rows.select(id_col, F.explode(F.filter(each, lambda x: x["count"] > 0)).alias("_x")).select(id_col, "_x.*")
 
 
 _PREFIX = re.compile(r"\s*(?:> ?\s*)*(?:(?:[-+*]|\d+[.)])\s+(?:\[[ xX]\]\s+)?)?")

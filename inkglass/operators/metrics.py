@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.characters import SCRIPTS, non_ascii
+from ..functions.spans import let
 from .signals import LINE_END
 
 
@@ -34,6 +36,34 @@ def metrics(text: Column) -> dict[str, Column]:
     }
 
 
+def code_points(text: Column) -> Column:
+    """``map<string, int>``: how often each character beyond ASCII occurs, by U+XXXX; the keys come sorted as strings."""
+
+    def counts(odd: Column) -> Column:
+        code = lambda c: F.concat(F.lit("U+"), F.lpad(F.hex(F.ascii(c)), F.greatest(F.lit(4), F.length(F.hex(F.ascii(c)))), F.lit("0")))
+        one = lambda c: F.struct(code(c).alias("key"), (F.length(odd) - F.length(F.replace(odd, c, F.lit("")))).alias("value"))
+        return F.map_from_entries(F.array_sort(F.transform(F.array_distinct(F.split(odd, "")), one)))
+
+    odd = non_ascii(text)
+    return F.when(odd != "", let(odd, counts)).otherwise(F.when(text.isNotNull(), F.create_map().cast("map<string,int>")))
+
+
+def metrics_of(text: Column) -> Column:
+    """``struct`` of :func:`metrics` and :func:`code_points`."""
+    return F.struct(*[c.alias(n) for n, c in metrics(text).items()], code_points(text).alias("non_ascii_codepoints"))
+
+
+HELP = """\
+bytes, characters, lines, words     how large the document is
+newline_style                       lf, crlf, cr, mixed or none
+ascii, non_ascii characters         how many of either
+non_ascii_codepoints                how often each character beyond ASCII occurs
+markdown                            soft breaks, list continuations, hard breaks, editors' widths
+source                              suspicious characters by context
+planned                             what cleaning would change
+All of these are facts of the text, and none tells who wrote it."""
+
+
 def document_metrics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     return docs.select(id_col, *[c.alias(n) for n, c in metrics(F.col(text_col)).items()])
 
@@ -46,7 +76,7 @@ def inventory(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def described(counts: DataFrame) -> DataFrame:
-    """An inventory with ``name, category, script`` of each code point.
+    """An inventory with ``name, category, script`` of each code point; scripts as in ``SCRIPTS``, else Common or Other.
 
     The description reads the runtime's Unicode data, one batch of rows at a time.
     """
@@ -55,9 +85,9 @@ def described(counts: DataFrame) -> DataFrame:
     def describe(points: pd.Series) -> pd.DataFrame:
         def one(u: str) -> tuple[str, str, str]:
             c = chr(int(u[2:], 16))
-            name = unicodedata.name(c, "")
-            first = name.split(" ")[0]
-            return name, unicodedata.category(c), first if c.isalpha() and first else "COMMON"
+            name, category = unicodedata.name(c, ""), unicodedata.category(c)
+            script = next((s for s in SCRIPTS if name.startswith("CJK" if s == "Han" else s.upper())), None)
+            return name, category, script or ("Common" if category[0] in "PZSN" else "Other")
 
         return pd.DataFrame([one(u) for u in points], columns=["name", "category", "script"], dtype=object)
 

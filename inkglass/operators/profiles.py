@@ -9,12 +9,14 @@ from __future__ import annotations
 import hashlib
 import json
 import tomllib
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.spans import column_of, line_of, match_spans
+from .signals import FINDING, finding, no_places, place
 
 # What makes a configuration field secret, and names that are not.
 SECRET_PARTS = ("key", "secret", "seed", "token", "password")
@@ -70,16 +72,67 @@ def detect(docs: DataFrame, profiles: list[dict], id_col: str = "doc_id", text_c
     return docs.select(id_col, F.explode(results).alias("_r")).select(id_col, "_r.*")
 
 
+def watermark_findings(results: Column) -> Column:
+    """``array<FINDING>`` of the detected among an array of :func:`watermark_status`."""
+    hits = F.filter(results, lambda r: r["status"] == "detected")
+
+    def one(r: Column) -> Column:
+        details = F.to_json(F.struct(r["profile"].alias("profile"), r["fingerprint"].alias("configuration_fingerprint")))
+        signal = F.concat(r["scheme"], F.lit("_profile_detection"))
+        return finding("known_watermark", signal, F.lit(1).cast("long"), no_places(), "medium", F.lit(False), "report", "found by this local profile only", r["scheme"], details)
+
+    return F.transform(hits, one)
+
+
+def load_harness(path: str) -> dict:
+    """A test profile of tables ``[profile]`` and ``[detector]``; trouble is a profile too, with ``error``."""
+    name = Path(path).stem
+    try:
+        config = tomllib.loads(Path(path).read_text(encoding="utf-8"))
+    except (OSError, ValueError) as e:
+        return {"name": name, "scheme": "unknown", "error": type(e).__name__}
+    head, detector = config.get("profile"), config.get("detector")
+    if not isinstance(head, dict) or not isinstance(detector, dict):
+        return {"name": name, "scheme": "unknown", "error": "tables [profile] and [detector] are needed"}
+    return {"name": name, "scheme": "unknown", **head, "detector": detector, "fingerprint": fingerprint(config)}
+
+
+def harness_status(text: Column, profile: dict) -> Column:
+    """``struct<profile, scheme, status, score, threshold, message>`` of a test profile, by its ladder."""
+    detector = profile.get("detector", {})
+    adapter, least, marker = detector.get("adapter"), detector.get("min_characters", 1), detector.get("marker")
+    none, score, threshold = F.lit(None).cast("int"), F.lit(None).cast("int"), F.lit(None).cast("int")
+    known = isinstance(least, int) and not isinstance(least, bool) and least >= 0
+    if "error" in profile:
+        status, message = F.lit("configuration_error"), F.lit(profile["error"])
+    elif adapter == "unsupported":
+        status, message = F.lit("unsupported"), F.lit(detector.get("reason", "no adapter for this scheme"))
+    elif not known:
+        status, message = F.lit("configuration_error"), F.lit("min_characters must be 0 or more")
+    else:
+        short = F.length(text) < least
+        if adapter == "fixture_contains" and isinstance(marker, str) and marker:
+            hits = ((F.length(text) - F.length(F.replace(text, F.lit(marker), F.lit("")))) / len(marker)).cast("int")
+            score, threshold = F.when(~short, hits), F.when(~short, 1)
+            status, message = F.when(hits >= 1, "detected").otherwise("not_detected"), F.lit("marker counted")
+        else:
+            status = F.lit("configuration_error")
+            message = F.lit("a marker is needed" if adapter == "fixture_contains" else "unknown adapter")
+        status, message = F.when(short, "insufficient_text").otherwise(status), F.when(short, "the text is too short").otherwise(message)
+    parts = {"profile": F.lit(profile["name"]), "scheme": F.lit(profile.get("scheme")), "status": status, "score": F.coalesce(score, none), "threshold": F.coalesce(threshold, none), "message": message}
+    return F.struct(*[c.alias(n) for n, c in parts.items()])
+
+
 def fixture_contains(docs: DataFrame, marker: str, least_chars: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Non-overlapping occurrences of a marker: ``id_col, status, hits``."""
+    profile = {"name": "fixture", "detector": {"adapter": "fixture_contains", "marker": marker, "min_characters": least_chars}}
     text = F.col(text_col)
     hits = ((F.length(text) - F.length(F.replace(text, F.lit(marker), F.lit("")))) / len(marker)).cast("int")
-    status = F.when(F.length(text) < least_chars, "insufficient_text").when(hits >= 1, "detected").otherwise("not_detected")
-    return docs.select(id_col, status.alias("status"), hits.alias("hits"))
+    return docs.select(id_col, harness_status(text, profile)["status"].alias("status"), hits.alias("hits"))
 
 
 #: Lines up to the next blank one.
-PARAGRAPH = r"(?:[^\n]*[^\s][^\n]*)(?:\n[^\n]*[^ \t\n][^\n]*)*"
+PARAGRAPH = r"(?:[^\n]*[^\s][^\n]*)(?:\n[^\n]*[^ \t\n][^\n]*)*+"
 
 
 def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -114,25 +167,87 @@ def likelihoods(tokens: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+# What an authorship profile may name.
+METHOD = "causal_lm_likelihood"
+METRICS = ("mean_nll", "perplexity", "mean_rank", "top_10_fraction")
+COMPARISONS = ("lte", "gte")
+
+
+def authorship_problem(profile: dict) -> str | None:
+    """The status of a profile that cannot be applied: ``unsupported`` or ``configuration_error``; else None.
+
+    The order is fixed: an unreadable profile, another method, missing or unknown names,
+    numbers that are none or out of range, and half a calibration.
+    """
+    if "error" in profile:
+        return "configuration_error"
+    if profile.get("method") != METHOD:
+        return "unsupported"
+    if "threshold" not in profile or profile.get("metric") not in METRICS or profile.get("comparison") not in COMPARISONS:
+        return "configuration_error"
+    try:
+        float(profile["threshold"])
+        if int(profile.get("minimum_tokens", 64)) < 1 or int(profile.get("maximum_tokens", 1024)) < 2:
+            return "configuration_error"
+        pair = [profile[n] for n in ("calibration_slope", "calibration_intercept") if n in profile]
+        if len(pair) == 1 or not all(isinstance(float(x), float) for x in pair):
+            return "configuration_error"
+    except (TypeError, ValueError):
+        return "configuration_error"
+    return None
+
+
 def authorship(segments: DataFrame, profile: dict, id_col: str = "doc_id") -> DataFrame:
     """``id_col, status, flagged, probability, segments`` from scored paragraphs.
 
     ``segments`` has ``token_count`` and the profile's metric. Segments below the minimum
-    are not eligible; a document without eligible ones has insufficient text.
+    are not eligible; a document without eligible ones has insufficient text. ``probability``
+    is the largest of the eligible segments', null without calibration.
     """
-    metric, threshold = profile.get("metric"), profile.get("threshold")
-    pair = [profile.get("calibration_slope"), profile.get("calibration_intercept")]
-    if profile.get("method") != "paragraph_likelihood":
-        return segments.select(id_col).distinct().select(id_col, F.lit("unsupported").alias("status"), F.lit(0).cast("long").alias("flagged"), F.lit(None).cast("double").alias("probability"), F.lit(0).cast("long").alias("segments"))
-    bad = metric not in ("mean_nll", "perplexity", "mean_rank", "top_10_fraction") or profile.get("comparison") not in ("lte", "gte") or not isinstance(threshold, (int, float)) or (None in pair and pair != [None, None])
-    if bad:
-        return segments.select(id_col).distinct().select(id_col, F.lit("configuration_error").alias("status"), F.lit(0).cast("long").alias("flagged"), F.lit(None).cast("double").alias("probability"), F.lit(0).cast("long").alias("segments"))
-    ok = F.col("token_count") >= profile.get("minimum_tokens", 0)
-    hit = ok & crosses(F.col(metric), threshold, profile["comparison"])
-    out = segments.groupBy(id_col).agg(F.sum(ok.cast("long")).alias("segments"), F.sum(hit.cast("long")).alias("flagged"), F.max(F.when(ok, calibrated(F.col(metric), *pair))).alias("probability"))
+    problem = authorship_problem(profile)
+    if problem:
+        zero = F.lit(0).cast("long")
+        return segments.select(id_col).distinct().select(id_col, F.lit(problem).alias("status"), zero.alias("flagged"), F.lit(None).cast("double").alias("probability"), zero.alias("segments"))
+    out = scored_segments(segments, profile).groupBy(id_col).agg(
+        F.sum(F.col("eligible").cast("long")).alias("segments"), F.sum(F.col("flagged").cast("long")).alias("flagged"), F.max(F.when(F.col("eligible"), F.col("probability"))).alias("probability")
+    )
     status = F.when(F.col("segments") == 0, "insufficient_text").when(F.col("flagged") > 0, "potentially_ai_generated").otherwise("not_flagged")
     return out.select(id_col, status.alias("status"), "flagged", "probability", "segments")
 
 
+def scored_segments(segments: DataFrame, profile: dict) -> DataFrame:
+    """``segments`` with ``eligible, score, flagged, probability`` under a profile that can be applied."""
+    score = F.col(profile["metric"])
+    slope, intercept = (float(profile[n]) if n in profile else None for n in ("calibration_slope", "calibration_intercept"))
+    eligible = F.col("token_count") >= int(profile.get("minimum_tokens", 64))
+    flagged = eligible & crosses(score, float(profile["threshold"]), profile["comparison"])
+    return segments.select("*", eligible.alias("eligible"), score.alias("score"), flagged.alias("flagged"), calibrated(score, slope, intercept).alias("probability"))
+
+
+def authorship_many(segments: DataFrame, profiles: list[dict], id_col: str = "doc_id") -> DataFrame:
+    """:func:`authorship` of all profiles, with ``profile`` and ``fingerprint``."""
+    name = lambda p: (F.lit(p.get("profile")).alias("profile"), F.lit(p.get("fingerprint") or fingerprint(p)).alias("fingerprint"))
+    return reduce(DataFrame.unionByName, [authorship(segments, p, id_col).select(id_col, *name(p), "status", "flagged", "probability", "segments") for p in profiles])
+
+
+def authorship_findings(segments: DataFrame, profile: dict, id_col: str = "doc_id") -> DataFrame:
+    """``id_col, findings``: one finding for each document with flagged segments.
+
+    ``segments`` also has the places of :func:`paragraphs`: ``line, column, end_line,
+    end_column, start, end``.
+    """
+    if authorship_problem(profile):
+        return segments.select(id_col).limit(0).select(id_col, F.array().cast(f"array<{FINDING}>").alias("findings"))
+    at = place(F.col("line"), F.col("column"), F.col("start"), F.col("end_line"), F.col("end_column"), F.col("end"))
+    hits = scored_segments(segments, profile).filter("flagged").select(id_col, F.struct(F.col("start").alias("at"), at.alias("place"), "score", "probability", "token_count").alias("s"))
+    rows = hits.groupBy(id_col).agg(F.array_sort(F.collect_list("s")).alias("s"))
+    told = F.transform("s", lambda s: F.struct(s["at"].alias("offset"), s["token_count"].alias("token_count"), s["score"].alias("score"), s["probability"].alias("estimated_ai_probability")))
+    config = {"profile": profile.get("profile"), "configuration_fingerprint": profile.get("fingerprint") or fingerprint(profile), "metric": profile["metric"], "threshold": float(profile["threshold"]), "comparison": profile["comparison"]}
+    details = F.to_json(F.struct(*[F.lit(v).alias(n) for n, v in config.items()], told.alias("segments")))
+    message = "paragraphs crossed the threshold of a local profile, which proves nothing about their author"
+    found = finding("authorship_signal", f"{METHOD}_{profile['metric']}", F.size("s").cast("long"), F.transform("s", lambda s: s["place"]), "low", F.lit(False), "report", message, details=details)
+    return rows.select(id_col, F.array(found).alias("findings"))
+
+
 def fingerprints(spark: SparkSession, profiles: list[dict]) -> DataFrame:
     return spark.createDataFrame([(i, fingerprint(p)) for i, p in enumerate(profiles)], "profile_no int, fingerprint string")

@@ -1,94 +1,148 @@
 """Findings of single characters, with their places, and the counters per document.
 
-Texts that are ASCII throughout, and lines that hold no suspicious character, are passed
-over by one regular expression before anything is exploded.
+All of it is one narrow projection: nothing is exchanged. Classes are counted among a text's
+characters beyond ASCII, which are taken out once; places are looked for only in texts that
+hold a suspicious character.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import characters as ch
+from ..functions.spans import let, match_spans, scan
 
 SCHEMA_VERSION = "2.0"
 LOCATION_LIMIT = 100
 
-_ANY = ch.pattern(tuple(sorted({r for _, _, ranges in ch.SIGNALS for r in ranges})))
+PLACE = "struct<line:int,column:int,end_line:int,end_column:int,offset:int,end_offset:int>"
+#: One finding, of whatever kind; ``details`` is a JSON object.
+FINDING = (
+    f"struct<category:string,signal:string,count:bigint,locations:array<{PLACE}>,confidence:string,removable:boolean,"
+    "planned_action:string,message:string,scheme:string,vendor:string,details:string>"
+)
+
+_ANY = ch.fast_pattern(ch.ranges_of(sorted({p for _, _, ranges in ch.SIGNALS for a, b in ranges for p in range(a, b + 1)})))
+
+
+def place(line: Column, column: Column, offset: Column, end_line: Column | None = None, end_column: Column | None = None, end_offset: Column | None = None) -> Column:
+    """A place; without an end it is one character wide."""
+    parts = {
+        "line": line,
+        "column": column,
+        "end_line": line if end_line is None else end_line,
+        "end_column": column + 1 if end_column is None else end_column,
+        "offset": offset,
+        "end_offset": offset + 1 if end_offset is None else end_offset,
+    }
+    return F.struct(*[c.cast("int").alias(n) for n, c in parts.items()])
+
+
+def finding(category: Column | str, signal: Column | str, count: Column, locations: Column, confidence: Column | str, removable: Column, planned_action: Column | str, message: Column | str, scheme: Column | str | None = None, details: Column | None = None) -> Column:
+    parts = {
+        "category": category, "signal": signal, "count": count, "locations": locations, "confidence": confidence, "removable": removable,
+        "planned_action": planned_action, "message": message, "scheme": scheme, "vendor": None, "details": details,
+    }
+    return F.struct(*[(c if isinstance(c, Column) else F.lit(c)).alias(n) for n, c in parts.items()]).cast(FINDING)
+
+
+def no_places() -> Column:
+    return F.array().cast(f"array<{PLACE}>")
 
 
-def suspicious_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, line, start, body`` of the lines that hold any signal; lines end at LF only.
+def _raises(signal: str, ranges: ch.Ranges, char: Column, offset: Column) -> Column:
+    met = char.rlike(ch.fast_pattern(ranges))
+    return met & (offset != 0) if signal == "noninitial_bom" else met
 
-    ``line`` counts from 1, ``start`` is the line's offset in code points.
+
+def suspicious(text: Column) -> Column:
+    """``array<struct<line, column, offset, char>>`` of the characters that raise any signal.
+
+    Lines end at LF only. Lines and columns count from 1, offsets from 0, in code points.
     """
-    rows = docs.filter(F.col(text_col).rlike(_ANY)).select(F.col(id_col), F.split(text_col, "\n", -1).alias("_lines"))
-    zero = F.expr("named_struct('at', 0, 'out', cast(array() as array<int>))")
-    starts = F.aggregate("_lines", zero, lambda a, l: F.struct((a["at"] + F.length(l) + 1).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
-    pairs = F.arrays_zip(F.col("_lines").alias("body"), starts.alias("start"))
-    out = rows.select(id_col, F.posexplode(pairs).alias("_n", "_l"))
-    return out.select(id_col, (F.col("_n") + 1).alias("line"), F.col("_l.start").alias("start"), F.col("_l.body").alias("body")).filter(F.col("body").rlike(_ANY))
+    kind = "struct<line:int,column:int,offset:int,char:string>"
+    start = F.struct(F.lit(1).alias("line"), F.lit(0).alias("at"))
+
+    def step(state: Column, s: Column) -> tuple[Column, Column]:
+        ends = s["text"] == "\n"
+        hit = F.struct(state["line"].alias("line"), (s["start"] - state["at"] + 1).alias("column"), s["start"].alias("offset"), s["text"].alias("char"))
+        after = F.struct((state["line"] + 1).alias("line"), s["end"].alias("at"))
+        return F.when(ends, after).otherwise(state), F.when(ends, F.array().cast(f"array<{kind}>")).otherwise(F.array(hit))
+
+    found = scan(match_spans(text, rf"\n|{_ANY}"), start, kind, step)
+    return F.when(text.rlike(_ANY), found).otherwise(F.array().cast(f"array<{kind}>"))
 
 
 def locations(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per signal of a character: ``id_col, category, signal, line, column, offset``.
 
-    Lines and columns count from 1, offsets from 0, in code points. A character may give
-    several signals. Null texts give none.
+    A character may give several signals. Null texts give none.
     """
-    lines = suspicious_lines(docs, id_col, text_col)
-    chars = lines.select(id_col, "line", "start", F.posexplode(F.split("body", "")).alias("_p", "_c")).filter(F.col("_c").rlike(_ANY))
-    point = chars.select("*", F.ascii("_c").alias("_cp"), (F.col("start") + F.col("_p")).alias("offset"))
-
-    def signal(category: str, name: str, ranges: ch.Ranges) -> Column:
-        met = F.expr(ch.condition("_cp", ranges))
-        if name == "noninitial_bom":
-            met = met & (F.col("offset") != 0)
-        return F.when(met, F.struct(F.lit(category).alias("category"), F.lit(name).alias("signal")))
-
-    found = F.array_compact(F.array(*[signal(*s) for s in ch.SIGNALS]))
-    return point.select(id_col, F.explode(found).alias("_s"), "line", (F.col("_p") + 1).alias("column"), "offset").select(
+    rows = docs.filter(F.col(text_col).rlike(_ANY)).select(F.col(id_col), F.explode(suspicious(F.col(text_col))).alias("_p"))
+    raised = [F.when(_raises(name, r, F.col("_p.char"), F.col("_p.offset")), F.struct(F.lit(c).alias("category"), F.lit(name).alias("signal"))) for c, name, r in ch.SIGNALS]
+    return rows.select(id_col, F.explode(F.array_compact(F.array(*raised))).alias("_s"), "_p.line", "_p.column", "_p.offset").select(
         id_col, "_s.category", "_s.signal", "line", "column", "offset"
     )
 
 
+def signal_counts(text: Column) -> Column:
+    """``array<struct<category, signal, count>>`` of the signals that a text raises."""
+
+    def count(odd: Column, name: str, ranges: ch.Ranges) -> Column:
+        n = ch.count_of(odd, ranges)
+        return n - F.startswith(text, F.lit("\ufeff")).cast("int") if name == "noninitial_bom" else n
+
+    def counts(odd: Column) -> Column:
+        each = [F.struct(F.lit(c).alias("category"), F.lit(s).alias("signal"), count(odd, s, r).cast("long").alias("count")) for c, s, r in sorted(ch.SIGNALS)]
+        return F.filter(F.array(*each), lambda x: x["count"] > 0)
+
+    return F.when(text.rlike(_ANY), let(ch.non_ascii(text), counts))
+
+
+def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col, category, signal, count``, one row per document and signal."""
+    rows = docs.select(F.col(id_col), F.explode(signal_counts(F.col(text_col))).alias("_s"))
+    return rows.select(id_col, "_s.category", "_s.signal", "_s.count")
+
+
+def character_findings(text: Column, limit: int = LOCATION_LIMIT) -> Column:
+    """``array<FINDING>`` by category and signal, each with its first ``limit`` places."""
+
+    def of(places: Column, category: str, signal: str, ranges: ch.Ranges) -> Column:
+        removable = signal != "variation_selector"
+
+        def one(hits: Column) -> Column:
+            count = F.size(hits).cast("long")
+            return finding(
+                category,
+                signal,
+                count,
+                F.transform(F.slice(hits, 1, limit), lambda p: place(p["line"], p["column"], p["offset"])),
+                "high",
+                F.lit(removable),
+                "remove" if removable else "report",
+                F.format_string(f"%d x {signal.replace('_', ' ')}", count),
+                details=F.to_json(F.struct((count > limit).alias("locations_truncated"))),
+            )
+
+        return let(F.filter(places, lambda p: _raises(signal, ranges, p["char"], p["offset"])), one)
+
+    def all_(places: Column) -> Column:
+        return F.filter(F.array(*[of(places, *s) for s in sorted(ch.SIGNALS)]), lambda f: f["count"] > 0)
+
+    return F.when(text.rlike(_ANY), let(suspicious(text), all_)).otherwise(F.array().cast(f"array<{FINDING}>"))
+
+
 def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LOCATION_LIMIT) -> DataFrame:
-    """One row per document and signal, with the first ``limit`` places.
+    """One row per document and signal of characters, with the first ``limit`` places.
 
-    ``id_col, category, signal, count, locations, confidence, removable, planned_action,
-    message, details, schema_version``.
+    ``id_col``, the fields of :data:`FINDING`, ``schema_version``.
     """
-    places = locations(docs, id_col, text_col)
-    order = Window.partitionBy(id_col, "category", "signal").orderBy("offset")
-    counts = places.groupBy(id_col, "category", "signal").agg(F.count(F.lit(1)).alias("count"))
-    first = (
-        places.withColumn("_r", F.row_number().over(order))
-        .filter(F.col("_r") <= limit)
-        .groupBy(id_col, "category", "signal")
-        .agg(
-            F.array_sort(
-                F.collect_list(
-                    F.struct("offset", "line", "column", F.col("line").alias("end_line"), (F.col("column") + 1).alias("end_column"), (F.col("offset") + 1).alias("end_offset"))
-                )
-            ).alias("locations")
-        )
-    )
-    removable = F.col("signal") != "variation_selector"
-    return counts.join(first, [id_col, "category", "signal"]).select(
-        id_col,
-        "category",
-        "signal",
-        "count",
-        "locations",
-        F.lit("high").alias("confidence"),
-        removable.alias("removable"),
-        F.when(removable, "remove").otherwise("report").alias("planned_action"),
-        F.concat(F.col("count").cast("string"), F.lit(" "), F.replace("signal", F.lit("_"), F.lit(" ")), F.lit(" character(s) found locally.")).alias("message"),
-        F.to_json(F.struct((F.col("count") > limit).alias("locations_truncated"))).alias("details"),
-        F.lit(SCHEMA_VERSION).alias("schema_version"),
-    )
+    rows = docs.select(F.col(id_col), F.explode(character_findings(F.col(text_col), limit)).alias("_f"))
+    return rows.select(id_col, "_f.*", F.lit(SCHEMA_VERSION).alias("schema_version"))
 
 
 # The counters of a document, by name.
@@ -133,13 +187,25 @@ def typographic_ranges() -> dict[str, ch.Ranges]:
 
 
 def ghost_counters(text: Column) -> dict[str, Column]:
+    """By name; ``text`` may be a text or its :func:`.characters.non_ascii`."""
     out = {name: ch.count_of(text, ranges) for name, ranges in GHOSTS.items()}
     # texts of valid UTF-8 hold no surrogates
     return out | {"surrogates": F.lit(0), "unassigned_cn": ch.count_of(text, ch.unassigned())}
 
 
-def typographic_counters(text: Column) -> dict[str, Column]:
-    return {name: ch.count_of(text, ranges) for name, ranges in typographic_ranges().items()}
+def typographic_counters(text: Column, odd: Column | None = None) -> dict[str, Column]:
+    """By name; ``odd`` is the text's :func:`.characters.non_ascii`, if that is at hand."""
+    return {name: ch.count_of(text if odd is None or ranges[0][0] < 0x80 else odd, ranges) for name, ranges in typographic_ranges().items()}
+
+
+def _struct(counters: dict[str, Column]) -> Column:
+    return F.struct(*[c.cast("int").alias(n) for n, c in counters.items()])
+
+
+def counters(text: Column) -> Column:
+    """``struct<unicode_ghosts, typographic>`` of all counters of a text."""
+    both = lambda odd: F.struct(_struct(ghost_counters(odd)).alias("unicode_ghosts"), _struct(typographic_counters(text, odd)).alias("typographic"))
+    return F.when(text.isNotNull(), let(ch.non_ascii(text), both))
 
 
 #: Line ends of the counters and metrics: every separator that Python's splitlines knows.
@@ -160,12 +226,16 @@ def whitespace_counters(text: Column) -> dict[str, Column]:
 
 def total(text: Column) -> Column:
     """The sum of all counters that stand for a problem."""
-    ghosts = {k: v for k, v in ghost_counters(text).items() if k != "NBSP_family"}
-    marks = {k: v for k, v in typographic_counters(text).items() if k not in ("smart_quotes_basic", "ascii_quote_like")}
+
+    def beyond(odd: Column) -> Column:
+        ghosts = [v for k, v in ghost_counters(odd).items() if k != "NBSP_family"]
+        marks = [v for k, v in typographic_counters(text, odd).items() if k not in ("smart_quotes_basic", "ascii_quote_like")]
+        return reduce(lambda a, b: a + b, [*ghosts, *marks])
+
     blanks = whitespace_counters(text)
     last = blanks.pop("final_newline")
-    parts = [*ghosts.values(), *marks.values(), *blanks.values(), F.when(last, 0).otherwise(1)]
-    return reduce(lambda a, b: a + b, parts).cast("int")
+    odd = ch.non_ascii(text)
+    return (F.when(odd != "", let(odd, beyond)).otherwise(0) + reduce(lambda a, b: a + b, blanks.values()) + F.when(last, 0).otherwise(1)).cast("int")
 
 
 def scripts(text: Column) -> Column:
@@ -173,6 +243,18 @@ def scripts(text: Column) -> Column:
     return F.array_compact(F.array(*[F.when(text.rlike(rf"[\p{{L}}&&[\p{{Is{s}}}]]"), F.lit(s)) for s in ch.SCRIPTS]))
 
 
+def script_findings(text: Column) -> Column:
+    """``array<FINDING>``: one, if a text's letters are of two scripts or more."""
+
+    def one(found: Column) -> Column:
+        n = F.size(found).cast("long")
+        message = "letters of several scripts; names that look alike deserve a look"
+        mixed = finding("unicode_security", "mixed_scripts", n, no_places(), "medium", F.lit(False), "report", message, details=F.to_json(F.struct(found.alias("scripts"))))
+        return F.filter(F.array(mixed), lambda f: f["count"] > 1)
+
+    return F.when(text.rlike(r"[^\x00-\x7F]"), let(scripts(text), one)).otherwise(F.array().cast(f"array<{FINDING}>"))
+
+
 def mixed_scripts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, count, scripts`` of the documents whose letters are of two scripts or more."""
     out = docs.select(id_col, scripts(F.col(text_col)).alias("scripts")).filter(F.size("scripts") > 1)

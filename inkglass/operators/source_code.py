@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import ast
+import bisect
 import io
+import json
 import re
 import tokenize
 import unicodedata
@@ -11,9 +13,11 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import characters as ch
+from ..functions.spans import column_of, line_of, settled
+from . import carriers as carriers_module
+from . import look_alikes
 
 # Languages by file suffix.
 SUFFIXES = {
@@ -63,69 +67,145 @@ def spans_of(text: str, language: str) -> tuple[list[tuple[int, int, str]], str,
     return lexed_spans(text), "generic", None
 
 
-_IGNORABLE = frozenset(p for a, b in ch.DEFAULT_IGNORABLE for p in range(a, b + 1))
+_HIDDEN = re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ch.DEFAULT_IGNORABLE) + "]")
+#: (start, end, valid) of a provenance carrier.
+Carrier = tuple[int, int, bool]
 
 
-def scan_text(text: str, language: str) -> dict:
+def _finding(category: str, signal: str, context: str, offset: int, count: int, code_point: str | None, name: str, details: dict | None = None) -> dict:
+    removable = context == "comments" and details is None
+    return {
+        "category": category, "signal": signal, "context": context, "offset": offset, "count": count, "code_point": code_point, "name": name,
+        "removable": removable, "planned_action": "remove_from_comment" if removable else "report_only", "details": None if details is None else json.dumps(details),
+    }
+
+
+def scan_text(text: str, language: str, carriers: list[Carrier] = ()) -> dict:
+    """Spans, parser, validity and findings of a source text.
+
+    A valid carrier is one finding, its characters are none; every other ignorable
+    character is one, and so is every identifier that mixes scripts and holds look-alikes.
+    """
     spans, parser, valid = spans_of(text, language)
-    found, at = [], 0
-    for offset, char in enumerate(text):
-        if ord(char) in _IGNORABLE:
-            while at < len(spans) and spans[at][1] <= offset:
-                at += 1
-            context = spans[at][2] if at < len(spans) and spans[at][0] <= offset else "syntax"
-            found.append((offset, f"U+{ord(char):04X}", unicodedata.name(char, ""), context, "remove_from_comment" if context == "comments" else "report_only"))
-    return {"parser": parser, "parse_valid": valid, "spans": spans, "hidden": found}
-
-
-_SPAN = T.StructType().add("start", T.IntegerType()).add("end", T.IntegerType()).add("context", T.StringType())
-_HIT = T.StructType().add("offset", T.IntegerType()).add("code_point", T.StringType()).add("name", T.StringType()).add("context", T.StringType()).add("planned_action", T.StringType())
-SCAN = T.StructType().add("parser", T.StringType()).add("parse_valid", T.BooleanType()).add("spans", T.ArrayType(_SPAN)).add("hidden", T.ArrayType(_HIT))
-
-
-@F.pandas_udf(SCAN)
-def _scan(text: pd.Series, language: pd.Series) -> pd.DataFrame:
-    rows = [scan_text(t or "", lang or "unknown") for t, lang in zip(text, language)]
-    names = ("start", "end", "context"), ("offset", "code_point", "name", "context", "planned_action")
-    return pd.DataFrame(
-        {
-            "parser": pd.Series([r["parser"] for r in rows], dtype=object),
-            "parse_valid": pd.Series([r["parse_valid"] for r in rows], dtype=object),
-            "spans": pd.Series([[dict(zip(names[0], s)) for s in r["spans"]] for r in rows], dtype=object),
-            "hidden": pd.Series([[dict(zip(names[1], h)) for h in r["hidden"]] for r in rows], dtype=object),
-        }
-    )
+    starts = [s for s, _, _ in spans]
+
+    def context_at(offset: int) -> str:
+        at = bisect.bisect_right(starts, offset) - 1
+        return spans[at][2] if at >= 0 and offset < spans[at][1] else "syntax"
+
+    whole = [(a, b) for a, b, ok in carriers if ok]
+    found = []
+    for a, b in whole:
+        lead = len(text[a:b]) - len(text[a:b].lstrip(" \t"))
+        found.append(_finding("provenance", "c2pa_text_carrier", context_at(min(a + lead, b)), a, b - a, None, "text carrier"))
+    for m in _HIDDEN.finditer(text):
+        at = m.start()
+        if not any(a <= at < b for a, b in whole):
+            found.append(_finding("unicode_security", "hidden_unicode", context_at(at), at, 1, f"U+{ord(m[0]):04X}", unicodedata.name(m[0], "UNNAMED")))
+    if not text.isascii():
+        for a, b, context in spans:
+            told = look_alikes.analyze(text[a:b]) if context == "identifiers" and not text[a:b].isascii() else None
+            if told:
+                found.append(_finding("unicode_security", "confusable_mixed_script_identifier", context, a, 1, None, "identifier of several scripts", told))
+    return {"parser": parser, "parse_valid": valid, "spans": spans, "findings": sorted(found, key=lambda f: (f["signal"].startswith("confusable"), f["offset"]))}
+
+
+FINDING = "struct<category:string,signal:string,context:string,offset:int,count:int,code_point:string,name:string,removable:boolean,planned_action:string,details:string>"
+_COUNTS = "struct<" + ",".join(f"{c}:int" for c in CONTEXTS) + ">"
+SCAN = f"parser string, parse_valid boolean, counts {_COUNTS}, regions {_COUNTS}, characters {_COUNTS}, findings array<{FINDING}>"
+
+
+def _ranges(carriers: list | None) -> list[Carrier]:
+    return [] if carriers is None else [(c["start"], c["end"], c["valid"]) for c in carriers]
+
+
+def _scan_batch(text: pd.Series, language: pd.Series, carriers: pd.Series) -> pd.DataFrame:
+    rows = []
+    for t, lang, held in zip(text, language, carriers):
+        r = scan_text(t or "", lang or "unknown", _ranges(held))
+        counts, regions, characters = ({c: 0 for c in CONTEXTS} for _ in range(3))
+        for a, b, c in r["spans"]:
+            regions[c] += 1
+            characters[c] += b - a
+        for f in r["findings"]:
+            counts[f["context"]] += f["count"]
+        rows.append((r["parser"], r["parse_valid"], counts, regions, characters, r["findings"]))
+    return pd.DataFrame({n: pd.Series([r[i] for r in rows], dtype=object) for i, n in enumerate(("parser", "parse_valid", "counts", "regions", "characters", "findings"))})
+
+
+def _scan(text: str, language: str, carriers: Column) -> Column:
+    return F.pandas_udf(_scan_batch, SCAN)(text, language, carriers)
+
+
+def _carriers(text: Column) -> Column:
+    ranges = F.transform(carriers_module.carriers(text), lambda c: F.struct(c["start"], c["end"], c["valid"]))
+    return F.when(carriers_module.may_carry(text), ranges)
+
+
+def suspect(text: Column) -> Column:
+    """Whether a scan of the text could find anything; the others need no Python."""
+    return text.rlike(ch.pattern(ch.DEFAULT_IGNORABLE)) | carriers_module.may_carry(text) | text.rlike(look_alikes._odd())
+
+
+def with_scan(docs: DataFrame, text_col: str, language_col: str, out: str) -> DataFrame:
+    """``docs`` with the struct of :func:`scan`'s columns, and the language; null for a null text."""
+    rows = docs.withColumn("_carriers", _carriers(F.col(text_col))).withColumn("_s", _scan(text_col, language_col, settled("_carriers")))
+    told = F.struct(F.col(language_col).alias("language"), "_s.*")
+    return rows.withColumn(out, F.when(F.col(text_col).isNotNull(), told)).drop("_carriers", "_s")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", language_col: str = "language") -> DataFrame:
-    """``id_col, parser, parse_valid, spans, hidden`` of each document."""
-    return docs.select(id_col, _scan(text_col, language_col).alias("_s")).select(id_col, "_s.*")
+    """``id_col, language, parser, parse_valid, counts, regions, characters, findings`` of each document.
+
+    By context: ``counts`` of suspicious characters, ``regions`` and their ``characters``.
+    """
+    rows = docs.select(id_col, F.col(language_col).alias("language"), F.col(text_col).alias("_t"), _carriers(F.col(text_col)).alias("_carriers"))
+    return rows.select(id_col, "language", _scan("_t", "language", settled("_carriers")).alias("_s")).select(id_col, "language", "_s.*")
 
 
 def regions(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``id_col, context, regions, characters`` of :func:`scan`'s spans."""
-    rows = scanned.select(id_col, F.explode("spans").alias("s"))
-    return rows.groupBy(id_col, F.col("s.context").alias("context")).agg(F.count(F.lit(1)).alias("regions"), F.sum(F.col("s.end") - F.col("s.start")).alias("characters"))
+    each = F.array(*[F.struct(F.lit(c).alias("context"), F.col(f"regions.{c}").cast("long").alias("regions"), F.col(f"characters.{c}").cast("long").alias("characters")) for c in CONTEXTS])
+    return scanned.select(id_col, F.explode(F.filter(each, lambda x: x["regions"] > 0)).alias("x")).select(id_col, "x.*")
+
 
+def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", language_col: str = "language") -> DataFrame:
+    """``id_col``, the finding's fields, ``line`` and ``column``, of all documents that have any."""
+    rows = docs.filter(suspect(F.col(text_col))).select(id_col, F.col(language_col).alias("language"), F.col(text_col).alias("_t"), _carriers(F.col(text_col)).alias("_carriers"))
+    found = rows.select(id_col, "_t", F.explode(_scan("_t", "language", settled("_carriers"))["findings"]).alias("f"))
+    return found.select(id_col, "f.*", line_of(F.col("_t"), F.col("f.offset")).alias("line"), column_of(F.col("_t"), F.col("f.offset")).alias("column"))
 
-def hidden(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    return scanned.select(id_col, F.explode("hidden").alias("h")).select(id_col, "h.*")
 
+def clean_comments_text(text: str, language: str, carriers: list[Carrier] = (), strip_provenance: bool = False) -> str:
+    """A source text without hidden characters in its comments; unchanged if that breaks it.
 
-def clean_comments_text(text: str, language: str) -> str:
-    """A source text without hidden characters in its comments; unchanged if that breaks it."""
-    spans, _, valid = spans_of(text, language)
-    if valid is False:
+    Carriers stay; ``strip_provenance`` takes valid ones in comments out.
+    """
+    scanned = scan_text(text, language, carriers)
+    if scanned["parse_valid"] is False:
         return text
+    broken = [(a, b) for a, b, ok in carriers if not ok]
     out, at = [], 0
-    for start, end, context in spans:
-        if context == "comments":
-            out += [text[at:start], "".join(c for c in text[start:end] if ord(c) not in _IGNORABLE)]
+    for f in sorted(scanned["findings"], key=lambda f: f["offset"]):
+        start, end = f["offset"], f["offset"] + f["count"]
+        kept = any(a <= start < b for a, b in broken) if f["signal"] == "hidden_unicode" else not strip_provenance
+        if f["removable"] and not kept and start >= at:
+            out.append(text[at:start])
             at = end
     cleaned = "".join([*out, text[at:]])
-    return text if valid and not python_spans(cleaned)[1] else cleaned
+    return text if scanned["parse_valid"] and not python_spans(cleaned)[1] else cleaned
+
+
+def clean_comments(docs: DataFrame, text_col: str = "text", language_col: str = "language", out: str = "cleaned", strip_provenance: bool = False) -> DataFrame:
+    """``docs`` with the column ``out`` of :func:`clean_comments_text`; null for null.
+
+    Texts without a suspect reach Python as nulls.
+    """
 
+    def run(texts: pd.Series, languages: pd.Series, held: pd.Series) -> pd.Series:
+        clean = lambda t, lang, c: None if t is None else clean_comments_text(t, lang or "unknown", _ranges(c), strip_provenance)
+        return pd.Series([clean(*r) for r in zip(texts, languages, held)], dtype=object)
 
-@F.pandas_udf(T.StringType())
-def clean_comments(text: pd.Series, language: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None else clean_comments_text(t, lang or "unknown") for t, lang in zip(text, language)], dtype=object)
+    text = F.col(text_col)
+    done = F.pandas_udf(run, "string")(F.when(suspect(text), text), F.col(language_col), settled("_carriers"))
+    return docs.withColumn("_carriers", _carriers(text)).withColumn(out, F.coalesce(done, text)).drop("_carriers")

@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import characters as ch
+from ..functions.spans import settled
 from ..operators import carriers, cleaning, look_alikes, markdown, metrics, profiles, reports, signals, source_code
 from ..sources import text_files
-from .salted import SALTED_SQL, salted
+from .salted import BAD_WRAPPER, CARRIED, SALTED_SQL, WRAPPER, salted
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -41,7 +42,7 @@ _CHARS = """chars AS (
         SELECT doc_id, generate_subscripts(cs, 1) AS i, unnest(cs) AS c FROM (
             SELECT doc_id, string_split(text, '') AS cs FROM salted)))"""
 _HITS = "hits AS (" + " UNION ALL ".join(
-    f"SELECT doc_id, '{category}' AS category, '{signal}' AS signal, off FROM chars WHERE {ch.condition('cp', ranges)}"
+    f"SELECT doc_id, '{category}' AS category, '{signal}' AS signal, off FROM chars WHERE cp > 127 AND {ch.condition('cp', ranges)}"
     + (" AND off <> 0" if signal == "noninitial_bom" else "")
     for category, signal, ranges in ch.SIGNALS
 ) + ")"
@@ -73,7 +74,7 @@ def _counter_sql(ranges: dict[str, ch.Ranges]) -> str:
 
 @query(_with(_CHARS, _HITS) + "SELECT doc_id, category, signal, count(*) AS n FROM hits GROUP BY ALL")
 def scan_signal_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signals.locations(salted(spark, sf_dir)).groupBy("doc_id", "category", "signal").agg(F.count(F.lit(1)).alias("n"))
+    return signals.counted(salted(spark, sf_dir)).withColumnRenamed("count", "n")
 
 
 _LOCATIONS = _with(_CHARS, _HITS, _PLACES) + """SELECT doc_id, category, signal, CAST(line AS BIGINT) AS line, CAST(col AS BIGINT) AS "column", CAST(off AS BIGINT) AS "offset"
@@ -105,15 +106,16 @@ def scan_locations_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(_with() + f"SELECT doc_id, {_counter_sql(signals.GHOSTS)} FROM salted")
+@query(_with() + f"SELECT doc_id, {_counter_sql(signals.GHOSTS)}, CAST(CASE WHEN text IS NOT NULL THEN 0 END AS BIGINT) AS surrogates, {_count_sql(ch.unassigned())} AS unassigned_cn FROM salted")
 def ghost_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = signals.ghost_counters(F.col("text"))
-    return salted(spark, sf_dir).select("doc_id", *[counts[n].cast("long").alias(n) for n in signals.GHOSTS])
+    rows = salted(spark, sf_dir).select("doc_id", signals.counters(F.col("text"))["unicode_ghosts"].alias("c"))
+    return rows.select("doc_id", *[F.col(f"c.{n}").cast("long").alias(n) for n in [*signals.GHOSTS, "surrogates", "unassigned_cn"]])
 
 
 @query(_with() + f"SELECT doc_id, {_counter_sql(signals.typographic_ranges())} FROM salted")
 def typographic_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return salted(spark, sf_dir).select("doc_id", *[c.cast("long").alias(n) for n, c in signals.typographic_counters(F.col("text")).items()])
+    rows = salted(spark, sf_dir).select("doc_id", signals.counters(F.col("text"))["typographic"].alias("c"))
+    return rows.select("doc_id", *[F.col(f"c.{n}").cast("long").alias(n) for n in signals.typographic_ranges()])
 
 
 _TRAILING = r"len(list_filter(regexp_split_to_array(text, '\r\n|\n|\r'), lambda l: l LIKE '% ' OR l LIKE '%' || chr(9)))"
@@ -168,7 +170,7 @@ def normalization_nfkc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return look_alikes.normalization(salted(spark, sf_dir))
 
 
-_LOOK = f"regexp_matches(token, '[{look_alikes.LOOK_ALIKES[0]}]')"
+_LOOK = f"regexp_matches(token, {_quoted('[' + look_alikes.look_alikes()[0] + ']')})"
 
 
 @query(
@@ -176,7 +178,7 @@ _LOOK = f"regexp_matches(token, '[{look_alikes.LOOK_ALIKES[0]}]')"
     + f""", t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\\pL_][\\pL\\pN_]*')) AS token FROM salted),
 c AS (SELECT doc_id, token, token AS letters, count(*) AS n FROM t WHERE {_LOOK} GROUP BY ALL),
 s AS (SELECT *, {_FOUND} AS found FROM c)
-SELECT doc_id, token, translate(token, '{look_alikes.LOOK_ALIKES[0]}', '{look_alikes.LOOK_ALIKES[1]}') AS skeleton, array_to_string(found, ',') AS scripts, n FROM s WHERE len(found) > 1"""
+SELECT doc_id, token, translate(token, {_quoted(look_alikes.look_alikes()[0])}, {_quoted(look_alikes.look_alikes()[1])}) AS skeleton, array_to_string(found, ',') AS scripts, n FROM s WHERE len(found) > 1"""
 )
 def confusable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = look_alikes.confusable_tokens(salted(spark, sf_dir))
@@ -228,9 +230,13 @@ def codepoint_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _clean_sql(o: cleaning.CleanOptions) -> str:
+    return _held_sql("text", lambda x: _steps_sql(o, x), o.strip_provenance)
+
+
+def _steps_sql(o: cleaning.CleanOptions, x: str) -> str:
     r = lambda x, p, to: f"regexp_replace({x}, {_quoted(p)}, {_quoted(to)}, 'g')"
     t = lambda x, a, b: f"translate({x}, {_quoted(a)}, {_quoted(b)})"
-    x = r("text", r"\x1B\[[0-9;?]*[A-Za-z]", "")
+    x = r(x, r"\x1B\[[0-9;?]*[A-Za-z]", "")
     for mark, letters in cleaning.LIGATURES:
         x = f"replace({x}, '{mark}', '{letters}')"
     x = r(x, r"\r\n|\r|[\x{85}\x{2028}\x{2029}]", "\n")
@@ -255,6 +261,22 @@ def _clean_sql(o: cleaning.CleanOptions) -> str:
     return r(r(x, "[ \t]+(\r?\n)", r"\1"), r"[ \t]+\z", "")
 
 
+def _held_sql(text: str, sql: Callable[[str], str], stripped: bool) -> str:
+    """Cleaning around wrappers: letters stand for them, or nothing does; other carriers hold nothing to clean."""
+    if stripped:
+        for literal, _, valid in CARRIED:
+            if valid:
+                text = f"replace({text}, {_quoted(literal)}, '')"
+        return sql(text)
+    letters = ((WRAPPER, "QZONEQZ"), (BAD_WRAPPER, "QZTWOQZ"))
+    for wrapper, word in letters:
+        text = f"replace({text}, {_quoted(wrapper)}, '{word}')"
+    out = sql(text)
+    for wrapper, word in letters:
+        out = f"replace({out}, '{word}', {_quoted(wrapper)})"
+    return out
+
+
 def _add_clean(name: str, options: cleaning.CleanOptions) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return salted(spark, sf_dir).select("doc_id", cleaning.clean(F.col("text"), options).alias("cleaned"))
@@ -270,6 +292,7 @@ for _name, _options in {
     "clean_keep_invisible": cleaning.CleanOptions(keep_invisible=True),
     "clean_keep_brackets": cleaning.CleanOptions(keep_brackets=True),
     "clean_keep_replacement": cleaning.CleanOptions(keep_replacement=True),
+    "clean_strip_provenance": cleaning.CleanOptions(strip_provenance=True),
 }.items():
     _add_clean(_name, _options)
 
@@ -292,62 +315,91 @@ def detect_eol(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- provenance -----------------------------------------------------------------------
 
-_ONE = r"(?m)^[ \t]*(?:#|//|--|;|%|/\*|<!--|!)[^\r\n]*?-----BEGIN C2PA MANIFEST-----[ \t]+(.+?)[ \t]+-----END C2PA MANIFEST-----[^\r\n]*(?:\r?\n|$)"
-_BLOCK = r"(?m)^[ \t]*-----BEGIN C2PA MANIFEST-----[ \t]*\r?\n([^\r\n]+)\r?\n[ \t]*-----END C2PA MANIFEST-----[ \t]*(?:\r?\n|$)"
-_HREF = r"(?i)<link\b[^>]*\brel\s*=\s*""" + '"' + r"""[^'""" + '"' + r"""]*\bc2pa-manifest\b[^>]*>"""
+# The carriers of the salted corpus are told to SQL one by one, so that it shares no pattern with the engine.
+_LITERALS = "carried AS (SELECT * FROM (VALUES " + ", ".join(f"({_quoted(t)}, '{k}', {str(v).lower()})" for t, k, v in CARRIED) + ") t(literal, kind, valid))"
+_FOUND_CARRIERS = """held AS (
+    SELECT doc_id, kind, valid, start, start + length(literal) AS "end", 1 + length(ahead) - length(replace(ahead, chr(10), '')) AS line,
+           length(regexp_extract(ahead, '[^\\n]*\\z')) + 1 AS "column"
+    FROM (SELECT *, substr(text, 1, start) AS ahead FROM (SELECT *, strpos(text, literal) - 1 AS start FROM salted JOIN carried ON contains(text, literal))))"""
+_CARRIERS = _with(_LITERALS, _FOUND_CARRIERS)
 
 
-@query(
-    _with()
-    + f""", f AS (SELECT doc_id, unnest(regexp_extract_all(text, {_quoted(_ONE)}, 1)) AS ref FROM salted
-UNION ALL SELECT doc_id, unnest(regexp_extract_all(text, {_quoted(_BLOCK)}, 1)) FROM salted)
-SELECT doc_id, CASE WHEN ref LIKE 'data:%' THEN 'structured_embedded' ELSE 'structured_external_reference' END AS kind, true AS valid, count(*) AS n FROM f GROUP BY ALL"""
-)
+@query(_CARRIERS + "SELECT doc_id, kind, valid, count(*) AS n FROM held WHERE kind LIKE 'structured%' GROUP BY ALL")
 def carriers_structured(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = carriers.carrier_rows(salted(spark, sf_dir)).filter(F.col("kind").startswith("structured"))
     return rows.groupBy("doc_id", "kind", "valid").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(_with() + f"SELECT doc_id, 'html_external_reference' AS kind, true AS valid, CAST(len(regexp_extract_all(text, {_quoted(_HREF)})) AS BIGINT) AS n FROM salted WHERE regexp_matches(text, {_quoted(_HREF)})")
+@query(_CARRIERS + "SELECT doc_id, kind, valid, count(*) AS n FROM held WHERE kind LIKE 'html%' GROUP BY ALL")
 def carriers_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = carriers.carrier_rows(salted(spark, sf_dir)).filter(F.col("kind").startswith("html"))
     return rows.groupBy("doc_id", "kind", "valid").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+_PLACED = ', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in ('start', '"end"', 'line', '"column"'))
+
+
+@query(_CARRIERS + f"SELECT doc_id, valid, {_PLACED} FROM held WHERE kind = 'variation_selector'")
 def carriers_vs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every fifth document gets a wrapper, and every tenth one a damaged one."""
-    good = "﻿" + carriers.encode_selectors(carriers.build_wrapper(b"manifest"))
-    bad = "﻿" + carriers.encode_selectors(carriers.build_wrapper(b"manifest", 2))
-    n = F.col("doc_id") % 10
-    text = F.concat(F.substring("text", 1, 9), F.when(n == 0, bad).when(n == 5, good).otherwise(""), F.substring("text", 10, 2**31 - 1))
-    return carriers.carrier_rows(salted(spark, sf_dir).withColumn("text", text)).filter("kind = 'variation_selector'")
+    rows = carriers.carrier_rows(salted(spark, sf_dir)).filter("kind = 'variation_selector'")
+    return rows.select("doc_id", "valid", long_("start"), long_("end"), long_("line"), long_("column"))
 
 
-@query(
-    _with()
-    + f"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, {_quoted(_ONE)}, '', 'g'), {_quoted(_BLOCK)}, '', 'g'), {_quoted(_HREF)}, '', 'g') AS stripped FROM salted"
-)
+_STRIPPED = "text"
+for _literal, _, _valid in CARRIED:
+    if _valid:
+        _STRIPPED = f"replace({_STRIPPED}, {_quoted(_literal)}, '')"
+
+
+@query(_with() + f"SELECT doc_id, {_STRIPPED} AS stripped FROM salted")
 def strip_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return salted(spark, sf_dir).select("doc_id", carriers.strip_carriers(F.col("text")).alias("stripped"))
 
 
-@query()
+@query(
+    _CARRIERS
+    + """SELECT doc_id, 'provenance' AS category, 'c2pa_' || kind || CASE WHEN valid THEN '_valid' ELSE '_malformed' END AS signal, CAST(1 AS BIGINT) AS n,
+       CASE WHEN valid THEN 'high' ELSE 'medium' END AS confidence, valid AS removable, CASE WHEN valid THEN 'strip_provenance' ELSE 'report' END AS planned_action,
+       CAST(line AS BIGINT) AS line, CAST("column" AS BIGINT) AS "column", CAST(start AS BIGINT) AS "offset", CAST("end" AS BIGINT) AS end_offset FROM held"""
+)
 def c2pa_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return carriers.carrier_findings(salted(spark, sf_dir))
+    at = lambda n: F.col("locations")[0][n].cast("long").alias(n)
+    rows = carriers.carrier_findings(salted(spark, sf_dir))
+    return rows.select("doc_id", "category", "signal", F.col("count").alias("n"), "confidence", "removable", "planned_action", at("line"), at("column"), at("offset"), at("end_offset"))
 
 
 # ---- Markdown and source code ---------------------------------------------------------
 
 
-@query()
+_is = lambda line, *patterns: "(" + " OR ".join(f"regexp_matches({line}, {_quoted(p.replace('++', '+'))})" for p in patterns) + ")"
+_LINES = f"""parted AS (
+    SELECT doc_id, regexp_split_to_array(regexp_replace(text, {_quoted("(?:" + signals.LINE_END + ")" + chr(92) + "z")}, ''), {_quoted(signals.LINE_END)}) AS ls FROM salted WHERE text <> ''),
+md AS (SELECT doc_id, generate_subscripts(ls, 1) AS n, unnest(ls) AS line FROM parted),
+kinds AS (
+    SELECT *, {_is('line', markdown.FENCE)} AS fence, {_is('line', r'^\s*$', r'^(?: {4}|\t)', *markdown.PROTECTED)} AS alone, {_is('line', markdown.LIST)} AS item,
+           {_is('line', markdown.QUOTE)} AS quote, {_is('line', r'(?:[\\]|  )$')} AS hard, length(regexp_replace(line, '\\s+$', '')) AS width FROM md),
+facts AS (
+    SELECT *, coalesce(sum(CAST(fence AS INT)) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS inside,
+           lead(alone OR item OR quote OR fence) OVER (PARTITION BY doc_id ORDER BY n) AS stops FROM kinds),
+judged AS (SELECT *, NOT fence AND NOT inside AND stops IS NOT NULL AS plain FROM facts)"""
+
+
+@query(
+    _with(_LINES)
+    + """, sums AS (
+    SELECT doc_id, count(*) AS lines, sum(CAST(plain AND NOT hard AND NOT alone AND NOT stops AS INT)) AS soft,
+           sum(CAST(plain AND NOT hard AND NOT alone AND NOT stops AND (item OR quote) AS INT)) AS continued, sum(CAST(plain AND hard AS INT)) AS hard FROM judged GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN text IS NOT NULL THEN CAST(coalesce(lines, 0) AS BIGINT) END AS lines, CASE WHEN text IS NOT NULL THEN CAST(coalesce(soft, 0) AS BIGINT) END AS soft_break_candidates,
+       CASE WHEN text IS NOT NULL THEN CAST(coalesce(continued, 0) AS BIGINT) END AS list_continuations, CASE WHEN text IS NOT NULL THEN CAST(coalesce(hard, 0) AS BIGINT) END AS hard_breaks
+FROM salted d LEFT JOIN sums s ON d.doc_id = s.doc_id"""
+)
 def markdown_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markdown.audit(salted(spark, sf_dir))
 
 
-@query()
+@query(_with(_LINES) + "SELECT doc_id, CAST(width AS BIGINT) AS width, count(*) AS n FROM judged WHERE width IN (72, 78, 79, 80) AND ((plain AND NOT hard) OR stops IS NULL) GROUP BY ALL")
 def markdown_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return markdown.widths(salted(spark, sf_dir))
+    return markdown.widths(salted(spark, sf_dir)).select("doc_id", long_("width"), F.col("count").alias("n"))
 
 
 @query()
@@ -367,12 +419,12 @@ def source_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def source_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source_code.hidden(source_code.scan(_sources(spark, sf_dir)))
+    return source_code.findings(_sources(spark, sf_dir))
 
 
 @query()
 def source_clean_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sources(spark, sf_dir).select("doc_id", source_code.clean_comments("text", "language").alias("cleaned"))
+    return source_code.clean_comments(_sources(spark, sf_dir)).select("doc_id", "cleaned")
 
 
 # ---- detectors ------------------------------------------------------------------------
@@ -409,9 +461,20 @@ def profile_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiles.fingerprints(spark, _PROFILES).select(long_("profile_no"), "fingerprint")
 
 
-@query()
+@query(
+    _with()
+    + """, parted AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM salted),
+l AS (SELECT doc_id, generate_subscripts(ls, 1) AS n, unnest(ls) AS line FROM parted),
+k AS (
+    SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+           n - row_number() OVER (PARTITION BY doc_id, regexp_matches(line, '[^ \\t]') ORDER BY n) AS island FROM l)
+SELECT doc_id, CAST(min(start) AS BIGINT) AS start, CAST(max(start + length(line)) AS BIGINT) AS "end", CAST(min(n) AS BIGINT) AS line, CAST(1 AS BIGINT) AS "column",
+       CAST(max(n) AS BIGINT) AS end_line, CAST(arg_max(length(line), n) + 1 AS BIGINT) AS end_column, string_agg(line, chr(10) ORDER BY n) AS text
+FROM k WHERE regexp_matches(line, '[^ \\t]') GROUP BY doc_id, island"""
+)
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profiles.paragraphs(salted(spark, sf_dir))
+    rows = profiles.paragraphs(salted(spark, sf_dir))
+    return rows.select("doc_id", *[long_(c) for c in ("start", "end", "line", "column", "end_line", "end_column")], "text")
 
 
 @query("SELECT l_orderkey, l_linenumber, round(1 / (1 + exp(-(-0.2::DOUBLE * CAST(l_quantity AS DOUBLE) + 5))), 9) AS probability, CAST(l_quantity AS DOUBLE) <= 10 AS flagged FROM lineitem")
@@ -421,18 +484,19 @@ def logistic_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("l_orderkey", "l_linenumber", F.round(profiles.calibrated(score, -0.2, 5.0), 9).alias("probability"), profiles.crosses(score, 10.0, "lte").alias("flagged"))
 
 
-_AUTHOR = {"method": "paragraph_likelihood", "metric": "mean_nll", "threshold": 2.5, "comparison": "lte", "minimum_tokens": 3, "calibration_slope": -2.0, "calibration_intercept": 5.0}
+_AUTHOR = {"method": profiles.METHOD, "metric": "mean_nll", "threshold": 2.5, "comparison": "lte", "minimum_tokens": 3, "calibration_slope": -2.0, "calibration_intercept": 5.0}
 
 
 @query(
     """WITH s AS (SELECT event_id % 200 AS doc_id, event_id % 1000 AS seg, count(*) AS token_count, avg(value) AS mean_nll FROM events GROUP BY ALL)
 SELECT doc_id, CASE WHEN sum(CAST(token_count >= 3 AS INT)) = 0 THEN 'insufficient_text' WHEN sum(CAST(token_count >= 3 AND mean_nll <= 2.5 AS INT)) > 0 THEN 'potentially_ai_generated' ELSE 'not_flagged' END AS status,
-CAST(sum(CAST(token_count >= 3 AND mean_nll <= 2.5 AS INT)) AS BIGINT) AS flagged, CAST(sum(CAST(token_count >= 3 AS INT)) AS BIGINT) AS segments FROM s GROUP BY doc_id"""
+CAST(sum(CAST(token_count >= 3 AND mean_nll <= 2.5 AS INT)) AS BIGINT) AS flagged, CAST(sum(CAST(token_count >= 3 AS INT)) AS BIGINT) AS segments,
+round(max(1 / (1 + exp(2 * mean_nll - 5))) FILTER (WHERE token_count >= 3), 9) AS probability FROM s GROUP BY doc_id"""
 )
 def authorship_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table stands for tokens with negative log-likelihoods."""
     tokens = spark.read.parquet(f"{sf_dir}/events.parquet").select((F.col("event_id") % 200).alias("doc_id"), (F.col("event_id") % 1000).alias("seg"), (-F.col("value")).alias("logprob"), F.lit(1).alias("rank"))
-    return profiles.authorship(profiles.likelihoods(tokens, ["doc_id", "seg"]), _AUTHOR).drop("probability")
+    return profiles.authorship(profiles.likelihoods(tokens, ["doc_id", "seg"]), _AUTHOR).withColumn("probability", F.round("probability", 9))
 
 
 # ---- reports --------------------------------------------------------------------------
@@ -440,8 +504,8 @@ def authorship_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_with(_CHARS, _HITS) + "SELECT doc_id, count(*) AS total, count(*) >= 3 AS failed FROM hits WHERE category IN ('unicode_security', 'formatting') GROUP BY doc_id")
 def threshold_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = signals.locations(salted(spark, sf_dir)).groupBy("doc_id", "category", "signal").agg(F.count(F.lit(1)).alias("count"))
-    return reports.gate(found, 3, ("unicode_security", "formatting"))
+    found = salted(spark, sf_dir).select("doc_id", signals.signal_counts(F.col("text")).alias("findings"))
+    return reports.gate_rows(found, 3, ("unicode_security", "formatting"))
 
 
 @query(
@@ -449,31 +513,94 @@ def threshold_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     + "SELECT doc_id, " + ", ".join(f"count(*) FILTER (WHERE category = '{c}') AS {c}" for c in ch.CATEGORIES) + " FROM hits GROUP BY doc_id"
 )
 def category_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = signals.locations(salted(spark, sf_dir)).groupBy("doc_id", "category", "signal").agg(F.count(F.lit(1)).alias("count"))
-    return reports.category_totals(found)
+    found = salted(spark, sf_dir).select("doc_id", signals.signal_counts(F.col("text")).alias("f")).filter(F.size("f") > 0)
+    return found.select("doc_id", *[c.alias(n) for n, c in reports.category_columns(F.col("f")).items()])
+
+
+_WORDS = "CAST(len(regexp_extract_all({0}, '[\\pL\\pN_]+')) AS BIGINT)"
+_LINE_COUNT = "(" + _ENDS + f" + CASE WHEN text <> '' AND NOT regexp_matches(text, {_quoted('(?:' + signals.LINE_END + ')' + chr(92) + 'z')}) THEN 1 ELSE 0 END)"
+_STAGES = ("before", "after")
+_PLAN = f""", p AS (SELECT doc_id, text AS before, {_clean_sql(cleaning.CleanOptions())} AS after FROM salted),
+q AS (SELECT *, {', '.join(f"{_LINE_COUNT.replace('text', x)} AS {x}_lines, {_WORDS.format(x)} AS {x}_words" for x in _STAGES)} FROM p)
+"""
 
 
 @query(
     _with()
-    + f""", p AS (SELECT doc_id, text AS before, {_clean_sql(cleaning.CleanOptions())} AS after FROM salted)
-SELECT doc_id, before <> after AS changed, CAST(length(before) AS BIGINT) AS before_characters, CAST(length(after) AS BIGINT) AS after_characters,
-       CAST(greatest(0, length(before) - length(after)) AS BIGINT) AS removed_characters, CAST(greatest(0, length(after) - length(before)) AS BIGINT) AS added_characters FROM p"""
+    + _PLAN
+    + f"""SELECT doc_id, before <> after AS changed, {', '.join(f'CAST(length({x}) AS BIGINT) AS {x}_characters, CAST({x}_lines AS BIGINT) AS {x}_lines, {x}_words' for x in _STAGES)},
+       CAST(greatest(0, length(before) - length(after)) AS BIGINT) AS removed_characters, CAST(greatest(0, length(after) - length(before)) AS BIGINT) AS added_characters,
+       CAST(greatest(0, before_lines - after_lines) AS BIGINT) AS joined_lines FROM q"""
 )
 def planned_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = reports.planned(salted(spark, sf_dir), cleaning.clean(F.col("text")))
-    return out.select("doc_id", "changed", *[long_(c) for c in ("before_characters", "after_characters", "removed_characters", "added_characters")])
+    return out.select("doc_id", "changed", *[long_(c) for c in out.columns if c not in ("doc_id", "changed")])
 
 
-@query()
+_AFTER = f"later AS (SELECT doc_id, {_clean_sql(cleaning.CleanOptions())} AS text FROM salted)"
+_LATER = [_CHARS.replace("chars AS", "chars_later AS").replace("FROM salted", "FROM later"), _HITS.replace("hits AS", "hits_later AS").replace("FROM chars", "FROM chars_later")]
+
+
+@query(
+    _with(_CHARS, _HITS, _AFTER, *_LATER)
+    + """, b AS (SELECT doc_id, list(DISTINCT signal) AS s FROM hits GROUP BY doc_id), a AS (SELECT doc_id, list(DISTINCT signal) AS s FROM hits_later GROUP BY doc_id)
+SELECT b.doc_id, array_to_string(list_sort(list_filter(b.s, lambda x: NOT list_contains(coalesce(a.s, []), x))), ',') AS resolved,
+       array_to_string(list_sort(list_filter(b.s, lambda x: list_contains(coalesce(a.s, []), x))), ',') AS unchanged
+FROM b LEFT JOIN a ON a.doc_id = b.doc_id"""
+)
 def signal_set_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = salted(spark, sf_dir)
-    return reports.signal_changes(signals.locations(docs), signals.locations(docs.withColumn("text", cleaning.clean(F.col("text")))))
+    rows = salted(spark, sf_dir).withColumn("cleaned", cleaning.clean(F.col("text")))
+    names = lambda c: F.transform(c, lambda s: s["signal"])
+    rows = rows.select("doc_id", names(signals.signal_counts(F.col("text"))).alias("b"), F.coalesce(names(signals.signal_counts(F.col("cleaned"))), F.array().cast("array<string>")).alias("a"))
+    told = lambda c, n: F.array_join(F.array_sort(c), ",").alias(n)
+    return rows.filter(F.size("b") > 0).select("doc_id", told(F.array_except("b", "a"), "resolved"), told(F.array_intersect("b", "a"), "unchanged"))
+
+
+_COUNTS_SQL = f"""n AS (SELECT doc_id, {', '.join(f"count(*) FILTER (WHERE category = '{c}') AS {c}" for c in ('unicode_security', 'typography', 'formatting'))} FROM hits GROUP BY doc_id),
+letters AS (SELECT doc_id, regexp_replace(text, '[^\\pL]+', '', 'g') AS letters FROM salted),
+mixed AS (SELECT doc_id, CASE WHEN len(found) > 1 THEN len(found) ELSE 0 END AS scripts FROM (SELECT doc_id, {_FOUND} AS found FROM letters)),
+tokens AS (SELECT doc_id, token, token AS letters FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[\\pL_][\\pL\\pN_]*')) AS token FROM salted) WHERE {_LOOK}),
+odd AS (SELECT doc_id, count(*) AS tokens FROM (SELECT doc_id, {_FOUND} AS found FROM tokens) WHERE len(found) > 1 GROUP BY doc_id),
+borne AS (SELECT doc_id, count(*) AS provenance FROM held GROUP BY doc_id)"""
+
+
+@query(
+    _with(_CHARS, _HITS, _LITERALS, _FOUND_CARRIERS, _COUNTS_SQL)
+    + _PLAN
+    + f""", f AS (
+    SELECT d.doc_id, CAST({_TOTAL} AS BIGINT) AS total, CASE WHEN text IS NOT NULL THEN CAST(coalesce(provenance, 0) AS BIGINT) END AS provenance,
+           CASE WHEN text IS NOT NULL THEN CAST(coalesce(n.unicode_security, 0) + coalesce(scripts, 0) + coalesce(tokens, 0) AS BIGINT) END AS unicode_security,
+           CASE WHEN text IS NOT NULL THEN CAST({_ENOUGH} >= 3 AND contains(text, 'LOCAL-MARK') AS BIGINT) END AS known_watermark,
+           CASE WHEN text IS NOT NULL THEN CAST(coalesce(n.typography, 0) AS BIGINT) END AS typography, CASE WHEN text IS NOT NULL THEN CAST(coalesce(n.formatting, 0) AS BIGINT) END AS formatting,
+           CAST(length(text) AS BIGINT) AS characters
+    FROM salted d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN mixed ON mixed.doc_id = d.doc_id LEFT JOIN odd ON odd.doc_id = d.doc_id LEFT JOIN borne ON borne.doc_id = d.doc_id)
+SELECT f.*, before_words AS words, before <> after || CASE WHEN right(after, 1) = chr(10) THEN '' ELSE chr(10) END AS changed, typography + formatting >= 2 AS failed FROM f JOIN q ON q.doc_id = f.doc_id"""
+)
+def report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole reports with a dry run, told by their counts; normalisation is left out, as SQL knows no NFKC."""
+    options = reports.Options(metrics=True, dry_run=True, watermark_profiles=tuple(_PROFILES), threshold=2, categories=("typography", "formatting"))
+    rows = reports.report(salted(spark, sf_dir), options)
+    counts = reports.category_columns(F.filter("findings", lambda f: f["signal"] != "normalization_difference"))
+    picked = [c.alias(n) for n, c in counts.items() if n != "authorship_signal"]
+    return rows.select("doc_id", long_("total"), *picked, F.col("metrics.characters").cast("long").alias("characters"), F.col("metrics.words").cast("long").alias("words"), F.col("planned.changed").alias("changed"), "failed")
+
+
+@query(_CARRIERS + "SELECT DISTINCT doc_id FROM held WHERE valid")
+def compose_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are not reformatted, as they bear valid provenance."""
+    return reports.compose(salted(spark, sf_dir), reports.Options(unwrap_markdown=True)).filter("error is not null").select("doc_id")
+
+
+@query()
+def replacement_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = salted(spark, sf_dir).withColumn("cleaned", cleaning.clean(F.col("text")))
+    return docs.select("doc_id", reports.replacement_spans(F.col("text"), settled("cleaned")).alias("spans"))
 
 
 @query()
 def unified_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = salted(spark, sf_dir)
-    return docs.select("doc_id", reports.unified_diff(F.col("text"), cleaning.clean(F.col("text")), F.col("doc_id").cast("string")).alias("diff"))
+    docs = salted(spark, sf_dir).withColumn("cleaned", cleaning.clean(F.col("text")))
+    return docs.select("doc_id", reports.unified_diff(F.col("text"), settled("cleaned"), F.col("doc_id").cast("string")).alias("diff"))
 
 
 @query("SELECT DISTINCT source AS path FROM documents")

@@ -8,6 +8,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.carriers import build_wrapper, encode_selectors
+
+_MARK = "-----{} C2PA MANIFEST-----"
+#: A valid provenance wrapper, and one of a version that is not known.
+WRAPPER = "\ufeff" + encode_selectors(build_wrapper(b"manifest"))
+BAD_WRAPPER = "\ufeff" + encode_selectors(build_wrapper(b"manifest", 2))
+
 PAYLOADS = (
     "",
     "a​b",
@@ -31,10 +38,33 @@ PAYLOADS = (
     "\n# -----BEGIN C2PA MANIFEST----- https://e.org/m -----END C2PA MANIFEST-----\n",
     "\n-----BEGIN C2PA MANIFEST-----\ndata:application/c2pa;base64,AAAA\n-----END C2PA MANIFEST-----\n",
     "\na wrapped\nparagraph\n\n- item wraps\n  onto this\n- next  \n```\ncode\n```\n",
+    "\u0378 x\u0530",
+    f"a{WRAPPER} “b”",
+    f"a{BAD_WRAPPER} b",
+    '\n<script type="application/c2pa">QUJD\nREVG</script>\n',
+    '\n<script type="application/c2pa">not base64!</script>\n<link rel="c2pa-manifest" href="no scheme">\n',
+    "\n// " + _MARK.format("BEGIN") + "\nno end\n",
+    "\n# " + _MARK.format("BEGIN") + " not a uri " + _MARK.format("END") + "\n",
+    "\n> quoted\n> again\n\n" + "w" * 72 + "\n" + "v" * 80 + "\n" + "1. one\n\n| a | b |\n|---|---|\nback\\\nslash\n",
     "\nLOCAL-MARK\nint x = 'k​'; // note​ here\n<link rel=\"c2pa-manifest\" href=\"https://e.org/m\">\n",
 )
 
 
+#: All carriers of the payloads: what one is made of, its kind, and whether it is valid.
+CARRIED = (
+    ("# " + _MARK.format("BEGIN") + " https://e.org/m " + _MARK.format("END") + "\n", "structured_external_reference", True),
+    (_MARK.format("BEGIN") + "\ndata:application/c2pa;base64,AAAA\n" + _MARK.format("END") + "\n", "structured_embedded", True),
+    (WRAPPER, "variation_selector", True),
+    (BAD_WRAPPER, "variation_selector", False),
+    ('<script type="application/c2pa">QUJD\nREVG</script>', "html_inline", True),
+    ('<script type="application/c2pa">not base64!</script>', "html_inline", False),
+    ('<link rel="c2pa-manifest" href="no scheme">', "html_external_reference", False),
+    ('<link rel="c2pa-manifest" href="https://e.org/m">', "html_external_reference", True),
+    ("// " + _MARK.format("BEGIN") + "\n", "structured_block", False),
+    ("# " + _MARK.format("BEGIN") + " not a uri " + _MARK.format("END") + "\n", "structured_block", False),
+)
+
+
 def salted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, lang, source, text`` of all documents; texts are null where the input's are."""
     n = F.col("doc_id") % len(PAYLOADS)

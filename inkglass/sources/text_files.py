@@ -2,6 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
+import os
+import shutil
+import tempfile
+from collections.abc import Iterator
+from urllib.parse import unquote, urlsplit
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,9 +40,87 @@ def clean_name(path: Column) -> Column:
     return F.regexp_replace(path, r"^(.*?)(\.[^./]+)?$", "$1.clean$2")
 
 
+def _path(uri: str) -> str:
+    return unquote(urlsplit(uri).path) if uri.startswith("file:") else uri
+
+
+def _write_whole(path: str, content: bytes, like: str | None = None) -> None:
+    """A file that is there whole or not at all: written beside its place, synced, then moved there."""
+    handle, beside = tempfile.mkstemp(dir=os.path.dirname(path) or ".", prefix=f".{os.path.basename(path)}.", suffix=".part")
+    try:
+        with os.fdopen(handle, "wb") as f:
+            f.write(content)
+            f.flush()
+            os.fsync(f.fileno())
+        if like:
+            shutil.copymode(like, beside)
+        os.replace(beside, path)
+    except BaseException:
+        os.unlink(beside)
+        raise
+
+
+def _set_aside(path: str) -> str:
+    """Copy a file to the first of ``path.tmp, path.tmp.1, ...`` that does not exist; none is overwritten."""
+    for n in itertools.count():
+        name = f"{path}.tmp" + (f".{n}" if n else "")
+        try:
+            with open(name, "xb") as copy, open(path, "rb") as original:
+                shutil.copyfileobj(original, copy)
+        except FileExistsError:
+            continue
+        shutil.copystat(path, name)
+        return name
+    raise AssertionError
+
+
+def write_texts(docs: DataFrame, folder: str) -> DataFrame:
+    """Write each ``text`` with the line ends ``eol`` as a file of its own: ``path, written``, once collected.
+
+    Files are named by :func:`clean_name` of ``path`` and need a folder that all machines
+    mount; tables go by Spark's own writers. Two paths of one name would share a file, so
+    names must be distinct. A task that runs again writes the same files again.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        os.makedirs(folder, exist_ok=True)
+        for batch in batches:
+            names = [os.path.join(folder, os.path.basename(_path(n))) for n in batch["name"]]
+            for name, text in zip(names, batch["text"]):
+                _write_whole(name, (text or "").encode())
+            yield pd.DataFrame({"path": batch["path"], "written": names})
+
+    named = docs.select("path", clean_name(F.col("path")).alias("name"), with_eol(F.col("text"), F.col("eol")).alias("text"))
+    return named.mapInPandas(run, "path string, written string")
+
+
+def replace_in_place(docs: DataFrame, backup: bool = False) -> DataFrame:
+    """Replace the files ``path`` by ``text`` with the line ends ``eol``: ``path, backup``, once collected.
+
+    Each file is replaced at once and keeps its mode; ``backup`` sets the old one aside
+    first, under a name that is free. Files that hold the text already are left alone, so a
+    task that runs again changes nothing.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            aside: list[str | None] = []
+            for uri, text in zip(batch["path"], batch["text"]):
+                path, content = _path(uri), (text or "").encode()
+                with open(path, "rb") as f:
+                    same = f.read() == content
+                aside.append(_set_aside(path) if backup and not same else None)
+                if not same:
+                    _write_whole(path, content, like=path)
+            yield pd.DataFrame({"path": batch["path"], "backup": pd.Series(aside, dtype=object)})
+
+    return docs.select("path", with_eol(F.col("text"), F.col("eol")).alias("text")).mapInPandas(run, "path string, backup string")
+
+
 def write_json(findings: DataFrame, path: str) -> None:
     findings.write.json(path)
 
 
-def write_csv(totals: DataFrame, path: str) -> None:
-    totals.write.option("header", True).csv(path)
+def write_csv(rows: DataFrame, path: str) -> None:
+    """Flat rows, such as those of :func:`..operators.reports.csv_rows`."""
+    rows.write.option("header", True).csv(path)
