@@ -236,9 +236,7 @@ def nearest(
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, some, leaf_of = few.value
         place_of = {bytes(key): i for i, key in enumerate(keys)}
-        for batch in batches:
-            if not len(batch):
-                continue
+        for batch in (b.iloc[at : at + 64] for b in batches for at in range(0, len(b), 64)):
             found: list[tuple] = []
             vectors = np.stack(batch["v"].to_numpy())
             # the added coordinate of a query is 0, and its length does not matter

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stash
@@ -57,25 +57,26 @@ def _set_key(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())
 
 
-def _signatures(docs: DataFrame, k: int, rows: int, bands: int) -> DataFrame:
-    """``id, n_shingles, sid, bands, sketch``; a document without words has no more than its id and 0."""
+def _signatures(docs: DataFrame, k: int, rows_a_band: int, bands: int) -> DataFrame:
+    """``id, text_key, n_shingles, sid, bands, sketch``; a document without words has no more than its keys and 0."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for start, texts in _chunks(batch["text"]):
                 sets = shingle_sets(texts, k)
-                out = pd.DataFrame({"id": batch["id"].iloc[start : start + len(texts)].to_numpy(), "n_shingles": [len(s) for s in sets]})
+                rows = slice(start, start + len(texts))
+                out = pd.DataFrame({"id": batch["id"].iloc[rows].to_numpy(), "text_key": batch["text_key"].iloc[rows].to_numpy(), "n_shingles": [len(s) for s in sets]})
                 full = [i for i, s in enumerate(sets) if len(s)]
                 columns: dict[str, list] = {c: [None] * len(sets) for c in ("sid", "bands", "sketch")}
                 if full:
-                    signature = circulant_minhash([sets[i] for i in full], rows * bands)
-                    keys, sketch = band_keys(signature, rows), signature.astype(np.uint8)
+                    signature = circulant_minhash([sets[i] for i in full], rows_a_band * bands)
+                    keys, sketch = band_keys(signature, rows_a_band), signature.astype(np.uint8)
                     for j, i in enumerate(full):
                         columns["sid"][i], columns["bands"][i], columns["sketch"][i] = _set_key(sets[i]), keys[j], sketch[j].tobytes()
                 yield out.assign(**columns)
 
     kind = dict(docs.dtypes)["id"]
-    return docs.mapInPandas(run, f"id {kind}, n_shingles long, sid binary, bands array<long>, sketch binary")
+    return docs.mapInPandas(run, f"id {kind}, text_key binary, n_shingles long, sid binary, bands array<long>, sketch binary")
 
 
 def _least_matches(width: int, share: float) -> int:
@@ -202,7 +203,7 @@ def near_duplicates(
     rows: int = 6,
     bands: int = 40,
 ) -> DataFrame:
-    """One row per document: ``id_col, n_shingles, component_id, kept, set_key``.
+    """One row per document: ``id_col, n_shingles, component_id, kept, set_key, text_key``.
 
     Documents are linked where 100 * intersection >= ``percent`` * union of their shingle
     sets. ``component_id`` is the smallest id reachable through links, and ``kept`` marks
@@ -219,7 +220,7 @@ def near_duplicates(
     """
     share, width = percent / 100, rows * bands
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    signed = stash(_signatures(plain, shingle_words, rows, bands), "near-signatures")
+    signed = stash(_signatures(plain.withColumn("text_key", _text_key("text")), shingle_words, rows, bands), "near-signatures")
     full = signed.filter("sid is not null")
     nodes = stash(
         full.groupBy("sid").agg(
@@ -291,13 +292,21 @@ def near_duplicates(
         component.alias("component_id"),
         (F.col("id").isNull() | F.col("id").eqNullSafe(component)).alias("kept"),
         F.hex("sid").alias("set_key"),
+        "text_key",
     )
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options: object) -> DataFrame:
-    """The rows of ``docs`` that :func:`near_duplicates` keeps."""
-    dropped = near_duplicates(docs, id_col=id_col, **options).filter("not kept").select(F.col(id_col).alias("_dropped")).distinct()
-    return docs.join(dropped, F.col(id_col) == F.col("_dropped"), "left_anti")
+def _text_key(text_col: str) -> Column:
+    return F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
+    """The rows of ``docs`` that :func:`near_duplicates` keeps, told by id and text."""
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
+    dropped = found.filter("not kept").select(F.col(id_col).alias("id"), "text_key").distinct().alias("dropped")
+    rows = docs.alias("docs")
+    met = (F.col(f"docs.`{id_col}`") == F.col("dropped.id")) & (_text_key(f"docs.`{text_col}`") == F.col("dropped.text_key"))
+    return rows.join(dropped, met, "left_anti").select(*[F.col(f"docs.`{c}`") for c in docs.columns])
 
 
 def _with_set(fetched: DataFrame, k: int) -> DataFrame:

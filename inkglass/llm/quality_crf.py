@@ -154,9 +154,16 @@ class Chain:
     weights: np.ndarray
     pairs: np.ndarray  # [label, next label]
 
-    def lines(self, x: np.ndarray) -> np.ndarray:
-        unary = np.zeros((len(x), 2))
-        unary[:, 1] = x @ self.weights
+    def lines(self, own: np.ndarray, per_doc: np.ndarray) -> np.ndarray:
+        """Log-potentials of both labels for each line; :func:`_with_neighbours` times the weights, without that matrix."""
+        n = own.shape[1]
+        here, before, after = self.weights[:n], self.weights[n : 2 * n - 1], self.weights[2 * n - 1 : 3 * n - 2]
+        ends = np.cumsum(per_doc)
+        first, last = ends - per_doc, ends - 1
+        back, ahead = np.roll(own[:, 1:] @ before, 1), np.roll(own[:, 1:] @ after, -1)
+        back[first], ahead[last] = self.weights[-2], self.weights[-1]
+        unary = np.zeros((len(own), 2))
+        unary[:, 1] = own @ here + back + ahead
         return unary
 
 
@@ -234,7 +241,7 @@ def score_texts(texts: list[str | None], chain: Chain) -> np.ndarray:
     """Length-weighted mean of the lines' marginals, for each text."""
     data = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     own, size, per_doc = _own_features(data)
-    unary = chain.lines(_with_neighbours(own, per_doc))
+    unary = chain.lines(own, per_doc)
     order = np.argsort(per_doc, kind="stable")
     ends = np.cumsum(per_doc)
     scores = np.empty(len(texts))
@@ -262,7 +269,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     rows = marked.withColumn("_order", F.xxhash64("_id"))
     chosen = rows.filter("_y = 1").orderBy("_order", "_id").limit(limit // 2).union(rows.filter("_y = 0").orderBy("_order", "_id").limit(limit // 2))
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).filter(F.col("_t").isNotNull() & (F.length("_t") <= max_chars))
-    found = texts.join(F.broadcast(chosen), "_id").select("_t", "_y", "_order").collect()
+    # one text an id, so that repeated ids do not widen the sample
+    found = texts.join(F.broadcast(chosen), "_id").groupBy("_id").agg(F.min("_t").alias("_t"), F.first("_y").alias("_y"), F.first("_order").alias("_order")).collect()
     share = marked.agg(F.avg("_y")).first()[0]
     return [(r["_t"], r["_y"]) for r in sorted(found, key=lambda r: (r["_order"], r["_t"]))], share
 
@@ -278,7 +286,9 @@ def fit(
 ) -> Chain | None:
     """Train on a bounded sample of labelled rows: ``limit`` documents of up to ``max_chars``.
 
-    Null where the sample lacks one of the two labels.
+    Null where the sample lacks one of the two labels. Labels are of documents, so each of
+    a document's lines learns from its document's label, and the pair potentials learn from
+    them that neighbours agree. Of texts that share an id the least counts.
     """
     sample, share = labelled_sample(docs, labels, id_col, text_col, label_col, limit, max_chars)
     if len({y for _, y in sample}) < 2:
@@ -294,7 +304,9 @@ def score(docs: DataFrame, chain: Chain | None, text_col: str = "text", out: str
     """``docs`` with the column ``out``: a number from 0 to 1, higher for better.
 
     Null and empty texts are one empty line and get its score. Without a model every score
-    is 0.5. Other columns pass through, of whatever names; one called ``out`` is replaced.
+    is 0.5. Equal texts and repeated rows have equal scores, and an empty table gives no
+    rows. Long texts are scored whole; memory grows with the lines of the longest. Other
+    columns pass through, of whatever names; one called ``out`` is replaced.
     """
     if chain is None:
         return docs.withColumn(out, F.lit(0.5))
