@@ -19,8 +19,8 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     names = docs.columns
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~held_out(F.col("doc_id")))
     chain = quality_crf.fit(docs, labels)
-    scored = quality_crf.score(docs, chain, out="_quality_score")
-    return scored.filter(F.col("_quality_score") >= REJECT_BELOW).select(*names)
+    out = max(names, key=len) + "_score"  # longer than any name, so none of them
+    return quality_crf.score(docs, chain, out=out).filter(F.col(out) >= REJECT_BELOW).select(*names)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
