@@ -151,4 +151,5 @@ def carrier_findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def strip_carriers(text: Column) -> Column:
     """A text without its valid carriers; malformed ones stay."""
     valid = F.filter(carriers(text), lambda c: c["valid"])
-    return without_spans(text, F.transform(valid, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"))))
+    stripped = without_spans(text, F.transform(valid, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"))))
+    return F.when(may_carry(text), stripped).otherwise(text)

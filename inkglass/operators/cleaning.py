@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -58,17 +59,35 @@ def quote_map() -> tuple[str, str]:
     return "".join(plain), "".join(plain.values())
 
 
+def _where(text: Column, pattern: str, change: Callable[[Column], Column]) -> Column:
+    """A text changed where it holds the pattern at all: one test is cheaper than most changes."""
+    return let(text, lambda t: F.when(t.rlike(pattern), change(t)).otherwise(t))
+
+
+_WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F) if c not in (0xFF02, 0xFF07))
+
+
 def repair(text: Column) -> Column:
     """Terminal escapes, ligatures, full-width letters, line ends and stray controls."""
-    text = F.regexp_replace(text, r"\x1B\[[0-9;?]*[A-Za-z]", "")
-    for mark, letters in LIGATURES:
-        text = F.replace(text, F.lit(mark), F.lit(letters))
+
+    def compatible(t: Column) -> Column:
+        for mark, letters in LIGATURES:
+            t = F.replace(t, F.lit(mark), F.lit(letters))
+        return F.translate(t, _WIDE, "".join(chr(ord(c) - 0xFEE0) for c in _WIDE))
+
+    text = _where(F.regexp_replace(text, r"\x1B\[[0-9;?]*[A-Za-z]", ""), r"[\x{FB00}-\x{FB06}\x{FF01}-\x{FF5E}]", compatible)
     text = F.regexp_replace(text, r"\r\n|\r|[\x{85}\x{2028}\x{2029}]", "\n")
-    wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F) if c not in (0xFF02, 0xFF07))
-    text = F.translate(text, wide, "".join(chr(ord(c) - 0xFEE0) for c in wide))
     return F.regexp_replace(text, r"[\x00-\x08\x0B\x0E-\x1F\x7F]", "")
 
 
+@lru_cache
+def untouched() -> ch.Ranges:
+    """Letters of the Latin, Greek and Cyrillic blocks that no step changes, with tidy ASCII."""
+    changed = {ord(c) for c in quote_map()[0] + "".join(m for m, _ in ELLIPSES + LIGATURES) + _WIDE}
+    changed |= {p for a, b in ch.SPACE_SEPARATOR + ch.DEFAULT_IGNORABLE + ch.unnamed() + ch.PRIVATE_USE for p in range(a, b + 1)}
+    return ch.ranges_of([9, 10, *range(0x20, 0x7F), *(p for p in range(0xA1, 0x530) if p not in changed)])
+
+
 def clean(text: Column, options: CleanOptions = CleanOptions()) -> Column:
     """The cleaned text; null stays null. Only what lies between carriers is cleaned."""
     if options.strip_provenance:
@@ -101,29 +120,34 @@ def _clean_between(text: Column, spans: Column, options: CleanOptions) -> Column
 
 
 def _clean(text: Column, options: CleanOptions) -> Column:
-    """The steps of cleaning; their order matters."""
-    plain = text.rlike(r"\A[\t\n\x20-\x7E]*\z")
+    """The steps of cleaning; their order matters. The most common texts need the last one only."""
+    settled = text.rlike(rf"\A{ch.pattern(untouched())}*\z")
+    out = F.when(settled, text).otherwise(_steps(text, options))
+    return F.regexp_replace(out, r"[ \t]+(?=\r?\n|\z)", "")
+
+
+def _steps(text: Column, options: CleanOptions) -> Column:
     out = repair(text)
     if not options.keep_replacement:
         out = F.replace(out, F.lit("�"), F.lit(""))
     if not options.keep_quotes:
-        out = F.translate(out, *quote_map())
-        for mark, dots in ELLIPSES:
-            out = F.replace(out, F.lit(mark), F.lit(dots))
+
+        def plain_quotes(t: Column) -> Column:
+            t = F.translate(t, *quote_map())
+            for mark, dots in ELLIPSES:
+                t = F.replace(t, F.lit(mark), F.lit(dots))
+            return t
+
+        marks = quote_map()[0] + "".join(m for m, _ in ELLIPSES)
+        out = _where(out, ch.fast_pattern(ch.ranges_of(sorted(map(ord, marks)))), plain_quotes)
     if not options.keep_dashes:
-        out = F.regexp_replace(out, "[ \t]*[—―][ \t]*", " - ")
-        out = F.translate(out, "‐‑‒–", "----")
+        out = _where(out, "[‐-―]", lambda t: F.translate(F.regexp_replace(t, "[ \t]*[—―][ \t]*", " - "), "‐‑‒–", "----"))
     if not options.keep_brackets:
-        out = fold_brackets(out)
-    out = F.regexp_replace(out, ch.pattern(ch.SPACE_SEPARATOR), " ")
-    if not (options.keep_invisible or options.keep_default_ignorables):
-        out = F.regexp_replace(out, ch.pattern(ch.DEFAULT_IGNORABLE), "")
-    kept = ch.DEFAULT_IGNORABLE if options.keep_invisible or options.keep_default_ignorables else ()
-    dropped = _without(ch.unnamed() + ch.PRIVATE_USE, kept)
-    out = F.regexp_replace(out, ch.fast_pattern(dropped), "")
-    # tidy ASCII, the most common text, needs the last step only
-    out = F.when(plain, text).otherwise(out)
-    return F.regexp_replace(out, r"[ \t]+(?=\r?\n|\z)", "")
+        out = _where(out, "[【】]", fold_brackets)
+    out = F.regexp_replace(out, ch.fast_pattern(ch.SPACE_SEPARATOR), " ")
+    kept: ch.Ranges = ch.DEFAULT_IGNORABLE if options.keep_invisible or options.keep_default_ignorables else ()
+    dropped = _without(ch.unnamed() + ch.PRIVATE_USE + (() if kept else ch.DEFAULT_IGNORABLE), kept)
+    return F.regexp_replace(out, ch.fast_pattern(dropped), "")
 
 
 def _without(ranges: ch.Ranges, kept: ch.Ranges) -> ch.Ranges:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.characters import SCRIPTS, pattern, ranges_of
+from ..functions.characters import SCRIPTS, fast_pattern, ranges_of
 from ..functions.spans import column_of, let, line_of, match_spans
 from .signals import FINDING, LOCATION_LIMIT, finding, no_places, place, scripts
 
@@ -39,7 +39,12 @@ def look_alikes() -> tuple[str, str]:
 
 @lru_cache
 def _odd() -> str:
-    return pattern(ranges_of(sorted(map(ord, look_alikes()[0]))))
+    return fast_pattern(ranges_of(sorted(map(ord, look_alikes()[0]))))
+
+
+@lru_cache
+def _alike() -> dict[str, str]:
+    return dict(zip(*look_alikes()))
 
 
 TOKEN = r"[\p{L}_][\p{L}\p{N}_]*"
@@ -64,9 +69,9 @@ def analysis(token: Column) -> Column:
 
 def analyze(token: str) -> dict | None:
     """The same in Python, for kernels over tokens; None if the token is of one script or holds no look-alike."""
-    alike = dict(zip(*look_alikes()))
+    alike = _alike()
     bucket = lambda c: next((s for s in SCRIPTS if unicodedata.name(c, "").startswith("CJK" if s == "Han" else s.upper())), "Common")
-    odd = [c for c in token if c in alike]
+    odd = [c for c in token if c in alike] if not token.isascii() else []
     if not odd or len({bucket(c) for c in token if c.isalpha()} - {"Common"}) < 2:
         return None
     return {

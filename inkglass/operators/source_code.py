@@ -144,7 +144,7 @@ def _carriers(text: Column) -> Column:
 
 def suspect(text: Column) -> Column:
     """Whether a scan of the text could find anything; the others need no Python."""
-    return text.rlike(ch.pattern(ch.DEFAULT_IGNORABLE)) | carriers_module.may_carry(text) | text.rlike(look_alikes._odd())
+    return text.rlike(ch.fast_pattern(ch.DEFAULT_IGNORABLE)) | carriers_module.may_carry(text) | text.rlike(look_alikes._odd())
 
 
 def with_scan(docs: DataFrame, text_col: str, language_col: str, out: str) -> DataFrame:
