@@ -66,7 +66,8 @@ def match_spans(text: Column, pattern: str) -> Column:
         span = F.struct(start.alias("start"), end.alias("end"), p["hit"].alias("text"))
         return end, F.when(p["hit"].isNotNull(), F.array(span)).otherwise(F.array().cast(SPANS))
 
-    return F.coalesce(scan(pairs, F.lit(0), "struct<start:int,end:int,text:string>", step), F.array().cast(SPANS))
+    found = scan(pairs, F.lit(0), "struct<start:int,end:int,text:string>", step)
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(SPANS))
 
 
 def without_spans(text: Column, spans: Column) -> Column:

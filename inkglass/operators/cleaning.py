@@ -68,16 +68,21 @@ _WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F) if c not in (0xFF02, 0xFF0
 
 
 def repair(text: Column) -> Column:
-    """Terminal escapes, ligatures, full-width letters, line ends and stray controls."""
+    """Terminal escapes, line ends and stray controls; what else is repaired is beyond ASCII."""
 
-    def compatible(t: Column) -> Column:
-        for mark, letters in LIGATURES:
-            t = F.replace(t, F.lit(mark), F.lit(letters))
-        return F.translate(t, _WIDE, "".join(chr(ord(c) - 0xFEE0) for c in _WIDE))
+    def controls(t: Column) -> Column:
+        t = F.regexp_replace(t, r"\x1B\[[0-9;?]*[A-Za-z]", "")
+        t = F.regexp_replace(t, r"\r\n|\r|[\x{85}\x{2028}\x{2029}]", "\n")
+        return F.regexp_replace(t, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
 
-    text = _where(F.regexp_replace(text, r"\x1B\[[0-9;?]*[A-Za-z]", ""), r"[\x{FB00}-\x{FB06}\x{FF01}-\x{FF5E}]", compatible)
-    text = F.regexp_replace(text, r"\r\n|\r|[\x{85}\x{2028}\x{2029}]", "\n")
-    return F.regexp_replace(text, r"[\x00-\x08\x0B\x0E-\x1F\x7F]", "")
+    return _where(text, r"[\x00-\x08\x0B-\x1F\x7F\x{85}\x{2028}\x{2029}]", controls)
+
+
+def compatible(t: Column) -> Column:
+    """Ligatures and full-width letters as plain ones."""
+    for mark, letters in LIGATURES:
+        t = F.replace(t, F.lit(mark), F.lit(letters))
+    return F.translate(t, _WIDE, "".join(chr(ord(c) - 0xFEE0) for c in _WIDE))
 
 
 @lru_cache
@@ -126,28 +131,46 @@ def _clean(text: Column, options: CleanOptions) -> Column:
     return F.regexp_replace(out, r"[ \t]+(?=\r?\n|\z)", "")
 
 
+def plain_quotes(t: Column) -> Column:
+    t = F.translate(t, *quote_map())
+    for mark, dots in ELLIPSES:
+        t = F.replace(t, F.lit(mark), F.lit(dots))
+    return t
+
+
+def plain_dashes(t: Column) -> Column:
+    return F.translate(F.regexp_replace(t, "[ \t]*[—―][ \t]*", " - "), "‐‑‒–", "----")
+
+
 def _steps(text: Column, options: CleanOptions) -> Column:
-    out = repair(text)
-    if not options.keep_replacement:
-        out = F.replace(out, F.lit("�"), F.lit(""))
-    if not options.keep_quotes:
-
-        def plain_quotes(t: Column) -> Column:
-            t = F.translate(t, *quote_map())
-            for mark, dots in ELLIPSES:
-                t = F.replace(t, F.lit(mark), F.lit(dots))
-            return t
-
-        marks = quote_map()[0] + "".join(m for m, _ in ELLIPSES)
-        out = _where(out, ch.fast_pattern(ch.ranges_of(sorted(map(ord, marks)))), plain_quotes)
-    if not options.keep_dashes:
-        out = _where(out, "[‐-―]", lambda t: F.translate(F.regexp_replace(t, "[ \t]*[—―][ \t]*", " - "), "‐‑‒–", "----"))
-    if not options.keep_brackets:
-        out = _where(out, "[【】]", fold_brackets)
-    out = F.regexp_replace(out, ch.fast_pattern(ch.SPACE_SEPARATOR), " ")
-    kept: ch.Ranges = ch.DEFAULT_IGNORABLE if options.keep_invisible or options.keep_default_ignorables else ()
-    dropped = _without(ch.unnamed() + ch.PRIVATE_USE + (() if kept else ch.DEFAULT_IGNORABLE), kept)
-    return F.regexp_replace(out, ch.fast_pattern(dropped), "")
+    """All steps but the last; each is taken only by texts that hold what it changes."""
+    spaces, invisible = ch.pattern(ch.SPACE_SEPARATOR), options.keep_invisible or options.keep_default_ignorables
+    kept: ch.Ranges = ch.DEFAULT_IGNORABLE if invisible else ()
+    dropped = ch.fast_pattern(_without(ch.unnamed() + ch.PRIVATE_USE + (() if invisible else ch.DEFAULT_IGNORABLE), kept))
+    marks = quote_map()[0] + "".join(m for m, _ in ELLIPSES)
+    steps: list[tuple[bool, str, Callable[[Column], Column]]] = [
+        (True, r"[\x{FB00}-\x{FB06}\x{FF01}-\x{FF5E}]", compatible),
+        (not options.keep_replacement, "�", lambda t: F.replace(t, F.lit("�"), F.lit(""))),
+        (not options.keep_quotes, ch.fast_pattern(ch.ranges_of(sorted(map(ord, marks)))), plain_quotes),
+        (not options.keep_dashes, "[‐-―]", plain_dashes),
+        (not options.keep_brackets, "[【】]", fold_brackets),
+        (True, spaces, lambda t: F.regexp_replace(t, spaces, " ")),
+        (True, dropped, lambda t: F.regexp_replace(t, dropped, "")),
+    ]
+
+    def of(odd: Column, out: Column, pattern: str, change: Callable[[Column], Column]) -> Column:
+        return let(out, lambda t: F.when(odd.rlike(pattern), change(t)).otherwise(t))
+
+    def beyond_ascii(repaired: Column) -> Column:
+        def all_of(odd: Column) -> Column:
+            out = repaired
+            for wanted, pattern, change in steps:
+                out = of(odd, out, pattern, change) if wanted else out
+            return F.when(odd != "", out).otherwise(repaired)
+
+        return let(ch.non_ascii(repaired), all_of)
+
+    return let(repair(text), beyond_ascii)
 
 
 def _without(ranges: ch.Ranges, kept: ch.Ranges) -> ch.Ranges:

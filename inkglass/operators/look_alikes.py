@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.characters import SCRIPTS, fast_pattern, ranges_of
+from ..functions.characters import SCRIPTS, fast_pattern, non_ascii, ranges_of
 from ..functions.spans import column_of, let, line_of, match_spans
 from .signals import FINDING, LOCATION_LIMIT, finding, no_places, place, scripts
 
@@ -43,7 +43,7 @@ def _odd() -> str:
 
 
 @lru_cache
-def _alike() -> dict[str, str]:
+def alike() -> dict[str, str]:
     return dict(zip(*look_alikes()))
 
 
@@ -69,14 +69,14 @@ def analysis(token: Column) -> Column:
 
 def analyze(token: str) -> dict | None:
     """The same in Python, for kernels over tokens; None if the token is of one script or holds no look-alike."""
-    alike = _alike()
+    known = alike()
     bucket = lambda c: next((s for s in SCRIPTS if unicodedata.name(c, "").startswith("CJK" if s == "Han" else s.upper())), "Common")
-    odd = [c for c in token if c in alike] if not token.isascii() else []
+    odd = [c for c in token if c in known] if not token.isascii() else []
     if not odd or len({bucket(c) for c in token if c.isalpha()} - {"Common"}) < 2:
         return None
     return {
         "token": token,
-        "skeleton": "".join(alike.get(c, c) for c in token),
+        "skeleton": "".join(known.get(c, c) for c in token),
         "characters": [{"character": c, "code_point": f"U+{ord(c):04X}", "script": bucket(c)} for c in odd],
         "unicode_version": unicodedata.unidata_version,
     }
@@ -88,7 +88,7 @@ def _deceptive(token: Column) -> Column:
 
 def confusable_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, token, skeleton, scripts, count`` of tokens of two scripts or more with a look-alike."""
-    odd = docs.filter(F.col(text_col).rlike(_odd()))
+    odd = docs.filter(non_ascii(F.col(text_col)).rlike(_odd()))
     tokens = odd.select(id_col, F.explode(F.regexp_extract_all(text_col, F.lit(TOKEN), F.lit(0))).alias("token")).filter(F.col("token").rlike(_odd()))
     known = tokens.groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("count")).withColumn("scripts", scripts(F.col("token"))).filter(F.size("scripts") > 1)
     return known.select(id_col, "token", skeleton(F.col("token")).alias("skeleton"), "scripts", "count")
@@ -107,7 +107,7 @@ def token_findings(text: Column, limit: int = LOCATION_LIMIT) -> Column:
         return F.filter(F.array(found), lambda f: f["count"] > 0)
 
     hits = F.filter(match_spans(text, TOKEN), lambda s: _deceptive(s["text"]))
-    return F.when(text.rlike(_odd()), let(hits, one)).otherwise(F.array().cast(f"array<{FINDING}>"))
+    return F.when(non_ascii(text).rlike(_odd()), let(hits, one)).otherwise(F.array().cast(f"array<{FINDING}>"))
 
 
 def normalization_findings(changes: Column) -> Column:

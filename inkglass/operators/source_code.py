@@ -36,9 +36,14 @@ def language_of(path: Column) -> Column:
 _LEX = re.compile(r"""(?s)(?P<comments>/\*.*?(?:\*/|\Z)|(?://|\#)[^\n]*)|(?P<strings>"(?:\\.|[^"\\])*(?:"|\Z)|'(?:\\.|[^'\\])*(?:'|\Z)|`(?:\\.|[^`\\])*(?:`|\Z))|(?P<identifiers>[^\W\d]\w*)""")
 
 
-def lexed_spans(text: str) -> list[tuple[int, int, str]]:
-    """Comments, strings and identifiers of a language that is not known more closely."""
-    return [(m.start(), m.end(), m.lastgroup or "") for m in _LEX.finditer(text)]
+def lexed_spans(text: str, until: int | None = None) -> list[tuple[int, int, str]]:
+    """Comments, strings and identifiers of a language that is not known more closely, up to the offset ``until``."""
+    out = []
+    for m in _LEX.finditer(text):
+        if until is not None and m.start() > until:
+            break
+        out.append((m.start(), m.end(), m.lastgroup or ""))
+    return out
 
 
 def python_spans(text: str) -> tuple[list[tuple[int, int, str]], bool]:
@@ -59,15 +64,16 @@ def python_spans(text: str) -> tuple[list[tuple[int, int, str]], bool]:
         return spans, False
 
 
-def spans_of(text: str, language: str) -> tuple[list[tuple[int, int, str]], str, bool | None]:
+def spans_of(text: str, language: str, until: int | None = None) -> tuple[list[tuple[int, int, str]], str, bool | None]:
     """Spans, the parser's name, and validity where the parser can tell."""
     if language == "python":
         spans, valid = python_spans(text)
-        return (spans, "tokenize", True) if valid else (lexed_spans(text), "generic", False)
-    return lexed_spans(text), "generic", None
+        return (spans, "tokenize", True) if valid else (lexed_spans(text, until), "generic", False)
+    return lexed_spans(text, until), "generic", None
 
 
-_HIDDEN = re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ch.DEFAULT_IGNORABLE) + "]")
+_HIDDEN = frozenset(chr(p) for a, b in ch.DEFAULT_IGNORABLE for p in range(a, b + 1))
+_BEYOND_ASCII = re.compile(r"[^\x00-\x7F]")
 #: (start, end, valid) of a provenance carrier.
 Carrier = tuple[int, int, bool]
 
@@ -80,13 +86,17 @@ def _finding(category: str, signal: str, context: str, offset: int, count: int,
     }
 
 
-def scan_text(text: str, language: str, carriers: list[Carrier] = ()) -> dict:
-    """Spans, parser, validity and findings of a source text.
+def scan_text(text: str, language: str, carriers: list[Carrier] = (), all_spans: bool = True) -> dict:
+    """Spans, parser, validity and findings of a source text; without ``all_spans`` those up to the last finding.
 
     A valid carrier is one finding, its characters are none; every other ignorable
     character is one, and so is every identifier that mixes scripts and holds look-alikes.
     """
-    spans, parser, valid = spans_of(text, language)
+    odd = [] if text.isascii() else [(m.start(), m[0]) for m in _BEYOND_ASCII.finditer(text)]
+    hidden = [(at, c) for at, c in odd if c in _HIDDEN]
+    alike = [at for at, c in odd if c in look_alikes.alike()]
+    last = max([-1, *(at for at, _ in hidden[-1:]), *alike[-1:], *(b for _, b, _ in carriers)])
+    spans, parser, valid = spans_of(text, language, None if all_spans else last)
     starts = [s for s, _, _ in spans]
 
     def context_at(offset: int) -> str:
@@ -98,15 +108,14 @@ def scan_text(text: str, language: str, carriers: list[Carrier] = ()) -> dict:
     for a, b in whole:
         lead = len(text[a:b]) - len(text[a:b].lstrip(" \t"))
         found.append(_finding("provenance", "c2pa_text_carrier", context_at(min(a + lead, b)), a, b - a, None, "text carrier"))
-    for m in _HIDDEN.finditer(text):
-        at = m.start()
+    for at, char in hidden:
         if not any(a <= at < b for a, b in whole):
-            found.append(_finding("unicode_security", "hidden_unicode", context_at(at), at, 1, f"U+{ord(m[0]):04X}", unicodedata.name(m[0], "UNNAMED")))
-    if not text.isascii():
-        for a, b, context in spans:
-            told = look_alikes.analyze(text[a:b]) if context == "identifiers" and not text[a:b].isascii() else None
-            if told:
-                found.append(_finding("unicode_security", "confusable_mixed_script_identifier", context, a, 1, None, "identifier of several scripts", told))
+            found.append(_finding("unicode_security", "hidden_unicode", context_at(at), at, 1, f"U+{ord(char):04X}", unicodedata.name(char, "UNNAMED")))
+    for place in sorted({bisect.bisect_right(starts, at) - 1 for at in alike}):
+        a, b, context = spans[place] if place >= 0 else (0, 0, "syntax")
+        told = look_alikes.analyze(text[a:b]) if context == "identifiers" else None
+        if told:
+            found.append(_finding("unicode_security", "confusable_mixed_script_identifier", context, a, 1, None, "identifier of several scripts", told))
     return {"parser": parser, "parse_valid": valid, "spans": spans, "findings": sorted(found, key=lambda f: (f["signal"].startswith("confusable"), f["offset"]))}
 
 
@@ -133,6 +142,10 @@ def _scan_batch(text: pd.Series, language: pd.Series, carriers: pd.Series) -> pd
     return pd.DataFrame({n: pd.Series([r[i] for r in rows], dtype=object) for i, n in enumerate(("parser", "parse_valid", "counts", "regions", "characters", "findings"))})
 
 
+def _find_batch(text: pd.Series, language: pd.Series, carriers: pd.Series) -> pd.Series:
+    return pd.Series([scan_text(t or "", lang or "unknown", _ranges(held), False)["findings"] for t, lang, held in zip(text, language, carriers)], dtype=object)
+
+
 def _scan(text: str, language: str, carriers: Column) -> Column:
     return F.pandas_udf(_scan_batch, SCAN)(text, language, carriers)
 
@@ -144,7 +157,7 @@ def _carriers(text: Column) -> Column:
 
 def suspect(text: Column) -> Column:
     """Whether a scan of the text could find anything; the others need no Python."""
-    return text.rlike(ch.fast_pattern(ch.DEFAULT_IGNORABLE)) | carriers_module.may_carry(text) | text.rlike(look_alikes._odd())
+    return ch.non_ascii(text).rlike(f"{ch.pattern(ch.DEFAULT_IGNORABLE)}|{look_alikes._odd()}") | carriers_module.may_carry(text)
 
 
 def with_scan(docs: DataFrame, text_col: str, language_col: str, out: str) -> DataFrame:
@@ -172,7 +185,7 @@ def regions(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", language_col: str = "language") -> DataFrame:
     """``id_col``, the finding's fields, ``line`` and ``column``, of all documents that have any."""
     rows = docs.filter(suspect(F.col(text_col))).select(id_col, F.col(language_col).alias("language"), F.col(text_col).alias("_t"), _carriers(F.col(text_col)).alias("_carriers"))
-    found = rows.select(id_col, "_t", F.explode(_scan("_t", "language", settled("_carriers"))["findings"]).alias("f"))
+    found = rows.select(id_col, "_t", F.explode(F.pandas_udf(_find_batch, f"array<{FINDING}>")("_t", "language", settled("_carriers"))).alias("f"))
     return found.select(id_col, "f.*", line_of(F.col("_t"), F.col("f.offset")).alias("line"), column_of(F.col("_t"), F.col("f.offset")).alias("column"))
 
 
@@ -181,7 +194,7 @@ def clean_comments_text(text: str, language: str, carriers: list[Carrier] = (),
 
     Carriers stay; ``strip_provenance`` takes valid ones in comments out.
     """
-    scanned = scan_text(text, language, carriers)
+    scanned = scan_text(text, language, carriers, False)
     if scanned["parse_valid"] is False:
         return text
     broken = [(a, b) for a, b, ok in carriers if not ok]
