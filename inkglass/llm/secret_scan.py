@@ -18,13 +18,13 @@ from ..functions.spans import let, match_spans, scan
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ASSIGN_VALUE_LENGTH = 6
 # Runs are maximal, so a length asked for inside the pattern finds what a length asked for
-# afterwards would leave.
+# afterwards would leave, and no run is tried but from its start.
 ACCESS = r"AKIA[A-Z0-9]{16,}"
-HEX = r"[0-9a-f]{24,}"
+HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"
 
 KINDS = ("assign", "access", "hex", "entropy")
 
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
 #: Character classes, tried in this order: name, what the whole candidate must match, what
 #: it must contain, and the bits per character that a window must reach.
