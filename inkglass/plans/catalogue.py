@@ -605,7 +605,7 @@ def unified_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT DISTINCT source AS path FROM documents")
 def dedupe_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("source").alias("path")).dropDuplicates(["path"])
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("source").alias("path")).transform(text_files.once)
 
 
 def queries() -> dict[str, Query]:

@@ -19,12 +19,17 @@ def eol_of(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("\r\n")), "\r\n").when(F.contains(text, F.lit("\r")), "\r").otherwise("\n")
 
 
+def once(inputs: DataFrame) -> DataFrame:
+    """Inputs without those that name a ``path`` again."""
+    return inputs.dropDuplicates(["path"])
+
+
 def read_texts(spark: SparkSession, *paths: str) -> tuple[DataFrame, DataFrame]:
     """Documents ``path, text, eol``, and rejects ``path, length``: files that are not UTF-8.
 
     A file that is named twice is read once.
     """
-    files = spark.read.format("binaryFile").load(list(dict.fromkeys(paths))).dropDuplicates(["path"])
+    files = once(spark.read.format("binaryFile").load(list(dict.fromkeys(paths))))
     texts = files.select("path", "length", F.try_validate_utf8(F.col("content").cast("string")).alias("text"))
     good = texts.filter("text is not null").select("path", "text", eol_of(F.col("text")).alias("eol"))
     return good, texts.filter("text is null").select("path", "length")
