@@ -102,9 +102,26 @@ def record_fingerprint(record: Column) -> Column:
     return F.substring(F.sha2(F.array_join(record_paths(record), "\n").cast("binary"), 256), 1, 16)
 
 
-def _turns(record: Column, m: Mapping) -> Column:
-    parsed = F.from_json(record, m.schema)
-    text = lambda c: F.coalesce(c, F.lit(""))
+def outline(record: Column) -> Column:
+    """A JSON object with the same field paths, short enough to parse however long its texts are.
+
+    Its string values are emptied, but for ones that JSON does not allow, and of equal objects
+    that follow one another in an array one is left. What is no JSON stays none.
+    """
+    name = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+    valid = r'[^"\\\x00-\x1f]*+(?:\\(?:["\\/bfnrt]|u[0-9A-Fa-f]{4})[^"\\\x00-\x1f]*+)*+'
+    emptied = F.regexp_replace(record, rf'(?s)({name}\s*+:)|("){valid}(")|({name})', "$1$2$3$4")
+    return F.regexp_replace(emptied, rf'(?s)({name}|:\s*+\{{)|(\{{(?:[^\[\]{{}}"]|{name})*+\}})(?:\s*+,\s*+\2)++', "$1$2")
+
+
+# Options by which Spark's parser takes strings of any length, and stops where it cannot read.
+ANY_LENGTH = {"maxStringLen": str(2**31 - 1), "mode": "FAILFAST"}
+
+
+def _turns(record: Column, m: Mapping, any_length: bool, cited: Column | None) -> Column:
+    parsed = F.from_json(record, m.schema, ANY_LENGTH if any_length else None)
+    meant = lambda c: c if cited is None else F.when(cited.isNull(), c).otherwise(F.get(cited, c.cast("int")))
+    text = lambda c: F.coalesce(meant(c), F.lit(""))
     if m.messages:
         return F.transform(parsed[m.messages], lambda x: F.struct(text(x[m.role]).alias("role"), text(x[m.text]).alias("text")))
     turns = []
@@ -126,13 +143,24 @@ def _too_long(record: Column) -> Column:
     return F.raise_error(F.concat(F.lit("a JSON record of "), F.length(record).cast("string"), F.lit(" characters is too long for Spark's parsers")))
 
 
-def canonical_turns(records: DataFrame, record_col: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
+def canonical_turns(
+    records: DataFrame,
+    record_col: str = "record",
+    mappings: tuple[Mapping, ...] = MAPPINGS,
+    role_names: dict[str, str] = ROLE_NAMES,
+    any_length: bool = False,
+    cited_col: str | None = None,
+) -> DataFrame:
     """``records`` with ``fingerprint``, ``layout`` and ``turns`` (role and text, in order).
 
     Rows with turns in a column ``built_turns``, see :func:`from_turn_rows`, take these as
-    they are, and count as of the layout ``messages``; they may be of any length. Of parsed
-    records the other names of the canonical roles (human, gpt, bot, model) are translated. A JSON object that is
-    too long for Spark's parsers stops the job.
+    they are, without fingerprints, and count as of the layout ``messages``; they may be of
+    any length. Of parsed records the names of roles in ``role_names`` (human, gpt, bot and
+    model) are translated. A JSON object that is too long for Spark's parsers stops the job;
+    with ``any_length`` texts are as long as a value can be, the fingerprint of a long record
+    is that of its :func:`outline`, and only an outline that is too long itself stops the job.
+    Where the array ``cited_col`` is not null, a record's strings are positions (from 0) of
+    the strings that are meant, so that long texts need no parsing; its paths are as ever.
 
     Records of a layout that no mapping knows, and texts that are no JSON objects, have
     ``layout`` and ``turns`` null; nothing is dropped. Null roles and texts are empty. Other
@@ -144,18 +172,23 @@ def canonical_turns(records: DataFrame, record_col: str = "record", mappings: tu
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     for m in reversed(mappings):
         known = mark == fingerprint(m.paths)
-        layout, turns = F.when(known, m.name).otherwise(layout), F.when(known, _turns(record, m)).otherwise(turns)
+        layout, turns = F.when(known, m.name).otherwise(layout), F.when(known, _turns(record, m, any_length, F.col(cited_col) if cited_col else None)).otherwise(turns)
     built = F.col(BUILT) if BUILT in records.columns else F.lit(None).cast(TURNS)
     long, object_like = F.length(record) > PARSED_FOR_SURE, record.rlike(r"\A\s*\{") & record.rlike(r"\}\s*\z")
-    read = record_fingerprint(record)
-    read = F.when(read.isNull() & long & object_like, _too_long(record)).otherwise(read)
-    # of a known layout and so long, but without any text
-    empty = turns.isNull() | ~F.exists(turns, lambda t: t["text"] != "")
-    turns = F.when(long & layout.isNotNull() & empty, _too_long(record).cast(TURNS)).otherwise(turns)
+    read = record_fingerprint(F.when(long, outline(record)).otherwise(record) if any_length else record)
+    unread = long & object_like & read.isNull()
+    if any_length:
+        unread &= F.length(outline(record)) > PARSED_FOR_SURE
+    else:
+        # of a known layout and so long, but without any text
+        empty = turns.isNull() | ~F.exists(turns, lambda t: t["text"] != "")
+        turns = F.when(long & layout.isNotNull() & empty, _too_long(record).cast(TURNS)).otherwise(turns)
+    read = F.when(unread, _too_long(record)).otherwise(read)
     read, layout = F.when(built.isNull(), read).otherwise(fingerprint(BUILT_LAYOUT.paths)), F.when(built.isNull(), layout).otherwise(BUILT_LAYOUT.name)
-    renamed = lambda role: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in ROLE_NAMES.items() for x in kv]), role), role)
-    named = F.transform(turns, lambda t: F.struct(renamed(t["role"]).alias("role"), t["text"].alias("text")))
-    return records.withColumn("fingerprint", read).withColumn("layout", layout).withColumn("turns", F.coalesce(built, named))
+    if role_names:
+        renamed = lambda role: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in role_names.items() for x in kv]), role), role)
+        turns = F.transform(turns, lambda t: F.struct(renamed(t["role"]).alias("role"), t["text"].alias("text")))
+    return records.withColumn("fingerprint", read).withColumn("layout", layout).withColumn("turns", F.coalesce(built, turns))
 
 
 # The template. Every control string begins with < or [, and escaped texts
@@ -214,22 +247,26 @@ def loss_spans(parsed: Column, roles: tuple[str, ...] = ("assistant",)) -> Colum
     return F.transform(F.filter(parsed, lambda t: t["role"].isin(*roles)), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end")))
 
 
-def format_records(records: DataFrame, record_col: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
+def format_records(records: DataFrame, record_col: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS, **options) -> DataFrame:
     """``records`` with ``fingerprint, layout, turns, formatted, loss_mask``.
 
     ``loss_mask`` are the code-point spans of ``formatted`` that assistants wrote. Columns of
-    these names are replaced; see :func:`canonical_turns` for unknown layouts, whose
-    ``formatted`` and ``loss_mask`` are null.
+    these names are replaced; see :func:`canonical_turns` for its ``options`` and for unknown
+    layouts, whose ``formatted`` and ``loss_mask`` are null.
     """
-    out = canonical_turns(records, record_col, mappings).withColumn("formatted", format_turns(F.col("turns")))
+    out = canonical_turns(records, record_col, mappings, **options).withColumn("formatted", format_turns(F.col("turns")))
     return out.withColumn("loss_mask", loss_spans(parse_formatted(F.col("formatted"))))
 
 
-def from_turn_rows(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+def from_turn_rows(
+    rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", cite_above: int | None = None
+) -> DataFrame:
     """``conv_col, record, built_turns``: the rows of each conversation as one record with ``messages``.
 
     ``built_turns`` holds the same turns (role and text), which :func:`canonical_turns` takes
-    without parsing ``record``.
+    without parsing ``record``. With ``cite_above``, ``cited`` follows: in a record of more
+    characters of roles and texts, all strings are positions in this array, which holds the
+    roles and texts; it is null for other records.
 
     Rows come by turn, null turns first, and rows of one turn by role and text. A null
     conversation id forms a conversation of its own. A conversation is one value, so its
@@ -242,4 +279,11 @@ def from_turn_rows(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "
     messages = F.transform(F.array_sort(F.collect_list(row)), lambda r: F.struct(r["role"], r["content"]))
     grouped = rows.groupBy(conv_col).agg(messages.alias("messages"))
     built = F.transform("messages", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("text")))
-    return grouped.select(conv_col, F.to_json(F.struct("messages")).alias("record"), built.alias(BUILT))
+    record = F.to_json(F.struct("messages"))
+    if cite_above is None:
+        return grouped.select(conv_col, record.alias("record"), built.alias(BUILT))
+    chars = F.aggregate("messages", F.lit(0).cast("long"), lambda n, m: n + F.length(m["role"]) + F.length(m["content"]))
+    places = F.transform("messages", lambda m, i: F.struct((2 * i).cast("string").alias("role"), (2 * i + 1).cast("string").alias("content")))
+    strings = F.flatten(F.transform("messages", lambda m: F.array(m["role"], m["content"])))
+    record = F.when(chars > cite_above, F.to_json(F.struct(places.alias("messages")))).otherwise(record)
+    return grouped.select(conv_col, record.alias("record"), built.alias(BUILT), F.when(chars > cite_above, strings).alias("cited"))

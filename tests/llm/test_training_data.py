@@ -296,6 +296,59 @@ def test_texts_too_long_for_json_parsers(spark):
         chat_format.canonical_turns(record).select(F.size("turns")).collect()
 
 
+def test_outlines_keep_paths(spark):
+    records = [
+        '{"m":[{"r":"a","t":"b"},{"r":"","t":"c\\\\"},{"t":"{},{}","r":"\\"z"}],"k":[{},{}]}',
+        '{"a" : [[{"x":"}"} , {"x":"{"}]], "c{},{}":{"d":1}, "{\\"},{":{}}',
+        '{"a":[{"x":{"y":"1"}},{"x":{"z":"2"}}],"b":"\\u00e9"}',
+        *('{"a":"\\q"}', '{"a":"\\u12"}', '{"a":"b', '{"a":"\n"}', '{"a":{},{}}', '{"a":"b" "c":"d"}', '{"a":[{"x":"1"},{"x":"1"} "q"]}', "no json"),
+    ]
+    record = F.col("record")
+    d = spark.createDataFrame([(r,) for r in records], "record string")
+    got = d.select(chat_format.record_paths(record).alias("whole"), chat_format.record_paths(chat_format.outline(record)).alias("outlined")).collect()
+    assert all(r.whole == r.outlined for r in got) and [r.whole is None for r in got] == [False] * 3 + [True] * 8
+    assert d.select(chat_format.outline(record).alias("o")).first().o == '{"m":[{"r":"","t":""},{"t":"","r":""}],"k":[{}]}'
+
+
+def test_records_of_any_length(spark):
+    # a long text, and a record whose outline is long until equal turns are one
+    d = spark.range(1).select(F.expr("repeat('x\"\\n', 7000000 + cast(id as int))").alias("text"))
+    long = d.select(F.to_json(F.struct(F.col("text").alias("prompt"), F.lit("b").alias("response"))).alias("record"))
+    turn = F.struct(F.lit("gpt").alias("role"), F.lit("").alias("content"))
+    many = spark.range(1).select(F.to_json(F.struct(F.array_repeat(turn, F.lit(700_000) + F.col("id").cast("int")).alias("messages"))).alias("record"))
+    read = lambda d, **more: chat_format.canonical_turns(d, any_length=True, **more)
+    got = read(long).select("layout", F.length(F.col("turns")[0]["text"]).alias("n"), F.col("turns")[1]["text"].alias("b")).first()
+    assert tuple(got) == ("prompt+response", 21_000_000, "b")
+    got = read(many, role_names={}).select("layout", F.size("turns").alias("n"), F.col("turns")[699_999]["role"].alias("role")).first()
+    assert tuple(got) == ("messages/role/content", 700_000, "gpt")
+
+
+def test_records_that_cite(spark):
+    rows = [(1, 0, "gpt", "abc"), (1, 1, "0", None), (2, 0, "user", "1"), (3, 0, None, "1234")]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    records = chat_format.from_turn_rows(d, cite_above=5).drop(chat_format.BUILT)
+    got = {r.conv_id: r for r in chat_format.format_records(records, role_names={}, any_length=True, cited_col="cited").collect()}
+    assert [got[c].cited for c in (1, 2, 3)] == [["gpt", "abc", "0", ""], None, None] and "abc" not in got[1].record
+    assert {c: [tuple(t) for t in got[c].turns] for c in got} == {1: [("gpt", "abc"), ("0", "")], 2: [("user", "1")], 3: [("", "1234")]}
+    assert {r.layout for r in got.values()} == {"messages/role/content"} and len({r.fingerprint for r in got.values()}) == 1
+    # parts of a turn are looked up one by one
+    one = spark.createDataFrame([('{"instruction":"1","input":"0","output":"2"}', ["", "a", "b"])], "record string, cited array<string>")
+    assert [tuple(t) for t in chat_format.canonical_turns(one, cited_col="cited").first().turns] == [("user", "a"), ("assistant", "b")]
+
+
+def test_query_reads_every_conversation_by_its_fingerprint(spark, tmp_path, monkeypatch):
+    rows = [(1, 0, "gpt", 'a"\\\n\t\x01'), (1, 1, "assistant", "<[&\u2028😀"), (2, None, None, None), (2, 5, "human", ""), (None, 0, "assistant", "x" * 1_000_000)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    sha = lambda *parts: hashlib.sha256("".join(parts).encode()).hexdigest()
+    said = {conv: sha(*(f"{r or ''}\n{t or ''}\n" for c, _, r, t in rows if c == conv)) for conv in (1, 2, None)}
+    got = {r.conv_id: r for r in queries.op5_chat_format(spark, str(tmp_path)).collect()}
+    assert {c: got[c].turns_sha256 for c in said} == said and len(got) == 4
+    assert [got[c].loss_sha256 for c in (1, 2, None)] == [sha("<[&\u2028😀"), sha(), sha("x" * 1_000_000)]
+    # whose fingerprint no mapping knows, has no turns
+    monkeypatch.setattr(chat_format, "record_fingerprint", lambda record: F.lit("unknown"))
+    assert [r.turns_sha256 for r in queries.op5_chat_format(spark, str(tmp_path)).collect()] == [None] * 4
+
+
 # ---- 6: exact duplicates --------------------------------------------------------------
 
 
