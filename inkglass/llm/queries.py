@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_forest, chat_format, exact_dedup, mixing, near_dedup, quality_crf, secret_scan, sentencepiece_lattice, url_filter, warc
-from .common import drop_path, shared_path, stash
+from inkglass.functions.spans import let, settled
+
+from . import ann_forest, chat_format, exact_dedup, lexical_search, license_scan, mixing, near_dedup, periodic_runs, quality_crf, secret_scan, sentencepiece_lattice, url_filter, warc
+from .common import WORD, drop_path, shared_path, stash, word_count
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -137,6 +139,62 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _table(spark, sf_dir, "documents").select("doc_id", license_scan.find_licenses(F.col("text")).alias("f"))
+    labels_of = lambda *c: F.array_join(F.array_sort(F.array_distinct(F.concat(*[x["label"] for x in c]))), ",")
+    places, spans = F.col("f.places"), F.col("f.spans")
+    return found.select(
+        "doc_id",
+        F.col("f.n_words").alias("n_words"),
+        F.size(places).cast("long").alias("n_base"),
+        F.array_min(places["start"]).alias("first_word"),
+        F.array_max(places["start"]).alias("last_word"),
+        labels_of(places).alias("base_labels"),
+        labels_of(places, spans).alias("labels"),
+        F.col("f.score").alias("score"),
+        spans.alias("spans"),
+    )
+
+
+def _with_periods(doc_id: Column, text: Column) -> Column:
+    """The text; of every tenth document by hash, with words that repeat from some place on."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g, n = F.floor(h / 10), word_count(text)
+    a = g % n
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+
+    def planted(s: Column) -> Column:
+        original = lambda i: F.when(i < s["a"], i).otherwise(s["a"] + (i - s["a"]) % s["p"]).cast("int")
+        return F.array_join(F.transform(s["w"], lambda _, i: F.get(s["w"], original(i))), " ")
+
+    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    return F.when((h % 10 == 0) & (n > 0), let(F.struct(words.alias("w"), a.alias("a"), p.alias("p")), planted)).otherwise(text)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", _with_periods(F.col("doc_id"), F.col("text")).alias("text"))
+    found = docs.select("doc_id", periodic_runs.periodic_runs(settled("text")).alias("f"))
+    runs = F.col("f.runs")
+    # the greatest length; of equal ones the first by start, then period
+    longest = F.array_max(F.transform(runs, lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("before"), (-r["period"]).alias("period"))))
+    told = F.array_join(F.transform(runs, lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), F.concat(r["period"].cast("string"), F.lit("\n")))), "")
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return found.select("doc_id", F.size(runs).cast("long").alias("n_runs"), longest.alias("l"), sha(told).alias("runs_sha256"), sha(F.col("f.collapsed")).alias("collapsed_sha256")).select(
+        "doc_id",
+        "n_runs",
+        (-F.col("l.before")).alias("start"),
+        F.col("l.length").alias("length"),
+        (-F.col("l.period")).alias("period"),
+        F.floor(1000 * F.col("l.length") / -F.col("l.period")).cast("long").alias("exponent_milli"),
+        "runs_sha256",
+        "collapsed_sha256",
+    )
+
+
 OP1_SQL = r"""
 WITH RECURSIVE
 words AS (
@@ -195,6 +253,30 @@ FROM d WINDOW g AS (PARTITION BY text)
 """
 
 
+# Character classes as words and terms have them; DuckDB's // rounds down on whole numbers.
+OP11_SQL = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[0-9A-Za-z\x{80}-\x{10FFFF}]+'),
+        lambda t: translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS t
+    FROM documents),
+n AS (SELECT r, doc_id, t, CAST(len(t) AS BIGINT) AS n FROM d WHERE len(t) > 0),
+s AS (SELECT CAST(count(*) AS BIGINT) AS big_n, CAST(sum(n) AS BIGINT) AS big_l FROM n),
+q AS (
+    SELECT DISTINCT item_id, unnest(list_transform(regexp_extract_all(coalesce(text, ''), '[0-9A-Za-z\x{80}-\x{10FFFF}]+'),
+        lambda t: translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS term
+    FROM benchmark),
+words AS (SELECT r, doc_id, n, unnest(t) AS term FROM n),
+tf AS (SELECT r, doc_id, n, term, CAST(count(*) AS BIGINT) AS tf FROM words WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(big_n) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, s GROUP BY term),
+scored AS (
+    SELECT item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * big_n) // big_l)))) AS BIGINT) AS score
+    FROM q JOIN tf USING (term) JOIN w USING (term), s GROUP BY item_id, r, doc_id),
+ranked AS (
+    SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+    FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
 OP8_SQL = """
 WITH p AS (
     SELECT page_id, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS payload_digest,
@@ -209,8 +291,8 @@ FROM f
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_nearest, op3_mixing, op4_quality, op5_chat_format, op6_exact_dedup, op7_secret_scan, op8_warc, op9_sentencepiece, op10_url_filter, sentencepiece_viterbi)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_nearest, op3_mixing, op4_quality, op5_chat_format, op6_exact_dedup, op7_secret_scan, op8_warc, op9_sentencepiece, op10_url_filter, op11_lexical_search, op12_license_scan, op13_periodic_runs, sentencepiece_viterbi)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_dedup": OP1_SQL, "op5_chat_format": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op8_warc": OP8_SQL}
+    return {"op1_near_dedup": OP1_SQL, "op5_chat_format": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op8_warc": OP8_SQL, "op11_lexical_search": OP11_SQL}
