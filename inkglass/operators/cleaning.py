@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import characters as ch
+from ..functions import entities, normalization
 from ..functions.spans import let
 from .carriers import carriers, may_carry, strip_carriers
 
@@ -89,15 +90,20 @@ def compatible(t: Column) -> Column:
 def untouched() -> ch.Ranges:
     """Letters of the Latin, Greek and Cyrillic blocks that no step changes, with tidy ASCII."""
     changed = {ord(c) for c in quote_map()[0] + "".join(m for m, _ in ELLIPSES + LIGATURES) + _WIDE}
-    changed |= {p for a, b in ch.SPACE_SEPARATOR + ch.DEFAULT_IGNORABLE + ch.unnamed() + ch.PRIVATE_USE for p in range(a, b + 1)}
+    dropped_or_composed = ch.SPACE_SEPARATOR + ch.DEFAULT_IGNORABLE + ch.unnamed() + ch.PRIVATE_USE + normalization.tables("NFC").unsure
+    changed |= {p for a, b in dropped_or_composed for p in range(a, b + 1)}
     return ch.ranges_of([9, 10, *range(0x20, 0x7F), *(p for p in range(0xA1, 0x530) if p not in changed)])
 
 
 def clean(text: Column, options: CleanOptions = CleanOptions()) -> Column:
-    """The cleaned text; null stays null. Only what lies between carriers is cleaned."""
+    """The cleaned text; null stays null. Only what lies between carriers is cleaned.
+
+    HTML entities become characters on the lines before the first one that holds ``<`` or a carrier.
+    """
     if options.strip_provenance:
-        return let(strip_carriers(text), lambda t: _clean(t, options))
-    return F.when(may_carry(text), _clean_between(text, carriers(text), options)).otherwise(_clean(text, options))
+        return let(entities.unescaped(strip_carriers(text)), lambda t: _clean(t, options))
+    plain = let(entities.unescaped(text), lambda t: _clean(t, options))
+    return F.when(may_carry(text), _clean_between(text, carriers(text), options)).otherwise(plain)
 
 
 def _clean_between(text: Column, spans: Column, options: CleanOptions) -> Column:
@@ -117,8 +123,12 @@ def _clean_between(text: Column, spans: Column, options: CleanOptions) -> Column
     last = lambda a: F.concat(a["out"], F.array(F.struct(gap(a["at"], F.length(text)).alias("gap"), F.lit(None).cast("string").alias("span"))))
     parts = F.aggregate(spans, zero, step, last)
 
-    def cleaned(p: Column) -> Column:
-        out = _clean(F.concat(p["gap"], F.when(p["span"].isNull(), "").otherwise("x")), options)
+    def cleaned(p: Column, i: Column) -> Column:
+        # a span stands for markup: entities are read on the lines before it
+        ahead = entities.unescaped(F.concat(p["gap"], F.when(p["span"].isNull(), "").otherwise("<")))
+        ahead = F.when(p["span"].isNull(), ahead).otherwise(F.substring(ahead, F.lit(1), F.length(ahead) - 1))
+        gap = F.when(i == 0, ahead).otherwise(p["gap"])
+        out = _clean(F.concat(gap, F.when(p["span"].isNull(), "").otherwise("x")), options)
         return F.when(p["span"].isNull(), out).otherwise(F.concat(F.substring(out, F.lit(1), F.length(out) - 1), p["span"]))
 
     return F.array_join(F.transform(parts, cleaned), "")
@@ -150,6 +160,7 @@ def _steps(text: Column, options: CleanOptions) -> Column:
     marks = quote_map()[0] + "".join(m for m, _ in ELLIPSES)
     steps: list[tuple[bool, str, Callable[[Column], Column]]] = [
         (True, r"[\x{FB00}-\x{FB06}\x{FF01}-\x{FF5E}]", compatible),
+        (True, ch.fast_pattern(normalization.tables("NFC").unsure), normalization.normalized),
         (not options.keep_replacement, "�", lambda t: F.replace(t, F.lit("�"), F.lit(""))),
         (not options.keep_quotes, ch.fast_pattern(ch.ranges_of(sorted(map(ord, marks)))), plain_quotes),
         (not options.keep_dashes, "[‐-―]", plain_dashes),

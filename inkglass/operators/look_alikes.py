@@ -6,12 +6,11 @@ import sys
 import unicodedata
 from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.characters import SCRIPTS, fast_pattern, non_ascii, ranges_of
+from ..functions.normalization import differs, unsure
 from ..functions.spans import column_of, let, line_of, match_spans
 from .signals import FINDING, LOCATION_LIMIT, finding, no_places, place, scripts
 
@@ -119,19 +118,13 @@ def normalization_findings(changes: Column) -> Column:
     return F.when(changes["nfc"] | changes["nfkc"], F.array(found)).otherwise(F.array().cast(f"array<{FINDING}>"))
 
 
-@F.pandas_udf(T.StructType().add("nfc", T.BooleanType()).add("nfkc", T.BooleanType()))
-def _changes(text: pd.Series) -> pd.DataFrame:
-    changed = lambda form, t: t is not None and not unicodedata.is_normalized(form, t)
-    return pd.DataFrame([(changed("NFC", t), changed("NFKC", t)) for t in text], columns=["nfc", "nfkc"], dtype=object)
-
-
 def normalization_changes(text: Column) -> Column:
-    """``struct<nfc, nfkc>``: whether either form would change a text; ASCII texts reach Python as nulls."""
-    return _changes(F.when(text.rlike(r"[^\x00-\x7F]"), text))
+    """``struct<nfc, nfkc>``: whether either form would change a text."""
+    return F.struct(differs(text, "NFC").alias("nfc"), differs(text, "NFKC").alias("nfkc"))
 
 
 def normalization(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, nfc_changes, nfkc_changes`` of documents that either would change; ASCII ones never reach Python."""
-    odd = docs.filter(F.col(text_col).rlike(r"[^\x00-\x7F]"))
-    rows = odd.select(id_col, _changes(text_col).alias("_c")).select(id_col, F.col("_c.nfc").alias("nfc_changes"), F.col("_c.nfkc").alias("nfkc_changes"))
-    return rows.filter("nfc_changes or nfkc_changes")
+    """``id_col, nfc_changes, nfkc_changes`` of documents that either form would change."""
+    text = F.col(text_col)
+    rows = docs.filter(unsure(text, "NFC") | unsure(text, "NFKC"))
+    return rows.select(id_col, differs(text, "NFC").alias("nfc_changes"), differs(text, "NFKC").alias("nfkc_changes")).filter("nfc_changes or nfkc_changes")

@@ -6,6 +6,7 @@ All but the last few run over :func:`.salted.salted`, whole tables and whole tex
 from __future__ import annotations
 
 from collections.abc import Callable
+from html.entities import name2codepoint
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -229,8 +230,26 @@ def codepoint_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- cleaning -------------------------------------------------------------------------
 
 
+# Entities are told to SQL one by one: the classic names of HTML 4, and those of the salted corpus that have none.
+_ENTITIES = {"&amp;": "&", **{f"&{n};": chr(p) for n, p in name2codepoint.items() if n != "amp"}, "&NTILDE;": "Ñ", "&#8217;": "’", "&#x41;": "A"}
+
+
+def _entities_sql(x: str) -> str:
+    """Entities on the lines before the first one with a ``<`` or a carrier, whose begin is one of these."""
+    seen = x
+    for mark in ("QZONEQZ", "QZTWOQZ", "-----BEGIN C2PA"):
+        seen = f"replace({seen}, '{mark}', '<')"
+    head = "split_part(m, '<', 1)"
+    # ampersands of ampersands first
+    read = "replace(replace(h, '&amp;amp;', '&amp;'), '&amp;amp;', '&amp;')"
+    for entity, char in _ENTITIES.items():
+        read = f"replace({read}, {_quoted(entity)}, {_quoted(char)})"
+    length = f"CASE WHEN contains(m, '<') THEN length({head}) - length(regexp_extract({head}, '[^\\n]*\\z')) ELSE length(t) END"
+    return f"(SELECT {read} || substr(t, length(h) + 1) FROM (SELECT t, substr(t, 1, {length}) AS h FROM (SELECT {x} AS t, {seen} AS m)))"
+
+
 def _clean_sql(o: cleaning.CleanOptions) -> str:
-    return _held_sql("text", lambda x: _steps_sql(o, x), o.strip_provenance)
+    return _held_sql("text", lambda x: _steps_sql(o, _entities_sql(x)), o.strip_provenance)
 
 
 def _steps_sql(o: cleaning.CleanOptions, x: str) -> str:
@@ -242,7 +261,7 @@ def _steps_sql(o: cleaning.CleanOptions, x: str) -> str:
     x = r(x, r"\r\n|\r|[\x{85}\x{2028}\x{2029}]", "\n")
     wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F) if c not in (0xFF02, 0xFF07))
     x = t(x, wide, "".join(chr(ord(c) - 0xFEE0) for c in wide))
-    x = r(x, r"[\x00-\x08\x0B\x0E-\x1F\x7F]", "")
+    x = f"nfc_normalize({r(x, r"[\x00-\x08\x0B\x0E-\x1F\x7F]", "")})"
     if not o.keep_replacement:
         x = f"replace({x}, '�', '')"
     if not o.keep_quotes:
