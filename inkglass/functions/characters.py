@@ -78,13 +78,18 @@ def pattern(ranges: Ranges) -> str:
 COMMON: Ranges = ((0x9, 0xA), (0xD, 0xD), (0x20, 0x7E), (0xA0, 0x52F), (0x2010, 0x2027), (0x3041, 0x30FF), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3))
 
 
+@lru_cache
+def common_but(ranges: Ranges) -> Ranges:
+    """Where most characters are, without those of a class."""
+    inside = {p for a, b in ranges for p in range(a, b + 1)}
+    return ranges_of([p for a, b in COMMON for p in range(a, b + 1) if p not in inside])
+
+
 @lru_cache
 def fast_pattern(ranges: Ranges) -> str:
     """:func:`pattern` for Java, which tests the ranges of a class one after another: a look
     ahead turns common characters away before hundreds of ranges are tried."""
-    inside = {p for a, b in ranges for p in range(a, b + 1)}
-    rest = ranges_of([p for a, b in COMMON for p in range(a, b + 1) if p not in inside])
-    return f"(?!{pattern(rest)}){pattern(ranges)}" if len(ranges) > 20 else pattern(ranges)
+    return f"(?!{pattern(common_but(ranges))}){pattern(ranges)}" if len(ranges) > 20 else pattern(ranges)
 
 
 def condition(point: str, ranges: Ranges) -> str:

@@ -9,6 +9,7 @@ are read as browsers do. What an entity yields may make another (``&amp;lt;``),
 from __future__ import annotations
 
 import html
+from collections.abc import Iterable
 from functools import lru_cache
 from html.entities import html5
 
@@ -30,10 +31,14 @@ def names() -> dict[str, str]:
     return {name: char for name, char in out.items() if len(name) <= 26}
 
 
+def _listed(values: Iterable[str]) -> Column:
+    """An array of strings that the optimiser folds into one value."""
+    return F.split(F.lit("\x01".join(values)), "\x01")
+
+
 def _named(entity: Column) -> Column:
-    listed = lambda values: F.split(F.lit("\x01".join(values)), "\x01")
-    place = F.array_position(listed(names()), entity)
-    return F.when(place > 0, F.element_at(listed(names().values()), place.cast("int")))
+    place = F.array_position(_listed(names()), entity)
+    return F.when(place > 0, F.element_at(_listed(names().values()), place.cast("int")))
 
 
 def _numbered(entity: Column) -> Column:
@@ -45,7 +50,7 @@ def _numbered(entity: Column) -> Column:
     code = F.when(is_hex, F.when(F.length(hexes) <= 6, F.conv(hexes, 16, 10))).otherwise(F.when(F.length(digits) <= 7, F.conv(digits, 10, 10)))
     code = F.when(F.when(is_hex, hexes).otherwise(digits) == "", F.lit(0)).otherwise(code.cast("int"))
     # Fixed rule: numbers of the first 160 are read by the table of browsers
-    early = F.array(*[F.lit(html.unescape(f"&#{n};")) for n in range(0xA0)])
+    early = _listed(html.unescape(f"&#{n};") for n in range(0xA0))
 
     def char(n: Column) -> Column:
         point = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")

@@ -18,7 +18,7 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .characters import Ranges, fast_pattern, non_ascii, pattern, ranges_of
+from .characters import Ranges, common_but, fast_pattern, non_ascii, pattern, ranges_of
 from .spans import let, scan
 
 # Conjoining Hangul, whose syllables are composed by arithmetic.
@@ -165,8 +165,9 @@ def normalized(text: Column, form: str = "NFC") -> Column:
     Characters that the running Python does not know count as starters that stay.
     """
     t = tables(form)
-    # the character before a stretch may compose with it
-    stretch = rf"(?s)(?:(?!{pattern(t.unsure)}).)?(?:{fast_pattern(t.unsure)})++"
+    # the character before a stretch may compose with it; common ones are known by a few ranges
+    sure = pattern(common_but(t.unsure))
+    stretch = rf"(?s)(?>{sure}|(?!{pattern(t.unsure)}).)?(?:{fast_pattern(t.unsure)})++"
 
     def changed(x: Column) -> Column:
         pairs = F.arrays_zip(F.split(x, stretch, -1).alias("gap"), F.regexp_extract_all(x, F.lit(stretch), F.lit(0)).alias("hit"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import characters as ch
 from ..functions import entities, normalization
-from ..functions.spans import let
+from ..functions.spans import let, scan
 from .carriers import carriers, may_carry, strip_carriers
 
 
@@ -101,44 +101,63 @@ def clean(text: Column, options: CleanOptions = CleanOptions()) -> Column:
     HTML entities become characters on the lines before the first one that holds ``<`` or a carrier.
     """
     if options.strip_provenance:
-        return let(entities.unescaped(strip_carriers(text)), lambda t: _clean(t, options))
-    plain = let(entities.unescaped(text), lambda t: _clean(t, options))
-    return F.when(may_carry(text), _clean_between(text, carriers(text), options)).otherwise(plain)
+        simple = lambda t: _is_settled(t) & ~t.rlike(entities.ENTITY)
+        return let(strip_carriers(text), lambda t: F.when(simple(t), _trimmed(t)).when(t.isNotNull(), _clean_parts(_one_part(t), options)))
+    carrying = may_carry(text)
+    parts = F.when(carrying, let(carriers(text), lambda spans: _parts(text, spans))).otherwise(_one_part(text))
+    simple = ~carrying & _is_settled(text) & ~text.rlike(entities.ENTITY)
+    return F.when(simple, _trimmed(text)).when(text.isNotNull(), _clean_parts(parts, options))
 
 
-def _clean_between(text: Column, spans: Column, options: CleanOptions) -> Column:
-    """The text with its spans as they are and the gaps cleaned.
+_PARTS = "array<struct<gap:string,span:string>>"
 
-    A gap before a span is cleaned with a letter after it, so that it does not count as the
-    text's end, where blanks are dropped.
-    """
+
+def _one_part(text: Column) -> Column:
+    return F.array(F.struct(text.alias("gap"), F.lit(None).cast("string").alias("span")))
+
+
+def _parts(text: Column, spans: Column) -> Column:
+    """The text as gaps, each with the span after it; the last has none."""
     gap = lambda a, b: F.substring(text, a + 1, F.greatest(b - a, F.lit(0)))
-    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<gap:string,span:string>>)").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
+    def step(at: Column, s: Column) -> tuple[Column, Column]:
         # of spans that overlap, what is not out yet
-        part = F.struct(gap(acc["at"], s["start"]).alias("gap"), gap(F.greatest(acc["at"], s["start"]), s["end"]).alias("span"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.array(part)).alias("out"))
+        part = F.struct(gap(at, s["start"]).alias("gap"), gap(F.greatest(at, s["start"]), s["end"]).alias("span"))
+        return F.greatest(at, s["end"]), F.array(part)
+
+    cut = scan(spans, F.lit(0), _PARTS[6:-1], step)
+    return F.concat(cut, _one_part(gap(F.coalesce(F.array_max(spans["end"]), F.lit(0)), F.length(text))))
 
-    last = lambda a: F.concat(a["out"], F.array(F.struct(gap(a["at"], F.length(text)).alias("gap"), F.lit(None).cast("string").alias("span"))))
-    parts = F.aggregate(spans, zero, step, last)
+
+def _clean_parts(parts: Column, options: CleanOptions) -> Column:
+    """Spans as they are and gaps cleaned.
+
+    A gap before a span is cleaned with a letter after it, so that it does not count as the
+    text's end, where blanks are dropped.
+    """
 
     def cleaned(p: Column, i: Column) -> Column:
+        last = p["span"].isNull()
         # a span stands for markup: entities are read on the lines before it
-        ahead = entities.unescaped(F.concat(p["gap"], F.when(p["span"].isNull(), "").otherwise("<")))
-        ahead = F.when(p["span"].isNull(), ahead).otherwise(F.substring(ahead, F.lit(1), F.length(ahead) - 1))
-        gap = F.when(i == 0, ahead).otherwise(p["gap"])
-        out = _clean(F.concat(gap, F.when(p["span"].isNull(), "").otherwise("x")), options)
-        return F.when(p["span"].isNull(), out).otherwise(F.concat(F.substring(out, F.lit(1), F.length(out) - 1), p["span"]))
+        ahead = let(F.concat(p["gap"], F.when(last, "").otherwise("<")), entities.unescaped)
+        gap = F.when(i > 0, p["gap"]).when(last, ahead).otherwise(F.substring(ahead, F.lit(1), F.length(ahead) - 1))
+        out = let(F.concat(gap, F.when(last, "").otherwise("x")), lambda g: _clean(g, options))
+        return let(out, lambda o: F.when(last, o).otherwise(F.concat(F.substring(o, F.lit(1), F.length(o) - 1), p["span"])))
 
     return F.array_join(F.transform(parts, cleaned), "")
 
 
+def _is_settled(text: Column) -> Column:
+    return text.rlike(rf"\A{ch.pattern(untouched())}*\z")
+
+
+def _trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, r"[ \t]+(?=\r?\n|\z)", "")
+
+
 def _clean(text: Column, options: CleanOptions) -> Column:
     """The steps of cleaning; their order matters. The most common texts need the last one only."""
-    settled = text.rlike(rf"\A{ch.pattern(untouched())}*\z")
-    out = F.when(settled, text).otherwise(_steps(text, options))
-    return F.regexp_replace(out, r"[ \t]+(?=\r?\n|\z)", "")
+    return _trimmed(F.when(_is_settled(text), text).otherwise(_steps(text, options)))
 
 
 def plain_quotes(t: Column) -> Column:
@@ -184,6 +203,7 @@ def _steps(text: Column, options: CleanOptions) -> Column:
     return let(repair(text), beyond_ascii)
 
 
+@lru_cache
 def _without(ranges: ch.Ranges, kept: ch.Ranges) -> ch.Ranges:
     points = {p for a, b in ranges for p in range(a, b + 1)} - {p for a, b in kept for p in range(a, b + 1)} - {0xFFFD}
     return ch.ranges_of(sorted(points))

@@ -9,16 +9,21 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.characters import SCRIPTS, fast_pattern, non_ascii, ranges_of
+from ..functions.characters import fast_pattern, non_ascii, ranges_of
 from ..functions.normalization import differs, unsure
+from ..functions.scripts import goes_together, is_mixed, scripts_in, scripts_of
 from ..functions.spans import column_of, let, line_of, match_spans
-from .signals import FINDING, LOCATION_LIMIT, finding, no_places, place, scripts
+from .signals import FINDING, LOCATION_LIMIT, finding, no_places, place
 
 # Letters of other scripts and the ASCII letters that they look like. A subset.
 CYRILLIC = ("авеёікмнорсутхјѕԁһԛԝАВЕКМНОРСТУХЅІЈӏѵґ", "aBeeiKMHopcyTxjsdhqwABEKMHOPCTYXSIJlvr")
 GREEK = ("αγινορτυχωϲϳΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ", "ayivoptuxwcjABEZHIKMNOPTYXCJ")
 ARMENIAN = ("օոսհցզգքյՕՍ", "onuhgqqpjOU")
 CHEROKEE = ("ᎠᎡᎢᎥᎩᎪᎫᎬᎳᎷᎻᎽᏀᏂᏃᏆᏎᏒᏔᏙᏚᏞᏟᏢᏦᏧᏴᏵ", "DRTiYAJEWMHYGhZIURWVSLCPKdBG")
+GEORGIAN = ("ყჿ", "yo")
+COPTIC = ("ⲟⲞⲥⲤⲣⲢⲦⲔⲘⲚⲎ", "oOcCpPTKMNH")
+LISU = ("ꓮꓐꓚꓓꓰꓝꓖꓧꓲꓙꓗꓡꓟꓠꓳꓑꓣꓢꓔꓴꓦꓪꓫꓬꓜ", "ABCDEFGHIJKLMNOPRSTUVWXYZ")
+DESERET = ("𐐄𐐬", "Oo")
 LATIN = ("ıɑɡɩʏʙɢɪʜʟɴʀ", "iagiyBGIHLNR")
 
 
@@ -27,7 +32,7 @@ def look_alikes() -> tuple[str, str]:
     """All of them, for ``translate``: the letters above, and every character that compatibility
     decomposition turns into one ASCII letter or digit (mathematical, full-width, circled ones)."""
     alike = {}
-    for odd, plain in (CYRILLIC, GREEK, ARMENIAN, CHEROKEE, LATIN):
+    for odd, plain in (CYRILLIC, GREEK, ARMENIAN, CHEROKEE, GEORGIAN, COPTIC, LISU, DESERET, LATIN):
         alike |= dict(zip(odd, plain, strict=True))
     for p in range(0x80, sys.maxunicode + 1):
         folded = "" if 0xD800 <= p <= 0xDFFF else unicodedata.normalize("NFKC", chr(p))
@@ -60,7 +65,7 @@ def analysis(token: Column) -> Column:
     ``characters`` are the look-alikes in order, each with its code point and script.
     """
     odd = F.regexp_extract_all(token, F.lit(_odd()), F.lit(0))
-    script = lambda c: F.coalesce(F.get(scripts(c), F.lit(0)), F.lit("Common"))
+    script = lambda c: F.coalesce(F.get(scripts_in(c), F.lit(0)), F.lit("Common"))
     code = lambda c: F.concat(F.lit("U+"), F.lpad(F.hex(F.ascii(c)), F.greatest(F.lit(4), F.length(F.hex(F.ascii(c)))), F.lit("0")))
     characters = F.transform(odd, lambda c: F.struct(c.alias("character"), code(c).alias("code_point"), script(c).alias("script")))
     return F.struct(token.alias("token"), skeleton(token).alias("skeleton"), characters.alias("characters"), F.lit(unicodedata.unidata_version).alias("unicode_version"))
@@ -69,27 +74,27 @@ def analysis(token: Column) -> Column:
 def analyze(token: str) -> dict | None:
     """The same in Python, for kernels over tokens; None if the token is of one script or holds no look-alike."""
     known = alike()
-    bucket = lambda c: next((s for s in SCRIPTS if unicodedata.name(c, "").startswith("CJK" if s == "Han" else s.upper())), "Common")
+    script = lambda c: next(iter(scripts_of(c)), "Common")
     odd = [c for c in token if c in known] if not token.isascii() else []
-    if not odd or len({bucket(c) for c in token if c.isalpha()} - {"Common"}) < 2:
+    if not odd or goes_together([scripts_of(c) for c in token]):
         return None
     return {
         "token": token,
         "skeleton": "".join(known.get(c, c) for c in token),
-        "characters": [{"character": c, "code_point": f"U+{ord(c):04X}", "script": bucket(c)} for c in odd],
+        "characters": [{"character": c, "code_point": f"U+{ord(c):04X}", "script": script(c)} for c in odd],
         "unicode_version": unicodedata.unidata_version,
     }
 
 
 def _deceptive(token: Column) -> Column:
-    return token.rlike(_odd()) & (F.size(scripts(token)) > 1)
+    return token.rlike(_odd()) & is_mixed(token)
 
 
 def confusable_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, token, skeleton, scripts, count`` of tokens of two scripts or more with a look-alike."""
+    """``id_col, token, skeleton, scripts, count`` of tokens that hold a look-alike and mix scripts that do not go together."""
     odd = docs.filter(non_ascii(F.col(text_col)).rlike(_odd()))
     tokens = odd.select(id_col, F.explode(F.regexp_extract_all(text_col, F.lit(TOKEN), F.lit(0))).alias("token")).filter(F.col("token").rlike(_odd()))
-    known = tokens.groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("count")).withColumn("scripts", scripts(F.col("token"))).filter(F.size("scripts") > 1)
+    known = tokens.groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("count")).filter(is_mixed(F.col("token"))).withColumn("scripts", scripts_in(F.col("token")))
     return known.select(id_col, "token", skeleton(F.col("token")).alias("skeleton"), "scripts", "count")
 
 

@@ -171,15 +171,20 @@ def normalization_nfkc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return look_alikes.normalization(salted(spark, sf_dir))
 
 
-_LOOK = f"regexp_matches(token, {_quoted('[' + look_alikes.look_alikes()[0] + ']')})"
+# Look-alikes and scripts are told to SQL anew: the letters of the salted corpus, and scripts by their names.
+_ALIKE = {"а": "a", "е": "e", "о": "o", "ο": "o", "р": "p", "х": "x", "с": "c", "α": "a", "օ": "o", "Ꭺ": "A", "ყ": "y", "ꓳ": "O", "Ａ": "A", "Ｂ": "B"}
+_NAMED = ("Armenian", "Cherokee", "Cyrillic", "Georgian", "Greek", "Han", "Hiragana", "Katakana", "Latin", "Lisu")
+_MIXED = "len(found) > 1 AND NOT list_has_all(['Han', 'Hiragana', 'Katakana', 'Latin'], found)"
+_TOLD = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(token, '\\p{{{s}}}') THEN '{s}' END" for s in _NAMED) + "], lambda s: s IS NOT NULL)"
 
 
 @query(
     _with()
     + f""", t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\\pL_][\\pL\\pN_]*')) AS token FROM salted),
-c AS (SELECT doc_id, token, token AS letters, count(*) AS n FROM t WHERE {_LOOK} GROUP BY ALL),
-s AS (SELECT *, {_FOUND} AS found FROM c)
-SELECT doc_id, token, translate(token, {_quoted(look_alikes.look_alikes()[0])}, {_quoted(look_alikes.look_alikes()[1])}) AS skeleton, array_to_string(found, ',') AS scripts, n FROM s WHERE len(found) > 1"""
+c AS (SELECT doc_id, token, count(*) AS n FROM t WHERE regexp_matches(token, '[{''.join(_ALIKE)}]') GROUP BY ALL),
+s AS (SELECT *, {_TOLD} AS found FROM c)
+SELECT doc_id, token, translate(token, '{''.join(_ALIKE)}', '{''.join(_ALIKE.values())}') AS skeleton, array_to_string(found, ',') AS scripts, n
+FROM s WHERE {_MIXED}"""
 )
 def confusable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = look_alikes.confusable_tokens(salted(spark, sf_dir))
@@ -578,8 +583,8 @@ def signal_set_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 _COUNTS_SQL = f"""n AS (SELECT doc_id, {', '.join(f"count(*) FILTER (WHERE category = '{c}') AS {c}" for c in ('unicode_security', 'typography', 'formatting'))} FROM hits GROUP BY doc_id),
 letters AS (SELECT doc_id, regexp_replace(text, '[^\\pL]+', '', 'g') AS letters FROM salted),
 mixed AS (SELECT doc_id, CASE WHEN len(found) > 1 THEN len(found) ELSE 0 END AS scripts FROM (SELECT doc_id, {_FOUND} AS found FROM letters)),
-tokens AS (SELECT doc_id, token, token AS letters FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[\\pL_][\\pL\\pN_]*')) AS token FROM salted) WHERE {_LOOK}),
-odd AS (SELECT doc_id, count(*) AS tokens FROM (SELECT doc_id, {_FOUND} AS found FROM tokens) WHERE len(found) > 1 GROUP BY doc_id),
+tokens AS (SELECT doc_id, token FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[\\pL_][\\pL\\pN_]*')) AS token FROM salted) WHERE regexp_matches(token, '[{''.join(_ALIKE)}]')),
+odd AS (SELECT doc_id, count(*) AS tokens FROM (SELECT doc_id, {_TOLD} AS found FROM tokens) WHERE {_MIXED} GROUP BY doc_id),
 borne AS (SELECT doc_id, count(*) AS provenance FROM held GROUP BY doc_id)"""
 
 

@@ -46,7 +46,8 @@ PAYLOADS = (
     "\n// " + _MARK.format("BEGIN") + "\nno end\n",
     "\n# " + _MARK.format("BEGIN") + " not a uri " + _MARK.format("END") + "\n",
     "\n> quoted\n> again\n\n" + "w" * 72 + "\n" + "v" * 80 + "\n" + "1. one\n\n| a | b |\n|---|---|\nback\\\nslash\n",
-    "\nLOCAL-MARK\nint x = 'k​'; // note​ here\n<link rel=\"c2pa-manifest\" href=\"https://e.org/m\">\n",    "a\u0301\u0323 e\u0323\u0301 q\u0307\u0323 \u212b\u2126 \u1100\u1161\u11a8 \u0958 x\u0316\u0315",
+    "\nLOCAL-MARK\nint x = 'k​'; // note​ here\n<link rel=\"c2pa-manifest\" href=\"https://e.org/m\">\n",    " g\u0585\u0585gle \u13aapple \u10e7ahoo w\ua4b3rd \u30ab\u30bf\u6f22\u3072 \uff21\uff22\u682a \u0430\u0431 \u03b1\u03b2_1 ",
+    "a\u0301\u0323 e\u0323\u0301 q\u0307\u0323 \u212b\u2126 \u1100\u1161\u11a8 \u0958 x\u0316\u0315",
     "\n&lt;p&gt; &amp;lt; &amp;amp;amp; &eacute;&NTILDE; &#8217;&#x41;&#59; &unknown; &amp no &euro;\n<b>&amp;</b>\n&quot;\n",
 )
 
