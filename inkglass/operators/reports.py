@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 from dataclasses import dataclass
 from functools import reduce
 
@@ -11,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import edits
 from ..functions.characters import CATEGORIES
 from ..functions.spans import settled
 from . import carriers, cleaning, look_alikes, markdown, metrics, profiles, signals, source_code
@@ -67,28 +67,14 @@ def signal_changes(before: DataFrame, after: DataFrame, id_col: str = "doc_id")
 @F.pandas_udf(T.StringType())
 def unified_diff(before: pd.Series, after: pd.Series, name: pd.Series) -> pd.Series:
     """A unified diff with three lines of context; empty where nothing changes."""
-
-    def one(a: str, b: str, n: str) -> str:
-        return "" if a == b else "".join(difflib.unified_diff(a.splitlines(True), b.splitlines(True), n, n + " (cleaned)"))
-
-    return pd.Series([one(a or "", b or "", str(n)) for a, b, n in zip(before, after, name)], dtype=object)
+    lines = lambda t: (t or "").splitlines(True)
+    return pd.Series([edits.unified(lines(a), lines(b), str(n), f"{n} (cleaned)") for a, b, n in zip(before, after, name)], dtype=object)
 
 
 @F.pandas_udf(T.IntegerType())
 def replacement_spans(before: pd.Series, after: pd.Series) -> pd.Series:
-    """How many stretches a matcher of sequences sees as replaced; 0 for equal texts, which cost nothing."""
-
-    def one(a: str | None, b: str | None) -> int:
-        if a is None or b is None or a == b:
-            return 0
-        # what both texts begin and end with is equal, and left out of the quadratic search
-        at = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-        a, b = a[at:], b[at:]
-        end = next((i for i, (x, y) in enumerate(zip(reversed(a), reversed(b))) if x != y), min(len(a), len(b)))
-        codes = difflib.SequenceMatcher(None, a[: len(a) - end], b[: len(b) - end]).get_opcodes()
-        return sum(tag == "replace" for tag, *_ in codes)
-
-    return pd.Series([one(a, b) for a, b in zip(before, after)])
+    """How many stretches of whole texts are replaced (:mod:`..functions.edits`); 0 for equal texts and nulls."""
+    return pd.Series([0 if a is None or b is None else edits.replacements(a, b) for a, b in zip(before, after)], dtype="int32")
 
 
 def first_location(locations: Column) -> Column:
