@@ -72,20 +72,49 @@ def match_spans(text: Column, pattern: str) -> Column:
 
 def without_spans(text: Column, spans: Column) -> Column:
     """A text without the given spans; overlapping ones are cut once."""
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        kept = F.when(s["start"] > acc["at"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"])).otherwise("")
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], kept).alias("out"))
+    def step(at: Column, s: Column) -> tuple[Column, Column]:
+        kept = F.when(s["start"] > at, F.array(F.substring(text, at + 1, s["start"] - at))).otherwise(F.array().cast("array<string>"))
+        return F.greatest(at, s["end"]), kept
 
-    done = lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(F.array_sort(spans), zero, step, done))
+    def cut(sorted_spans: Column) -> Column:
+        last = F.substring(text, F.array_max(F.transform(sorted_spans, lambda s: s["end"])) + 1, F.length(text))
+        return F.concat(F.array_join(scan(sorted_spans, F.lit(0), "string", step), ""), last)
 
+    return F.when(F.size(spans) == 0, text).otherwise(let(F.array_sort(spans), cut))
 
-def line_of(text: Column, offset: Column) -> Column:
-    before = F.substring(text, F.lit(1), offset)
-    return F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
 
+PLACED = "array<struct<line:int,column:int,offset:int>>"
 
-def column_of(text: Column, offset: Column) -> Column:
-    return F.length(F.regexp_extract(F.substring(text, F.lit(1), offset), r"[^\n]*\z", 0)) + 1
+
+def places_of(text: Column, offsets: Column) -> Column:
+    """``array<struct<line, column, offset>>``: where each of an array of offsets lies, in its order.
+
+    Lines end at LF only; lines and columns count from 1, offsets from 0, in code points. The
+    lines' starts and the offsets are sorted together and gone through once, so many offsets
+    of a long text cost little more than a few.
+    """
+    lines = F.split(text, "\n", -1)
+    kind = "struct<at:int,turn:int>"
+
+    def start(at: Column, line: Column) -> tuple[Column, Column]:
+        return at + F.length(line) + 1, F.array(F.struct(at.alias("at"), F.lit(-1).alias("turn")))
+
+    asked = F.transform(offsets, lambda o, i: F.struct(o.cast("int").alias("at"), i.alias("turn")))
+    none = F.expr("cast(array() as array<struct<turn:int,line:int,column:int,offset:int>>)")
+
+    def step(state: Column, x: Column) -> tuple[Column, Column]:
+        # a line's start comes before what is asked at the same offset
+        place = F.struct(x["turn"].alias("turn"), state["line"].alias("line"), (x["at"] - state["at"] + 1).alias("column"), x["at"].alias("offset"))
+        after = F.struct((state["line"] + 1).alias("line"), x["at"].alias("at"))
+        return F.when(x["turn"] < 0, after).otherwise(state), F.when(x["turn"] < 0, none).otherwise(F.array(place))
+
+    events = F.array_sort(F.concat(scan(lines, F.lit(0), kind, start), asked))
+    found = scan(events, F.struct(F.lit(0).alias("line"), F.lit(0).alias("at")), "struct<turn:int,line:int,column:int,offset:int>", step)
+    in_order = F.transform(F.array_sort(found), lambda p: F.struct(p["line"].alias("line"), p["column"].alias("column"), p["offset"].alias("offset")))
+    return F.when(F.size(offsets) > 0, in_order).otherwise(F.expr(f"cast(array() as {PLACED})"))
+
+
+def span_places(text: Column, spans: Column) -> Column:
+    """:func:`places_of` the starts and ends of spans, in turn: start, end, start, end ..."""
+    return places_of(text, F.flatten(F.transform(spans, lambda s: F.array(s["start"], s["end"]))))

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.spans import column_of, line_of, match_spans, without_spans
-from .signals import FINDING, finding, place
+from ..functions.spans import let, match_spans, places_of, span_places, without_spans
+from .signals import FINDING, finding, paired_places
 
 # What marks a carrier.
 BEGIN, END = "-----BEGIN C2PA MANIFEST-----", "-----END C2PA MANIFEST-----"
@@ -126,21 +126,25 @@ def carriers(text: Column) -> Column:
 
 def carrier_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per carrier: ``id_col, kind, start, end, valid, message, line, column``."""
-    rows = docs.select(id_col, F.col(text_col).alias("_t"), F.explode(carriers(F.col(text_col))).alias("_c"))
-    return rows.select(id_col, "_c.*", line_of(F.col("_t"), F.col("_c.start")).alias("line"), column_of(F.col("_t"), F.col("_c.start")).alias("column"))
+    rows = docs.filter(may_carry(F.col(text_col))).select(id_col, F.col(text_col).alias("_t"), carriers(F.col(text_col)).alias("_c"))
+    places = places_of(F.col("_t"), F.col("_c")["start"])
+    placed = rows.select(id_col, F.explode(F.zip_with("_c", places, lambda c, p: F.struct(c.alias("c"), p.alias("p")))).alias("_x"))
+    return placed.select(id_col, "_x.c.*", F.col("_x.p.line").alias("line"), F.col("_x.p.column").alias("column"))
 
 
 def carrier_findings_of(text: Column) -> Column:
     """``array<FINDING>``: one for each carrier."""
 
-    def one(c: Column) -> Column:
+    def one(c: Column, where: Column) -> Column:
         valid = c["valid"]
-        at = lambda o: (line_of(text, o), column_of(text, o), o)
         signal = F.concat(F.lit("c2pa_"), c["kind"], F.when(valid, "_valid").otherwise("_malformed"))
         action = F.when(valid, "strip_provenance").otherwise("report")
-        return finding("provenance", signal, F.lit(1).cast("long"), F.array(place(*at(c["start"]), *at(c["end"]))), F.when(valid, "high").otherwise("medium"), valid, action, c["message"], "C2PA")
+        return finding("provenance", signal, F.lit(1).cast("long"), F.array(where), F.when(valid, "high").otherwise("medium"), valid, action, c["message"], "C2PA")
+
+    def all_(found: Column) -> Column:
+        return F.zip_with(found, let(span_places(text, found), paired_places), one)
 
-    return F.when(may_carry(text), F.transform(carriers(text), one)).otherwise(F.array().cast(f"array<{FINDING}>"))
+    return F.when(may_carry(text), let(carriers(text), all_)).otherwise(F.array().cast(f"array<{FINDING}>"))
 
 
 def carrier_findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

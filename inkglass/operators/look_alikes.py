@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from ..functions.characters import fast_pattern, non_ascii, ranges_of
 from ..functions.normalization import differs, unsure
 from ..functions.scripts import goes_together, is_mixed, scripts_in, scripts_of
-from ..functions.spans import column_of, let, line_of, match_spans
-from .signals import FINDING, LOCATION_LIMIT, finding, no_places, place
+from ..functions.spans import let, match_spans, span_places
+from .signals import FINDING, LOCATION_LIMIT, finding, no_places, paired_places
 
 # Letters of other scripts and the ASCII letters that they look like. A subset.
 CYRILLIC = ("авеёікмнорсутхјѕԁһԛԝАВЕКМНОРСТУХЅІЈӏѵґ", "aBeeiKMHopcyTxjsdhqwABEKMHOPCTYXSIJlvr")
@@ -103,8 +103,7 @@ def token_findings(text: Column, limit: int = LOCATION_LIMIT) -> Column:
 
     def one(hits: Column) -> Column:
         n, first = F.size(hits).cast("long"), F.slice(hits, 1, limit)
-        at = lambda o: (line_of(text, o), column_of(text, o), o)
-        places = F.transform(first, lambda s: place(*at(s["start"]), *at(s["end"])))
+        places = let(span_places(text, first), paired_places)
         details = F.to_json(F.struct(F.transform(first, lambda s: analysis(s["text"])).alias("tokens"), (n > limit).alias("locations_truncated")))
         message = "tokens of several scripts hold look-alikes; their skeletons serve detection only"
         found = finding("unicode_security", "confusable_mixed_script_token", n, places, "medium", F.lit(False), "report", message, details=details)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.characters import SCRIPTS, non_ascii
-from ..functions.spans import let
+from ..functions.spans import let, scan
 from .signals import LINE_END
 
 
@@ -39,10 +39,20 @@ def metrics(text: Column) -> dict[str, Column]:
 def code_points(text: Column) -> Column:
     """``map<string, int>``: how often each character beyond ASCII occurs, by U+XXXX; the keys come sorted as strings."""
 
+    code = lambda c: F.concat(F.lit("U+"), F.lpad(F.hex(F.ascii(c)), F.greatest(F.lit(4), F.length(F.hex(F.ascii(c)))), F.lit("0")))
+    run = "struct<c:string,n:int>"
+
+    def step(state: Column, c: Column) -> tuple[Column, Column]:
+        """Equal characters stand together; a run is told when the next one begins."""
+        same = c == state["c"]
+        next_ = F.struct(c.alias("c"), F.when(same, state["n"] + 1).otherwise(1).alias("n"))
+        return next_, F.when(same | (state["n"] == 0), F.expr(f"cast(array() as array<{run}>)")).otherwise(F.array(state))
+
     def counts(odd: Column) -> Column:
-        code = lambda c: F.concat(F.lit("U+"), F.lpad(F.hex(F.ascii(c)), F.greatest(F.lit(4), F.length(F.hex(F.ascii(c)))), F.lit("0")))
-        one = lambda c: F.struct(code(c).alias("key"), (F.length(odd) - F.length(F.replace(odd, c, F.lit("")))).alias("value"))
-        return F.map_from_entries(F.array_sort(F.transform(F.array_distinct(F.split(odd, "")), one)))
+        # an item that no text holds ends the last run
+        chars = F.concat(F.array_sort(F.filter(F.split(odd, ""), lambda c: c != "")), F.array(F.lit("")))
+        runs = scan(chars, F.struct(F.lit("").alias("c"), F.lit(0).alias("n")), run, step)
+        return F.map_from_entries(F.array_sort(F.transform(runs, lambda r: F.struct(code(r["c"]).alias("key"), r["n"].alias("value")))))
 
     odd = non_ascii(text)
     return F.when(odd != "", let(odd, counts)).otherwise(F.when(text.isNotNull(), F.create_map().cast("map<string,int>")))

@@ -15,7 +15,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.spans import column_of, line_of, match_spans
+from ..functions.spans import match_spans, span_places
 from .signals import FINDING, finding, no_places, place
 
 # What makes a configuration field secret, and names that are not.
@@ -137,10 +137,12 @@ PARAGRAPH = r"(?:[^\n]*[^\s][^\n]*)(?:\n[^\n]*[^ \t\n][^\n]*)*+"
 
 def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, start, end, line, column, end_line, end_column, text`` of runs of non-blank lines."""
-    rows = docs.select(id_col, F.col(text_col).alias("_t"), F.explode(match_spans(F.col(text_col), PARAGRAPH)).alias("_p"))
-    place = {"line": line_of, "column": column_of}
-    out = [f(F.col("_t"), F.col("_p.start")).alias(n) for n, f in place.items()] + [f(F.col("_t"), F.col("_p.end")).alias("end_" + n) for n, f in place.items()]
-    return rows.select(id_col, F.col("_p.start").alias("start"), F.col("_p.end").alias("end"), *out, F.col("_p.text").alias("text"))
+    rows = docs.select(id_col, F.col(text_col).alias("_t"), match_spans(F.col(text_col), PARAGRAPH).alias("_p")).filter(F.size("_p") > 0)
+    where = rows.select(id_col, "_p", span_places(F.col("_t"), F.col("_p")).alias("_w"))
+    pair = lambda p, i: F.struct(p.alias("p"), F.get("_w", 2 * i).alias("a"), F.get("_w", 2 * i + 1).alias("b"))
+    found = where.select(id_col, F.explode(F.transform("_p", pair)).alias("x"))
+    names = {"start": "p.start", "end": "p.end", "line": "a.line", "column": "a.column", "end_line": "b.line", "end_column": "b.column", "text": "p.text"}
+    return found.select(id_col, *[F.col(f"x.{c}").alias(n) for n, c in names.items()])
 
 
 def crosses(score: Column, threshold: float, comparison: str) -> Column:

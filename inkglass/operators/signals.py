@@ -41,6 +41,16 @@ def place(line: Column, column: Column, offset: Column, end_line: Column | None
     return F.struct(*[c.cast("int").alias(n) for n, c in parts.items()])
 
 
+def paired_places(places: Column) -> Column:
+    """``array<PLACE>`` of spans, from :func:`..functions.spans.span_places`."""
+
+    def one(start: Column, i: Column) -> Column:
+        end = F.get(places, 2 * i + 1)
+        return place(start["line"], start["column"], start["offset"], end["line"], end["column"], end["offset"])
+
+    return F.transform(F.filter(places, lambda _, i: i % 2 == 0), one)
+
+
 def finding(category: Column | str, signal: Column | str, count: Column, locations: Column, confidence: Column | str, removable: Column, planned_action: Column | str, message: Column | str, scheme: Column | str | None = None, details: Column | None = None) -> Column:
     parts = {
         "category": category, "signal": signal, "count": count, "locations": locations, "confidence": confidence, "removable": removable,

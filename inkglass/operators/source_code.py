@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import characters as ch
-from ..functions.spans import column_of, line_of, settled
+from ..functions.spans import places_of, settled
 from . import carriers as carriers_module
 from . import look_alikes
 
@@ -185,8 +185,10 @@ def regions(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", language_col: str = "language") -> DataFrame:
     """``id_col``, the finding's fields, ``line`` and ``column``, of all documents that have any."""
     rows = docs.filter(suspect(F.col(text_col))).select(id_col, F.col(language_col).alias("language"), F.col(text_col).alias("_t"), _carriers(F.col(text_col)).alias("_carriers"))
-    found = rows.select(id_col, "_t", F.explode(F.pandas_udf(_find_batch, f"array<{FINDING}>")("_t", "language", settled("_carriers"))).alias("f"))
-    return found.select(id_col, "f.*", line_of(F.col("_t"), F.col("f.offset")).alias("line"), column_of(F.col("_t"), F.col("f.offset")).alias("column"))
+    found = rows.select(id_col, "_t", F.pandas_udf(_find_batch, f"array<{FINDING}>")("_t", "language", settled("_carriers")).alias("_f"))
+    places = places_of(F.col("_t"), F.col("_f")["offset"])
+    placed = found.select(id_col, F.explode(F.zip_with("_f", places, lambda f, p: F.struct(f.alias("f"), p.alias("p")))).alias("_x"))
+    return placed.select(id_col, "_x.f.*", F.col("_x.p.line").alias("line"), F.col("_x.p.column").alias("column"))
 
 
 def clean_comments_text(text: str, language: str, carriers: list[Carrier] = (), strip_provenance: bool = False) -> str:
