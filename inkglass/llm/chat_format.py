@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkglass.functions.spans import scan
+
 TURNS = "array<struct<role:string,text:string>>"
 
 
@@ -80,21 +82,24 @@ def record_paths(record: Column) -> Column:
     schema = F.schema_of_variant(F.try_parse_json(record))
     token = r"`(?:[^`]|``)*+`: |[^\s<>,:]+: |OBJECT<|ARRAY<|>"
     tokens = F.regexp_extract_all(schema, F.lit(token), F.lit(0))
-    start = F.struct(F.expr("array('')").alias("stack"), F.lit("").alias("name"), F.expr("cast(array() as array<string>)").alias("out"))
+    start, none = F.struct(F.expr("array('')").alias("stack"), F.lit("").alias("name")), F.expr("cast(array() as array<string>)")
 
-    def step(state: Column, t: Column) -> Column:
+    def step(state: Column, t: Column) -> tuple[Column, Column]:
         top = F.element_at(state["stack"], -1)
         named = F.when(top == "", F.regexp_replace(t, "`|: $", "")).otherwise(F.concat(top, F.lit("."), F.regexp_replace(t, "`|: $", "")))
         opened = F.when(state["name"] == "", top).otherwise(state["name"])
-        pushed = lambda path: F.concat(state["stack"], F.array(path))
-        return (
-            F.when(t == ">", F.struct(F.slice(state["stack"], F.lit(1), F.size(state["stack"]) - 1).alias("stack"), F.lit("").alias("name"), state["out"].alias("out")))
-            .when(t == "OBJECT<", F.struct(pushed(opened).alias("stack"), F.lit("").alias("name"), state["out"].alias("out")))
-            .when(t == "ARRAY<", F.struct(pushed(F.concat(opened, F.lit("[]"))).alias("stack"), F.lit("").alias("name"), state["out"].alias("out")))
-            .otherwise(F.struct(state["stack"].alias("stack"), named.alias("name"), F.concat(state["out"], F.array(named)).alias("out")))
+        at = lambda stack, name: F.struct(stack.alias("stack"), name.alias("name"))
+        pushed = lambda path: at(F.concat(state["stack"], F.array(path)), F.lit(""))
+        bracket = (t == ">") | (t == "OBJECT<") | (t == "ARRAY<")
+        after = (
+            F.when(t == ">", at(F.slice(state["stack"], F.lit(1), F.size(state["stack"]) - 1), F.lit("")))
+            .when(t == "OBJECT<", pushed(opened))
+            .when(t == "ARRAY<", pushed(F.concat(opened, F.lit("[]"))))
+            .otherwise(at(state["stack"], named))
         )
+        return after, F.when(bracket, none).otherwise(F.array(named))
 
-    paths = F.array_sort(F.array_distinct(F.aggregate(tokens, start, step, lambda s: s["out"])))
+    paths = F.array_sort(F.array_distinct(scan(tokens, start, "string", step)))
     return F.when(F.startswith(schema, F.lit("OBJECT")), paths)
 
 
@@ -157,8 +162,8 @@ def canonical_turns(
     they are, without fingerprints, and count as of the layout ``messages``; they may be of
     any length. Of parsed records the names of roles in ``role_names`` (human, gpt, bot and
     model) are translated. A JSON object that is too long for Spark's parsers stops the job;
-    with ``any_length`` texts are as long as a value can be, the fingerprint of a long record
-    is that of its :func:`outline`, and only an outline that is too long itself stops the job.
+    with ``any_length`` texts are as long as a value can be, fingerprints are those of the
+    records' :func:`outline`, and only an outline that is too long itself stops the job.
     Where the array ``cited_col`` is not null, a record's strings are positions (from 0) of
     the strings that are meant, so that long texts need no parsing; its paths are as ever.
 
@@ -175,7 +180,8 @@ def canonical_turns(
         layout, turns = F.when(known, m.name).otherwise(layout), F.when(known, _turns(record, m, any_length, F.col(cited_col) if cited_col else None)).otherwise(turns)
     built = F.col(BUILT) if BUILT in records.columns else F.lit(None).cast(TURNS)
     long, object_like = F.length(record) > PARSED_FOR_SURE, record.rlike(r"\A\s*\{") & record.rlike(r"\}\s*\z")
-    read = record_fingerprint(F.when(long, outline(record)).otherwise(record) if any_length else record)
+    read = record_fingerprint(outline(record) if any_length else record)
+    # a limit of the parsers is an error, and changes no record's way
     unread = long & object_like & read.isNull()
     if any_length:
         unread &= F.length(outline(record)) > PARSED_FOR_SURE
@@ -226,20 +232,17 @@ def parse_formatted(formatted: Column) -> Column:
     inner = F.substring(formatted, F.lit(len(BEGIN) + 1), F.length(formatted) - len(BEGIN) - len(END))
     pieces = F.split(inner, r"\[/TURN\]", -1)
     pieces = F.slice(pieces, F.lit(1), F.size(pieces) - 1)
-    kind = "array<struct<role:string,text:string,start:int,end:int>>"
-    start = F.struct(F.lit(len(BEGIN)).alias("at"), F.array().cast(kind).alias("out"))
+    kind = "struct<role:string,text:string,start:int,end:int>"
 
-    def step(state: Column, piece: Column) -> Column:
+    def step(at: Column, piece: Column) -> tuple[Column, Column]:
         role_end = F.locate(ROLE_END, piece)
         head = role_end + (len(ROLE_END) - 1)
         role = F.substring(piece, F.lit(len(ROLE_BEGIN) + 1), role_end - (len(ROLE_BEGIN) + 1))
         text = F.substring(piece, head + 1, F.length(piece))
-        turn = F.struct(
-            unescape(role).alias("role"), unescape(text).alias("text"), (state["at"] + head).alias("start"), (state["at"] + F.length(piece)).alias("end")
-        )
-        return F.struct((state["at"] + F.length(piece) + len(TURN_END)).alias("at"), F.concat(state["out"], F.array(turn)).alias("out"))
+        turn = F.struct(unescape(role).alias("role"), unescape(text).alias("text"), (at + head).alias("start"), (at + F.length(piece)).alias("end"))
+        return at + F.length(piece) + len(TURN_END), F.array(turn)
 
-    return F.aggregate(pieces, start, step, lambda s: s["out"])
+    return F.when(formatted.isNotNull(), scan(pieces, F.lit(len(BEGIN)), kind, step))
 
 
 def loss_spans(parsed: Column, roles: tuple[str, ...] = ("assistant",)) -> Column:

@@ -336,6 +336,16 @@ def test_records_that_cite(spark):
     assert [tuple(t) for t in chat_format.canonical_turns(one, cited_col="cited").first().turns] == [("user", "a"), ("assistant", "b")]
 
 
+def test_conversations_of_many_turns(spark):
+    n = 200_000
+    rows = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("t<"), F.col("id")).alias("text"))
+    start = time.time()
+    records = chat_format.from_turn_rows(rows).drop(chat_format.BUILT)
+    done = chat_format.format_records(records, role_names={}, any_length=True).withColumn("back", chat_format.parse_formatted(F.col("formatted")))
+    got = done.select(F.size("back").alias("n"), F.col("back")[n - 1]["text"].alias("last"), F.size("loss_mask").alias("masked")).first()
+    assert tuple(got) == (n, f"t<{n - 1}", n // 2) and time.time() - start < 90
+
+
 def test_query_reads_every_conversation_by_its_fingerprint(spark, tmp_path, monkeypatch):
     rows = [(1, 0, "gpt", 'a"\\\n\t\x01'), (1, 1, "assistant", "<[&\u2028😀"), (2, None, None, None), (2, 5, "human", ""), (None, 0, "assistant", "x" * 1_000_000)]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
