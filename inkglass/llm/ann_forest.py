@@ -2,8 +2,7 @@
 
 The trees are grown on a bounded sample and sent to all tasks; every vector is then placed
 in one leaf of each tree. A query walks all trees through one shared priority queue, the
-branch first that its margins speak for most, until its leaves hold enough candidates, and
-the candidates are ranked again by their exact inner product.
+branch first that its margins speak for most, until its leaves hold enough candidates, and the candidates are ranked again by their exact inner product.
 
 Vectors of unlike length are searched by inner product through one more coordinate,
 sqrt(M^2 - |v|^2) with M the largest norm, which makes it a matter of angles.
@@ -14,9 +13,11 @@ among the nearest k, so a vector that fills a third of the table costs no more t
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -35,6 +36,15 @@ class Tree:
     children: np.ndarray
     leaves: int
 
+    @cached_property
+    def heights(self) -> np.ndarray:
+        """How many cuts at most lie below each inner node, itself included."""
+        out = np.zeros(len(self.normals), np.int64)
+        # children come after their parents
+        for node in range(len(out) - 1, -1, -1):
+            out[node] = 1 + max(int(out[c]) if c >= 0 else 0 for c in self.children[node])
+        return out
+
     def place(self, x: np.ndarray) -> np.ndarray:
         """The leaf of each row of ``x``."""
         node = np.zeros(len(x), np.int64)
@@ -90,40 +100,41 @@ def grow(sample: np.ndarray, leaf: int, rng: np.random.Generator) -> Tree:
     return Tree(np.array(normals).reshape(-1, d), np.array(offsets), np.array(children, np.int64).reshape(-1, 2), leaves)
 
 
-def priorities(tree: Tree, queries: np.ndarray) -> np.ndarray:
-    """Of each query (row) and each leaf (column) the sum of the margins on the way to it.
+def walk(trees: list[Tree], counts: list[np.ndarray], query: np.ndarray, enough: int) -> tuple[list[tuple[int, int]], int]:
+    """The leaves (tree, leaf) that a query looks into, and how many nodes it visited.
 
-    A margin counts for less where the query lies on the leaf's side of the cut, and for
-    more where it does not: a wide margin on the near side makes a leaf as likely as a
-    narrow one on the far side.
-    """
-    out = np.zeros((len(queries), tree.leaves))
-    margins, at = queries @ tree.normals.T - tree.offsets, np.zeros((len(queries), len(tree.normals)))
-    level = np.arange(min(len(tree.normals), 1))
-    while len(level):
-        below = []
-        for side, sign in ((0, 1.0), (1, -1.0)):
-            child, value = tree.children[level, side], at[:, level] + sign * margins[:, level]
-            ends = child < 0
-            out[:, -1 - child[ends]], at[:, child[~ends]] = value[:, ends], value[:, ~ends]
-            below.append(child[~ends])
-        level = np.concatenate(below)
-    return out
-
-
-def visit(trees: list[Tree], counts: list[np.ndarray], queries: np.ndarray, enough: int) -> Iterator[list[tuple[int, int]]]:
-    """Leaves (tree, leaf) of each query, from one queue over the leaves of all trees.
-
-    Leaves are taken, the least priority first, until they hold ``enough`` vectors, counted
-    once for each tree.
+    One queue holds nodes of all trees, first their roots. The node with the least priority
+    is taken from it; an inner one puts its two children back, a leaf is looked into, until
+    leaves hold ``enough`` vectors, counted once for each tree. A node's priority adds up the
+    margins of the cuts on the way to it: in full where the cut parts it from the query, and
+    a fifth of it off where both lie on one side. As much is taken off ahead for each level
+    that the node stands above its leaves, by the margin that can be expected, so that nodes
+    of unlike heights compare.
     """
-    which = np.concatenate([np.full(tree.leaves, t) for t, tree in enumerate(trees)])
-    leaf, held = np.concatenate([np.arange(tree.leaves) for tree in trees]), np.concatenate(counts)
-    for start in range(0, len(queries), 128):
-        queue = np.concatenate([priorities(tree, queries[start : start + 128]) for tree in trees], 1)
-        for order in np.argsort(queue, axis=1, kind="stable"):
-            taken = order[: np.searchsorted(np.cumsum(held[order]), enough) + 1]
-            yield list(zip(which[taken].tolist(), leaf[taken].tolist()))
+    ahead = NEAR * float(np.linalg.norm(query)) / math.sqrt(len(query))
+    heights = [tree.heights for tree in trees]
+    # (priority, tree, node, margins so far)
+    queue = [(-ahead * int(h[0]), t, 0, 0.0) if len(h) else (0.0, t, -1, 0.0) for t, h in enumerate(heights)]
+    heapq.heapify(queue)
+    leaves: list[tuple[int, int]] = []
+    held = visited = 0
+    while queue and held < enough:
+        _, t, node, at = heapq.heappop(queue)
+        visited += 1
+        if node < 0:
+            leaves.append((t, -1 - node))
+            held += counts[t][-1 - node]
+            continue
+        tree = trees[t]
+        margin = float(tree.normals[node] @ query) - float(tree.offsets[node])
+        for child, m in zip(tree.children[node].tolist(), (margin, -margin)):
+            so_far = at + (m if m > 0 else NEAR * m)
+            heapq.heappush(queue, (so_far - (ahead * int(heights[t][child]) if child >= 0 else 0.0), t, child, so_far))
+    return leaves, visited
+
+
+#: What a margin counts for where query and node lie on one side of a cut.
+NEAR = 0.2
 
 
 def _valid(vector: str) -> Column:
@@ -141,7 +152,7 @@ def nearest(
     k: int = 20,
     trees: int = 8,
     leaf: int = 64,
-    reach: float = 6.0,
+    reach: float = 7.0,
     power: float = 0.75,
     sample: int = 50_000,
     floor_sample: int = 50_000,
@@ -241,11 +252,10 @@ def nearest(
             vectors = np.stack(batch["v"].to_numpy())
             # the added coordinate of a query is 0, and its length does not matter
             scaled = np.sqrt(longest) * vectors / np.linalg.norm(vectors, axis=1)[:, None]
-            walks = visit(shared.value, known.value, np.concatenate((scaled, np.zeros((len(vectors), 1))), 1), enough)
-            for key, v, walk in zip(batch["key"], vectors, walks):
+            for key, v, query in zip(batch["key"], vectors, np.concatenate((scaled, np.zeros((len(vectors), 1))), 1)):
                 cells: dict[tuple[int, int], list[int]] = {}
                 walked = [np.zeros(tree.leaves, bool) for tree in shared.value]
-                for t, at in walk:
+                for t, at in walk(shared.value, known.value, query, enough)[0]:
                     cells.setdefault((t, at // cell), []).append(at)
                     walked[t][at] = True
                 # points that the walk meets, but for the query's own

@@ -158,6 +158,37 @@ def test_recall_where_a_tenth_of_the_slots_is_read(spark):
     assert np.allclose(got.set_index(["query_id", "id"]).score[found], [score[f] for f in found], rtol=1e-12)
 
 
+def test_walk_visits_few_nodes():
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((20_000, 32))
+    forest = [ann_forest.grow(x, 64, rng) for _ in range(4)]
+    places = [tree.place(x) for tree in forest]
+    counts = [np.bincount(p, minlength=tree.leaves) for p, tree in zip(places, forest)]
+    nodes = sum(len(tree.normals) + tree.leaves for tree in forest)
+
+    found = []
+    for query in x[:20]:
+        leaves, visited = ann_forest.walk(forest, counts, query, 2_000)
+        assert visited < nodes / 8 and len(set(leaves)) == len(leaves) and sum(counts[t][leaf] for t, leaf in leaves) >= 2_000
+        assert sum(counts[t][leaf] for t, leaf in leaves[:-1]) < 2_000
+        met = np.zeros(len(x), bool)
+        for t, leaf in leaves:
+            met |= places[t] == leaf
+        found.append(met[np.argsort(-(x @ query))[:20]].mean())
+    # a fortieth of all slots holds many more of the nearest than as many points by chance
+    assert np.mean(found) > 0.4
+    everything, visited = ann_forest.walk(forest, counts, x[0], 10**9)
+    assert visited == nodes and len(everything) == sum(tree.leaves for tree in forest)
+
+
+def test_ties_at_the_default_reach(spark):
+    rows = [(i, [float(j == i) for j in range(100)]) for i in range(100)] + [(i, [1.0] * 100) for i in range(100, 160)]
+    got = ann_forest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=20).toPandas()
+    for _, g in got.groupby("query_id"):
+        g = g.sort_values("rank")
+        assert len(g) == 20 and list(zip(-g.score, g.id)) == sorted(zip(-g.score, g.id))
+
+
 def test_ties_go_to_the_smaller_id(spark):
     rows = [(i, [float(j == i) for j in range(400)]) for i in range(400)]
     got = ann_forest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=100, reach=400.0).toPandas()
