@@ -17,6 +17,8 @@ import numpy as np
 
 #: From so many items on, frequent ones begin no stretch.
 MANY = 200
+#: Numbers below this are counted by place.
+SMALL = 1 << 14
 
 Block = tuple[int, int, int]
 
@@ -28,16 +30,17 @@ def numbered(a: Sequence[Hashable], b: Sequence[Hashable]) -> tuple[np.ndarray,
     else:
         known: dict[Hashable, int] = {}
         x, y = (np.array([known.setdefault(i, len(known)) for i in s], np.int64) for s in (a, b))
-    n = len(x)
-    numbers = np.unique(np.concatenate([x, y]), return_inverse=True)[1].astype(np.int64)
+    n, both = len(x), np.concatenate([x, y])
+    # numbers that are small already may stay as they are
+    numbers = both.astype(np.int64) if both.max(initial=0) < max(SMALL, 2 * len(both)) else np.unique(both, return_inverse=True)[1].astype(np.int64)
     return numbers[:n], numbers[n:]
 
 
 def _runs(may_begin: np.ndarray) -> np.ndarray:
     """From each place on, how many items in a row may be part of a stretch."""
-    n = len(may_begin)
-    stops = np.append(np.flatnonzero(~may_begin), n)
-    return stops[np.searchsorted(stops, np.arange(n))] - np.arange(n)
+    places = np.arange(len(may_begin))
+    stops = np.where(may_begin, len(places), places)
+    return np.minimum.accumulate(stops[::-1])[::-1] - places
 
 
 class Matcher:
@@ -50,32 +53,30 @@ class Matcher:
         self.run_a, self.run_b = _runs(counts[self.a]), _runs(counts[self.b])
         # numbers of stretches of 1, 2, 4 ... items, in both sequences; short of the end they are -1
         self.levels = [(self.a, self.b)]
+        self.widths = [np.int64(len(times) + 1)]
         longest = min(self.run_a.max(initial=0), self.run_b.max(initial=0))
         while (size := 1 << len(self.levels)) <= longest:
             self.levels.append(self._doubled(*self.levels[-1], size // 2))
+            self.widths.append(np.int64(max(x.max(initial=0) for x in self.levels[-1]) + 1))
 
     def _doubled(self, a: np.ndarray, b: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray]:
-        pairs = []
-        width = np.int64(max(a.max(initial=0), b.max(initial=0)) + 1)
-        for x, run in ((a, self.run_a), (b, self.run_b)):
-            pair = np.full(len(x), -1, np.int64)
-            at = np.flatnonzero(run >= 2 * half)
-            pair[at] = x[at] * width + x[at + half]
-            pairs.append(pair)
-        n = len(a)
-        numbers = np.unique(np.concatenate(pairs), return_inverse=True)[1].astype(np.int64)
-        both = np.concatenate(pairs)
-        numbers[both < 0] = -1
-        return numbers[:n], numbers[n:]
+        width = self.widths[-1]
+        at = [np.flatnonzero(run >= 2 * half) for run in (self.run_a, self.run_b)]
+        pairs = [x[i] * width + x[i + half] for x, i in zip((a, b), at)]
+        numbers = np.unique(np.concatenate(pairs), return_inverse=True)[1]
+        out = []
+        for x, i, part in zip((a, b), at, np.split(numbers, [len(at[0])])):
+            out.append(np.full(len(x), -1, np.int64))
+            out[-1][i] = part
+        return out[0], out[1]
 
     def _stretches(self, side: int, start: int, end: int, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Places of all stretches of a size between start and end, and numbers that tell them apart."""
-        run = (self.run_a, self.run_b)[side][start:end]
-        at = start + np.flatnonzero(np.minimum(run, end - start - np.arange(end - start)) >= size)
+        # a stretch ends within the bounds
+        at = start + (((self.run_a, self.run_b)[side][start : max(start, end - size + 1)]) >= size).nonzero()[0]
         k = size.bit_length() - 1
         level = self.levels[k][side]
-        width = np.int64(max(self.levels[k][0].max(initial=0), self.levels[k][1].max(initial=0)) + 1)
-        return at, level[at] * width + level[at + size - (1 << k)]
+        return at, level[at] * self.widths[k] + level[at + size - (1 << k)]
 
     def longest(self, alo: int, ahi: int, blo: int, bhi: int) -> Block:
         """The first of the longest stretches between these bounds, lengthened to both sides."""
@@ -84,11 +85,12 @@ class Matcher:
         while low < high:
             size = (low + high + 1) // 2
             (at, of), (bt, bf) = self._stretches(0, alo, ahi, size), self._stretches(1, blo, bhi, size)
-            shared = np.flatnonzero(np.isin(of, bf))
-            if len(shared):
-                low, best = size, (int(at[shared[0]]), int(bt[np.flatnonzero(bf == of[shared[0]])[0]]))
-            else:
+            known = set(bf.tolist())
+            first = next((k for k, number in enumerate(of.tolist()) if number in known), None)
+            if first is None:
                 high = size - 1
+            else:
+                low, best = size, (int(at[first]), int(bt[(bf == of[first]).argmax()]))
         i, j = best
         before = _agree(self.a[alo:i][::-1], self.b[blo:j][::-1]) if low else 0
         after = _agree(self.a[i + low : ahi], self.b[j + low : bhi])
