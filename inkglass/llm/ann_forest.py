@@ -37,13 +37,17 @@ class Tree:
     leaves: int
 
     @cached_property
-    def heights(self) -> np.ndarray:
-        """How many cuts at most lie below each inner node, itself included."""
-        out = np.zeros(len(self.normals), np.int64)
+    def nodes(self) -> list[tuple[np.ndarray, float, int, int, int, int]]:
+        """Of each inner node: normal, offset, and its children, each with the cuts that lie below it at most."""
+        below = [0] * len(self.normals)
+        out = []
         # children come after their parents
-        for node in range(len(out) - 1, -1, -1):
-            out[node] = 1 + max(int(out[c]) if c >= 0 else 0 for c in self.children[node])
-        return out
+        for node in range(len(below) - 1, -1, -1):
+            left, right = self.children[node].tolist()
+            a, b = (below[c] if c >= 0 else 0 for c in (left, right))
+            below[node] = 1 + max(a, b)
+            out.append((self.normals[node], float(self.offsets[node]), left, a, right, b))
+        return out[::-1]
 
     def place(self, x: np.ndarray) -> np.ndarray:
         """The leaf of each row of ``x``."""
@@ -112,24 +116,24 @@ def walk(trees: list[Tree], counts: list[np.ndarray], query: np.ndarray, enough:
     of unlike heights compare.
     """
     ahead = NEAR * float(np.linalg.norm(query)) / math.sqrt(len(query))
-    heights = [tree.heights for tree in trees]
+    nodes = [tree.nodes for tree in trees]
     # (priority, tree, node, margins so far)
-    queue = [(-ahead * int(h[0]), t, 0, 0.0) if len(h) else (0.0, t, -1, 0.0) for t, h in enumerate(heights)]
-    heapq.heapify(queue)
+    queue = [(0.0, t, 0 if len(known) else -1, 0.0) for t, known in enumerate(nodes)]
     leaves: list[tuple[int, int]] = []
     held = visited = 0
+    pop, push = heapq.heappop, heapq.heappush
     while queue and held < enough:
-        _, t, node, at = heapq.heappop(queue)
+        _, t, node, at = pop(queue)
         visited += 1
         if node < 0:
             leaves.append((t, -1 - node))
             held += counts[t][-1 - node]
             continue
-        tree = trees[t]
-        margin = float(tree.normals[node] @ query) - float(tree.offsets[node])
-        for child, m in zip(tree.children[node].tolist(), (margin, -margin)):
-            so_far = at + (m if m > 0 else NEAR * m)
-            heapq.heappush(queue, (so_far - (ahead * int(heights[t][child]) if child >= 0 else 0.0), t, child, so_far))
+        normal, offset, left, below_left, right, below_right = nodes[t][node]
+        margin = float(normal.dot(query)) - offset
+        to_left, to_right = (at + margin, at - NEAR * margin) if margin > 0 else (at + NEAR * margin, at - margin)
+        push(queue, (to_left - ahead * below_left, t, left, to_left))
+        push(queue, (to_right - ahead * below_right, t, right, to_right))
     return leaves, visited
 
 
