@@ -24,14 +24,20 @@ def once(inputs: DataFrame) -> DataFrame:
     return inputs.dropDuplicates(["path"])
 
 
-def read_texts(spark: SparkSession, *paths: str) -> tuple[DataFrame, DataFrame]:
-    """Documents ``path, text, eol``, and rejects ``path, length``: files that are not UTF-8.
+def read_all(spark: SparkSession, *paths: str) -> DataFrame:
+    """``path, length, text, eol`` of files; ``text`` and ``eol`` are null where a file is not UTF-8.
 
     A file that is named twice is read once.
     """
     files = once(spark.read.format("binaryFile").load(list(dict.fromkeys(paths))))
     texts = files.select("path", "length", F.try_validate_utf8(F.col("content").cast("string")).alias("text"))
-    good = texts.filter("text is not null").select("path", "text", eol_of(F.col("text")).alias("eol"))
+    return texts.withColumn("eol", F.when(F.col("text").isNotNull(), eol_of(F.col("text"))))
+
+
+def read_texts(spark: SparkSession, *paths: str) -> tuple[DataFrame, DataFrame]:
+    """Documents ``path, text, eol``, and rejects ``path, length``: files that are not UTF-8."""
+    texts = read_all(spark, *paths)
+    good = texts.filter("text is not null").select("path", "text", "eol")
     return good, texts.filter("text is null").select("path", "length")
 
 
@@ -79,6 +85,25 @@ def _set_aside(path: str) -> str:
     raise AssertionError
 
 
+def put_beside(folder: str, name: str, text: str | None) -> str:
+    """Write a text to a folder under the last part of ``name``; where it went."""
+    os.makedirs(folder, exist_ok=True)
+    place = os.path.join(folder, os.path.basename(_path(name)))
+    _write_whole(place, (text or "").encode())
+    return place
+
+
+def put_in_place(uri: str, text: str | None, backup: bool = False) -> str | None:
+    """Replace a file at once, unless it holds the text already; where the old one was set aside."""
+    path, content = _path(uri), (text or "").encode()
+    with open(path, "rb") as f:
+        if f.read() == content:
+            return None
+    aside = _set_aside(path) if backup else None
+    _write_whole(path, content, like=path)
+    return aside
+
+
 def write_texts(docs: DataFrame, folder: str) -> DataFrame:
     """Write each ``text`` with the line ends ``eol`` as a file of its own: ``path, written``, once collected.
 
@@ -88,12 +113,8 @@ def write_texts(docs: DataFrame, folder: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        os.makedirs(folder, exist_ok=True)
         for batch in batches:
-            names = [os.path.join(folder, os.path.basename(_path(n))) for n in batch["name"]]
-            for name, text in zip(names, batch["text"]):
-                _write_whole(name, (text or "").encode())
-            yield pd.DataFrame({"path": batch["path"], "written": names})
+            yield pd.DataFrame({"path": batch["path"], "written": [put_beside(folder, n, t) for n, t in zip(batch["name"], batch["text"])]})
 
     named = docs.select("path", clean_name(F.col("path")).alias("name"), with_eol(F.col("text"), F.col("eol")).alias("text"))
     return named.mapInPandas(run, "path string, written string")
@@ -109,14 +130,7 @@ def replace_in_place(docs: DataFrame, backup: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            aside: list[str | None] = []
-            for uri, text in zip(batch["path"], batch["text"]):
-                path, content = _path(uri), (text or "").encode()
-                with open(path, "rb") as f:
-                    same = f.read() == content
-                aside.append(_set_aside(path) if backup and not same else None)
-                if not same:
-                    _write_whole(path, content, like=path)
+            aside = [put_in_place(uri, text, backup) for uri, text in zip(batch["path"], batch["text"])]
             yield pd.DataFrame({"path": batch["path"], "backup": pd.Series(aside, dtype=object)})
 
     return docs.select("path", with_eol(F.col("text"), F.col("eol")).alias("text")).mapInPandas(run, "path string, backup string")
