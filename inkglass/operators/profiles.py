@@ -12,7 +12,7 @@ import tomllib
 from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.spans import match_spans, span_places
@@ -251,5 +251,15 @@ def authorship_findings(segments: DataFrame, profile: dict, id_col: str = "doc_i
     return rows.select(id_col, F.array(found).alias("findings"))
 
 
-def fingerprints(spark: SparkSession, profiles: list[dict]) -> DataFrame:
-    return spark.createDataFrame([(i, fingerprint(p)) for i, p in enumerate(profiles)], "profile_no int, fingerprint string")
+def fingerprint_of(config: Column) -> Column:
+    """:func:`fingerprint` of flat configurations, ``map<string,string>`` of ASCII; null values count as empty."""
+    secret = lambda k: ~F.lower(k).isin(*NOT_SECRET) & F.lower(k).rlike("|".join(SECRET_PARTS))
+    value = lambda e: F.when(secret(e["key"]), MASK).otherwise(F.coalesce(e["value"], F.lit("")))
+    field = lambda e: F.regexp_replace(F.to_json(F.create_map(e["key"], value(e))), r"^\{|\}$", "")
+    fields = F.array_join(F.transform(F.array_sort(F.map_entries(config)), field), ",")
+    return F.substring(F.sha2(F.concat(F.lit("{"), fields, F.lit("}")).cast("binary"), 256), 1, 16)
+
+
+def fingerprints(configs: DataFrame, config_col: str = "config") -> DataFrame:
+    """A table of configurations with the column ``fingerprint``: secret fields are masked, so they do not tell."""
+    return configs.withColumn("fingerprint", fingerprint_of(F.col(config_col)))

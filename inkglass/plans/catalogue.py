@@ -477,12 +477,15 @@ def harness_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT CAST(i AS BIGINT) AS profile_no, left(sha256(j), 16) AS fingerprint FROM (VALUES "
-    """(0, '{"marker":"LOCAL-MARK","minimum_tokens":"<configured-secret>","profile":"local","scheme":"literal_fixture"}'), """
-    """(1, '{"api_key":"<configured-secret>","profile":"other","scheme":"unknown"}'), (2, '{"profile":"green","scheme":"kgw"}')) t(i, j)"""
+    """SELECT source, lang, count(*) AS n, left(sha256('{"api_key":"<configured-secret>","marker":"' || coalesce(lang, '') || '","profile":"' || coalesce(source, '') || '","scheme":"literal_fixture"}'), 16) AS fingerprint
+FROM documents GROUP BY source, lang"""
 )
 def profile_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profiles.fingerprints(spark, _PROFILES).select(long_("profile_no"), "fingerprint")
+    """A profile for each source and language, whose key does not show in its fingerprint."""
+    groups = spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"), F.max(F.md5("text")).alias("key"))
+    fields = {"profile": F.col("source"), "scheme": F.lit("literal_fixture"), "marker": F.col("lang"), "api_key": F.col("key")}
+    config = F.create_map(*[x for n, c in fields.items() for x in (F.lit(n), c)])
+    return profiles.fingerprints(groups.withColumn("config", config)).select("source", "lang", "n", "fingerprint")
 
 
 @query(

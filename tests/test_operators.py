@@ -276,3 +276,12 @@ def test_stream(spark, tmp_path):
     running = stream.writeStream.format("memory").queryName("cleaned").trigger(availableNow=True).start()
     running.awaitTermination(60)
     assert [r.value for r in spark.table("cleaned").collect()] == ['"a"']
+
+
+def test_fingerprints_of_a_table_are_those_of_profiles(spark):
+    configs = [{"profile": "a", "scheme": "kgw", "api_key": "x", "tokenizer_path": "/t", "Seed": "7"}, {"profile": 'q"\\', "marker": "m"}, {}]
+    rows = spark.createDataFrame([(i, c) for i, c in enumerate(configs)], "i int, config map<string,string>")
+    found = {r.i: r.fingerprint for r in profiles.fingerprints(rows).collect()}
+    assert found == {i: profiles.fingerprint(c) for i, c in enumerate(configs)}
+    other = {**configs[0], "api_key": "y", "Seed": "8"}
+    assert profiles.fingerprint(other) == found[0]
