@@ -42,10 +42,37 @@ _CHARS = """chars AS (
     SELECT doc_id, i - 1 AS off, c, unicode(c) AS cp FROM (
         SELECT doc_id, generate_subscripts(cs, 1) AS i, unnest(cs) AS c FROM (
             SELECT doc_id, string_split(text, '') AS cs FROM salted)))"""
+# The characters of each signal, told to SQL anew; only what no version of Unicode has assigned is
+# asked of the running Python.
+_IGNORED = (
+    r"[\x{AD}\x{34F}\x{61C}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180F}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{3164}"
+    r"\x{FE00}-\x{FE0F}\x{FEFF}\x{FFA0}\x{FFF0}-\x{FFF8}\x{1BCA0}-\x{1BCA3}\x{1D173}-\x{1D17A}\x{E0000}-\x{E0FFF}]"
+)
+_TOLD_SIGNALS = {
+    "unicode_security": {
+        "default_ignorable": f"regexp_matches(c, '{_IGNORED}')",
+        "soft_hyphen": "c = chr(173)",
+        "word_or_grapheme_joiner": "c IN (chr(847), chr(8288))",
+        "bidi_control": r"regexp_matches(c, '[\x{61C}\x{200E}\x{200F}\x{202A}-\x{202E}\x{2066}-\x{2069}]')",
+        "variation_selector": r"regexp_matches(c, '[\x{FE00}-\x{FE0F}\x{E0100}-\x{E01EF}]')",
+        "tag_character": r"regexp_matches(c, '[\x{E0000}-\x{E007F}]')",
+        "private_use": r"regexp_matches(c, '\p{Co}')",
+        "noncharacter": "cp BETWEEN 64976 AND 65007 OR cp % 65536 >= 65534",
+        "unassigned": ch.condition("cp", ch.unassigned()),
+        "replacement_character": "c = chr(65533)",
+        "noninitial_bom": "c = chr(65279) AND off <> 0",
+    },
+    "typography": {
+        "smart_quote": "c IN ('‘', '’', '“', '”')",
+        "unicode_dash_or_hyphen": "c IN ('‐', '‑', '‒', '–', '—', '―')",
+        "unicode_ellipsis": "c IN ('‥', '…', '⋯')",
+    },
+    "formatting": {"unusual_space_separator": r"regexp_matches(c, '\p{Zs}')"},
+}
 _HITS = "hits AS (" + " UNION ALL ".join(
-    f"SELECT doc_id, '{category}' AS category, '{signal}' AS signal, off FROM chars WHERE cp > 127 AND {ch.condition('cp', ranges)}"
-    + (" AND off <> 0" if signal == "noninitial_bom" else "")
-    for category, signal, ranges in ch.SIGNALS
+    f"SELECT doc_id, '{category}' AS category, '{signal}' AS signal, off FROM chars WHERE cp > 127 AND ({test})"
+    for category, signals_ in _TOLD_SIGNALS.items()
+    for signal, test in signals_.items()
 ) + ")"
 _PLACES = """places AS (
     SELECT doc_id, off,
@@ -446,6 +473,23 @@ def source_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_code.findings(_sources(spark, sf_dir))
 
 
+@query(
+    _with(_LITERALS)
+    + f""", p AS (SELECT doc_id, replace(replace(text, chr(39), ''), chr(92), '') AS text FROM salted WHERE text IS NOT NULL),
+u AS (SELECT doc_id, replace(text, {_quoted(WRAPPER)}, '') AS bare FROM p),
+h AS (SELECT doc_id, length(bare) - length(regexp_replace(bare, '{_IGNORED}', '', 'g')) AS n FROM u)
+SELECT doc_id, 'strings' AS context, 'hidden_unicode' AS signal, CAST(n AS BIGINT) AS n FROM h WHERE n > 0
+UNION ALL SELECT doc_id, 'comments', 'hidden_unicode', 1 FROM p
+UNION ALL SELECT doc_id, 'strings', 'c2pa_text_carrier', count(*) FROM p JOIN carried ON valid AND contains(text, literal) GROUP BY doc_id"""
+)
+def source_findings_python(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts as Python sources: each in a string, with a comment after it that hides a character."""
+    body = F.replace(F.replace("text", F.lit("'"), F.lit("")), F.lit("\\"), F.lit(""))
+    text = F.concat(F.lit("text = '''"), body, F.lit("'''\nname = 1  # note\u200b\n"))
+    rows = salted(spark, sf_dir).withColumn("text", text).withColumn("language", source_code.language_of(F.lit("file.py")))
+    return source_code.findings(rows).groupBy("doc_id", "context", "signal").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query()
 def source_clean_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_code.clean_comments(_sources(spark, sf_dir)).select("doc_id", "cleaned")
