@@ -89,12 +89,12 @@ def _quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def _count_sql(ranges: ch.Ranges) -> str:
-    return f"CAST(length(text) - length(regexp_replace(text, {_quoted(ch.pattern(ranges))}, '', 'g')) AS BIGINT)"
+def _count_sql(pattern: str) -> str:
+    return f"CAST(length(text) - length(regexp_replace(text, {_quoted(pattern)}, '', 'g')) AS BIGINT)"
 
 
-def _counter_sql(ranges: dict[str, ch.Ranges]) -> str:
-    return ", ".join(f'{_count_sql(r)} AS "{n}"' for n, r in ranges.items())
+def _counter_sql(patterns: dict[str, str]) -> str:
+    return ", ".join(f'{_count_sql(p)} AS "{n}"' for n, p in patterns.items())
 
 
 # ---- findings -------------------------------------------------------------------------
@@ -134,13 +134,48 @@ def scan_locations_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(_with() + f"SELECT doc_id, {_counter_sql(signals.GHOSTS)}, CAST(CASE WHEN text IS NOT NULL THEN 0 END AS BIGINT) AS surrogates, {_count_sql(ch.unassigned())} AS unassigned_cn FROM salted")
+# The characters of each counter, told to SQL anew, too.
+_TOLD_GHOSTS = {
+    "NBSP_family": r"[\x{A0}\x{2002}\x{2003}\x{2009}\x{202F}\x{3000}]",
+    "Zs_spaces": r"[\x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]",
+    "ZWSP": r"\x{200B}",
+    "ZWNJ": r"\x{200C}",
+    "ZWJ": r"\x{200D}",
+    "LRM": r"\x{200E}",
+    "RLM": r"\x{200F}",
+    "BOM": r"\x{FEFF}",
+    "bidi_overrides": r"[\x{202A}-\x{202E}]",
+    "bidi_isolates": r"[\x{2066}-\x{2069}]",
+    "replacement_char": r"\x{FFFD}",
+    "default_ignorables": _IGNORED,
+    "variation_selectors": r"[\x{FE00}-\x{FE0F}\x{E0100}-\x{E01EF}]",
+    "tag_characters": r"[\x{E0000}-\x{E007F}]",
+    "noncharacters": r"[\x{FDD0}-\x{FDEF}" + "".join(rf"\x{{{p:X}FFFE}}\x{{{p:X}FFFF}}" for p in range(1, 17)) + r"\x{FFFE}\x{FFFF}]",
+    "private_use": r"\p{Co}",
+}
+_TOLD_MARKS = {
+    "smart_quotes": "[‘’“”]",
+    "smart_quotes_basic": "[‘’“”]",
+    "unicode_quote_like": ch.pattern(signals.typographic_ranges()["unicode_quote_like"]),
+    "ascii_quote_like": "[\"']",  # a grave accent is none, by its name
+    "unicode_hyphen": "‐",
+    "nonbreaking_hyphen": "‑",
+    "figure_dash": "‒",
+    "emdash": "—",
+    "endash": "–",
+    "horizontal_bar": "―",
+    "ellipsis": "[‥…⋯]",
+    "fullwidth_brackets": "[【】]",
+}
+
+
+@query(_with() + f"SELECT doc_id, {_counter_sql(_TOLD_GHOSTS)}, CAST(CASE WHEN text IS NOT NULL THEN 0 END AS BIGINT) AS surrogates, {_count_sql(ch.pattern(ch.unassigned()))} AS unassigned_cn FROM salted")
 def ghost_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = salted(spark, sf_dir).select("doc_id", signals.counters(F.col("text"))["unicode_ghosts"].alias("c"))
     return rows.select("doc_id", *[F.col(f"c.{n}").cast("long").alias(n) for n in [*signals.GHOSTS, "surrogates", "unassigned_cn"]])
 
 
-@query(_with() + f"SELECT doc_id, {_counter_sql(signals.typographic_ranges())} FROM salted")
+@query(_with() + f"SELECT doc_id, {_counter_sql(_TOLD_MARKS)} FROM salted")
 def typographic_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = salted(spark, sf_dir).select("doc_id", signals.counters(F.col("text"))["typographic"].alias("c"))
     return rows.select("doc_id", *[F.col(f"c.{n}").cast("long").alias(n) for n in signals.typographic_ranges()])
@@ -163,9 +198,9 @@ def whitespace_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TOTAL = " + ".join(
-    [_count_sql(r) for n, r in signals.GHOSTS.items() if n != "NBSP_family"]
-    + [_count_sql(ch.unassigned())]
-    + [_count_sql(r) for n, r in signals.typographic_ranges().items() if n not in ("smart_quotes_basic", "ascii_quote_like")]
+    [_count_sql(p) for n, p in _TOLD_GHOSTS.items() if n != "NBSP_family"]
+    + [_count_sql(ch.pattern(ch.unassigned()))]
+    + [_count_sql(p) for n, p in _TOLD_MARKS.items() if n not in ("smart_quotes_basic", "ascii_quote_like")]
     + [_TRAILING, _INDENTED, "CASE WHEN right(text, 1) IN (chr(10), chr(13)) THEN 0 ELSE 1 END"]
 )
 
