@@ -249,8 +249,14 @@ def total(text: Column) -> Column:
 
 
 def scripts(text: Column) -> Column:
-    """Sorted scripts of a text's letters, of those that are told apart."""
-    return F.array_compact(F.array(*[F.when(text.rlike(rf"[\p{{L}}&&[\p{{Is{s}}}]]"), F.lit(s)) for s in ch.SCRIPTS]))
+    """Sorted scripts of a text's letters, of those that are told apart; of ASCII only Latin is, so the rest is sought beyond it."""
+
+    def found(odd: Column) -> Column:
+        has = lambda s: odd.rlike(rf"[\p{{L}}&&[\p{{Is{s}}}]]")
+        met = {s: text.rlike("[A-Za-z]") | has(s) if s == "Latin" else has(s) for s in ch.SCRIPTS}
+        return F.array_compact(F.array(*[F.when(test, F.lit(s)) for s, test in met.items()]))
+
+    return let(ch.non_ascii(text), found)
 
 
 def script_findings(text: Column) -> Column:
