@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SPANS = "array<struct<start:int,end:int,text:string>>"
 #: Items that one inner fold of :func:`scan` gathers.
@@ -26,6 +27,15 @@ def settled(name: str) -> Column:
     return F.when(F.col(name).isNotNull(), F.col(name))
 
 
+def by_row(function: Callable, kind: str | T.DataType) -> Callable[..., Column]:
+    """A Python function of whole texts as a column function.
+
+    Rows go to Python by the hundred: a worker holds few texts and results at a time, however
+    many rows its task has. Arrow's batches take ten thousand.
+    """
+    return F.udf(function, kind, useArrow=False)
+
+
 def scan(items: Column, first: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
     """``array<kind>`` of what ``step(state, item)``, which gives the next state and an array, gives for all items.
 

@@ -5,12 +5,10 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.spans import let
+from ..functions.spans import by_row, let
 from .signals import LINE_END
 
 # Patterns of lines that Markdown reads by themselves.
@@ -147,6 +145,6 @@ def unwrap_text(text: str) -> str:
     return "".join(out)
 
 
-@F.pandas_udf(T.StringType())
-def unwrap(text: pd.Series) -> pd.Series:
-    return text.map(unwrap_text, na_action="ignore")
+def unwrap(text: Column | str) -> Column:
+    """:func:`unwrap_text` as a column; null stays null."""
+    return by_row(lambda t: None if t is None else unwrap_text(t), "string")(text)

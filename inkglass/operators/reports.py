@@ -5,14 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import edits
 from ..functions.characters import CATEGORIES
-from ..functions.spans import settled
+from ..functions.spans import by_row, settled
 from . import carriers, cleaning, look_alikes, markdown, metrics, profiles, signals, source_code
 from .cleaning import CleanOptions
 
@@ -64,17 +63,15 @@ def signal_changes(before: DataFrame, after: DataFrame, id_col: str = "doc_id")
     return both.select(id_col, F.array_sort(F.array_except("b", left)).alias("resolved"), F.array_sort(F.array_intersect("b", left)).alias("unchanged"))
 
 
-@F.pandas_udf(T.StringType())
-def unified_diff(before: pd.Series, after: pd.Series, name: pd.Series) -> pd.Series:
+def unified_diff(before: Column | str, after: Column | str, name: Column | str) -> Column:
     """A unified diff with three lines of context; empty where nothing changes."""
     lines = lambda t: (t or "").splitlines(True)
-    return pd.Series([edits.unified(lines(a), lines(b), str(n), f"{n} (cleaned)") for a, b, n in zip(before, after, name)], dtype=object)
+    return by_row(lambda a, b, n: edits.unified(lines(a), lines(b), str(n), f"{n} (cleaned)"), "string")(before, after, name)
 
 
-@F.pandas_udf(T.IntegerType())
-def replacement_spans(before: pd.Series, after: pd.Series) -> pd.Series:
+def replacement_spans(before: Column | str, after: Column | str) -> Column:
     """How many stretches of whole texts are replaced (:mod:`..functions.edits`); 0 for equal texts and nulls."""
-    return pd.Series([0 if a is None or b is None else edits.replacements(a, b) for a, b in zip(before, after)], dtype="int32")
+    return by_row(lambda a, b: 0 if a is None or b is None else edits.replacements(a, b), "int")(before, after)
 
 
 def first_location(locations: Column) -> Column:
