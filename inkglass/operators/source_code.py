@@ -128,18 +128,15 @@ def _ranges(carriers: list | None) -> list[Carrier]:
     return [] if carriers is None else [(c["start"], c["end"], c["valid"]) for c in carriers]
 
 
-def _scan_batch(text: pd.Series, language: pd.Series, carriers: pd.Series) -> pd.DataFrame:
-    rows = []
-    for t, lang, held in zip(text, language, carriers):
-        r = scan_text(t or "", lang or "unknown", _ranges(held))
-        counts, regions, characters = ({c: 0 for c in CONTEXTS} for _ in range(3))
-        for a, b, c in r["spans"]:
-            regions[c] += 1
-            characters[c] += b - a
-        for f in r["findings"]:
-            counts[f["context"]] += f["count"]
-        rows.append((r["parser"], r["parse_valid"], counts, regions, characters, r["findings"]))
-    return pd.DataFrame({n: pd.Series([r[i] for r in rows], dtype=object) for i, n in enumerate(("parser", "parse_valid", "counts", "regions", "characters", "findings"))})
+def _scan_row(text: str | None, language: str | None, carriers: list | None) -> tuple:
+    r = scan_text(text or "", language or "unknown", _ranges(carriers))
+    counts, regions, characters = ({c: 0 for c in CONTEXTS} for _ in range(3))
+    for a, b, c in r["spans"]:
+        regions[c] += 1
+        characters[c] += b - a
+    for f in r["findings"]:
+        counts[f["context"]] += f["count"]
+    return r["parser"], r["parse_valid"], counts, regions, characters, r["findings"]
 
 
 def _find_row(text: str | None, language: str | None, carriers: list | None) -> list[dict]:
@@ -147,7 +144,7 @@ def _find_row(text: str | None, language: str | None, carriers: list | None) ->
 
 
 def _scan(text: str, language: str, carriers: Column) -> Column:
-    return F.pandas_udf(_scan_batch, SCAN)(text, language, carriers)
+    return by_row(_scan_row, SCAN)(text, language, carriers)
 
 
 def _carriers(text: Column) -> Column:
