@@ -10,7 +10,6 @@ import re
 import tokenize
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -214,10 +213,9 @@ def clean_comments(docs: DataFrame, text_col: str = "text", language_col: str =
     Texts without a suspect reach Python as nulls.
     """
 
-    def run(texts: pd.Series, languages: pd.Series, held: pd.Series) -> pd.Series:
-        clean = lambda t, lang, c: None if t is None else clean_comments_text(t, lang or "unknown", _ranges(c), strip_provenance)
-        return pd.Series([clean(*r) for r in zip(texts, languages, held)], dtype=object)
+    def run(text: str | None, language: str | None, held: list | None) -> str | None:
+        return None if text is None else clean_comments_text(text, language or "unknown", _ranges(held), strip_provenance)
 
     text = F.col(text_col)
-    done = F.pandas_udf(run, "string")(F.when(suspect(text), text), F.col(language_col), settled("_carriers"))
+    done = by_row(run, "string")(F.when(suspect(text), text), F.col(language_col), settled("_carriers"))
     return docs.withColumn("_carriers", _carriers(text)).withColumn(out, F.coalesce(done, text)).drop("_carriers")

@@ -11,7 +11,7 @@ def plan(frame, kind="executedPlan"):
     return getattr(frame._jdf.queryExecution(), kind)().toString()
 
 
-@pytest.mark.parametrize("name", ["unified_diff", "replacement_spans", "markdown_unwrap", "source_findings", "source_findings_python", "source_regions"])
+@pytest.mark.parametrize("name", ["unified_diff", "replacement_spans", "markdown_unwrap", "source_findings", "source_findings_python", "source_regions", "source_clean_comments"])
 def test_whole_texts_reach_python_in_small_batches(spark, name):
     told = plan(catalogue.queries()[name](spark, SF))
     assert "BatchEvalPython" in told and "ArrowEvalPython" not in told
