@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions import edits
 from ..functions.characters import CATEGORIES
-from ..functions.spans import by_row, settled
+from ..functions.spans import by_row, let, settled
 from . import carriers, cleaning, look_alikes, markdown, metrics, profiles, signals, source_code
 from .cleaning import CleanOptions
 
@@ -121,6 +121,10 @@ class Options:
         return self
 
 
+def _bears_valid(text: Column) -> Column:
+    return F.coalesce(carriers.may_carry(text) & F.exists(carriers.carriers(text), lambda c: c["valid"]), F.lit(False))
+
+
 def compose(docs: DataFrame, options: Options = Options(), text_col: str = "text", path_col: str | None = None) -> DataFrame:
     """``docs`` with ``cleaned`` and ``error``: comments or the text cleaned, soft breaks joined, the last line ended.
 
@@ -134,13 +138,13 @@ def compose(docs: DataFrame, options: Options = Options(), text_col: str = "text
         rows = docs.withColumn("_language", source_code.language_of(path))
         rows = source_code.clean_comments(rows, text_col, "_language", "_clean", options.clean.strip_provenance).drop("_language")
     else:
-        rows = docs.withColumn("_clean", cleaning.clean(text, options.clean))
-    refused = F.lit(False)
+        # a filter on ``error`` takes the expression with it, to where a text may be an expression too: both are named once
+        refuses = options.unwrap_markdown and not options.clean.strip_provenance
+        tell = lambda c: F.struct(c.alias("text"), (_bears_valid(c) if refuses else F.lit(False)).alias("refused"))
+        rows = docs.withColumn("_told", let(text, lambda t: let(cleaning.clean(t, options.clean), tell)))
+        rows = rows.withColumn("_refused", F.col("_told.refused")).withColumn("_clean", F.col("_told.text")).drop("_told")
+    refused = F.lit(False) if options.source else F.col("_refused")
     if options.unwrap_markdown:
-        if not options.clean.strip_provenance:
-            valid = F.exists(carriers.carriers(F.col("_clean")), lambda c: c["valid"])
-            rows = rows.withColumn("_refused", F.coalesce(carriers.may_carry(F.col("_clean")) & valid, F.lit(False)))
-            refused = F.col("_refused")
         rows = rows.withColumn("_clean", F.when(~refused, F.col("_clean"))).withColumn("_clean", markdown.unwrap(settled("_clean")))
     error = F.when(refused, "a valid provenance carrier would be reformatted; strip it first")
     rows = rows.withColumn("error", error).withColumn("cleaned", cleaning.final_newline(F.col("_clean"), options.final_newline))

@@ -15,3 +15,10 @@ def plan(frame, kind="executedPlan"):
 def test_whole_texts_reach_python_in_small_batches(spark, name):
     told = plan(catalogue.queries()[name](spark, SF))
     assert "BatchEvalPython" in told and "ArrowEvalPython" not in told
+
+
+def test_cleaning_is_evaluated_once_where_refusals_are_picked(spark):
+    cleaned = catalogue.queries()["clean_default"](spark, SF)
+    refused = catalogue.queries()["compose_refusals"](spark, SF)
+    mark = "【】"
+    assert plan(refused, "optimizedPlan").count(mark) == plan(cleaned, "optimizedPlan").count(mark) > 0
