@@ -158,16 +158,21 @@ def _normal(t: Tables, piece: Column) -> Column:
     return joined(scan(placed(items), first, _PART, step))
 
 
+def _stretch(form: str) -> str:
+    """A pattern of the stretches in question."""
+    t = tables(form)
+    # the character before a stretch may compose with it; common ones are known by a few ranges
+    sure = pattern(common_but(t.unsure))
+    return rf"(?s)(?>{sure}|(?!{pattern(t.unsure)}).)?(?:{fast_pattern(t.unsure)})++"
+
+
 def normalized(text: Column, form: str = "NFC") -> Column:
     """A text in the normal form NFC or NFKC; null stays null.
 
     Time grows with the text's length and with that of its stretches in question, by n log n.
     Characters that the running Python does not know count as starters that stay.
     """
-    t = tables(form)
-    # the character before a stretch may compose with it; common ones are known by a few ranges
-    sure = pattern(common_but(t.unsure))
-    stretch = rf"(?s)(?>{sure}|(?!{pattern(t.unsure)}).)?(?:{fast_pattern(t.unsure)})++"
+    t, stretch = tables(form), _stretch(form)
 
     def changed(x: Column) -> Column:
         pairs = F.arrays_zip(F.split(x, stretch, -1).alias("gap"), F.regexp_extract_all(x, F.lit(stretch), F.lit(0)).alias("hit"))
@@ -182,5 +187,13 @@ def unsure(text: Column, form: str = "NFC") -> Column:
 
 
 def differs(text: Column, form: str = "NFC") -> Column:
-    """Whether normalising would change a text."""
-    return let(text, lambda x: F.when(unsure(x, form), normalized(x, form) != x).otherwise(F.lit(False)))
+    """Whether normalising would change a text: whether it would change a stretch in question.
+
+    No stretch holds more ASCII than the character before it, so of each row of ASCII only the last is kept.
+    """
+
+    def changes(x: Column) -> Column:
+        hits = F.regexp_extract_all(F.regexp_replace(x, r"[\x00-\x7F]+(?=[\x00-\x7F])", ""), F.lit(_stretch(form)), F.lit(0))
+        return F.exists(hits, lambda h: _normal(tables(form), h) != h)
+
+    return let(text, lambda x: F.when(unsure(x, form), changes(x)).otherwise(F.lit(False)))

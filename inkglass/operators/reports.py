@@ -213,7 +213,7 @@ def report(docs: DataFrame, options: Options = Options(), id_col: str = "doc_id"
     if options.dry_run:
         rows = compose(rows, options, "_text", "_path")
         rows = all_findings(rows, "cleaned", "_after")
-        rows = rows.withColumn("_spans", replacement_spans(settled("_text"), settled("cleaned"))).withColumn("_m1", metrics.metrics_of(text)).withColumn("_m2", metrics.metrics_of(F.col("cleaned")))
+        rows = rows.withColumn("_spans", replacement_spans(settled("_text"), settled("cleaned"))).withColumn("_m1", F.col("metrics") if options.metrics else metrics.metrics_of(text)).withColumn("_m2", metrics.metrics_of(F.col("cleaned")))
         # detectors are not run again on the cleaned text, so what they found is not compared
         names = lambda c: F.array_distinct(F.transform(F.filter(c, lambda f: ~f["category"].isin("known_watermark", "authorship_signal")), lambda f: f["signal"]))
         before, after = names("findings"), names("_after")
