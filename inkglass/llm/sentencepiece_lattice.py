@@ -215,28 +215,26 @@ def _merge_fold(size: Column, edges: Column) -> Column:
     return F.aggregate(F.sort_array(edges), _power(size + 1) - 1, step)
 
 
-def _viterbi_fold(size: Column, edges: Column, unknown_score: float) -> Column:
+def _viterbi_fold(edges: Column) -> Column:
     """Marks of the best path of a unigram lattice, as in :func:`_merge_fold`.
 
-    ``edges`` are ``struct<end, length, score>``. The state holds, for every place so far,
-    the best score up to there and the marks of its path. A character that no piece covers
-    costs ``unknown_score``. Of equal scores the path with the later marks wins.
+    ``edges`` are ``struct<end, back, score>``, with ``back`` the length below 0; each place
+    is the end of one of length 1. In their order each is visited once, so that one comes
+    last of its place's: the state holds the best score and the marks of its path for every
+    place so far, and ``top`` for the next, and an array is copied once for each place. Of
+    equal scores the path with the later marks wins.
     """
-    kind = "array<struct<score:double,marks:long>>"
-    start = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(1).cast("long").alias("marks"))).cast(kind)
+    path = "struct<score:double,marks:long>"
+    start = F.struct(F.array(F.struct(F.lit(0.0).alias("score"), F.lit(1).cast("long").alias("marks"))).alias("paths"), F.lit(None).alias("top"))
 
-    def step(state: Column, end: Column) -> Column:
-        def reach(length: Column, score: Column) -> Column:
-            before = F.element_at(state, end - length + 1)
-            return F.struct((before["score"] + score).alias("score"), before["marks"].bitwiseOR(_power(end)).alias("marks"))
+    def step(state: Column, edge: Column) -> Column:
+        before = F.element_at(state["paths"], edge["end"] + edge["back"] + 1)
+        reached = F.struct((before["score"] + edge["score"]).alias("score"), before["marks"].bitwiseOR(_power(edge["end"])).alias("marks"))
+        top = F.greatest(state["top"], reached)  # passes over null
+        last = F.struct(F.concat(state["paths"], F.array(top)).alias("paths"), F.lit(None).cast(path).alias("top"))
+        return F.when(edge["back"] == -1, last).otherwise(F.struct(state["paths"].alias("paths"), top.alias("top")))
 
-        ending = F.filter(edges, lambda e: e["end"] == end)
-        known = F.transform(ending, lambda e: reach(e["length"], e["score"]))
-        alone = F.exists(ending, lambda e: e["length"] == 1)
-        fallback = F.when(alone, F.array().cast(kind)).otherwise(F.array(reach(F.lit(1), F.lit(unknown_score))))
-        return F.concat(state, F.array(F.array_max(F.concat(known, fallback))))
-
-    return F.aggregate(F.sequence(F.lit(1), size), start, step, lambda s: F.element_at(s, -1)["marks"])
+    return F.aggregate(F.sort_array(edges), start.cast(f"struct<paths:array<{path}>,top:{path}>"), step, lambda s: F.element_at(s["paths"], -1)["marks"])
 
 
 def _unknown_score(model: Model) -> float:
@@ -250,7 +248,9 @@ def fold_chunks(chunks: DataFrame, model: Model) -> DataFrame:
     Substrings of bounded length are exploded and joined to the piece table, the edges are
     grouped by chunk, and a fold over them marks where the chunk's symbols start and end.
     Rows of one ``g`` must be in one partition, so that nothing is exchanged here. Chunks
-    are of at most :data:`SHORT` characters; those without any edge are left out.
+    are of at most :data:`SHORT` characters; those without any edge are left out. In a
+    unigram lattice a character that is no piece has an edge too, which costs
+    :func:`_unknown_score`.
     """
     spark = chunks.sparkSession
     shortest = 1 if model.kind == UNIGRAM else 2
@@ -264,14 +264,16 @@ def fold_chunks(chunks: DataFrame, model: Model) -> DataFrame:
         .select("g", "chunk", F.explode(F.sequence(F.lit(0), size - shortest)).alias("start"))
         .select("g", "chunk", "start", F.explode(F.sequence(F.lit(shortest), F.least(size - start, F.lit(model.longest)))).alias("length"))
         .withColumn("piece", F.col("chunk").substr(start + 1, length))
-        .join(pieces, "piece")
+        .join(pieces, "piece", "left" if model.kind == UNIGRAM else "inner")
     )
     if model.kind == BPE:
         edge = _pack(F.col("rank"), start, length)
         marks = _merge_fold(size, F.col("edges"))
     else:
-        edge = F.struct((start + length).alias("end"), "length", "score")
-        marks = _viterbi_fold(size, F.col("edges"), _unknown_score(model))
+        edges = edges.filter(F.col("score").isNotNull() | (length == 1))
+        score = F.coalesce("score", F.lit(_unknown_score(model)))
+        edge = F.struct((start + length).alias("end"), (-length).alias("back"), score.alias("score"))
+        marks = _viterbi_fold(F.col("edges"))
     return edges.groupBy("g", "chunk").agg(F.collect_list(edge).alias("edges")).select("g", "chunk", marks.alias("marks"))
 
 

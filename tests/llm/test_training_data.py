@@ -569,6 +569,18 @@ def test_viterbi_fold_equals_enumeration(spark):
         assert "".join(path) == w and len(speller.ids(w, None)) == len(path)
 
 
+def test_viterbi_fold_visits_an_edge_once(spark):
+    pieces = [("a", 0, -1.0), ("ab", 1, -1.5), ("éa", 2, -1.5)]
+    model = sentencepiece_lattice.Model(sentencepiece_lattice.UNIGRAM, pieces, [p.encode() for p, _, _ in pieces], [-1] * 256, 9, False)
+    d = spark.createDataFrame([(w, 0) for w in ("é", "xéy", "aéab", "xab" * 20)], "chunk string, g int").repartition(2, "g")
+    folded = sentencepiece_lattice.fold_chunks(d, model)
+    # characters that are no piece have edges, so no chunk is left out
+    assert {r.chunk: r.marks for r in folded.collect()} == {"é": 0b11, "xéy": 0b1111, "aéab": 0b11011, "xab" * 20: sum(0b11 << 3 * i for i in range(21)) - (1 << 61)}
+    # and edges are not sought anew for every place
+    plan = folded._jdf.queryExecution().analyzed().toString()
+    assert "aggregate(sort_array(" in plan and " filter(edges" not in plan and " exists(" not in plan
+
+
 def test_unbroken_texts_equal_the_library(spark):
     import sentencepiece
 
