@@ -259,8 +259,8 @@ def score_texts(texts: list[str | None], chain: Chain) -> np.ndarray:
     return np.clip(scores, 0.0, 1.0)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, limit: int, max_chars: int) -> tuple[list[tuple[str, int]], float]:
-    """At most ``limit`` labelled texts of at most ``max_chars`` characters, half of either
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, limit: int, max_chars: int) -> tuple[DataFrame, float]:
+    """``_id, _t, _y, _order``: at most ``limit`` labelled texts of at most ``max_chars`` characters, half of either
     label where there are enough, and the share of label 1 among all labels.
 
     Which texts are taken depends on their ids alone.
@@ -270,9 +270,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     chosen = rows.filter("_y = 1").orderBy("_order", "_id").limit(limit // 2).union(rows.filter("_y = 0").orderBy("_order", "_id").limit(limit // 2))
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).filter(F.col("_t").isNotNull() & (F.length("_t") <= max_chars))
     # one text an id, so that repeated ids do not widen the sample
-    found = texts.join(F.broadcast(chosen), "_id").groupBy("_id").agg(F.min("_t").alias("_t"), F.first("_y").alias("_y"), F.first("_order").alias("_order")).collect()
+    found = texts.join(F.broadcast(chosen), "_id").groupBy("_id").agg(F.min("_t").alias("_t"), F.first("_y").alias("_y"), F.first("_order").alias("_order"))
     share = marked.agg(F.avg("_y")).first()[0]
-    return [(r["_t"], r["_y"]) for r in sorted(found, key=lambda r: (r["_order"], r["_t"]))], share
+    return found, share
 
 
 def fit(
@@ -288,12 +288,19 @@ def fit(
 
     Null where the sample lacks one of the two labels. Labels are of documents, so each of
     a document's lines learns from its document's label, and the pair potentials learn from
-    them that neighbours agree. Of texts that share an id the least counts.
+    them that neighbours agree. Of texts that share an id the least counts. The sample's
+    texts and features stay in one task; the driver gets the weights.
     """
     sample, share = labelled_sample(docs, labels, id_col, text_col, label_col, limit, max_chars)
-    if len({y for _, y in sample}) < 2:
-        return None
-    return train([t for t, _ in sample], [y for _, y in sample], share)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = sorted((r for b in batches for r in zip(b["_order"], b["_t"], b["_y"])), key=lambda r: r[:2])
+        if len({y for _, _, y in rows}) == 2:
+            chain = train([t for _, t, _ in rows], [int(y) for _, _, y in rows], share)
+            yield pd.DataFrame({"weights": [chain.weights], "pairs": [chain.pairs.ravel()]})
+
+    found = sample.select("_order", "_t", "_y").repartition(1).mapInPandas(run, "weights array<double>, pairs array<double>").collect()
+    return Chain(np.array(found[0]["weights"]), np.array(found[0]["pairs"]).reshape(2, 2)) if found else None
 
 
 #: Texts that are scored together, at most, in characters (a longer one goes alone).

@@ -545,6 +545,15 @@ def test_encoding_equals_the_library(spark):
     assert sentencepiece_lattice.encode(docs(spark).limit(0), model).count() == 0
 
 
+def test_quality_is_not_trained_on_the_driver(spark, monkeypatch):
+    good, bad = "Plain words are here.\nAnd more of them.", "&&& ### &&&\n%%% ### ***"
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    d = spark.createDataFrame([(i, good if i % 2 else bad) for i in range(40)], "doc_id long, text string")
+    monkeypatch.setattr(quality_crf, "_with_neighbours", None)  # here, not in the workers
+    chain = quality_crf.fit(d, labels)
+    assert quality_crf.score_texts([good], chain)[0] > 0.9 and quality_crf.score_texts([bad], chain)[0] < 0.1
+
+
 def test_viterbi_fold_equals_enumeration(spark):
     pieces = [("a", 0, -1.0), ("b", 1, -1.1), ("ab", 2, -1.5), ("ba", 3, -1.4), ("aba", 4, -2.9), ("bab", 5, -2.2)]
     model = sentencepiece_lattice.Model(sentencepiece_lattice.UNIGRAM, pieces, [p.encode() for p, _, _ in pieces], [-1] * 256, 9, False)
